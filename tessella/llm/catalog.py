@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, mixing, quality_rules, sharding, token_counts
+from tessella.llm import bpe, mixing, ngram_jaccard, quality_rules, sharding, token_counts
 from tessella.plans.ship import ship
 
 SHARD_BYTES = 1 << 20
@@ -29,6 +29,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", F.transform("draws", lambda d: d["shard"]).alias("shards"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.jaccard_components(read(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.sharded(read(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES)
     return rows.select("doc_id", "n_bytes", *sharding.RESULTS)
@@ -38,6 +42,6 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), bpe.vocabulary(), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_mixing, op7_sharding, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_mixing, op5_ngram_jaccard, op7_sharding, op9_bpe)}
 
 ORACLE_SQL = {"op7_sharding": sharding.ORACLE_SQL.format(limit=SHARD_BYTES)}

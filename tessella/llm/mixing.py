@@ -151,7 +151,12 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeats: flo
     cuts = blocks.where("cut").select("rank", "block", (F.col("rest") - F.col("before")).alias("room"))
     inside = placed.join(F.broadcast(cuts) if few else cuts, ["rank", "block"]).groupBy("rank", "room", "__h").agg(F.sum("size").alias("size"))
     upto = F.sum("size").over(W.partitionBy("rank").orderBy("__h").rowsBetween(W.unboundedPreceding, 0))
-    last = inside.withColumn("upto", upto).where(F.col("upto") - F.col("size") / 2 <= F.col("room")).groupBy("rank").agg(F.max("__h").alias("last"))
+    first = inside.withColumn("upto", upto).where(F.col("upto") <= F.col("room")).groupBy("rank").agg(F.max("__h").alias("last"), F.max("upto").alias("got"))
+    # what is left is filled with the documents after the first that is too long for it, those that are shorter than it
+    later = inside.join(F.broadcast(first) if few else first, "rank", "left").withColumn("left", F.col("room") - F.coalesce(F.col("got"), F.lit(0)))
+    later = later.where((F.col("size") <= F.col("left")) & (F.col("last").isNull() | (F.col("__h") > F.col("last")))).withColumn("upto", upto)
+    second = later.where(F.col("upto") - F.col("size") / 2 <= F.col("left")).groupBy("rank").agg(F.max("__h").alias("last2"), F.max("left").alias("left"))
+    last = first.drop("got").join(second, "rank", "full")
 
     taken_blocks = blocks.groupBy("rank").agg((F.max("epochs") * F.count(F.lit(1)) + F.sum((F.col("full") | F.col("cut")).cast("long"))).alias("quota"))
     places = taken_blocks.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("rank")) - 1)
@@ -164,12 +169,13 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeats: flo
     times = F.when(F.col("epochs") + again > 0, F.sequence(F.lit(0).cast("long"), F.col("epochs") + again - 1)).otherwise(F.array().cast("array<bigint>"))
     # unit number of this block in each epoch, and the shard whose part holds it
     draws = F.transform(times, lambda e: F.struct(e.alias("epoch"), F.size(F.filter("ends", lambda h: h <= e * F.col("count") + F.col("place"))).alias("shard")))
-    lookup = scratch.save(marked.select("rank", "block", "epochs", "cut", "last", draws.alias("block_draws")), "draws")
+    lookup = scratch.save(marked.select("rank", "block", "epochs", "cut", "last", "last2", "left", draws.alias("block_draws")), "draws")
     small = lookup.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
 
     named = rows.drop(*[c for c in RESULTS if c != "size"]).join(of_source.select(F.col("source").alias("__s"), "rank", "n_blocks", "source_size", "target"), rows["source"].eqNullSafe(F.col("__s"))).withColumn("block", block)
     out = named.join(F.broadcast(lookup) if small else lookup, ["rank", "block"])
-    inside_cut = ~F.col("cut") | (F.col("__h") <= F.coalesce(F.col("last"), F.lit(-(1 << 63)))) & F.col("last").isNotNull()
+    in_first, in_second = F.col("__h") <= F.col("last"), (F.col("__h") <= F.col("last2")) & (F.col("size") <= F.col("left"))
+    inside_cut = ~F.col("cut") | F.coalesce(in_first, F.lit(False)) | F.coalesce(in_second, F.lit(False))
     own = F.filter("block_draws", lambda d: (d["epoch"] < F.col("epochs")) | inside_cut)
     keyed = F.transform(own, lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard"), F.xxhash64(F.lit(seed), F.col("__h"), d["epoch"]).alias("mix_key")))
     out = out.withColumn("draws", keyed)
