@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, mixing, ngram_jaccard, quality_rules, sharding, token_counts
+from tessella.llm import bpe, kmeans_tree, mixing, ngram_jaccard, quality_rules, sharding, token_counts, toxicity
 from tessella.plans.ship import ship
 
 SHARD_BYTES = 1 << 20
@@ -29,6 +29,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", F.transform("draws", lambda d: d["shard"]).alias("shards"))
 
 
+def op4_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return kmeans_tree.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_components(read(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
@@ -42,6 +47,13 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), bpe.vocabulary(), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_mixing, op5_ngram_jaccard, op7_sharding, op9_bpe)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.trained(toxicity.labelled(docs, read(spark, sf_dir, "labels")))
+    rows = docs.select("doc_id", toxicity.held_out().alias("held_out"), "text")
+    return toxicity.scored(rows, model, ["doc_id", "held_out"])
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_mixing, op4_kmeans_tree, op5_ngram_jaccard, op7_sharding, op9_bpe, op10_toxicity)}
 
 ORACLE_SQL = {"op7_sharding": sharding.ORACLE_SQL.format(limit=SHARD_BYTES)}
