@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, kmeans_tree, mixing, ngram_jaccard, quality_rules, sharding, token_counts, toxicity
+from tessella.llm import bpe, html_text, kmeans_tree, mixing, ngram_jaccard, quality_rules, sharding, token_counts, toxicity
 from tessella.plans.ship import ship
 
 SHARD_BYTES = 1 << 20
@@ -38,6 +38,10 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_components(read(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(read(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.sharded(read(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES)
     return rows.select("doc_id", "n_bytes", *sharding.RESULTS)
@@ -54,6 +58,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(rows, model, ["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_mixing, op4_kmeans_tree, op5_ngram_jaccard, op7_sharding, op9_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_mixing, op4_kmeans_tree, op5_ngram_jaccard, op6_html_text, op7_sharding, op9_bpe, op10_toxicity)}
 
 ORACLE_SQL = {"op7_sharding": sharding.ORACLE_SQL.format(limit=SHARD_BYTES)}
