@@ -157,7 +157,7 @@ def tree(page: str) -> Node:
             content, at = (page[at : end.start()], end.end()) if end else (page[at:], len(page))
             if content:
                 node.children.append(html.unescape(content) if tag in ("textarea", "title") else content)
-        elif tag not in VOID:
+        elif tag not in VOID and not (tag in ("svg", "math") and attributes.rstrip().endswith("/")):
             stack.append(node)
             opened[tag] += 1
     text(page[at:])
