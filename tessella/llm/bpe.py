@@ -210,6 +210,18 @@ def encoded(docs: DataFrame, path: str, columns: list[str] | None = None) -> Dat
     return _mapped(docs, docs.columns if columns is None else columns, [("token_ids", T.ArrayType(T.LongType()), pa.list_(pa.int64()))], make)
 
 
+def encoded_and_checked(docs: DataFrame, path: str, columns: list[str]) -> DataFrame:
+    """Columns of docs, token_ids, n_tokens and whether the ids decode to the text again (round_trip)."""
+
+    def make(text: str) -> tuple:
+        bpe = loaded(path)
+        ids = np.frombuffer(bpe.packed(text), "<u4").astype(np.int32)
+        return ids, len(ids), bpe.decode(ids.tolist()) == text
+
+    results = [("token_ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), ("n_tokens", T.LongType(), pa.int64()), ("round_trip", T.BooleanType(), pa.bool_())]
+    return _mapped(docs, columns, results, make)
+
+
 def decoded(docs: DataFrame, path: str, columns: list[str] | None = None) -> DataFrame:
     """Columns of docs but token_ids, and the text that token_ids decode to (null: '')."""
     columns = [c for c in (docs.columns if columns is None else columns) if c not in ("token_ids", "decoded_text")]

@@ -129,7 +129,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeats: flo
     A source has one block for each block_words words, most_blocks at most."""
     scratch = Scratch(docs.sparkSession, "mix")
     names = [c for c in docs.columns if c not in RESULTS]
-    rows = docs.withColumns({"size": word_count(), "__h": F.xxhash64(F.lit(seed), F.col(key), F.col("text"))})
+    # the input's columns travel in one struct, so that none clashes with those used here
+    rows = docs.select(F.struct(*names).alias("__row"), "source", word_count().alias("size"), F.xxhash64(F.lit(seed), F.col(key), F.col("text")).alias("__h"))
     slim = scratch.save(rows.select("source", "size", "__h"), "slim")
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     n_blocks = F.least(F.lit(most_blocks), F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words))).cast("long")
@@ -172,14 +173,14 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeats: flo
     lookup = scratch.save(marked.select("rank", "block", "epochs", "cut", "last", "last2", "left", draws.alias("block_draws")), "draws")
     small = lookup.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
 
-    named = rows.drop(*[c for c in RESULTS if c != "size"]).join(of_source.select(F.col("source").alias("__s"), "rank", "n_blocks", "source_size", "target"), rows["source"].eqNullSafe(F.col("__s"))).withColumn("block", block)
+    named = rows.join(of_source.select(F.col("source").alias("__s"), "rank", "n_blocks", "source_size", "target"), rows["source"].eqNullSafe(F.col("__s"))).withColumn("block", block)
     out = named.join(F.broadcast(lookup) if small else lookup, ["rank", "block"])
     in_first, in_second = F.col("__h") <= F.col("last"), (F.col("__h") <= F.col("last2")) & (F.col("size") <= F.col("left"))
     inside_cut = ~F.col("cut") | F.coalesce(in_first, F.lit(False)) | F.coalesce(in_second, F.lit(False))
     own = F.filter("block_draws", lambda d: (d["epoch"] < F.col("epochs")) | inside_cut)
     keyed = F.transform(own, lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard"), F.xxhash64(F.lit(seed), F.col("__h"), d["epoch"]).alias("mix_key")))
     out = out.withColumn("draws", keyed)
-    return out.select(*names, "size", "source_size", "target", (F.size("draws") * F.col("size")).cast("long").alias("taken"), "draws")
+    return out.select("__row.*", "size", "source_size", "target", (F.size("draws") * F.col("size")).cast("long").alias("taken"), "draws")
 
 
 def emitted(mix: DataFrame) -> DataFrame:

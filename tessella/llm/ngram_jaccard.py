@@ -3,10 +3,14 @@
 A document is the set of its distinct word n-grams. Every n-gram's hash chooses a part of a bit sketch
 and a bit in it, and flips that bit; so two documents' sketches differ in at most as many bits as their
 sets differ in n-grams. Sets of sizes s <= t with Jaccard similarity p or more differ in at most
-D = s (1 - p) / p n-grams: of D + 1 parts at least one is equal (pigeonhole). Sketches are made per band
-of sizes, each band with the D of its largest s; the larger set of a pair is at most one band up, so a
-document has the parts of its own band and of the band below. Documents are joined on equal parts, and
-pairs verified on whole sets: exact, with no cap on partners.
+D = s (1 - p) / p n-grams: of D + 1 + r parts at least r + 1 are equal (pigeonhole). Sketches are made per
+band of sizes, each band with the D of its largest s; the larger set of a pair is at most one band up, so
+a document has the parts of its own band and of the band below. A part has 2^32 bits and is kept as the
+XOR of a random word for each bit that is set.
+
+Of its parts a document may leave out the r that most others share, in one order for all documents:
+of the r + 1 that a similar document shares, the last in that order is left out by neither. Documents are
+joined on the equal parts that remain, and pairs verified on whole sets: exact, with no cap on partners.
 
 Equal sets are one node from the start. Within a group of nodes that share a part, not all pairs are
 made: each node is paired with a leader, what is verified forms components, and only groups that still
@@ -16,8 +20,9 @@ across components. A pair within a component can change no component, so no link
 Defined cases: lower case is of A-Z only; with fewer words than n the whole sequence is one n-gram; a
 null text, or one without words, has an empty set and is its own component; documents of equal sets are
 linked; rows that share an id each get the component of their own text; a row without an id gets the
-smallest id that it is linked with, or null; an empty table gives an empty result; other columns of the input are ignored.
-Hashes of n-grams and of sets have 64 bits: two of n unequal ones meet with a chance of n^2 / 2^65."""
+smallest id that it is linked with, or null; an empty table gives an empty result; other columns of the
+input are ignored. Hashes of n-grams and of sets have 64 bits: two of n unequal ones meet with a chance
+of n^2 / 2^65."""
 
 from __future__ import annotations
 
@@ -64,50 +69,72 @@ def bands(num: int, den: int) -> tuple[np.ndarray, list[int]]:
     return np.array(ends, np.int64), [(b - 1) * (den - num) // num for b in ends[1:]]
 
 
-def part_keys(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
-    """64-bit keys of the sketch's parts, of the own band and of the band below."""
+def spare(most: int) -> int:
+    """r: how many parts more there are than the pigeonhole needs."""
+    return 1 + most // 8
+
+
+def part_keys(shingles: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of the sketch's parts, of the own band and of the band below, and their bands. Empty parts have a key of their own, too."""
     ends, most = bands(num, den)
     band = int(np.searchsorted(ends, len(shingles), "right")) - 1
-    found = []
+    keys, of = [], []
     for k in (band, band - 1):
         if k < 0 or most[k] == 0:  # no difference allowed: equal sets are one node already
             continue
-        parts = np.uint64(most[k] + 1)
+        parts = np.uint64(most[k] + 1 + spare(most[k]))
         place = ((shingles >> np.uint64(32)) * parts) >> np.uint64(32)
         starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        bits = np.left_shift(np.uint64(1), shingles & np.uint64(63))
+        words = mixed(shingles & np.uint64(0xFFFFFFFF))
         sketch = np.zeros(int(parts), np.uint64)
-        sketch[place[starts].astype(np.int64)] = np.bitwise_xor.reduceat(bits, starts)
+        sketch[place[starts].astype(np.int64)] = np.bitwise_xor.reduceat(words, starts)
         salt = mixed(np.arange(int(parts), dtype=np.uint64) + np.uint64(k << 32))
-        found.append(mixed(mixed(sketch) + salt))
-    return np.concatenate(found) if found else np.empty(0, np.uint64)
+        keys.append(mixed(sketch + salt))
+        of.append(np.full(int(parts), k, np.int32))
+    return (np.concatenate(keys), np.concatenate(of)) if keys else (np.empty(0, np.uint64), np.empty(0, np.int32))
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def sketches(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the set, null if empty) and keys. Of equal sets that a task meets, the first has the keys."""
+def nodes(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles and node (hash of the set, null if empty) for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in slices(batches, "text"):
+            found = [shingle_hashes((text or b"").lower().split(), n, known) for text in binary(batch.column("text"))]
+            made = [_signed(xxhash.xxh3_64_intdigest(x.tobytes())) if len(x) else None for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, found), pa.int64()), pa.array(made, pa.int64())], ["doc_id", "n_shingles", "node"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long")
+
+
+def parts(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """key, node, band: the parts of each set. Of equal sets that a task meets, only the first is written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, met = WordHashes(), set()
         for batch in slices(batches, "text"):
-            sizes, nodes, keys = [], [], []
+            keys, of, owners = [], [], []
             for text in binary(batch.column("text")):
                 shingles = shingle_hashes((text or b"").lower().split(), n, known)
-                sizes.append(len(shingles))
-                node = _signed(xxhash.xxh3_64_intdigest(shingles.tobytes())) if len(shingles) else None
-                nodes.append(node)
-                fresh = node is not None and node not in met
-                keys.append(part_keys(shingles, num, den).view(np.int64) if fresh else np.empty(0, np.int64))
-                if fresh and len(met) < 1_000_000:
+                if not len(shingles):
+                    continue
+                node = _signed(xxhash.xxh3_64_intdigest(shingles.tobytes()))
+                if node in met:
+                    continue
+                if len(met) < 500_000:
                     met.add(node)
-            offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
-            values = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "n_shingles", "node", "keys"])
+                own, band = part_keys(shingles, num, den)
+                keys.append(own.view(np.int64))
+                of.append(band)
+                owners.append(np.full(len(own), node, np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, owners, of)], ["key", "node", "band"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>")
+    return docs.select("text").mapInArrow(run, "key long, node long, band int")
 
 
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
@@ -162,22 +189,29 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return joined.where(shared * den >= (F.size("__s") + F.size("__t") - shared) * num).select("a", "b")
 
 
-def links(docs: DataFrame, found: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame | None:
+def links(docs: DataFrame, rows: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame | None:
     """node, component for the nodes that are linked with others; None if no two nodes share a part."""
-    keyed = found.select(F.explode("keys").alias("key"), "node")
     at_key = W.partitionBy("key")
-    shared = keyed.withColumns({"low": F.min("node").over(at_key), "high": F.max("node").over(at_key)}).where("low <> high")
-    shared = scratch.save(shared.select("key", "node").distinct(), "shared")
+    keyed = parts(docs, n, num, den)
+    shared = keyed.withColumns({"low": F.min("node").over(at_key), "high": F.max("node").over(at_key), "often": F.count(F.lit(1)).over(at_key)}).where("low <> high")
+    shared = scratch.save(shared.select("key", "node", "band", "often").distinct(), "shared")
+    # the parts that a set shares with most others may be left out; those that it shares with none are last in that order
+    by_share = W.partitionBy("node", "band").orderBy(F.desc("often"), "key")
+    most = F.array(*[F.lit(spare(m)) for m in bands(num, den)[1]])
+    few_left = shared.withColumn("place", F.row_number().over(by_share)).where(F.col("place") > F.element_at(most, F.col("band") + 1)).select("key", "node")
+    alone = few_left.withColumns({"low": F.min("node").over(at_key), "high": F.max("node").over(at_key)}).where("low <> high").select("key", "node")
+    shared = scratch.save(alone, "remaining")
+    scratch.drop("shared")
     wanted = scratch.save(shared.select("node").distinct(), "wanted")
     if not wanted.head(1):
         return None
-    firsts = found.join(F.broadcast(wanted) if few(wanted) else wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    firsts = rows.join(F.broadcast(wanted) if few(wanted) else wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     ids = scratch.save(firsts.select(F.coalesce("doc_id", F.lit(-1)).alias("__id")).distinct(), "ids")
     texts = docs.select("text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("__id")).join(F.broadcast(ids) if few(ids) else ids, "__id", "left_semi")
     sets = scratch.save(sets_of(texts, n).join(F.broadcast(wanted) if few(wanted) else wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
     ranked = scratch.save(shared.withColumn("rank", F.row_number().over(at_key.orderBy("node"))), "ranked")
-    scratch.drop("shared")
+    scratch.drop("remaining")
     n_nodes = wanted.count()
     labels, edges, turn, group = None, [], 0, ranked
     while True:
@@ -192,7 +226,7 @@ def links(docs: DataFrame, found: DataFrame, n: int, num: int, den: int, scratch
         left = counts.agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2)).head()[0] or 0
         if not left:
             break
-        last = left <= PAIRS_PER_NODE * n_nodes and turn > 1
+        last = left <= PAIRS_PER_NODE * n_nodes
         if last:
             other = group.select("key", F.col("node").alias("b"), F.col("component").alias("__c"))
             pairs = group.join(other, "key").where((F.col("component") != F.col("__c")) & (F.col("node") < F.col("b"))).select(F.col("node").alias("a"), "b")
@@ -208,6 +242,7 @@ def links(docs: DataFrame, found: DataFrame, n: int, num: int, den: int, scratch
             labels = components(every, scratch, f"labels{turn}")
         if last:
             break
+        group = group.where(F.col("rank") > turn)  # leaders so far have met all others of their groups
     scratch.drop("sets", "ranked", *[f"open{t}" for t in range(1, turn + 1)])
     return labels
 
@@ -217,10 +252,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     num / den: the similarity from which two documents link."""
     scratch = Scratch(docs.sparkSession, "jaccard")
-    found = scratch.save(sketches(docs, n, num, den), "sketches")
-    labels = links(docs, found, n, num, den, scratch)
-    rows = scratch.save(found.select("doc_id", "n_shingles", "node"), "rows")
-    scratch.drop("sketches")
+    rows = scratch.save(nodes(docs, n), "rows")
+    labels = links(docs, rows, n, num, den, scratch)
     filled = rows.where(F.col("node").isNotNull())
     groups = filled.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     if labels is None:
