@@ -2,11 +2,417 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.functions import text
+from tessella.functions.lexicon import QUERY_BANK
+from tessella.operators import bm25, chunking, embedding, expansion, fusion, metrics, strategies, vectors
+from tessella.plans import oracle as o
+from tessella.plans.scratch import Scratch
+from tessella.plans.ship import ship
+from tessella.sources import readers
+from tessella.streaming import ingest
 
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+K = 5
+
+
+def query(sql: str | None = None):
+    """Registers a function (spark, tables) under its name; tables(name) reads a table."""
+
+    def keep(function):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return function(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        QUERIES[function.__name__] = run
+        if sql:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return keep
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["hybrid_search"](spark, sf_dir)
+
+
+def _chunks(tables) -> DataFrame:
+    docs = tables("documents").select("doc_id", "source", "text")
+    return chunking.chunked(docs.withColumn("text", text.preprocess(F.col("text"))))
+
+
+def _saved(spark: SparkSession, tables) -> tuple[DataFrame, bm25.Bm25Index]:
+    scratch = Scratch(spark, "catalog")
+    chunks = scratch.save(_chunks(tables).select("chunk_id", "text", "source"), "chunks")
+    return chunks, bm25.index(chunks, save=scratch.save)
+
+
+def _vectors(spark: SparkSession, tables) -> tuple[DataFrame, DataFrame]:
+    """Chunks and their hashed embeddings, each written once."""
+    scratch = Scratch(spark, "catalog")
+    chunks = scratch.save(_chunks(tables).select("chunk_id", "text", "source"), "chunks")
+    return chunks, scratch.save(embedding.embedded(chunks.select("chunk_id", "text"), EMBEDDER).select("chunk_id", "embedding"), "vectors")
+
+
+def _asked(tables) -> DataFrame:
+    return tables("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+EMBEDDER = embedding.HashingEmbedder()
+
+
+# ---- texts
+
+
+@query(f"SELECT doc_id, {o.strip(o.blank_lines('text'))} AS text FROM (SELECT doc_id, replace(text, chr(9), '    ') AS text FROM documents)")
+def text_normalise(spark, tables):
+    return tables("documents").select("doc_id", text.strip(text.expand_tabs(text.collapse_blank_lines(F.col("text")))).alias("text"))
+
+
+@query("SELECT doc_id, nfc_normalize(text) AS text FROM documents")
+def nfkc_normalise(spark, tables):
+    return tables("documents").select("doc_id", text.nfkc(F.col("text")).alias("text"))
+
+
+@query(f"SELECT doc_id, {o.markdown('text')} AS text FROM documents")
+def text_strip_markdown(spark, tables):
+    return tables("documents").select("doc_id", text.strip_markdown(F.col("text")).alias("text"))
+
+
+@query(f"SELECT doc_id, {o.boilerplate('text')} AS text FROM documents")
+def text_boilerplate_lines(spark, tables):
+    return tables("documents").select("doc_id", text.drop_boilerplate_lines(F.col("text")).alias("text"))
+
+
+@query(f"SELECT doc_id, {o.repeated_lines('l')} AS text FROM (SELECT doc_id, {o.lines('text')} AS l FROM documents)")
+def text_dedup_lines(spark, tables):
+    return tables("documents").select("doc_id", text.drop_repeated_lines(F.col("text")).alias("text"))
+
+
+@query(f"SELECT doc_id, {o.spaces(o.punctuation('lower(text)'))} AS text FROM documents")
+def text_squeeze(spark, tables):
+    return tables("documents").select("doc_id", text.squeeze_spaces(text.squeeze_punctuation(F.lower("text"))).alias("text"))
+
+
+@query(f"WITH {o.CLEAN} SELECT doc_id, source, text FROM clean")
+def text_preprocess(spark, tables):
+    return tables("documents").select("doc_id", "source", text.preprocess(F.col("text")).alias("text"))
+
+
+@query(f"SELECT doc_id, n_chars FROM (SELECT doc_id, n_chars, row_number() OVER (PARTITION BY {o.strip(o.rx('lower(text)', '[ ]*[[:space:]]+', ' '))} ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
+def doc_exact_dedup(spark, tables):
+    return text.exact_dedup(tables("documents")).select("doc_id", "n_chars")
+
+
+@query("SELECT source, count(*) AS n_docs FROM documents GROUP BY source")
+def list_sources(spark, tables):
+    return readers.list_sources(tables("documents"))
+
+
+@query("SELECT event_id, event_type, array_to_string(json_keys(props), ' ') AS fields, length(props) AS n_chars FROM events")
+def json_extra_fields(spark, tables):
+    fields = F.coalesce(F.json_object_keys("props"), F.array().cast("array<string>"))
+    return tables("events").select("event_id", "event_type", F.array_join(fields, " ").alias("fields"), F.length("props").cast("long").alias("n_chars"))
+
+
+@query("SELECT event_type, count(*) AS n, avg(value) AS mean_value, stddev_samp(value) AS std_value, quantile_cont(value, 95e-2) AS p95_value FROM events GROUP BY event_type")
+def latency_profile(spark, tables):
+    return metrics.latency_profile(tables("events"), "value", "event_type")
+
+
+# ---- chunks
+
+
+@query("SELECT doc_id, pos::INTEGER AS pos, least(pos + 512, length(text))::INTEGER AS char_end, substr(text, pos + 1, 512) AS raw FROM (SELECT doc_id, text, unnest(range(0, length(text), 448)) AS pos FROM documents)")
+def chunk_windows(spark, tables):
+    return chunking.windows(tables("documents").select("doc_id", "text"), snap=False).select("doc_id", "pos", "char_end", "raw")
+
+
+@query(f"WITH {o.CHUNKS} SELECT * FROM chunks")
+def chunk_sentence_aligned(spark, tables):
+    return _chunks(tables)
+
+
+@query(f"WITH {o.CHUNKS} SELECT source, count(*) AS n_chunks, sum(tokens)::BIGINT AS n_tokens, max(tokens) AS most_tokens, count(DISTINCT doc_id) AS n_docs FROM chunks GROUP BY source")
+def chunk_stats(spark, tables):
+    return _chunks(tables).groupBy("source").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("tokens").alias("n_tokens"), F.max("tokens").alias("most_tokens"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+@query()
+def chunk_sections(spark, tables):
+    """Sections of documents at their headers."""
+    return chunking.sections(tables("documents").select("doc_id", "text"))
+
+
+@query(f"WITH {o.CHUNKS} SELECT chunk_id, doc_id, chunk_index, tokens, text FROM chunks")
+def streaming_chunks(spark, tables):
+    """Documents read as a stream of files and cut; the stream ends when all files are read."""
+    docs = tables("documents").select("doc_id", "source", "text")
+    scratch = Scratch(spark, "stream")
+    scratch.save(docs, "in")
+    chunks = ingest.stream_chunks(spark, f"{scratch.root}/in", docs.schema)
+    ingest.write_chunks(chunks.select("chunk_id", "doc_id", "chunk_index", "tokens", "text"), f"{scratch.root}/out", f"{scratch.root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{scratch.root}/out")
+
+
+# ---- BM25
+
+
+@query(f"WITH {o.CHUNKS} SELECT chunk_id, coalesce(array_to_string({o.terms('text')}, ' '), '') AS terms FROM chunks")
+def tokenise(spark, tables):
+    return _chunks(tables).select("chunk_id", F.array_join(bm25.terms(F.col("text")), " ").alias("terms"))
+
+
+@query(f"WITH {o.CHUNKS}, {o.bm25(K)} SELECT term, df, round(idf, 9) AS idf FROM stats")
+def bm25_term_stats(spark, tables):
+    return bm25.index(_chunks(tables).select("chunk_id", "text"), save=Scratch(spark, "catalog").save).stats.select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+@query(f"WITH {o.CHUNKS}, {o.bm25(K)} SELECT query_id, chunk_id, score, rank, round(norm_score, 6) AS norm_score FROM bm")
+def bm25_topk(spark, tables):
+    _, idx = _saved(spark, tables)
+    return bm25.search(idx, _asked(tables), K).select("query_id", "chunk_id", "score", "rank", F.round("norm_score", 6).alias("norm_score"))
+
+
+# ---- vectors
+
+
+def _queries(tables) -> DataFrame:
+    return tables("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query(f"WITH {o.vectors(10, o.COSINE)} SELECT * FROM found")
+def dense_topk_cosine(spark, tables):
+    return vectors.exact_top_k(tables("embeddings"), _queries(tables), 10)
+
+
+@query(f"WITH {o.vectors(10, o.INNER)} SELECT * FROM found")
+def dense_topk_inner_product(spark, tables):
+    return vectors.exact_top_k(tables("embeddings"), _queries(tables), 10, "inner_product")
+
+
+@query(f"WITH {o.vectors(10, o.EUCLID)} SELECT query_id, vec_id, round(score, 4) AS score, rank FROM found WHERE vec_id <> query_id")
+def dense_topk_euclid(spark, tables):
+    found = vectors.exact_top_k(tables("embeddings"), _queries(tables), 10, "euclidean")
+    return found.where("vec_id <> query_id").withColumn("score", F.round("score", 4))
+
+
+@query(f"WITH {o.vectors(10, o.COSINE)} SELECT * FROM found WHERE score >= 5e-1")
+def dense_threshold(spark, tables):
+    return vectors.exact_top_k(tables("embeddings"), _queries(tables), 10).where("score >= 0.5")
+
+
+@query("SELECT vec_id, round(sqrt(list_dot_product(e, e)), 6) AS length, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS first, round(list_sum(list_transform(e, lambda x: abs(x))) / sqrt(list_dot_product(e, e)), 6) AS total FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
+def l2_normalise(spark, tables):
+    unit = tables("embeddings").select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("length"), vectors.l2_normalised(F.col("embedding")).alias("unit"))
+    total = F.aggregate("unit", F.lit(0.0), lambda s, x: s + F.abs(x))
+    return unit.select("vec_id", "length", F.round(F.col("unit")[0], 6).alias("first"), F.round(total, 6).alias("total"))
+
+
+@query()
+def ivf_topk(spark, tables):
+    """Approximate search through cells of k-means; recall is tested against the exact search."""
+    rows = tables("embeddings")
+    return vectors.InvertedFile(rows, n_cells=32).search(_queries(tables), 10, n_probe=10)
+
+
+_LISTS = f"{o.vectors(20, o.COSINE, 'l0')},{o.vectors(20, o.EUCLID, 'l1')}"
+
+
+@query(f"""WITH {_LISTS}, two AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1),
+fused AS (SELECT query_id, vec_id::VARCHAR AS chunk_id, round(least(1e0, sum(1e0 / (60 + rank)) / 2), 9) AS score FROM two GROUP BY 1, 2)
+SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM fused) WHERE rank <= 10""")
+def rrf_multi_query(spark, tables):
+    lists = [vectors.exact_top_k(tables("embeddings"), _queries(tables), 20, m).withColumn("variant_id", F.lit(i)) for i, m in enumerate(("cosine", "euclidean"))]
+    ranked = lists[0].unionByName(lists[1]).withColumn("n_lists", F.lit(2)).withColumn("chunk_id", F.col("vec_id").cast("string"))
+    return fusion.multi_query_rrf(ranked, 10).select("query_id", "chunk_id", "score", "rank")
+
+
+# ---- strategies over texts
+
+
+@query(f"WITH {o.CHUNKS}, {o.dense(K)} SELECT query_id, chunk_id, score, rank FROM dense WHERE score >= 25e-2")
+def strategy_a(spark, tables):
+    _, index = _vectors(spark, tables)
+    return strategies.strategy_a(index, _asked(tables), EMBEDDER, K, 0.25)
+
+
+_BOTH = f"""{o.CHUNKS}, {o.dense(3 * K)}, {o.bm25(3 * K)},
+sides AS (SELECT coalesce(d.query_id, b.query_id) AS query_id, coalesce(d.chunk_id, b.chunk_id) AS chunk_id, coalesce(d.score, 0e0) AS dense_score, coalesce(b.norm_score, 0e0) AS bm25_score, d.rank AS dr, b.rank AS br
+    FROM dense d FULL JOIN bm b ON d.query_id = b.query_id AND d.chunk_id = b.chunk_id),
+counted AS (SELECT *, count(dr) OVER (PARTITION BY query_id) AS nd, count(br) OVER (PARTITION BY query_id) AS nb FROM sides)"""
+
+
+def _fused(score: str) -> str:
+    return f"""WITH {_BOTH}, fused AS (SELECT *, round({score}, 9) AS score FROM counted)
+SELECT query_id, chunk_id, round(score, 6) AS score, rank, coalesce(dr, 9999) AS dense_rank, coalesce(br, 9999) AS bm25_rank
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM fused) WHERE rank <= {K}"""
+
+
+def _hybrid(spark, tables, method: str) -> DataFrame:
+    scratch = Scratch(spark, "catalog")
+    chunks = scratch.save(_chunks(tables).select("chunk_id", "text", "source"), "chunks")
+    index = scratch.save(embedding.embedded(chunks.select("chunk_id", "text"), EMBEDDER).select("chunk_id", "embedding"), "vectors")
+    found = strategies.hybrid(index, bm25.index(chunks, save=scratch.save), _asked(tables), EMBEDDER, K, method)
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank", "dense_rank", "bm25_rank")
+
+
+_RRF = "least(1e0, (1e0 / (60 + coalesce(dr, nd + 60)) + 1e0 / (60 + coalesce(br, nb + 60))) / (2e0 / 61))"
+
+
+@query(_fused(_RRF))
+def hybrid_search(spark, tables):
+    return _hybrid(spark, tables, "rrf")
+
+
+@query(_fused("7e-1 * dense_score + (1e0 - 7e-1) * bm25_score"))
+def hybrid_linear(spark, tables):
+    return _hybrid(spark, tables, "linear")
+
+
+@query()
+def strategy_b(spark, tables):
+    """Expanded multi-query search with fusion and reranking."""
+    chunks, index = _vectors(spark, tables)
+    return strategies.strategy_b(index, chunks, _asked(tables), EMBEDDER, K, threshold=0.25)
+
+
+@query(f"""WITH {o.CHUNKS}, {o.dense(K)}, {o.bm25(K)}
+SELECT coalesce(d.query_id, b.query_id) AS query_id, coalesce(d.rank, b.rank) AS rank, d.chunk_id AS chunk_a, d.score AS score_a, b.chunk_id AS chunk_b, b.score AS score_b
+FROM dense d FULL JOIN bm b ON d.query_id = b.query_id AND d.rank = b.rank""")
+def side_by_side(spark, tables):
+    chunks, index = _vectors(spark, tables)
+    return strategies.paired(strategies.dense(index, _asked(tables), EMBEDDER, K), bm25.search(bm25.index(chunks, save=Scratch(spark, "catalog").save), _asked(tables), K))
+
+
+# ---- expansion
+
+
+def _turns(tables) -> DataFrame:
+    return tables("conversations").where("trim(text) <> ''").select("conv_id", "turn", F.col("text").alias("query"))
+
+
+_TURNS = "(SELECT conv_id::VARCHAR || '-' || turn AS id, text AS query FROM conversations WHERE trim(text) <> '')"
+
+
+def _expanded(tables, mode: str) -> DataFrame:
+    rows = _turns(tables).withColumn("id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    return expansion.expand(rows, mode).select("id", "expanded_query", "expansion_mode", F.array_join("keywords_added", " ").alias("keywords_added"))
+
+
+def _expansion_sql(chosen: str, mode: str) -> str:
+    return f"WITH {o.expansion(_TURNS)}, x AS (SELECT id, query, {chosen} AS expanded_query, {mode} AS expansion_mode FROM expanded) SELECT id, expanded_query, expansion_mode, array_to_string({o.added('query', 'expanded_query')}, ' ') AS keywords_added FROM x"
+
+
+@query(_expansion_sql("CASE WHEN len(syn) > 0 THEN query || ', ' || array_to_string(syn, ', ') ELSE full_query END", "CASE WHEN len(syn) > 0 THEN 'synonyms' ELSE 'full' END"))
+def expand_synonyms(spark, tables):
+    return _expanded(tables, "synonyms")
+
+
+@query(_expansion_sql("CASE WHEN len(tech) > 0 THEN query || ' — related concepts: ' || array_to_string(tech, ', ') ELSE full_query END", "CASE WHEN len(tech) > 0 THEN 'technical' ELSE 'full' END"))
+def expand_technical(spark, tables):
+    return _expanded(tables, "technical")
+
+
+@query(_expansion_sql("full_query", "'full'"))
+def expand_full(spark, tables):
+    return _expanded(tables, "full")
+
+
+@query()
+def expand_hyde(spark, tables):
+    return _expanded(tables, "hyde")
+
+
+@query()
+def query_variants(spark, tables):
+    return expansion.expand(_turns(tables)).select("conv_id", "turn", F.posexplode("variants").alias("variant_id", "variant"))
+
+
+# ---- evaluation
+
+
+def _bank(spark) -> DataFrame:
+    return spark.createDataFrame([(i, q, k) for i, (q, k, _) in enumerate(QUERY_BANK)], "query_id int, query string, keywords array<string>")
+
+
+_BANK = "(VALUES " + ", ".join(f"({i}, {o.items(k)})" for i, (_, k, _) in enumerate(QUERY_BANK)) + ") AS bank(query_id, keywords)"
+
+
+@query(f"WITH {o.CHUNKS} SELECT query_id, chunk_id FROM chunks, {_BANK} WHERE len(list_filter(keywords, lambda w: contains(lower(text), lower(w)))) > 0")
+def keyword_ground_truth(spark, tables):
+    return metrics.keyword_relevance(_chunks(tables), _bank(spark))
+
+
+def _judged(tables) -> tuple[DataFrame, DataFrame]:
+    """Two strategies' hits for the query vectors, relevant if of the same label, and the number of relevant rows of each query."""
+    rows = tables("embeddings")
+    label = rows.select("vec_id", "label")
+    asked = _queries(tables).join(label.withColumnRenamed("vec_id", "query_id").withColumnRenamed("label", "query_label"), "query_id")
+    runs = [vectors.exact_top_k(rows, _queries(tables), 10, m).withColumn("strategy", F.lit(s)) for s, m in (("a", "cosine"), ("b", "euclidean"))]
+    hits = runs[0].unionByName(runs[1]).where("vec_id <> query_id").join(label, "vec_id").join(asked.select("query_id", "query_label"), "query_id")
+    hits = hits.select("query_id", "strategy", "rank", "score", (F.col("label") == F.col("query_label")).alias("is_rel"))
+    sizes = rows.groupBy(F.col("label").alias("query_label")).agg(F.count(F.lit(1)).cast("int").alias("n_rel"))
+    return hits, asked.join(sizes, "query_label").select("query_id", "n_rel")
+
+
+_JUDGED = f"""{o.vectors(10, o.COSINE, 'ra')},{o.vectors(10, o.EUCLID, 'rb')},
+hits AS (SELECT r.query_id, strategy, rank, score, v.label = q.label AS is_rel FROM (SELECT *, 'a' AS strategy FROM ra UNION ALL SELECT *, 'b' FROM rb) r
+    JOIN embeddings v USING (vec_id) JOIN embeddings q ON q.vec_id = r.query_id WHERE r.vec_id <> r.query_id),
+n_rel AS (SELECT vec_id AS query_id, n_rel FROM embeddings JOIN (SELECT label, count(*)::INTEGER AS n_rel FROM embeddings GROUP BY 1) USING (label) WHERE vec_id % 100 = 0),
+{o.metrics('hits')}"""
+_NAMES = ["mrr", *(f"{m}_at_{k}" for k in metrics.KS for m in ("precision", "recall", "hit_rate", "ap", "ndcg"))]
+_MEANS = f"{_JUDGED}, long AS (UNPIVOT (SELECT query_id, strategy, {', '.join(_NAMES)} FROM wide) ON {', '.join(_NAMES)} INTO NAME metric VALUE value), means AS (SELECT strategy, metric, round(avg(value), 6) AS mean_value FROM long GROUP BY 1, 2)"
+
+
+def _wide(tables) -> DataFrame:
+    hits, n_rel = _judged(tables)
+    return metrics.query_metrics(hits, n_rel, by=("strategy",), digits=6)
+
+
+@query(f"WITH {_JUDGED} SELECT * EXCLUDE (semantic_score_at_1, semantic_score_at_3, semantic_score_at_5) FROM wide")
+def retrieval_metrics(spark, tables):
+    return _wide(tables).drop(*[f"semantic_score_at_{k}" for k in metrics.KS])
+
+
+@query(f"WITH {_MEANS} SELECT * FROM means")
+def metrics_mean(spark, tables):
+    return metrics.mean_metrics(metrics.long_form(_wide(tables).select("query_id", "strategy", *_NAMES)), digits=6)
+
+
+@query(f"WITH {_MEANS} SELECT metric, a.mean_value AS value_a, b.mean_value AS value_b, round(b.mean_value - a.mean_value, 4) AS delta, CASE WHEN a.mean_value > 0 THEN round((b.mean_value - a.mean_value) / a.mean_value * 100, 1) END AS improvement_percent FROM (SELECT * FROM means WHERE strategy = 'a') a JOIN (SELECT * FROM means WHERE strategy = 'b') b USING (metric)")
+def strategy_compare(spark, tables):
+    return metrics.compare(metrics.mean_metrics(metrics.long_form(_wide(tables).select("query_id", "strategy", *_NAMES)), digits=6), "a", "b")
+
+
+@query(f"WITH {_JUDGED} SELECT count(*) FILTER (a.mrr > b.mrr) AS wins_a, count(*) FILTER (b.mrr > a.mrr) AS wins_b, count(*) FILTER (a.mrr = b.mrr) AS ties FROM (SELECT * FROM wide WHERE strategy = 'a') a JOIN (SELECT * FROM wide WHERE strategy = 'b') b USING (query_id)")
+def win_loss_tie(spark, tables):
+    return metrics.win_loss_tie(_wide(tables), "a", "b")
+
+
+# ---- cache
+
+_KEY = "sha256('hashing-384::' || text)"
+
+
+@query(f"SELECT doc_id, {_KEY} AS cache_key FROM documents")
+def cache_keys(spark, tables):
+    return tables("documents").select("doc_id", embedding.cache_key("hashing-384", F.col("text")).alias("cache_key"))
+
+
+@query(f"SELECT DISTINCT {_KEY} AS cache_key FROM documents WHERE {_KEY} NOT IN (SELECT {_KEY} FROM benchmark)")
+def cache_misses(spark, tables):
+    key = embedding.cache_key("hashing-384", F.col("text")).alias("cache_key")
+    return embedding.misses(tables("documents").select(key), tables("benchmark").select(key))
+
+
+@query(f"SELECT cache_key, arg_max(doc_id, doc_id) AS doc_id FROM (SELECT doc_id, {_KEY} AS cache_key FROM documents) GROUP BY 1")
+def cache_upsert(spark, tables):
+    """The last write of each key, as if documents had been written in order of their ids."""
+    rows = tables("documents").select(embedding.cache_key("hashing-384", F.col("text")).alias("cache_key"), "doc_id", F.col("doc_id").alias("created_at"))
+    return embedding.latest(rows).select("cache_key", "doc_id")
