@@ -13,9 +13,11 @@ of the r + 1 that a similar document shares, the last in that order is left out
 joined on the equal parts that remain, and pairs verified on whole sets: exact, with no cap on partners.
 
 Equal sets are one node from the start. Within a group of nodes that share a part, not all pairs are
-made: each node is paired with a leader, what is verified forms components, and only groups that still
-hold nodes of different components get a next leader, or, once few pairs are left, all pairs
-across components. A pair within a component can change no component, so no link is lost.
+made: first each node is paired with a few leaders, and what is verified forms components. Then only
+groups are left that still hold nodes of different components. Small ones give their pairs across
+components; large ones are cut into blocks, tasks hold block against block, and of these pairs only those
+are written whose sketches' Hamming distance allows the similarity. A pair within a component can change
+no component, so no link is lost.
 
 Defined cases: lower case is of A-Z only; with fewer words than n the whole sequence is one n-gram; a
 null text, or one without words, has an empty set and is its own component; documents of equal sets are
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -40,10 +43,13 @@ from pyspark.sql import types as T
 from tessella.llm.texts import WordHashes, binary, mixed, slices
 from tessella.plans.scratch import Scratch
 
-#: So many ids (16 MB) are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-#: Pairs across components that are made at once, for each node in question; beyond that groups get a next leader.
-PAIRS_PER_NODE = 8
+#: So many ids (some MB) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 200_000
+#: Leaders that each node of a group is paired with first.
+LEADERS = 4
+#: A group of at most so many nodes gives its pairs across components by a join; a larger one is compared in blocks of BLOCK nodes.
+SMALL_GROUP = 48
+BLOCK = 1024
 _steps = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
@@ -189,6 +195,56 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return joined.where(shared * den >= (F.size("__s") + F.size("__t") - shared) * num).select("a", "b")
 
 
+def sketch_words(band: int, num: int, den: int) -> int:
+    """64-bit words of a sketch for a band: eight bits for each n-gram that a pair may differ by."""
+    return max(8, (bands(num, den)[1][band] + 1) // 8 + 1)
+
+
+def bit_sketch(shingles: np.ndarray, n_words: int) -> np.ndarray:
+    """The parity sketch of a set in n_words words."""
+    place = (mixed(shingles) % np.uint64(64 * n_words)).astype(np.int64)
+    odd = np.bincount(place, minlength=64 * n_words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def compared_in_blocks(group: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) across components in large groups (key, node, component, band, size) whose sketches allow the similarity."""
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [bit_sketch(np.array(s, np.int64).view(np.uint64), sketch_words(k, num, den)).tobytes() for s, k in zip(batch.column("shingles").to_pylist(), batch.column("band").to_pylist(), strict=True)]
+            sizes = [len(s) for s in batch.column("shingles")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("key", "node", "component", "size")], pa.array(sizes, pa.int64()), pa.array(made, pa.binary())], ["key", "node", "component", "size", "n", "sketch"])
+
+    rows = group.join(sets, "node").select("key", "node", "component", "size", "band", "shingles").mapInArrow(sketched, "key long, node long, component long, size long, n long, sketch binary")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    met = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    met = met.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "component", "n", "sketch")
+
+    def held(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        one = part[part["own"] == key[1]]
+        two = part[part["own"] == key[2]]
+        found_a, found_b = [], []
+        if len(one) and len(two):
+            x = np.stack([np.frombuffer(s, np.uint64) for s in one["sketch"]])
+            y = np.stack([np.frombuffer(s, np.uint64) for s in two["sketch"]])
+            x_n, y_n, x_c, y_c = one["n"].to_numpy(), two["n"].to_numpy(), one["component"].to_numpy(), two["component"].to_numpy()
+            x_id, y_id = one["node"].to_numpy(), two["node"].to_numpy()
+            for i in range(len(x)):
+                far = np.bitwise_count(y ^ x[i]).sum(1, dtype=np.int64)
+                near = (far * (den + num) <= (y_n + x_n[i]) * (den - num)) & (y_c != x_c[i])
+                if key[1] == key[2]:
+                    near &= y_id > x_id[i]
+                hits = y_id[near]
+                found_a.append(np.minimum(hits, x_id[i]))
+                found_b.append(np.maximum(hits, x_id[i]))
+        empty = np.empty(0, np.int64)
+        return pd.DataFrame({"a": np.concatenate([empty, *found_a]), "b": np.concatenate([empty, *found_b])})
+
+    return met.groupBy("key", "low", "high").applyInPandas(held, "a long, b long")
+
+
 def links(docs: DataFrame, rows: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame | None:
     """node, component for the nodes that are linked with others; None if no two nodes share a part."""
     at_key = W.partitionBy("key")
@@ -198,8 +254,8 @@ def links(docs: DataFrame, rows: DataFrame, n: int, num: int, den: int, scratch:
     # the parts that a set shares with most others may be left out; those that it shares with none are last in that order
     by_share = W.partitionBy("node", "band").orderBy(F.desc("often"), "key")
     most = F.array(*[F.lit(spare(m)) for m in bands(num, den)[1]])
-    few_left = shared.withColumn("place", F.row_number().over(by_share)).where(F.col("place") > F.element_at(most, F.col("band") + 1)).select("key", "node")
-    alone = few_left.withColumns({"low": F.min("node").over(at_key), "high": F.max("node").over(at_key)}).where("low <> high").select("key", "node")
+    few_left = shared.withColumn("place", F.row_number().over(by_share)).where(F.col("place") > F.element_at(most, F.col("band") + 1)).select("key", "node", "band")
+    alone = few_left.withColumns({"low": F.min("node").over(at_key), "high": F.max("node").over(at_key)}).where("low <> high").select("key", "node", "band")
     shared = scratch.save(alone, "remaining")
     scratch.drop("shared")
     wanted = scratch.save(shared.select("node").distinct(), "wanted")
@@ -212,38 +268,25 @@ def links(docs: DataFrame, rows: DataFrame, n: int, num: int, den: int, scratch:
 
     ranked = scratch.save(shared.withColumn("rank", F.row_number().over(at_key.orderBy("node"))), "ranked")
     scratch.drop("remaining")
-    n_nodes = wanted.count()
-    labels, edges, turn, group = None, [], 0, ranked
-    while True:
-        turn += 1
-        if labels is None:
-            now = group.withColumn("component", F.col("node"))
-        else:
-            now = group.drop("component").join(labels, "node", "left").select("key", "node", "rank", F.coalesce("component", "node").alias("component"))
-        open_now = now.withColumns({"low": F.min("component").over(at_key), "high": F.max("component").over(at_key)}).where("low <> high").drop("low", "high")
-        group = scratch.save(open_now, f"open{turn}")
-        counts = group.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.max(F.lit(1)).alias("k"))
-        left = counts.agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2)).head()[0] or 0
-        if not left:
-            break
-        last = left <= PAIRS_PER_NODE * n_nodes
-        if last:
-            other = group.select("key", F.col("node").alias("b"), F.col("component").alias("__c"))
-            pairs = group.join(other, "key").where((F.col("component") != F.col("__c")) & (F.col("node") < F.col("b"))).select(F.col("node").alias("a"), "b")
-        else:
-            leader = F.min(F.when(F.col("rank") == turn, F.struct("node", "component"))).over(at_key)
-            pairs = group.withColumn("leader", leader).where((F.col("rank") > turn) & (F.col("leader.component") != F.col("component"))).select(F.col("leader.node").alias("a"), F.col("node").alias("b"))
-        new = scratch.save(verified(pairs.distinct(), sets, num, den), f"edges{turn}")
-        edges.append(new)
-        if new.head(1):
-            every = edges[0]
-            for e in edges[1:]:
-                every = every.union(e)
-            labels = components(every, scratch, f"labels{turn}")
-        if last:
-            break
-        group = group.where(F.col("rank") > turn)  # leaders so far have met all others of their groups
-    scratch.drop("sets", "ranked", *[f"open{t}" for t in range(1, turn + 1)])
+    # first the leaders
+    leaders = F.collect_list(F.when(F.col("rank") <= LEADERS, F.col("node"))).over(at_key)
+    stars = ranked.withColumn("leaders", leaders).select("node", F.explode("leaders").alias("a")).where("a < node").select("a", F.col("node").alias("b")).distinct()
+    edges = scratch.save(verified(stars, sets, num, den), "edges1")
+    labels = components(edges, scratch, "labels1") if edges.head(1) else None
+    # then what is still apart; leaders have met all others of their groups
+    now = ranked.where(F.col("rank") > LEADERS)
+    now = now.withColumn("component", F.col("node")) if labels is None else now.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = now.withColumns({"low": F.min("component").over(at_key), "high": F.max("component").over(at_key), "size": F.count(F.lit(1)).over(at_key)}).where("low <> high")
+    group = scratch.save(apart.select("key", "node", "component", "band", "size"), "apart")
+    small = group.where(F.col("size") <= SMALL_GROUP).select("key", "node", "component")
+    other = small.select("key", F.col("node").alias("b"), F.col("component").alias("__c"))
+    across = small.join(other, "key").where((F.col("component") != F.col("__c")) & (F.col("node") < F.col("b"))).select(F.col("node").alias("a"), "b")
+    large = group.where(F.col("size") > SMALL_GROUP)
+    pairs = across.union(compared_in_blocks(large, sets, num, den)) if large.head(1) else across
+    more = scratch.save(verified(pairs.distinct(), sets, num, den), "edges2")
+    if more.head(1):
+        labels = components(edges.union(more), scratch, "labels2")
+    scratch.drop("sets", "ranked", "apart")
     return labels
 
 
