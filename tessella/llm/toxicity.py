@@ -172,7 +172,8 @@ def fitted(table: pa.Table, fit: Fit) -> Model:
     occurs = np.bincount(columns, minlength=m)
     w, velocity, bias, bias_velocity = np.zeros(m), np.zeros(m), 0.0, 0.0
     spread = np.sqrt(occurs / n)
-    scale = 1 / (spread + 0.02)
+    swayed = fit.fairness * np.bincount(pc, minlength=m) / (4 * max(1, len(pairs)))
+    scale = 1 / (spread + 0.02 + 4 * swayed)
     for _ in range(fit.rounds):
         z = np.bincount(rows, w[columns], n) + bias
         error = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) * np.where(y, 2.0, 1.0) / n
@@ -208,13 +209,14 @@ def scored(docs: DataFrame, model: Model, columns: list[str] | None = None, thre
     return docs.select(*columns, F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text and toxic of the labelled documents that may be learnt from (crc32 of the id mod 4 is not 2).
+def labelled(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> DataFrame:
+    """doc_id, text and toxic of at most fit.most_rows labelled documents that may be learnt from (crc32 of the id mod 4 is not 2).
 
-    Labels are few beside documents and carry no text; Spark broadcasts them if they turn out small."""
-    one = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    mine = docs.where(~held_out()).select("doc_id", "text")
-    return mine.join(one, mine["doc_id"] == F.col("__id")).select("doc_id", "text", "toxic")
+    The sample is drawn from the labels, which carry no text; its ids, bounded by the parameter, are broadcast, so that no text is shuffled."""
+    one = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    drawn = one.orderBy(F.xxhash64(F.lit(3), "__id"), "__id").limit(fit.most_rows)
+    mine = docs.select("doc_id", "text")
+    return mine.join(F.broadcast(drawn), mine["doc_id"] == F.col("__id")).select("doc_id", "text", "toxic")
 
 
 def held_out() -> Column:
