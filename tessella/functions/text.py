@@ -5,6 +5,7 @@ All but NFKC are built-in functions, so they stay in generated code. A null text
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -82,31 +83,34 @@ def strip_markdown(text: Column) -> Column:
     return text
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def lines(text: Column) -> Column:
     """The lines of a text, without an empty one after a last line end."""
-    parts = F.split(text, LINE_END)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return F.split(F.regexp_replace(text, rf"(?:{LINE_END})\z", ""), LINE_END)
 
 
 def drop_boilerplate_lines(text: Column, min_length: int = 10) -> Column:
     """Keeps blank lines (as empty ones) and lines of min_length characters, not those without ASCII letter, digit or space."""
 
-    def keep(line: Column) -> Column:
-        bare = strip(line)
-        return (bare == "") | (~bare.rlike(r"^[^a-zA-Z0-9 ]+$") & (F.length(bare) >= min_length))
+    def kept(line: Column) -> Column:
+        """The line, '' if blank, null if it goes."""
+        return let(strip(line), lambda bare: F.when(bare == "", "").when(~bare.rlike(r"^[^a-zA-Z0-9 ]+$") & (F.length(bare) >= min_length), line))
 
-    kept = F.filter(lines(text), keep)
-    return F.array_join(F.transform(kept, lambda x: F.when(strip(x) == "", "").otherwise(x)), "\n")
+    return F.array_join(F.transform(lines(text), kept), "\n")
 
 
 def drop_repeated_lines(text: Column) -> Column:
     """Drops a line that equals the one before it, but for case and outer white space."""
-    key = lambda x: F.lower(strip(x))
-    all_lines = lines(text)
-    before = F.concat(F.array(F.lit(None).cast("string")), all_lines)
-    pairs = F.zip_with(all_lines, before, lambda x, y: F.struct(x.alias("line"), y.alias("before")))
-    kept = F.filter(pairs, lambda p: p["line"].isNotNull() & (p["before"].isNull() | (key(p["line"]) != key(p["before"]))))
-    return F.array_join(F.transform(kept, lambda p: p["line"]), "\n")
+    keyed = F.transform(lines(text), lambda x: F.struct(x.alias("line"), F.lower(strip(x)).alias("key")))
+
+    def kept(rows: Column) -> Column:
+        return F.transform(rows, lambda r, i: F.when((i == 0) | (r["key"] != F.get(rows, i - 1)["key"]), r["line"]))
+
+    return F.array_join(let(keyed, kept), "\n")
 
 
 def squeeze_punctuation(text: Column) -> Column:
