@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, class_lm, html_text, kmeans_tree, mixing, ngram_jaccard, quality_rules, sharding, token_counts, toxicity
+from tessella.llm import bpe, class_lm, html_text, kmeans_tree, mixing, ngram_jaccard, oracle, quality_rules, sharding, token_counts, toxicity
 from tessella.plans.ship import ship
 
 SHARD_BYTES = 1 << 20
@@ -21,7 +21,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality(read(spark, sf_dir, "documents"), ["doc_id"], clean=False).drop("clean_text")
+    return quality_rules.quality(read(spark, sf_dir, "documents"), ["doc_id"], clean=False).drop("clean_text", "failed_rules")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +64,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_mixing, op4_kmeans_tree, op5_ngram_jaccard, op6_html_text, op7_sharding, op8_class_lm, op9_bpe, op10_toxicity)}
 
-ORACLE_SQL = {"op7_sharding": sharding.ORACLE_SQL.format(limit=SHARD_BYTES)}
+ORACLE_SQL = {"op2_quality_rules": oracle.quality(), "op5_ngram_jaccard": oracle.jaccard(3, 90, 100), "op7_sharding": sharding.ORACLE_SQL.format(limit=SHARD_BYTES)}

@@ -412,10 +412,12 @@ def test_queries_answer_for_every_document(spark, sf):
         assert catalog.QUERIES[name](spark, sf).count() == n
 
 
-def test_sharding_sql(spark, sf):
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+def test_query_equals_sql(spark, sf, name):
     import duckdb
 
     database = duckdb.connect()
     database.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-    columns = ["doc_id", "n_bytes", *sharding.RESULTS]
-    assert sorted(map(tuple, catalog.QUERIES["op7_sharding"](spark, sf).select(columns).collect())) == sorted(database.sql(f"SELECT {', '.join(columns)} FROM ({catalog.ORACLE_SQL['op7_sharding']})").fetchall())
+    found = catalog.QUERIES[name](spark, sf)
+    columns = ", ".join(found.columns)
+    assert sorted(map(tuple, found.collect())) == sorted(database.sql(f"SELECT {columns} FROM ({catalog.ORACLE_SQL[name]})").fetchall())
