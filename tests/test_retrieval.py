@@ -129,3 +129,13 @@ def test_config():
         RetrievalConfig(chunk_overlap=600)
     with pytest.raises(ValueError):
         RetrievalConfig.of({"nope": 1})
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tessella.__main__ import main
+
+    (tmp_path / "a.txt").write_text("Rate limiting protects an interface from abuse by quotas and token buckets. " * 10)
+    main(["query", "rate limiting", "--data-dir", str(tmp_path), "--strategy", "hybrid", "--json-output"])
+    assert "a_chunk_0" in capsys.readouterr().out
+    main(["benchmark", "--data-dir", str(tmp_path), "--output", str(tmp_path / "out")])
+    assert "| mrr |" in capsys.readouterr().out
