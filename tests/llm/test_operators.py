@@ -324,6 +324,45 @@ def test_class_probabilities_sum_to_one(spark, sf):
     assert np.allclose(mass[filled], 1) and np.allclose((10**model.log_transitions).sum(1), 1)
 
 
+def test_every_known_word_is_clustered(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(900_001, None), (900_002, "")], "doc_id long, text string"))
+    words = [(r.text or "").encode().lower().split() for r in docs.where(~class_lm.held_out()).collect()]
+    counts = Counter(w for t in words for w in t)
+    params = class_lm.ClassParams(exchange_classes=8, form_classes=4, iterations=2, head_words=100)
+    model, rare = class_lm.trained_whole(docs.where(~class_lm.held_out()), Scratch(spark, "t"), params)
+    found = dict(zip(model.kept_hashes.tolist(), zip(model.classes.tolist(), model.kept_counts.tolist(), strict=True), strict=True)) | {r.h: (r["class"], r.n) for r in rare.collect()}
+    first_form, width = model.params.exchange_classes, model.params.end_class + 1
+    assert len(found) == len(counts) > 2_048 and all(c < first_form for c, _ in found.values())
+    assert all(found[class_lm._hash(w)][1] == n for w, n in counts.items())
+    mass = np.zeros(width)
+    for c, n in found.values():
+        mass[c] += n / model.class_tokens[c]
+    assert np.allclose(mass[:first_form][mass[:first_form] > 0], 1) and np.allclose((10**model.log_transitions).sum(1), 1)
+    # a document's score, by hand
+    got = {r.doc_id: r for r in class_lm.scored(docs, params).collect()}
+    for r in docs.collect():
+        text = (r.text or "").encode().lower().split()
+        cls = [found.get(class_lm._hash(w), (first_form + class_lm._form(w, 4), 1)) for w in text]
+        ids = [model.params.end_class, *(c for c, _ in cls), model.params.end_class]
+        score = sum(model.log_transitions[a, b] for a, b in zip(ids, ids[1:], strict=False)) + sum(math.log10(n / model.class_tokens[c]) for c, n in cls)
+        assert got[r.doc_id].score == pytest.approx(score, rel=1e-9) and got[r.doc_id].n_known == sum(w in counts for w in text) + 1
+    assert class_lm.scored(docs.limit(0)).count() == 0 and class_lm.scored(docs.where("doc_id < 0")).count() == 0
+
+
+def test_choice_is_the_best_class():
+    random_ = np.random.default_rng(1)
+    matrix = random_.integers(40, 90, (6, 6)).astype(float)
+    counts, was = random_.integers(0, 14, (20, 12)).astype(float), np.array([0, 1, 2, 3] * 5)
+    got = class_lm._Choice(matrix, 4)(counts, was)
+    for w in range(20):
+        after, before = counts[w, :6], counts[w, 6:]
+        value = []
+        for c in range(4):
+            row, column = (matrix[c] - after, matrix[:, c] - before) if c == was[w] else (matrix[c], matrix[:, c])
+            value.append(sum((f(x + k) - f(x)).sum() - (f(x.sum() + k.sum()) - f(x.sum())) for x, k, f in ((row, after, class_lm._xlogx), (column, before, class_lm._xlogx))))
+        assert got[w] == int(np.argmax(value))
+
+
 def test_exchange_raises_likelihood():
     random_ = np.random.default_rng(0)
     kinds = random_.integers(0, 2, 30)
