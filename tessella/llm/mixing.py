@@ -2,8 +2,10 @@
 
 Each source gets a target in words: its share of the total by weight, at most most_repeats times its own
 size, what is over being shared out again by weight. A source's documents are dealt to blocks by hash;
-the mix takes whole epochs of its blocks, then blocks in permuted order up to the target; of the block
-at the target, documents in permuted order as near to it as whole documents come. The block quotas of
+the mix takes whole epochs of its blocks, then documents by blocks in permuted order up to the target, as
+near to it as whole documents come: documents longer than half of the words still missing wait, and what
+a cut leaves is filled in further rounds from the blocks and documents after it. Of a source of which
+more than half is still to be taken, what is left out is chosen in this way. The block quotas of
 all sources are then split over the output shards: a tree halves the shards, and at each node a
 multivariate-hypergeometric draw says how many of each source's blocks go left, so that every shard gets
 its exact number of blocks and no block is drawn twice. Shards shuffle locally, by mix_key.
@@ -122,6 +124,60 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return parts.select("place", "shard", (hi - F.col("blocks")).alias("lo"), hi.alias("hi"))
 
 
+def topped_up(placed: DataFrame, rests: DataFrame, few: bool, scratch: Scratch) -> DataFrame:
+    """rank, rounds, one, reach: what of each source fills its rest in words, from placed (rank, place, size, __h) and rests (rank, rest).
+
+    A round takes, in order of place and __h, the documents of at most limit words (half of the room) after the last
+    round's cut, up to the room. It either leaves less than half of the room or takes all of them; then
+    at most one document more comes nearer to the rest (one is its __h). rounds holds limit, begin and end
+    (both left out); reach is the last place that a round or one comes to, null for all."""
+    at = lambda place, h: F.struct(place.alias("place"), h.alias("h"))
+    here = at(F.col("place").cast("long"), F.col("__h"))
+    small = F.broadcast if few else lambda x: x
+    begin = at(F.lit(-1).cast("long"), F.lit(0).cast("long"))
+    none = F.array().cast("array<struct<limit:double,begin:struct<place:bigint,h:bigint>,end:struct<place:bigint,h:bigint>>>")
+    state = rests.select("rank", F.col("rest").cast("double").alias("room"), begin.alias("begin"), none.alias("rounds"), (F.col("rest") >= 2).alias("open"))
+    turn = 0
+    while True:
+        state = scratch.save(state, f"fill{turn}")
+        if turn:
+            scratch.drop(f"fill{turn - 1}")
+        if state.where("open").isEmpty():
+            break
+        turn += 1
+        fits = placed.join(small(state.where("open").select("rank", "room", "begin")), "rank").where((F.col("size") > 0) & (F.col("size") <= F.col("room") / 2) & (here > F.col("begin")))
+        upto = F.sum("words").over(W.partitionBy("rank").orderBy("place"))
+        sums = fits.groupBy("rank", "place").agg(F.sum("size").alias("words"), F.max("room").alias("room")).withColumn("upto", upto)
+        over = F.col("upto") > F.col("room")
+        ends = sums.groupBy("rank").agg(F.max("upto").alias("total"), F.min(F.when(over, F.struct("place", (F.col("upto") - F.col("words")).alias("before")))).alias("cut"))
+        ends = scratch.save(ends, f"ends{turn}")
+        cuts = ends.where("cut is not null").select("rank", F.col("cut.place").alias("place"), F.col("cut.before").alias("before"))
+        inside = fits.join(small(cuts), ["rank", "place"]).groupBy("rank", "place", "room", "before", "__h").agg(F.sum("size").alias("words"))
+        inside = inside.withColumn("upto", F.col("before") + F.sum("words").over(W.partitionBy("rank").orderBy("__h")))
+        last = inside.groupBy("rank").agg(F.max(F.when(~over, F.col("upto"))).alias("got"), F.min(F.when(over, here)).alias("end"), F.max("before").alias("before"))
+        joined = state.join(ends.select("rank", "total"), "rank", "left").join(last, "rank", "left")
+        taken = F.when(F.col("end").isNull(), F.coalesce("total", F.lit(0))).otherwise(F.coalesce("got", "before"))
+        step = F.struct((F.col("room") / 2).alias("limit"), F.col("begin").alias("begin"), F.col("end").alias("end"))
+        now = F.col("open")
+        left = F.when(now, F.col("room") - taken).otherwise(F.col("room"))
+        state = joined.select(
+            "rank", left.alias("room"), F.when(now & F.col("end").isNotNull(), F.col("end")).otherwise(F.col("begin")).alias("begin"),
+            F.when(now, F.concat("rounds", F.array(step))).otherwise(F.col("rounds")).alias("rounds"), (now & F.col("end").isNotNull() & (left >= 2)).alias("open"),
+        )
+    more = placed.join(small(state.where("room > 0").select("rank", "room", "rounds")), "rank").where((F.col("size") > 0) & (F.col("size") < 2 * F.col("room")) & ~in_rounds())
+    one = more.groupBy("rank", "room", "place", "__h").agg(F.sum("size").alias("size")).where(F.col("size") < 2 * F.col("room"))
+    one = one.groupBy("rank").agg(F.min(F.struct(F.abs(F.col("size") - F.col("room")), here.alias("at"))).alias("x")).select("rank", F.col("x.at").alias("one"))
+    ended = F.transform("rounds", lambda r: r["end"]["place"])
+    reach = F.when(F.exists(ended, lambda x: x.isNull()), F.lit(None)).otherwise(F.greatest(F.lit(-1).cast("long"), F.array_max(ended), F.col("one.place")))
+    return scratch.save(state.join(one, "rank", "left").select("rank", "rounds", F.col("one.h").alias("one"), reach.alias("reach")), "filled")
+
+
+def in_rounds() -> Column:
+    """Whether a document (place, __h, size) is in one of the rounds."""
+    here = F.struct(F.col("place").cast("long").alias("place"), F.col("__h").alias("h"))
+    return F.exists("rounds", lambda r: (F.col("size") > 0) & (F.col("size") <= r["limit"]) & (here > r["begin"]) & (r["end"].isNull() | (here < r["end"])))
+
+
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeats: float = 3.0, shards: int = 16, block_words: int = 20_000, most_blocks: int = 2048, seed: int = 17, key: str = "doc_id") -> DataFrame:
     """docs with RESULTS: size in words, its source's size and target, the words taken of it, and draws: an array of
     (epoch, shard, mix_key), one for each time that the mix takes the document.
@@ -142,42 +198,39 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeats: flo
 
     block = F.pmod(F.col("__h"), F.col("n_blocks"))
     placed = slim.join(of_source.select(F.col("source").alias("__s"), "rank", "n_blocks"), slim["source"].eqNullSafe(F.col("__s"))).select("rank", block.alias("block"), "size", "__h")
-    order = W.partitionBy("rank").orderBy("place")
     shuffled = placed.groupBy("rank", "block").agg(F.sum("size").alias("words")).withColumn("place", F.row_number().over(W.partitionBy("rank").orderBy(F.xxhash64(F.lit(seed), "rank", "block"), "block")) - 1)
-    before = F.sum("words").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("words")
-    blocks = shuffled.withColumn("before", before).join(of_source.select("rank", "epochs", "rest"), "rank")
-    # a block is taken once more if it ends within the rest, in part if it only begins there
-    blocks = scratch.save(blocks.withColumns({"full": F.col("before") + F.col("words") <= F.col("rest"), "cut": (F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest"))}), "blocks")
-
-    cuts = blocks.where("cut").select("rank", "block", (F.col("rest") - F.col("before")).alias("room"))
-    inside = placed.join(F.broadcast(cuts) if few else cuts, ["rank", "block"]).groupBy("rank", "room", "__h").agg(F.sum("size").alias("size"))
-    upto = F.sum("size").over(W.partitionBy("rank").orderBy("__h").rowsBetween(W.unboundedPreceding, 0))
-    first = inside.withColumn("upto", upto).where(F.col("upto") <= F.col("room")).groupBy("rank").agg(F.max("__h").alias("last"), F.max("upto").alias("got"))
-    # what is left is filled with the documents after the first that is too long for it, those that are shorter than it
-    later = inside.join(F.broadcast(first) if few else first, "rank", "left").withColumn("left", F.col("room") - F.coalesce(F.col("got"), F.lit(0)))
-    later = later.where((F.col("size") <= F.col("left")) & (F.col("last").isNull() | (F.col("__h") > F.col("last")))).withColumn("upto", upto)
-    second = later.where(F.col("upto") - F.col("size") / 2 <= F.col("left")).groupBy("rank").agg(F.max("__h").alias("last2"), F.max("left").alias("left"))
-    last = first.drop("got").join(second, "rank", "full")
-
-    taken_blocks = blocks.groupBy("rank").agg((F.max("epochs") * F.count(F.lit(1)) + F.sum((F.col("full") | F.col("cut")).cast("long"))).alias("quota"))
+    shuffled = scratch.save(shuffled, "places")
+    few_blocks = shuffled.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
+    at = shuffled.select("rank", "block", "place")
+    lined = scratch.save(placed.join(F.broadcast(at) if few_blocks else at, ["rank", "block"]).select("rank", "place", "size", "__h"), "lined")
+    most = F.col("rest") * 2 > F.col("source_size")
+    filled = topped_up(lined, sources.select("rank", F.when(most, F.greatest(F.lit(0.0), F.col("source_size") - F.col("rest"))).otherwise(F.col("rest")).alias("rest")), few, scratch)
+    filled = filled.join(sources.select("rank", most.alias("most")), "rank")
+    rests = sources.select("rank", "epochs", "rest").join(filled, "rank")
+    # a block is taken once more if documents of it may fill the rest
+    blocks = shuffled.join(F.broadcast(rests) if few else rests, "rank")
+    blocks = scratch.save(blocks.withColumn("again", (F.col("rest") > 0) & (F.col("most") | F.col("reach").isNull() | (F.col("place") <= F.col("reach")))).drop("rounds", "one"), "blocks")
+
+    taken_blocks = blocks.groupBy("rank").agg((F.max("epochs") * F.count(F.lit(1)) + F.sum(F.col("again").cast("long"))).alias("quota"))
     places = taken_blocks.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("rank")) - 1)
     tree = splitting_tree(taken_blocks, shards, seed).join(places.select("place", "rank"), "place")
     ends = scratch.save(tree.groupBy("rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "hi"))), lambda x: x["hi"]).alias("ends")), "ends")
 
     count = F.count(F.lit(1)).over(W.partitionBy("rank"))
-    marked = blocks.withColumn("count", count).join(ends, "rank").join(last, "rank", "left")
-    again = (F.col("full") | F.col("cut")).cast("int")
+    marked = blocks.withColumn("count", count).join(ends, "rank")
+    again = F.col("again").cast("int")
     times = F.when(F.col("epochs") + again > 0, F.sequence(F.lit(0).cast("long"), F.col("epochs") + again - 1)).otherwise(F.array().cast("array<bigint>"))
     # unit number of this block in each epoch, and the shard whose part holds it
     draws = F.transform(times, lambda e: F.struct(e.alias("epoch"), F.size(F.filter("ends", lambda h: h <= e * F.col("count") + F.col("place"))).alias("shard")))
-    lookup = scratch.save(marked.select("rank", "block", "epochs", "cut", "last", "last2", "left", draws.alias("block_draws")), "draws")
+    lookup = scratch.save(marked.select("rank", "block", "place", "epochs", draws.alias("block_draws")), "draws")
     small = lookup.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
 
     named = rows.join(of_source.select(F.col("source").alias("__s"), "rank", "n_blocks", "source_size", "target"), rows["source"].eqNullSafe(F.col("__s"))).withColumn("block", block)
-    out = named.join(F.broadcast(lookup) if small else lookup, ["rank", "block"])
-    in_first, in_second = F.col("__h") <= F.col("last"), (F.col("__h") <= F.col("last2")) & (F.col("size") <= F.col("left"))
-    inside_cut = ~F.col("cut") | F.coalesce(in_first, F.lit(False)) | F.coalesce(in_second, F.lit(False))
-    own = F.filter("block_draws", lambda d: (d["epoch"] < F.col("epochs")) | inside_cut)
+    out = named.join(F.broadcast(lookup) if small else lookup, ["rank", "block"]).join(F.broadcast(filled) if few else filled, "rank")
+    # a document without words goes with its block
+    chosen = in_rounds() | F.coalesce(F.col("__h") == F.col("one"), F.lit(False))
+    fills = (F.col("size") == 0) | (chosen != F.col("most"))
+    own = F.filter("block_draws", lambda d: (d["epoch"] < F.col("epochs")) | fills)
     keyed = F.transform(own, lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard"), F.xxhash64(F.lit(seed), F.col("__h"), d["epoch"]).alias("mix_key")))
     out = out.withColumn("draws", keyed)
     return out.select("__row.*", "size", "source_size", "target", (F.size("draws") * F.col("size")).cast("long").alias("taken"), "draws")

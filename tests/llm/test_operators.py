@@ -180,6 +180,21 @@ def test_mixing_words(spark):
     assert mixing.emitted(mix).count() == sum(len(r.draws) for r in rows)
 
 
+def test_mixing_fills_past_a_long_document(spark):
+    pick = random.Random(4)
+    texts, sources = [], []
+    for k in range(9):
+        small = [pick.randint(10, 30) for _ in range(150)]
+        for n in [*small, sum(small) // 2]:  # a third of the source in one document
+            texts.append("w " * n)
+            sources.append(f"s{k}")
+    rows = mixing.mixed(documents(spark, texts, sources), block_words=300).collect()
+    taken, target = Counter(), {r.source: r.target for r in rows}
+    for r in rows:
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - t) <= 30 for s, t in target.items())
+
+
 def test_mixing_odd_rows(spark):
     rows = mixing.mixed(odd(spark)).collect()
     assert len(rows) == 9 and all(r.source_size is not None and r.target is not None for r in rows)
