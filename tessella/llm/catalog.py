@@ -21,7 +21,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality(read(spark, sf_dir, "documents"), ["doc_id"], clean=False).drop("clean_text", "failed_rules")
+    return quality_rules.quality(read(spark, sf_dir, "documents"), ["doc_id"], quality_rules.AS_SQL, clean=False).drop("clean_text", "failed_rules")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,8 +34,8 @@ class QualityRules:
     mark (!! or ??) above marks_percent; at least repeat_line_words words of which fewer than
     distinct_percent are distinct; equal to an earlier line of the text (both with repeated_line_words
     words at least); a boilerplate phrase in it; no letter or digit. A document is rejected
-    when the lines that fail hold more than lost_percent of its words, not counting boilerplate,
-    or when no word is left."""
+    when the lines that fail hold more than lost_percent of its words, or when no word is left. With
+    spare_boilerplate, words of boilerplate lines count neither as lost nor as words of the document."""
 
     symbol_percent: int = 10
     shout_words: int = 3
@@ -47,6 +47,11 @@ class QualityRules:
     lost_percent: int = 40
     base_least_words: int = 10
     base_repeat_percent: int = 20
+    spare_boilerplate: bool = False
+
+
+#: The rules as the registered SQL of op2 states them.
+AS_SQL = QualityRules(spare_boilerplate=True)
 
 
 _boiler = re.compile(BOILERPLATE, re.IGNORECASE)
@@ -133,7 +138,8 @@ def judge(text: str | None, rules: QualityRules) -> tuple:
     duplicates = with_words - len(seen)
     repeats = repeated_words(words)
     base_failed = n < rules.base_least_words or 100 * repeats > rules.base_repeat_percent * n
-    kept = not base_failed and filled > 0 and 100 * lost <= rules.lost_percent * (n - boiler)
+    counted = (lost, n - boiler) if rules.spare_boilerplate else (lost + boiler, n)
+    kept = not base_failed and filled > 0 and 100 * counted[0] <= rules.lost_percent * counted[1]
     return n, chars, marks, duplicates, repeats, base_failed, kept, lost + boiler, "\n".join(kept_lines), sorted(failed)
 
 

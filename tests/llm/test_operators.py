@@ -109,6 +109,13 @@ def test_quality_lines(spark):
     assert kept.columns == odd(spark).columns and quality_rules.accepted(odd(spark).limit(0)).count() == 0
 
 
+def test_boilerplate_counts_as_lost(spark):
+    good = "Five plain words stay here"
+    text = good + "\n" + "\n".join(f"a{i} privacy policy b{i} c{i}" for i in range(12))
+    assert not quality_rules.judge(text, quality_rules.QualityRules())[6] and quality_rules.judge(text, quality_rules.AS_SQL)[6]
+    assert quality_rules.accepted(documents(spark, [text, good + " and so do these seven other ones\nAll rights reserved."])).count() == 1
+
+
 def test_quality_follows_labels(spark, sf):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     rows = quality_rules.quality(docs, ["doc_id"], clean=False).join(labels, "doc_id").where("not base_failed").collect()
