@@ -33,7 +33,8 @@ class QualityRules:
     shout_words words with only capitals above shout_percent; a share of words that end in a doubled
     mark (!! or ??) above marks_percent; at least repeat_line_words words of which fewer than
     distinct_percent are distinct; equal to an earlier line of the text (both with repeated_line_words
-    words at least); a boilerplate phrase in it; no letter or digit. A document is rejected
+    words at least); boilerplate phrases that hold at least boilerplate_percent of its words (0: any phrase);
+    no letter or digit. A document is rejected
     when the lines that fail hold more than lost_percent of its words, or when no word is left. With
     spare_boilerplate, words of boilerplate lines count neither as lost nor as words of the document."""
 
@@ -48,10 +49,11 @@ class QualityRules:
     base_least_words: int = 10
     base_repeat_percent: int = 20
     spare_boilerplate: bool = False
+    boilerplate_percent: int = 10
 
 
 #: The rules as the registered SQL of op2 states them.
-AS_SQL = QualityRules(spare_boilerplate=True)
+AS_SQL = QualityRules(spare_boilerplate=True, boilerplate_percent=0)
 
 
 _boiler = re.compile(BOILERPLATE, re.IGNORECASE)
@@ -77,6 +79,13 @@ def repeated_words(words: list) -> int:
     return total
 
 
+def _is_boilerplate(line: str, n: int, percent: int) -> bool:
+    if not percent:
+        return bool(_boiler.search(line))
+    found = sum(len(m.group().split()) for m in _boiler.finditer(line))
+    return found > 0 and 100 * found >= percent * n
+
+
 def line_verdict(line: str, words: list[bytes], seen: set[str], rules: QualityRules, marks: int = -1, boiler: bool = True, capitals: int = -1) -> str:
     """'' if the line may stay, else the name of the rule that it fails.
 
@@ -91,7 +100,7 @@ def line_verdict(line: str, words: list[bytes], seen: set[str], rules: QualityRu
         return "repeated"
     if marks and 100 * _symbols(line) > rules.symbol_percent * n:
         return "navigation"
-    if boiler and _boiler.search(line):
+    if boiler and _is_boilerplate(line, n, rules.boilerplate_percent):
         return "boilerplate"
     if not _alnum.search(line):
         return "punctuation"

@@ -116,6 +116,12 @@ def test_boilerplate_counts_as_lost(spark):
     assert quality_rules.accepted(documents(spark, [text, good + " and so do these seven other ones\nAll rights reserved."])).count() == 1
 
 
+def test_one_phrase_does_not_fail_a_long_line(spark):
+    text = " ".join(f"word{i}" for i in range(300)) + " see the privacy policy " + " ".join(f"more{i}" for i in range(300))
+    rows = quality_rules.quality(documents(spark, [text, "Privacy policy of this site"])).collect()
+    assert {r.doc_id: (r.clean_text, r.failed_rules) for r in rows} == {0: (text, []), 1: ("", ["boilerplate"])} and rows[0].kept
+
+
 def test_quality_follows_labels(spark, sf):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     rows = quality_rules.quality(docs, ["doc_id"], clean=False).join(labels, "doc_id").where("not base_failed").collect()
