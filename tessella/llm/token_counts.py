@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe
+from tessella.plans.scratch import Scratch
 
 
 def histogram(lengths: DataFrame, length: str = "n_tokens", by: list[str] | None = None) -> DataFrame:
@@ -67,6 +68,9 @@ def quantiles(sums: DataFrame, of: list[float]) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, path: str, by: list[str] | None = None) -> DataFrame:
-    """The histogram of docs' encoded lengths under a tokenizer file, with its sums."""
+    """The histogram of docs' encoded lengths under a tokenizer file, with its sums.
+
+    The histogram is saved, since the sums read it twice: each document is encoded once."""
     by = by or []
-    return with_sums(histogram(bpe.lengths(docs, path, by), by=by), by)
+    found = Scratch(docs.sparkSession, "lengths").save(histogram(bpe.lengths(docs, path, by), by=by), "histogram")
+    return with_sums(found, by)
