@@ -13,6 +13,15 @@ import xxhash
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads the bits of 64-bit values (a bijection)."""
+    x = x ^ (x >> np.uint64(31))
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x = x ^ (x >> np.uint64(29))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
 def binary(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
@@ -47,10 +56,55 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Spreads the bits of 64-bit values (a bijection)."""
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    x = x ^ (x >> np.uint64(29))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+def split_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words of each text in lower case (A-Z): how many, the number of each in a list of distinct words, and that list (binary).
+
+    Null texts have no words. The list may hold an empty word that no text has."""
+    listed = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    coded = listed.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy()
+    empty = pc.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()
+    offsets = listed.offsets.to_numpy()
+    full = codes != empty if empty >= 0 else np.ones(len(codes), bool)
+    counts = np.diff(np.r_[0, np.cumsum(full)][offsets - offsets[0]])
+    words = coded.dictionary
+    return counts, codes[full], words.cast(pa.large_binary() if pa.types.is_large_string(words.type) else pa.binary())
+
+
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all words (binary), and where each begins; the last place is the end."""
+    kind = np.int64 if pa.types.is_large_binary(words.type) else np.int32
+    offsets = np.frombuffer(words.buffers()[1], kind)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+_letters = mixed(np.arange(1, 257, dtype=np.uint64) << np.uint64(20)) | np.uint64(1)
+_factors = mixed(np.arange(1, 1 << 12, dtype=np.uint64))
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words (binary): the sum over a word's bytes of a number for the byte times one for its place, mixed."""
+    global _factors
+    data, offsets = _bytes_of(words)
+    length = np.diff(offsets)
+    if (most := int(length.max(initial=0))) > len(_factors):
+        _factors = mixed(np.arange(1, 2 * most, dtype=np.uint64))
+    place = np.arange(len(data)) - np.repeat(offsets[:-1], length)
+    sums = np.r_[np.uint64(0), np.cumsum(_letters[data] * _factors[place], dtype=np.uint64)]
+    return mixed(sums[offsets[1:]] - sums[offsets[:-1]])
+
+
+def signed_hashes(words: pa.Array) -> np.ndarray:
+    """The same as signed numbers, for long columns."""
+    return word_hashes(words).view(np.int64)
+
+
+def endings(words: pa.Array) -> np.ndarray:
+    """A number for the last three bytes of each of distinct words (binary)."""
+    data, offsets = _bytes_of(words)
+    length, out = np.diff(offsets), np.zeros(len(words), np.uint64)
+    for k in (1, 2, 3):
+        there = length >= k
+        out[there] |= (data[offsets[1:][there] - k].astype(np.uint64) + np.uint64(1)) << np.uint64(9 * k - 9)
+    return mixed(out)

@@ -6,10 +6,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, catalog, class_lm, html_text, kmeans_tree, mixing, ngram_jaccard, quality_rules, sharding, token_counts, toxicity
+from tessella.llm import bpe, catalog, class_lm, html_text, kmeans_tree, mixing, ngram_jaccard, quality_rules, sharding, texts, token_counts, toxicity
 from tessella.plans.scratch import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -75,6 +76,27 @@ def test_token_counts(spark):
     assert token_counts.token_counts(odd(spark).limit(0), bpe.vocabulary()).count() == 0
 
 
+def test_split_words_equals_python():
+    rows = [" a\x0b b\xa0c É", "", "  ", None, "x\ty\r\nX x", "日本 \x1c 語", "ſ K"]
+    lengths, codes, words = texts.split_words(pa.array(rows, pa.string()))
+    names = words.to_pylist()
+    want = [(r or "").encode().lower().split() for r in rows]
+    assert lengths.tolist() == [len(w) for w in want] and [names[c] for c in codes] == [w for ws in want for w in ws]
+    assert texts.split_words(pa.array(rows[3:], pa.string()).slice(1))[0].tolist() == [len(w) for w in want[4:]]
+    assert len(texts.split_words(pa.array([None], pa.string()))[1]) == 0
+    assert len(set(texts.endings(pa.array([b"xing", b"ing", b"g", b"gg", b""])).tolist())) == 4
+
+
+def test_token_counts_equal_the_library(spark, sf):
+    from tokenizers import Tokenizer
+
+    theirs = Tokenizer.from_file(bpe.vocabulary())
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()
+    lengths = [len(theirs.encode(r.text or "", add_special_tokens=False).ids) for r in docs]
+    want = {n: (k, sum(x <= n for x in lengths), sum(min(x, n) for x in lengths)) for n, k in Counter(lengths).items()}
+    assert {r.encoded_len: (r.n_docs, r.docs_within, r.truncated_tokens) for r in catalog.QUERIES["op1_token_counts"](spark, sf).collect()} == want
+
+
 # ---- quality
 
 
@@ -320,7 +342,7 @@ def test_tree_recall_and_cases(spark, sf):
 
 def test_class_lm(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(900_001, None), (900_002, "")], "doc_id long, text string"))
-    params = class_lm.ClassParams(exchange_words=100, exchange_classes=8, form_classes=6, most_kept=300, iterations=3)
+    params = class_lm.ClassParams(exchange_classes=8, form_classes=6, iterations=3, head_words=100)
     got = {r.doc_id: r for r in class_lm.scored(docs, params).collect()}
     texts = {r.doc_id: (r.text or "").encode().lower().split() + [None] for r in docs.collect()}
     counts = Counter(w for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in t)
@@ -334,34 +356,18 @@ def test_class_lm(spark, sf):
     assert class_lm.scored(docs.limit(0), params).count() == 0
 
 
-def test_class_probabilities_sum_to_one(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    params = class_lm.ClassParams(exchange_words=50, exchange_classes=5, form_classes=4, most_kept=200, iterations=2)
-    model, lexicon = class_lm.trained(docs, Scratch(spark, "t"), params)
-    words = {r.h: r for r in lexicon.collect()}
-    places = {int(h): int(p) for h, p in zip(model.kept_hashes, model.kept_places, strict=True)}
-    mass = np.zeros(params.end_class + 1)
-    for h, r in words.items():
-        place = places.get(h, -1)
-        c = int(model.classes[place]) if place >= 0 else params.exchange_classes + r.form
-        mass[c] += (r.n if place >= 0 else r.n - model.discounts[r.form]) / model.class_tokens[c]
-    for form in range(params.form_classes):
-        mass[params.exchange_classes + form] += model.unknown_mass[form] / model.class_tokens[params.exchange_classes + form]
-    mass[params.end_class] = 1
-    filled = np.r_[np.bincount(model.classes[:50], minlength=5) > 0, np.ones(5, bool)]
-    assert np.allclose(mass[filled], 1) and np.allclose((10**model.log_transitions).sum(1), 1)
-
-
 def test_every_known_word_is_clustered(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(900_001, None), (900_002, "")], "doc_id long, text string"))
     words = [(r.text or "").encode().lower().split() for r in docs.where(~class_lm.held_out()).collect()]
     counts = Counter(w for t in words for w in t)
     params = class_lm.ClassParams(exchange_classes=8, form_classes=4, iterations=2, head_words=100)
-    model, rare = class_lm.trained_whole(docs.where(~class_lm.held_out()), Scratch(spark, "t"), params)
+    model, rare = class_lm.trained(docs.where(~class_lm.held_out()), Scratch(spark, "t"), params)
     found = dict(zip(model.kept_hashes.tolist(), zip(model.classes.tolist(), model.kept_counts.tolist(), strict=True), strict=True)) | {r.h: (r["class"], r.n) for r in rare.collect()}
+    hashed = lambda w: int(texts.signed_hashes(pa.array([w], pa.binary()))[0])
+    form = lambda w: int(class_lm._forms(pa.array([w], pa.binary()), params)[0])
     first_form, width = model.params.exchange_classes, model.params.end_class + 1
     assert len(found) == len(counts) > 2_048 and all(c < first_form for c, _ in found.values())
-    assert all(found[class_lm._hash(w)][1] == n for w, n in counts.items())
+    assert all(found[hashed(w)][1] == n for w, n in counts.items())
     mass = np.zeros(width)
     for c, n in found.values():
         mass[c] += n / model.class_tokens[c]
@@ -370,7 +376,7 @@ def test_every_known_word_is_clustered(spark, sf):
     got = {r.doc_id: r for r in class_lm.scored(docs, params).collect()}
     for r in docs.collect():
         text = (r.text or "").encode().lower().split()
-        cls = [found.get(class_lm._hash(w), (first_form + class_lm._form(w, 4), 1)) for w in text]
+        cls = [found.get(hashed(w), (first_form + form(w), 1)) for w in text]
         ids = [model.params.end_class, *(c for c, _ in cls), model.params.end_class]
         score = sum(model.log_transitions[a, b] for a, b in zip(ids, ids[1:], strict=False)) + sum(math.log10(n / model.class_tokens[c]) for c, n in cls)
         assert got[r.doc_id].score == pytest.approx(score, rel=1e-9) and got[r.doc_id].n_known == sum(w in counts for w in text) + 1
