@@ -1,22 +1,37 @@
 """Normalisation and cleaning of texts as column functions.
 
-All but NFKC are built-in functions, so they stay in generated code. A null text stays null."""
+Steps that are one replacement are built-in functions. Steps that look at lines, NFKC, and the whole of
+preprocess() run as one pass over Arrow batches: nested lambdas over arrays of lines leave generated code
+and cost several times as much. A null text stays null."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: What Python's splitlines() splits on.
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
-_edges = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+#: The white space of str.strip() and str.split().
+WHITE = "".join(filter(str.isspace, map(chr, range(0x3001))))
+
+#: What the steps replace, and by what ($1: the first group).
+CODE_FENCE = (r"```[`\s]*([\s\S]*?)[`\s]*```", "$1")
+INLINE_CODE = (r"`([^`]+)`", "$1")
+EMPHASIS = (r"\*{1,3}([^\n]+?)\*{1,3}", "$1")
+LINK = (r"\[([^\n]+?)\]\([^\n]+?\)", "$1")
+HEADER_MARK = (r"(?m)^#{1,6}\s+", "")
+DASHES = (r"-{4,}", "")
+DOUBLE_DASHES = (r"={4,}", "")
+REPEATED_MARK = (r"([!?.,:;])\1{2,}", "$1")
+SPACES = (r"[ \t]+", " ")
+BLANK_LINES = (r"\n{3,}", "\n\n")
+NO_WORD = r"[^a-zA-Z0-9 ]+"
 
 
 @dataclass(frozen=True)
@@ -31,9 +46,35 @@ class CleanOptions:
     collapse_whitespace: bool = True
 
 
-@F.pandas_udf(StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def _mapped(change: Callable[[str], str]) -> Callable[[Column], Column]:
+    """change() as a function of a column, over Arrow batches."""
+
+    @F.arrow_udf(StringType())
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else change(t) for t in texts.to_pylist()], pa.string())
+
+    return run
+
+
+def _replacement(rule: tuple[str, str], only_if: str) -> Callable[[str], str]:
+    """A rule for single texts; texts without only_if are left alone at once."""
+    replace, to = re.compile(rule[0]).sub, rule[1].replace("$1", r"\1")
+    return lambda t: replace(to, t) if only_if in t else t
+
+
+_plain_markdown = [_replacement(rule, needs) for rule, needs in ((CODE_FENCE, "```"), (INLINE_CODE, "`"), (EMPHASIS, "*"), (LINK, "]("), (HEADER_MARK, "#"), (DASHES, "----"), (DOUBLE_DASHES, "===="))]
+_squeeze_marks, _squeeze_blanks = re.compile(REPEATED_MARK[0]).sub, re.compile(r" [ \t]+|\t[ \t]*").sub
+_fewer_blank_lines, _no_word = _replacement(BLANK_LINES, "\n\n\n"), re.compile(NO_WORD).fullmatch
+
+
+def _long_lines(text: str, least: int) -> list[str]:
+    bare = ((line, line.strip()) for line in text.splitlines())
+    return [line if b else "" for line, b in bare if not b or (len(b) >= least and not _no_word(b))]
+
+
+def _changing_lines(lines: list[str]) -> list[str]:
+    keys = [line.strip().lower() for line in lines]
+    return [line for line, key, before in zip(lines, keys, [None, *keys], strict=False) if key != before]
 
 
 def nfkc(text: Column) -> Column:
@@ -41,12 +82,19 @@ def nfkc(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text))).otherwise(text)
 
 
+_nfkc = _mapped(lambda t: unicodedata.normalize("NFKC", t))
+
+
+def _by(text: Column, rule: tuple[str, str]) -> Column:
+    return F.regexp_replace(text, *rule)
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, _edges, "")
+    return F.trim(text, F.lit(WHITE))
 
 
 def collapse_blank_lines(text: Column) -> Column:
-    return F.regexp_replace(text, r"\n{3,}", "\n\n")
+    return _by(text, BLANK_LINES)
 
 
 def expand_tabs(text: Column) -> Column:
@@ -54,27 +102,27 @@ def expand_tabs(text: Column) -> Column:
 
 
 def strip_code_fences(text: Column) -> Column:
-    return F.regexp_replace(text, r"```[`\s]*([\s\S]*?)[`\s]*```", "$1")
+    return _by(text, CODE_FENCE)
 
 
 def strip_inline_code(text: Column) -> Column:
-    return F.regexp_replace(text, r"`([^`]+)`", "$1")
+    return _by(text, INLINE_CODE)
 
 
 def strip_emphasis(text: Column) -> Column:
-    return F.regexp_replace(text, r"\*{1,3}([^\n]+?)\*{1,3}", "$1")
+    return _by(text, EMPHASIS)
 
 
 def strip_links(text: Column) -> Column:
-    return F.regexp_replace(text, r"\[([^\n]+?)\]\([^\n]+?\)", "$1")
+    return _by(text, LINK)
 
 
 def strip_headers(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?m)^#{1,6}\s+", "")
+    return _by(text, HEADER_MARK)
 
 
 def strip_rules(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"-{4,}", ""), r"={4,}", "")
+    return _by(_by(text, DASHES), DOUBLE_DASHES)
 
 
 def strip_markdown(text: Column) -> Column:
@@ -83,42 +131,22 @@ def strip_markdown(text: Column) -> Column:
     return text
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once however often use names it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def lines(text: Column) -> Column:
-    """The lines of a text, without an empty one after a last line end."""
-    return F.split(F.regexp_replace(text, rf"(?:{LINE_END})\z", ""), LINE_END)
-
-
 def drop_boilerplate_lines(text: Column, min_length: int = 10) -> Column:
     """Keeps blank lines (as empty ones) and lines of min_length characters, not those without ASCII letter, digit or space."""
-
-    def kept(line: Column) -> Column:
-        """The line, '' if blank, null if it goes."""
-        return let(strip(line), lambda bare: F.when(bare == "", "").when(~bare.rlike(r"^[^a-zA-Z0-9 ]+$") & (F.length(bare) >= min_length), line))
-
-    return F.array_join(F.transform(lines(text), kept), "\n")
+    return _mapped(lambda t: "\n".join(_long_lines(t, min_length)))(text)
 
 
 def drop_repeated_lines(text: Column) -> Column:
     """Drops a line that equals the one before it, but for case and outer white space."""
-    keyed = F.transform(lines(text), lambda x: F.struct(x.alias("line"), F.lower(strip(x)).alias("key")))
-
-    def kept(rows: Column) -> Column:
-        return F.transform(rows, lambda r, i: F.when((i == 0) | (r["key"] != F.get(rows, i - 1)["key"]), r["line"]))
-
-    return F.array_join(let(keyed, kept), "\n")
+    return _mapped(lambda t: "\n".join(_changing_lines(t.splitlines())))(text)
 
 
 def squeeze_punctuation(text: Column) -> Column:
-    return F.regexp_replace(text, r"([!?.,:;])\1{2,}", "$1")
+    return _by(text, REPEATED_MARK)
 
 
 def squeeze_spaces(text: Column) -> Column:
-    return collapse_blank_lines(F.regexp_replace(text, r"[ \t]+", " "))
+    return collapse_blank_lines(_by(text, SPACES))
 
 
 def loader_normalise(text: Column) -> Column:
@@ -126,24 +154,38 @@ def loader_normalise(text: Column) -> Column:
     return strip(expand_tabs(collapse_blank_lines(nfkc(text))))
 
 
-def preprocess(text: Column, options: CleanOptions = CleanOptions()) -> Column:
-    """Cleans a text in a fixed order; a blank one becomes ''."""
-    out = text
+def cleaner(options: CleanOptions = CleanOptions()) -> Callable[[str], str]:
+    """The cleaning of one text: the chosen steps, always in the same order."""
+    steps: list[Callable[[str], str]] = []
     if options.normalise_unicode:
-        out = nfkc(out)
+        steps.append(lambda t: t if t.isascii() else unicodedata.normalize("NFKC", t))
     if options.strip_markdown:
-        out = strip_markdown(out)
-    if options.remove_boilerplate:
-        out = drop_boilerplate_lines(out, options.min_line_length)
-    if options.remove_duplicate_lines:
-        out = drop_repeated_lines(out)
+        steps += _plain_markdown
+    if options.remove_boilerplate or options.remove_duplicate_lines:
+
+        def by_line(t: str) -> str:
+            lines = _long_lines(t, options.min_line_length) if options.remove_boilerplate else t.splitlines()
+            return "\n".join(_changing_lines(lines) if options.remove_duplicate_lines else lines)
+
+        steps.append(by_line)
     if options.lowercase:
-        out = F.lower(out)
+        steps.append(str.lower)
     if options.remove_repeated_punctuation:
-        out = squeeze_punctuation(out)
+        steps.append(lambda t: _squeeze_marks(r"\1", t))
     if options.collapse_whitespace:
-        out = squeeze_spaces(out)
-    return F.when(strip(text) == "", "").otherwise(strip(out))
+        steps += [lambda t: _squeeze_blanks(" ", t), _fewer_blank_lines]
+
+    def clean(text: str) -> str:
+        for step in steps:
+            text = step(text)
+        return text.strip()
+
+    return clean
+
+
+def preprocess(text: Column, options: CleanOptions = CleanOptions()) -> Column:
+    """Cleans a text in a fixed order; a blank one becomes ''. One pass over Arrow batches: NFKC needs Python in any case."""
+    return _mapped(cleaner(options))(text)
 
 
 def dedup_key(text: Column) -> Column:

@@ -1,9 +1,8 @@
-"""Overlapping windows over documents, snapped to sentence ends."""
+"""Overlapping windows over documents, snapped to sentence ends, and sections."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,85 +10,83 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import strip
 
-#: A header is a markdown header, a line in capitals, or a numbered section.
+#: Fixed value: a header is a markdown header, a line in capitals, or a numbered section.
 HEADER = r"^(?:#{1,6}\s+(.+)|([A-Z][A-Z 0-9]{3,}):?|(?:SECTION|Chapter)\s+\d+[.:]\s*(.+))$"
 
 
 def token_estimate(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"(?U)\s+"), lambda x: x != ""))
+    """Words between white space."""
+    return F.regexp_count(text, F.lit(r"(?U)\S+"))
 
 
-def windows(docs: DataFrame, size: int = 512, overlap: int = 64, snap: bool = True, text: str = "text") -> DataFrame:
-    """docs with pos, char_end and raw of each window. Starts are a fixed step apart, so a document's windows are made
-    at once; an end moves to the first sentence end within a fifth of size, 80 characters at most."""
+def _spans(text: Column, size: int, overlap: int, snap: bool) -> Column:
+    """An array of (pos, end, raw) of a text's windows.
+
+    Starts are a fixed step apart. The text is cut once into pieces of one step, and a window is read from the pieces that it
+    reaches, so that the work grows with the text and not with its square. An end moves to the first sentence end within a
+    fifth of size, 80 characters at most."""
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
     step, reach = size - overlap, min(int(size * 0.2), 80)
-    length = F.length(text)
-    starts = docs.where(length > 0).withColumn("pos", F.explode(F.sequence(F.lit(0), length - 1, F.lit(step))))
-    hard = F.least(F.col("pos") + size, length)
-    found = F.regexp_instr(F.substring(F.col(text), hard + 1, F.lit(reach)), F.lit(r"(?U)(?<=[.!?])\s+"))
-    end = F.when((hard < length) & (found > 0), hard + found).otherwise(hard) if snap else hard
-    return starts.withColumn("char_end", end).withColumn("raw", F.substring(F.col(text), F.col("pos") + 1, F.col("char_end") - F.col("pos")))
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{step}}}"), 0)
+    count = math.ceil((size + reach) / step)
+    # named once, so that it is not computed again for every window
+    near = F.element_at(F.transform(F.array(pieces), lambda ps: F.transform(ps, lambda p, i: F.struct((i * step).alias("pos"), F.array_join(F.slice(ps, i + 1, count), "").alias("near")))), 1)
+
+    def window(w: Column) -> Column:
+        length = F.length(w["near"])
+        found = F.regexp_instr(F.substring(w["near"], size + 1, reach), F.lit(r"(?U)(?<=[.!?])\s+"))
+        wide = F.when((length > size) & (found > 0), size + found).otherwise(F.least(length, F.lit(size))) if snap else F.least(length, F.lit(size))
+        return F.struct(w["pos"].alias("pos"), (w["pos"] + wide).alias("end"), F.substring(w["near"], F.lit(1), wide).alias("raw"))
+
+    return F.transform(near, window)
+
+
+def windows(docs: DataFrame, size: int = 512, overlap: int = 64, snap: bool = True, text: str = "text") -> DataFrame:
+    """docs with pos, char_end and raw of each window."""
+    rows = docs.withColumn("w", F.explode(_spans(F.col(text), size, overlap, snap)))
+    return rows.withColumns({"pos": F.col("w.pos"), "char_end": F.col("w.end"), "raw": F.col("w.raw")}).drop("w")
 
 
 def chunked(docs: DataFrame, size: int = 512, overlap: int = 64, min_size: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
     """chunk_id, doc_id, chunk_index, char_start, char_end, tokens, section, text and docs' other columns.
 
     Windows shorter than min_size without outer white space are dropped; the others are numbered. A document's number of
-    a window follows from its windows alone: they are filtered and numbered within its row, and nothing is shuffled."""
-    step, reach = size - overlap, min(int(size * 0.2), 80)
-    if overlap >= size:
-        raise ValueError("overlap must be smaller than size")
+    a window follows from its windows alone: they are filtered and numbered within its row, and nothing is shuffled.
+    A filter on the text would make Spark clean it twice; a text without windows gives no rows in any case."""
     names = [c for c in docs.columns if c not in (key, text, "section")]
     section = F.col("section") if "section" in docs.columns else F.lit("general")
-    length = F.length(text)
-
-    def window(pos: Column) -> Column:
-        hard = F.least(pos + size, length)
-        found = F.regexp_instr(F.substring(F.col(text), hard + 1, F.lit(reach)), F.lit(r"(?U)(?<=[.!?])\s+"))
-        end = F.when((hard < length) & (found > 0), hard + found).otherwise(hard)
-        return F.struct(pos.alias("pos"), end.alias("end"))
-
-    spans = F.transform(F.sequence(F.lit(0), length - 1, F.lit(step)), window)
-    kept = F.filter(spans, lambda w: F.length(strip(F.substring(F.col(text), w["pos"] + 1, w["end"] - w["pos"]))) >= min_size)
-    rows = docs.where(length > 0).select(key, *names, section.alias("section"), text, F.posexplode(kept).alias("chunk_index", "w"))
-    raw = F.substring(F.col(text), F.col("w.pos") + 1, F.col("w.end") - F.col("w.pos"))
+    bare = F.transform(_spans(F.col(text), size, overlap, True), lambda w: F.struct(w["pos"].alias("pos"), w["end"].alias("end"), w["raw"].alias("raw"), strip(w["raw"]).alias("bare")))
+    rows = docs.select(key, *names, section.alias("section"), F.posexplode(F.filter(bare, lambda w: F.length(w["bare"]) >= min_size)).alias("chunk_index", "w"))
     return rows.select(
         F.concat(F.col(key).cast("string"), F.lit("_chunk_"), F.col("chunk_index")).alias("chunk_id"), key, "chunk_index", F.col("w.pos").alias("char_start"), F.col("w.end").alias("char_end"),
-        token_estimate(raw).alias("tokens"), "section", strip(raw).alias("text"), *names,
+        token_estimate(F.col("w.raw")).alias("tokens"), "section", F.col("w.bare").alias("text"), *names,
     )
 
 
-def split_sections(text: str | None) -> list[tuple[str, str, int]]:
-    """(name, body, offset) of each section with a body; without headers one section 'general'."""
-    text = text or ""
-    marks = list(re.finditer(HEADER, text, re.MULTILINE))
-    if not marks:
-        return [("general", text, 0)]
-    bodies = []
-    if head := text[: marks[0].start()].strip():
-        bodies.append(("preamble", head, 0))
-    ends = [m.start() for m in marks[1:]] + [len(text)]
-    for mark, end in zip(marks, ends, strict=True):
-        name = next((g for g in mark.groups() if g), "unknown").strip().lower()[:60]
-        if body := text[mark.end() : end].strip():
-            bodies.append((name, body, mark.end()))
-    return bodies or [("general", text, 0)]
-
-
 def sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, section_index, section, text, offset: documents cut at their headers (a table function)."""
-
-    @F.udtf(returnType="section_index int, section string, body string, offset int")
-    class Split:
-        def eval(self, value: str) -> Iterator[tuple]:
-            for i, (name, body, offset) in enumerate(split_sections(value)):
-                yield i, name, body, offset
-
-    session = docs.sparkSession
-    session.udtf.register("tessella_sections", Split)
-    return session.sql(f"SELECT d.{key}, s.section_index, s.section, s.body AS text, s.offset FROM {{docs}} d, LATERAL tessella_sections(d.{text}) s", docs=docs)
+    """key, section_index, section, text, offset: documents cut at their headers.
+
+    Marks are written around every header and the text is split at them: a part is a header, its name and what follows, and
+    its offset is the sum of what came before. What stands before the first header is 'preamble'; sections without text
+    go; a document left without any is one section 'general'. Control characters 1 to 3 count as spaces."""
+    at = W.partitionBy("__id").orderBy("part")
+    plain = F.translate(F.coalesce(F.col(text), F.lit("")), "\x01\x02\x03", "   ")
+    marked = F.regexp_replace(plain, f"(?mdU){HEADER}", "\x01$0\x02$1$2$3\x03")
+    rows = docs.select(F.monotonically_increasing_id().alias("__id"), F.col(key), plain.alias("whole"), marked.alias("marked"))
+    parts = rows.select("__id", key, "whole", F.posexplode(F.split("marked", "\x01")).alias("part", "body"))
+    head, name = F.substring_index("body", "\x02", 1), F.substring_index(F.substring_index("body", "\x03", 1), "\x02", -1)
+    first = F.col("part") == 0
+    parts = parts.select("__id", key, "part", "whole", F.when(first, "").otherwise(head).alias("head"), F.when(first, "preamble").otherwise(F.substring(F.lower(strip(name)), 1, 60)).alias("name"), F.when(first, F.col("body")).otherwise(F.substring_index("body", "\x03", -1)).alias("body"))
+    before = F.coalesce(F.sum(F.length("head") + F.length("body")).over(at.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    filled = F.length(strip(F.col("body"))) > 0
+    parts = parts.withColumns({"offset": (before + F.length("head")).cast("int"), "n_parts": F.count(F.lit(1)).over(W.partitionBy("__id")), "n_filled": F.sum(filled.cast("int")).over(W.partitionBy("__id"))})
+    alone = (F.col("n_parts") == 1) | (F.col("n_filled") == 0)
+    kept = parts.where((alone & first) | (~alone & filled))
+    return kept.select(
+        key, (F.row_number().over(at) - 1).alias("section_index"), F.when(alone, "general").otherwise(F.col("name")).alias("section"),
+        F.when(alone, F.col("whole")).otherwise(strip(F.col("body"))).alias("text"), F.when(alone, 0).otherwise(F.col("offset")).alias("offset"),
+    )
 
 
 def numbered(chunks: DataFrame, key: str = "doc_id", order: tuple[str, ...] = ("section_index", "char_start")) -> DataFrame:
