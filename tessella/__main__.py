@@ -8,7 +8,6 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.lexicon import QUERY_BANK
-from tessella.operators import metrics
 from tessella.operators.expansion import MODES
 from tessella.plans.config import RetrievalConfig
 from tessella.plans.retrieval import RetrievalPipeline
@@ -27,11 +26,13 @@ def main(arguments: list[str] | None = None) -> None:
             command.add_argument("--strategy", choices=("a", "b", "hybrid"), default="b")
             command.add_argument("--expansion-mode", choices=MODES, default="full")
             command.add_argument("--json-output", action="store_true")
+            command.add_argument("--no-rerank", action="store_true")
         if name == "benchmark":
             command.add_argument("--output")
+            command.add_argument("--json-only", action="store_true")
     given = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("tessella").getOrCreate()
-    pipe = RetrievalPipeline(spark, RetrievalConfig(top_k=given.top_k, similarity_threshold=0.0))
+    pipe = RetrievalPipeline(spark, RetrievalConfig(top_k=given.top_k, similarity_threshold=0.0, reranking=not getattr(given, "no_rerank", False)))
     pipe.ingest([given.data_dir])
     if given.command == "info":
         print(f"{pipe.num_chunks()} chunks")
@@ -48,8 +49,11 @@ def main(arguments: list[str] | None = None) -> None:
         return
     bank = spark.createDataFrame([(i, q, k) for i, (q, k, _) in enumerate(QUERY_BANK)], "query_id long, query string, keywords array<string>")
     report = pipe.benchmark(bank)
-    print(writers.markdown_report(metrics.mean_metrics(metrics.long_form(report))))
-    metrics.win_loss_tie(report, "a", "b").show()
+    report = pipe._scratch.save(report, "report")
+    if given.json_only:
+        print("\n".join(report.toJSON().collect()))
+    else:
+        print(writers.markdown_report(report))
     if given.output:
         writers.write_report(report, given.output)
 

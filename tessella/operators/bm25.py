@@ -47,13 +47,27 @@ def index(chunks: DataFrame, save=lambda df, name: df) -> Bm25Index:
     return Bm25Index(postings, lengths, save(stats, "stats"), totals)
 
 
+#: Postings of a term are dealt to so many tasks, so that no frequent term is one task's alone.
+TERM_PARTS = 16
+#: A weighed query table of at most so many rows (some MB) is broadcast.
+BROADCAST_TERMS = 200_000
+
+
 def scores(idx: Bm25Index, queries: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score for chunks that share a term with a query (query_id, query). A repeated query term counts again."""
+    """query_id, chunk_id, score for chunks that share a term with a query (query_id, query). A repeated query term counts again.
+
+    The queries' terms are few and go to the postings where they lie; beyond a counted bound both sides are dealt by term and part.
+    Scores are summed where a chunk's postings are before they are shuffled."""
     wanted = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weighed = wanted.join(idx.stats, "term")
-    hits = weighed.join(idx.postings, "term").join(idx.lengths, "chunk_id").crossJoin(F.broadcast(idx.totals))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    weighed = wanted.join(idx.stats, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+    tf, dl = F.col("tf"), F.col("dl") / F.col("avgdl")
+    postings = idx.postings.join(idx.lengths, "chunk_id").crossJoin(F.broadcast(idx.totals)).select("chunk_id", "term", (tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl))).alias("part"))
+    if weighed.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        hits = postings.join(F.broadcast(weighed), "term")
+    else:
+        parts = weighed.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(TERM_PARTS - 1))))
+        hits = postings.withColumn("deal", F.pmod(F.xxhash64("chunk_id"), F.lit(TERM_PARTS)).cast("int")).join(parts, ["term", "deal"])
+    return hits.groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, best: str = "score", tie: str = "chunk_id", digits: int = 6) -> DataFrame:
@@ -70,12 +84,16 @@ def normalised(ranked: DataFrame, score: str = "score") -> DataFrame:
 
 
 def search(idx: Bm25Index, queries: DataFrame, k: int = 5, include_zero: bool = False) -> DataFrame:
-    """query_id, chunk_id, score, rank, norm_score. include_zero fills up with chunks that match no term, by id: of these
-    the k smallest ids are enough for any query."""
-    found = top_k(scores(idx, queries), k)
+    """query_id, chunk_id, score, rank, norm_score. include_zero fills a query's list up with chunks that match none of its terms, by id.
+
+    Only a query with fewer than k matches is filled up, and its list holds all of them: of the first 2 k chunks by id,
+    k are not in it."""
+    scored = scores(idx, queries)
+    found = top_k(scored, k)
     if include_zero:
-        scored = scores(idx, queries)
-        first = idx.lengths.select("chunk_id").join(scored.select("chunk_id").distinct(), "chunk_id", "left_anti").orderBy("chunk_id").limit(k)
-        fill = queries.select("query_id").crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))
-        found = top_k(scored.unionByName(fill), k)
+        some = idx.lengths.select("chunk_id").orderBy("chunk_id").limit(2 * k)
+        # a list shorter than k holds every match of its query
+        short = queries.select("query_id").join(found.groupBy("query_id").count(), "query_id", "left").where(F.coalesce("count", F.lit(0)) < k).select("query_id")
+        fill = short.crossJoin(F.broadcast(some)).join(found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+        found = top_k(found.drop("rank").unionByName(fill.withColumn("score", F.lit(0.0))), k)
     return normalised(found)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -92,3 +93,13 @@ def sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 def numbered(chunks: DataFrame, key: str = "doc_id", order: tuple[str, ...] = ("section_index", "char_start")) -> DataFrame:
     """chunk_index over a document's chunks of all its sections."""
     return chunks.withColumn("chunk_index", F.row_number().over(W.partitionBy(key).orderBy(*order)) - 1)
+
+
+def chunked_by_section(docs: DataFrame, clean: Callable[[Column], Column], size: int = 512, overlap: int = 64, min_size: int = 50) -> DataFrame:
+    """Chunks of docs (doc_id, text, ...): sections are found before texts are cleaned, and chunks are numbered over the document."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "section")]
+    cut = sections(docs).withColumnRenamed("offset", "section_offset")
+    cut = cut.join(docs.select("doc_id", *others), "doc_id") if others else cut
+    cut = cut.withColumn("text", clean(F.col("text"))).withColumn("part", F.concat_ws("_s", "doc_id", F.col("section_index").cast("string")))
+    rows = numbered(chunked(cut, size, overlap, min_size, key="part").drop("chunk_index"))
+    return rows.withColumn("chunk_id", F.concat_ws("_chunk_", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"))).drop("part")

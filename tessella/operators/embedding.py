@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections import Counter
 from collections.abc import Iterator
 from typing import Protocol
@@ -52,6 +53,15 @@ class HashingEmbedder:
         return out / np.where(length == 0, 1, length)[:, None]
 
 
+#: Embedders by name; more may be added.
+MODELS = {"hashing": HashingEmbedder}
+
+
+def embedder(name: str, dim: int = 384) -> Embedder:
+    """The embedder of that name; an unknown name gives the hashing one."""
+    return MODELS.get(name.split("-")[0], HashingEmbedder)(dim)
+
+
 def embedded(rows: DataFrame, embedder: Embedder, text: str = "text", batch: int = 32) -> DataFrame:
     """rows with embedding (array<double>), in batches; a null text counts as ''."""
 
@@ -99,6 +109,18 @@ class EmbeddingCache:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Names of caches; all are one Parquet table. "none" is no cache.
+CACHES = ("parquet", "sqlite", "pickle", "json")
+
+
+def cache_of(kind: str | None, spark, path: str) -> EmbeddingCache | None:
+    if not kind or kind == "none":
+        return None
+    if kind not in CACHES:
+        raise ValueError(f"a cache is one of {CACHES} or none")
+    return EmbeddingCache(spark, path)
+
+
 def latest(rows: DataFrame) -> DataFrame:
     """The newest row of each cache key."""
     order = W.partitionBy("cache_key").orderBy(F.desc("created_at"), F.desc(F.xxhash64("embedding")) if "embedding" in rows.columns else F.lit(0))
@@ -111,10 +133,12 @@ def misses(keyed: DataFrame, cached: DataFrame) -> DataFrame:
 
 
 def embed_with_cache(rows: DataFrame, embedder: Embedder, cache: EmbeddingCache, text: str = "text") -> tuple[DataFrame, dict[str, float]]:
-    """rows with embedding, of which only those not cached were computed, and how many keys hit and missed."""
+    """rows with embedding, of which only those not cached were computed, and what it took: distinct texts, hits, misses, time, cache size."""
+    began = time.monotonic()
     keyed = rows.withColumn("cache_key", cache_key(embedder.name, F.coalesce(F.col(text), F.lit(""))))
     new = misses(keyed, cache.rows(embedder.name)).select("cache_key", F.col(text).alias("text"))
     n_keys, n_new = keyed.select("cache_key").distinct().count(), new.count()
     cache.put(embedded(new, embedder).select("cache_key", F.lit(embedder.name).alias("model_name"), "embedding"))
     out = keyed.join(cache.rows(embedder.name).select("cache_key", "embedding"), "cache_key").drop("cache_key")
-    return out, {"hits": n_keys - n_new, "misses": n_new, "hit_rate": (n_keys - n_new) / n_keys if n_keys else 0.0}
+    spent = 1000 * (time.monotonic() - began)
+    return out, {"calls": 1, "texts": n_keys, "hits": n_keys - n_new, "misses": n_new, "hit_rate": (n_keys - n_new) / n_keys if n_keys else 0.0, "mean_ms": spent / n_new if n_new else 0.0, "cache_size": cache.size()}

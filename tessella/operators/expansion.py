@@ -45,14 +45,20 @@ def full(query: Column) -> Column:
     return F.concat(query, F.lit(" including "), F.array_join(full_terms(query), ", "))
 
 
+#: What stands before and after the expanded query in a hypothetical passage.
+PASSAGE = (
+    "In modern distributed systems, ",
+    ".\nThe system handles this through a combination of horizontal scaling,\nload balancing, and fault-tolerant design patterns.\n"
+    "Autoscaling policies adjust the number of running instances based on\nobserved metrics such as CPU utilisation and request queue depth.\n"
+    "This ensures consistent performance during traffic spikes and peak load\nconditions while maintaining low latency and high availability.",
+)
+#: Beginnings of variants, and what is left out of the query behind them.
+VARIANTS = (("What mechanisms are used for ", ("how does", "how is")), ("What are the challenges and solutions for ", ("how",)))
+
+
 def hyde(query: Column) -> Column:
     """A passage such as an answer might hold."""
-    rest = (
-        ".\nThe system handles this through a combination of horizontal scaling,\nload balancing, and fault-tolerant design patterns.\n"
-        "Autoscaling policies adjust the number of running instances based on\nobserved metrics such as CPU utilisation and request queue depth.\n"
-        "This ensures consistent performance during traffic spikes and peak load\nconditions while maintaining low latency and high availability."
-    )
-    return F.concat(F.lit("In modern distributed systems, "), full(query), F.lit(rest))
+    return F.concat(F.lit(PASSAGE[0]), full(query), F.lit(PASSAGE[1]))
 
 
 def keywords_added(query: Column, expanded: Column) -> Column:
@@ -64,10 +70,8 @@ def keywords_added(query: Column, expanded: Column) -> Column:
 def variants(query: Column, max_variants: int = 3) -> Column:
     """The query, one on mechanisms, one on challenges, and the full expansion; the first max_variants of them, each once."""
 
-    def without(*parts: str) -> Column:
-        return F.trim(reduce(lambda c, p: F.replace(c, F.lit(p), F.lit("")), parts, F.lower(query)))
-
-    made = F.array(query, F.concat(F.lit("What mechanisms are used for "), without("how does", "how is"), F.lit("?")), F.concat(F.lit("What are the challenges and solutions for "), without("how"), F.lit("?")), full(query))
+    bare = lambda parts: F.trim(reduce(lambda c, p: F.replace(c, F.lit(p), F.lit("")), parts, F.lower(query)))
+    made = F.array(query, *[F.concat(F.lit(begin), bare(parts), F.lit("?")) for begin, parts in VARIANTS], full(query))
     return F.array_distinct(F.slice(made, 1, max_variants))
 
 

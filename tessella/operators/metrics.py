@@ -48,9 +48,9 @@ def query_metrics(hits: DataFrame, n_rel: DataFrame, ks: tuple[int, ...] = KS, b
     return rows.select(*out)
 
 
-def long_form(wide: DataFrame, keys: tuple[str, ...] = ("query_id", "strategy")) -> DataFrame:
+def long_form(wide: DataFrame, keys: tuple[str, ...] = ("query_id", "strategy"), others: tuple[str, ...] = ("seconds",)) -> DataFrame:
     """keys, metric, value."""
-    return wide.unpivot([c for c in keys if c in wide.columns], [c for c in wide.columns if c not in keys], "metric", "value")
+    return wide.unpivot([c for c in keys if c in wide.columns], [c for c in wide.columns if c not in (*keys, *others)], "metric", "value")
 
 
 def mean_metrics(long: DataFrame, by: tuple[str, ...] = ("strategy",), digits: int = 4) -> DataFrame:
@@ -79,15 +79,43 @@ def verdict(delta: Column) -> Column:
     return F.when(delta > 0.1, "strong improvement").when(delta > 0, "slight improvement").when(delta < -0.05, "decline").otherwise("comparable")
 
 
+#: So many queries go to the chunks at once.
+BANK_BLOCK = 500
+
+
 def keyword_relevance(chunks: DataFrame, bank: DataFrame) -> DataFrame:
-    """query_id, chunk_id of the chunks that hold a keyword of a query, whatever its case. The bank (query_id, keywords) is small and
-    goes to the chunks as one array, so that a chunk is searched where it lies."""
-    rows = bank.select("query_id", F.transform("keywords", F.lower).alias("keywords")).agg(F.collect_list(F.struct("query_id", "keywords")).alias("bank"))
+    """query_id, chunk_id of the chunks that hold a keyword of a query, whatever its case.
+
+    The bank (query_id, keywords) goes to the chunks in blocks of queries, a row each, so that a chunk is searched where it lies."""
+    rows = bank.select("query_id", F.transform("keywords", F.lower).alias("keywords"))
+    n_blocks = -(-max(1, rows.count()) // BANK_BLOCK)
+    blocks = rows.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "keywords")).alias("bank"))
     low = F.lower(F.col("text"))
-    found = chunks.crossJoin(F.broadcast(rows)).select("chunk_id", F.filter("bank", lambda q: F.exists(q["keywords"], lambda w: F.contains(low, w))).alias("hit"))
+    met = chunks.crossJoin(F.broadcast(blocks) if n_blocks == 1 else blocks)
+    found = met.select("chunk_id", F.filter("bank", lambda q: F.exists(q["keywords"], lambda w: F.contains(low, w))).alias("hit"))
     return found.select("chunk_id", F.explode("hit.query_id").alias("query_id")).select("query_id", "chunk_id")
 
 
+def ground_truth(relevant: DataFrame, fallback: DataFrame) -> DataFrame:
+    """relevant (query_id, chunk_id), and for queries without any the first of fallback's ranked hits."""
+    first = fallback.where("rank = 1").select("query_id", "chunk_id")
+    return relevant.unionByName(first.join(relevant.select("query_id").distinct(), "query_id", "left_anti"))
+
+
+def judged(hits: DataFrame, relevant: DataFrame) -> DataFrame:
+    """hits with is_rel."""
+    marked = hits.join(relevant.withColumn("is_rel", F.lit(True)), ["query_id", "chunk_id"], "left")
+    return marked.withColumn("is_rel", F.coalesce("is_rel", F.lit(False)))
+
+
+def summary(means: DataFrame, wins: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """One row of text: what changed from a to b in the mean reciprocal rank, the wins and a verdict."""
+    mrr = compare(means, a, b).where("metric = 'mrr'")
+    delta = F.col("value_b") - F.col("value_a")
+    text = F.format_string(f"MRR {a} %.4f, {b} %.4f (%+.4f): %s; wins {a} %d, {b} %d, ties %d", "value_a", "value_b", delta, verdict(delta), "wins_a", "wins_b", "ties")
+    return mrr.crossJoin(F.broadcast(wins)).select(verdict(delta).alias("verdict"), text.alias("summary"))  # one row each
+
+
 def latency_profile(rows: DataFrame, value: str, by: str) -> DataFrame:
     """n, mean, standard deviation and 95th percentile for each by."""
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_value"), F.stddev_samp(value).alias("std_value"), F.percentile(value, F.lit(0.95)).alias("p95_value"))

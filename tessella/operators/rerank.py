@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
 import pandas as pd
@@ -40,5 +41,15 @@ def rerank_by_overlap(candidates: DataFrame, top_n: int) -> DataFrame:
     return top_k(scored, top_n, best="cross_encoder_score")
 
 
+Reranker = Callable[[DataFrame, int], DataFrame]
+
+
+def reranker(enabled: bool = True, scorer: PairScorer | None = None) -> Reranker:
+    """A function of candidates and how many to keep: by the model, else by overlap; disabled, in their order."""
+    if not enabled:
+        return no_rerank
+    return (lambda rows, n: rerank_by_model(rows, scorer, n)) if scorer else rerank_by_overlap
+
+
 def no_rerank(candidates: DataFrame, top_n: int) -> DataFrame:
     return candidates.where(F.col("rank") <= top_n)

@@ -1,19 +1,26 @@
-"""Vector normalisation, exact top-k search and an inverted-file index."""
+"""Vector normalisation, exact top-k search and an inverted-file index.
+
+Vectors that are null, empty, or hold null or non-finite components take no part; a query meets the vectors
+of its own length."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.bm25 import top_k
 
-#: So many queries (some MB) are sent to all tasks at once; more take further passes over the vectors.
+#: So many queries (some MB) are sent to all tasks at once; more meet the vectors in pairs of blocks.
 BLOCK_QUERIES = 4_096
-METRICS = ("cosine", "inner_product", "euclidean")
+#: Most rows of a block of vectors, and most cells of a matrix of scores.
+BLOCK_ROWS = 16_384
+SCORE_CELLS = 4_000_000
+METRICS = ("cosine", "inner_product", "euclidean", "squared_euclidean")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -30,61 +37,103 @@ def l2_normalised(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / length)
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
+def usable(rows: DataFrame, key: str) -> DataFrame:
+    """key, embedding (doubles) and its length of the vectors that take part."""
+    v = F.col("embedding")
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    kept = rows.select(key, v.cast("array<double>").alias("embedding")).where(v.isNotNull() & (F.size(v) > 0) & fine)
+    return kept.withColumn("width", F.size("embedding"))
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+def _unit(x: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(x, axis=1)
+    return x / np.where(length == 0, 1, length)[:, None]
+
+
+class _Comparison:
+    """The k best rows for each query; rows as good as the k-th to six digits are left to the merge."""
+
+    def __init__(self, k: int, metric: str, other_ids: bool):
+        self.k, self.metric, self.other_ids = k, metric, other_ids
+
+    def __call__(self, q_ids: pa.Array, q: np.ndarray, ids: pa.Array, x: np.ndarray) -> pa.RecordBatch:
+        plain, found = self.metric in ("inner_product", "cosine"), []
+        if self.metric == "cosine":
+            q, x = _unit(q), _unit(x)
+        step = max(1, SCORE_CELLS // max(1, len(q)))
+        q_names, names = (np.array(c.to_pylist()) for c in (q_ids, ids)) if self.other_ids else (None, None)
+        for at in range(0, len(x) if len(q) else 0, step):
+            part = x[at : at + step]
+            score = q @ part.T if plain else 2 * q @ part.T - (q * q).sum(1)[:, None] - (part * part).sum(1)
+            if self.other_ids:
+                score[q_names[:, None] == names[None, at : at + step]] = -np.inf
+            k = min(self.k, len(part))
+            cut = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+            slack = 1e-6 if plain else 1e-5 * (1 + np.abs(cut)[:, None])
+            at_q, at_x = np.nonzero((score >= cut[:, None] - slack) & np.isfinite(score))
+            exact = score[at_q, at_x] if plain else -((part[at_x] - q[at_q]) ** 2).sum(1)
+            found.append((at_q, at_x + at, -np.sqrt(-exact) if self.metric == "euclidean" else exact))
+        rows, columns, scores = (np.concatenate([f[n] for f in found]) if found else np.empty(0, t) for n, t in enumerate((int, int, float)))
+        return pa.RecordBatch.from_arrays([q_ids.take(pa.array(rows)), ids.take(pa.array(columns)), pa.array(scores)], ["query_id", "vec_id", "score"])
+
+
+def _types(rows: DataFrame, asked: DataFrame) -> str:
+    return f"query_id {asked.schema['query_id'].dataType.simpleString()}, vec_id {rows.schema['vec_id'].dataType.simpleString()}, score double"
+
+
+def in_blocks(rows: DataFrame, asked: DataFrame, keys: list[str], few_keys: bool, compare: Callable) -> DataFrame:
+    """What compare() finds where rows (keys, vec_id, embedding) and queries (keys, query_id, embedding) have equal keys.
+
+    A key's rows and its queries are cut into blocks of bounded size, and each block of one meets each of the other in a
+    task of its own, so that no key is too large for one."""
+    count = lambda df, most, name: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+    sizes = count(rows, BLOCK_ROWS, "n_rows").join(count(asked, BLOCK_QUERIES, "n_asked"), keys)
+    sizes = F.broadcast(sizes) if few_keys else sizes
+    salt = lambda c, n: F.pmod(F.xxhash64(F.lit(11), c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(sizes, keys).withColumn("asked_block", salt("query_id", "n_asked")).select(*keys, "asked_block", "query_id", "embedding", each("n_rows").alias("block"))
+    right = rows.join(sizes, keys).withColumn("block", salt("vec_id", "n_rows")).select(*keys, "block", "vec_id", "embedding", each("n_asked").alias("asked_block"))
+    by = [*keys, "block", "asked_block"]
+
+    def run(questions: pa.Table, there: pa.Table) -> pa.Table:
+        if not questions.num_rows or not there.num_rows:
+            return pa.table({"query_id": questions.column("query_id").slice(0, 0), "vec_id": there.column("vec_id").slice(0, 0), "score": pa.array([], pa.float64())})
+        width = len(questions.column("embedding")[0])
+        q, x = _matrix(questions.column("embedding"), width), _matrix(there.column("embedding"), width)
+        return pa.Table.from_batches([compare(questions.column("query_id").combine_chunks(), q, there.column("vec_id").combine_chunks(), x)])
+
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, _types(rows, asked))
+
+
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", other_ids: bool = False) -> DataFrame:
     """query_id, vec_id, score, rank from vectors (vec_id, embedding) and queries (query_id, embedding).
 
-    Queries go to the tasks in blocks of bounded size; each task multiplies matrices and keeps its k best
-    rows for a query, and these are merged. A euclidean score is the negative distance."""
+    Tasks multiply matrices and keep their k best rows for a query, and these are merged. Queries are counted first: one block
+    of them is sent to the vectors where they lie; more stay distributed, and blocks of both sides meet in tasks.
+    (Squared) Euclidean scores are negative distances. With other_ids, a row with the query's own id is no answer."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    spark = vectors.sparkSession
-    rows = vectors.where(F.col("embedding").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    types = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {vectors.schema['vec_id'].dataType.simpleString()}, score double"
-    found = spark.createDataFrame([], types)
-
-    def searched(part: pa.Table) -> DataFrame:
-        ids = part.column("query_id").to_pylist()
-        width = len(part.column("embedding")[0])
-        q = _matrix(part.column("embedding").combine_chunks(), width)
-        if metric == "cosine":
-            q = q / np.where((n := np.linalg.norm(q, axis=1)) == 0, 1, n)[:, None]
-        sent = spark.sparkContext.broadcast((ids, q))
+    rows, asked = usable(vectors, "vec_id"), usable(queries, "query_id")
+    compare = _Comparison(k, metric, other_ids)
+    if asked.limit(BLOCK_QUERIES + 1).count() > BLOCK_QUERIES:
+        return top_k(in_blocks(rows, asked, ["width"], True, compare), k, tie="vec_id")
+    block = asked.toArrow()
+    sent = vectors.sparkSession.sparkContext.broadcast({w: block.filter(pa.compute.equal(block.column("width"), w)) for w in set(block.column("width").to_pylist())})
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, q = sent.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x, own = _matrix(batch.column("embedding"), q.shape[1]), batch.column("vec_id")
-                if metric == "cosine":
-                    x = x / np.where((n := np.linalg.norm(x, axis=1)) == 0, 1, n)[:, None]
-                score = -np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] - 2 * q @ x.T + (x * x).sum(1))) if metric == "euclidean" else q @ x.T
-                # one more than k by score to six digits, so that ties are left to the merge
-                rounded = np.round(score, 6)
-                cut = -np.partition(-rounded, min(k, x.shape[0]) - 1, axis=1)[:, min(k, x.shape[0]) - 1]
-                at_q, at_x = np.nonzero(rounded >= cut[:, None] - 1e-9)
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at_q.tolist()]), own.take(pa.array(at_x)), pa.array(score[at_q, at_x])], ["query_id", "vec_id", "score"])
-
-        return rows.mapInArrow(run, types)
-
-    # a block of queries at a time reaches the driver, never all of them
-    block: list = []
-    for row in asked.toLocalIterator():
-        block.append(row)
-        if len(block) == BLOCK_QUERIES:
-            found, block = found.unionByName(searched(_table(block))), []
-    if block:
-        found = found.unionByName(searched(_table(block)))
-    return top_k(found, k, tie="vec_id")
-
-
-def _table(rows: list) -> pa.Table:
-    return pa.table({"query_id": pa.array([r["query_id"] for r in rows]), "embedding": pa.array([r["embedding"] for r in rows], pa.list_(pa.float64()))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for width, questions in sent.value.items():
+                mine = batch.filter(pa.compute.equal(batch.column("width"), width))
+                if mine.num_rows:
+                    yield compare(questions.column("query_id").combine_chunks(), _matrix(questions.column("embedding"), width), mine.column("vec_id"), _matrix(mine.column("embedding"), width))
+
+    return top_k(rows.mapInArrow(run, _types(rows, asked)), k, tie="vec_id")
 
 
 def clipped(score: Column) -> Column:
@@ -92,41 +141,59 @@ def clipped(score: Column) -> Column:
 
 
 class InvertedFile:
-    """Vectors in cells around centres that k-means finds on a bounded sample; a query looks at its nearest cells.
+    """Vectors in cells around centres that k-means finds on a bounded sample; a query looks at its n_probe nearest cells.
 
     With fewer vectors than cells the search is exact."""
 
-    def __init__(self, vectors: DataFrame, n_cells: int = 100, sample_rows: int = 20_000, seed: int = 7):
+    def __init__(self, vectors: DataFrame, n_cells: int = 100, n_probe: int = 10, sample_rows: int = 20_000, seed: int = 7):
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
-        self.vectors, self.n_cells, self.centres = vectors, n_cells, None
-        sample = vectors.where(F.col("embedding").isNotNull()).orderBy(F.xxhash64(F.lit(seed), "vec_id")).limit(sample_rows)
-        sample = sample.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).cache()
-        if sample.count() >= n_cells:
-            model = KMeans(k=n_cells, seed=seed, maxIter=10).fit(sample)
+        self.vectors, self.n_cells, self.n_probe, self.centres = vectors, n_cells, n_probe, None
+        fine = usable(vectors, "vec_id")
+        sample = fine.orderBy(F.xxhash64(F.lit(seed), "vec_id")).limit(sample_rows).cache()
+        widths = sample.groupBy("width").count().orderBy(F.desc("count"), "width").head(1)
+        if widths and widths[0]["count"] >= n_cells:
+            self.width = widths[0]["width"]
+            unit = l2_normalised(F.col("embedding"))
+            model = KMeans(k=n_cells, seed=seed, maxIter=10).fit(sample.where(F.col("width") == self.width).select(array_to_vector(unit).alias("features")))
             self.centres = np.array(model.clusterCenters())
         sample.unpersist()
 
-    def with_cells(self, rows: DataFrame, n: int) -> DataFrame:
-        """rows with cells: the n nearest cells of each embedding."""
+    def with_cells(self, rows: DataFrame, key: str, n: int) -> DataFrame:
+        """key, embedding and cells: the n nearest cells of each vector."""
         centres = self.centres
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = _matrix(batch.column("embedding"), centres.shape[1]) if batch.num_rows else np.empty((0, centres.shape[1]))
-                far = (centres * centres).sum(1) - 2 * x @ centres.T
-                cells = np.argsort(far, axis=1)[:, :n]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells.tolist(), pa.list_(pa.int64()))], [*batch.schema.names, "cells"])
+                if batch.num_rows:
+                    far = (centres * centres).sum(1) - 2 * _unit(_matrix(batch.column("embedding"), centres.shape[1])) @ centres.T
+                    yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("embedding"), pa.array(np.argsort(far, axis=1)[:, :n].tolist(), pa.list_(pa.int32()))], [key, "embedding", "cells"])
+
+        kept = usable(rows, key).where(F.col("width") == self.width).drop("width")
+        return kept.mapInArrow(run, f"{key} {kept.schema[key].dataType.simpleString()}, embedding array<double>, cells array<int>")
 
-        kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-        return rows.mapInArrow(run, f"{kind}, cells array<long>")
+    def indexed(self) -> DataFrame:
+        """vec_id, embedding, cell: a table to write by cell."""
+        return self.with_cells(self.vectors, "vec_id", 1).select("vec_id", "embedding", F.col("cells")[0].alias("cell"))
 
-    def search(self, queries: DataFrame, k: int, n_probe: int = 10) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, other_ids: bool = False) -> DataFrame:
         """query_id, vec_id, score (cosine), rank."""
         if self.centres is None:
-            return exact_top_k(self.vectors, queries, k)
-        plain = lambda df, key: df.where(F.col("embedding").isNotNull()).select(key, F.col("embedding").cast("array<double>").alias("embedding"))
-        rows = self.with_cells(plain(self.vectors, "vec_id"), 1).select("vec_id", l2_normalised(F.col("embedding")).alias("v"), F.col("cells")[0].alias("cell"))
-        asked = self.with_cells(plain(queries, "query_id"), n_probe).select("query_id", l2_normalised(F.col("embedding")).alias("q"), F.explode("cells").alias("cell"))
-        return top_k(asked.join(rows, "cell").select("query_id", "vec_id", dot(F.col("q"), F.col("v")).alias("score")), k, tie="vec_id")
+            return exact_top_k(self.vectors, queries, k, other_ids=other_ids)
+        asked = self.with_cells(queries, "query_id", self.n_probe).select("query_id", "embedding", F.explode("cells").alias("cell"))
+        return top_k(in_blocks(self.indexed(), asked, ["cell"], True, _Comparison(k, "cosine", other_ids)), k, tie="vec_id")
+
+
+STORES = ("flat", "ivf")
+
+
+def store(kind: str, vectors: DataFrame, n_cells: int = 100, n_probe: int = 10) -> DataFrame | InvertedFile:
+    """What search_store() searches: the vectors themselves, or an inverted file over them."""
+    if kind not in STORES:
+        raise ValueError(f"a store is one of {STORES}")
+    return vectors if kind == "flat" else InvertedFile(vectors, n_cells, n_probe)
+
+
+def search_store(searched: DataFrame | InvertedFile, queries: DataFrame, k: int) -> DataFrame:
+    return searched.search(queries, k) if isinstance(searched, InvertedFile) else exact_top_k(searched, queries, k)

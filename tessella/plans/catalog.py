@@ -143,7 +143,7 @@ def chunk_stats(spark, tables):
     return _chunks(tables).groupBy("source").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("tokens").alias("n_tokens"), F.max("tokens").alias("most_tokens"), F.count_distinct("doc_id").alias("n_docs"))
 
 
-@query()
+@query(f"WITH {o.SECTIONS} SELECT * FROM sections")
 def chunk_sections(spark, tables):
     """Sections of documents at their headers."""
     return chunking.sections(tables("documents").select("doc_id", "text"))
@@ -160,6 +160,15 @@ def streaming_chunks(spark, tables):
     return spark.read.parquet(f"{scratch.root}/out")
 
 
+@query(f"""WITH {o.SECTIONS},{o.cleaned('sections', 'doc_id, section_index, section', 's_')},{o.cut('doc_id, section_index, section', '', 'section_index, pos', 's_')}
+SELECT chunk_id, doc_id, section_index, section, chunk_index, char_start, char_end, tokens, text FROM s_chunks""")
+def section_chunks(spark, tables):
+    """Documents cut at their headers, then each section cleaned and cut; chunks are numbered over the document."""
+    return chunking.chunked_by_section(tables("documents").select("doc_id", "text"), text.preprocess).select(
+        "chunk_id", "doc_id", "section_index", "section", "chunk_index", "char_start", "char_end", "tokens", "text"
+    )
+
+
 # ---- BM25
 
 
@@ -168,7 +177,7 @@ def tokenise(spark, tables):
     return _chunks(tables).select("chunk_id", F.array_join(bm25.terms(F.col("text")), " ").alias("terms"))
 
 
-@query(f"WITH {o.CHUNKS}, {o.bm25(K)} SELECT term, df, round(idf, 9) AS idf FROM stats")
+@query(f"WITH {o.CHUNKS}, {o.BM25_STATS} SELECT term, df, round(idf, 9) AS idf FROM stats")
 def bm25_term_stats(spark, tables):
     return bm25.index(_chunks(tables).select("chunk_id", "text"), save=Scratch(spark, "catalog").save).stats.select("term", "df", F.round("idf", 9).alias("idf"))
 
@@ -179,6 +188,16 @@ def bm25_topk(spark, tables):
     return bm25.search(idx, _asked(tables), K).select("query_id", "chunk_id", "score", "rank", F.round("norm_score", 6).alias("norm_score"))
 
 
+@query(f"""WITH {o.CHUNKS}, {o.bm25(60)},
+filled AS (SELECT query_id, chunk_id, score FROM bm UNION ALL SELECT query_id, chunk_id, 0e0 FROM (SELECT item_id AS query_id FROM benchmark), (SELECT chunk_id FROM chunks ORDER BY chunk_id LIMIT 120) c
+    WHERE (query_id, chunk_id) NOT IN (SELECT query_id, chunk_id FROM bm) AND query_id IN (SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM bm WHERE rank = 60)))
+SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM filled) WHERE rank <= 60""")
+def bm25_include_zero(spark, tables):
+    """Lists of 60 chunks, filled up with chunks that match nothing."""
+    _, idx = _saved(spark, tables)
+    return bm25.search(idx, _asked(tables), 60, include_zero=True).select("query_id", "chunk_id", "score", "rank")
+
+
 # ---- vectors
 
 
@@ -196,10 +215,15 @@ def dense_topk_inner_product(spark, tables):
     return vectors.exact_top_k(tables("embeddings"), _queries(tables), 10, "inner_product")
 
 
-@query(f"WITH {o.vectors(10, o.EUCLID)} SELECT query_id, vec_id, round(score, 4) AS score, rank FROM found WHERE vec_id <> query_id")
+@query(f"WITH {o.vectors(10, o.EUCLID, others=True)} SELECT * FROM found")
 def dense_topk_euclid(spark, tables):
-    found = vectors.exact_top_k(tables("embeddings"), _queries(tables), 10, "euclidean")
-    return found.where("vec_id <> query_id").withColumn("score", F.round("score", 4))
+    return vectors.exact_top_k(tables("embeddings"), _queries(tables), 10, "euclidean", other_ids=True)
+
+
+@query(f"WITH {o.vectors(10, o.SQUARED, others=True)} SELECT query_id, vec_id, score, -score AS distance, rank FROM found")
+def dense_topk_squared(spark, tables):
+    found = vectors.exact_top_k(tables("embeddings"), _queries(tables), 10, "squared_euclidean", other_ids=True)
+    return found.withColumn("distance", -F.col("score"))
 
 
 @query(f"WITH {o.vectors(10, o.COSINE)} SELECT * FROM found WHERE score >= 5e-1")
@@ -218,7 +242,7 @@ def l2_normalise(spark, tables):
 def ivf_topk(spark, tables):
     """Approximate search through cells of k-means; recall is tested against the exact search."""
     rows = tables("embeddings")
-    return vectors.InvertedFile(rows, n_cells=32).search(_queries(tables), 10, n_probe=10)
+    return vectors.InvertedFile(rows, n_cells=32, n_probe=18).search(_queries(tables), 10)
 
 
 _LISTS = f"{o.vectors(20, o.COSINE, 'l0')},{o.vectors(20, o.EUCLID, 'l1')}"
@@ -275,13 +299,54 @@ def hybrid_linear(spark, tables):
     return _hybrid(spark, tables, "linear")
 
 
-@query()
+@query(f"WITH {o.CHUNKS},{o.CHUNK_VECTORS},{o.enhanced(K, '25e-2')} SELECT * FROM b")
 def strategy_b(spark, tables):
     """Expanded multi-query search with fusion and reranking."""
     chunks, index = _vectors(spark, tables)
     return strategies.strategy_b(index, chunks, _asked(tables), EMBEDDER, K, threshold=0.25)
 
 
+def _benchmark(spark, tables) -> DataFrame:
+    """Metrics of strategies A and B for every benchmark passage; relevant are chunks that hold one of its first two runs of three words."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), 0)
+    runs = F.array(*[F.array_join(F.slice(words, at, 3), " ") for at in (1, 4)])
+    bank = tables("benchmark").select(F.col("item_id").alias("query_id"), F.filter(runs, lambda r: r != "").alias("keywords"))
+    chunks, index = _vectors(spark, tables)
+    scratch = Scratch(spark, "catalog")
+    a = scratch.save(strategies.strategy_a(index, _asked(tables), EMBEDDER, K).select("query_id", "chunk_id", "score", "rank"), "a")
+    b = strategies.strategy_b(index, chunks, _asked(tables), EMBEDDER, K)
+    b = scratch.save(b.select("query_id", "chunk_id", F.col("cross_encoder_score").alias("score"), "rank"), "b")
+    relevant = scratch.save(metrics.ground_truth(metrics.keyword_relevance(chunks, bank), b), "relevant")
+    n_rel = relevant.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n_rel"))
+    hits = a.withColumn("strategy", F.lit("a")).unionByName(b.withColumn("strategy", F.lit("b")))
+    return metrics.query_metrics(metrics.judged(hits, relevant), n_rel, by=("strategy",), digits=6)
+
+
+_RUNS = "list_filter([array_to_string(w[1:3], ' '), array_to_string(w[4:6], ' ')], lambda x: x <> '')"
+_BENCH = f"""{o.CHUNKS},{o.dense(K)},{o.enhanced(K, '0e0')},
+bank AS (SELECT query_id, {_RUNS} AS keywords FROM (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM benchmark)),
+held AS MATERIALIZED (SELECT query_id, chunk_id FROM bank, chunks WHERE len(list_filter(keywords, lambda w: contains(text, w))) > 0),
+relevant AS MATERIALIZED (SELECT * FROM held UNION ALL SELECT query_id, chunk_id FROM b WHERE rank = 1 AND query_id NOT IN (SELECT query_id FROM held)),
+n_rel AS (SELECT query_id, count(*)::INTEGER AS n_rel FROM relevant GROUP BY 1),
+bench AS (SELECT h.*, r.chunk_id IS NOT NULL AS is_rel FROM (SELECT query_id, 'a' AS strategy, chunk_id, score, rank FROM dense UNION ALL SELECT query_id, 'b', chunk_id, cross_encoder_score, rank FROM b) h
+    LEFT JOIN relevant r ON r.query_id = h.query_id AND r.chunk_id = h.chunk_id),
+{o.metrics('bench')}"""
+
+
+@query(f"WITH {_BENCH} SELECT * FROM wide")
+def benchmark_metrics(spark, tables):
+    return _benchmark(spark, tables)
+
+
+@query(f"""WITH {_BENCH}, means AS (SELECT round(avg(mrr) FILTER (strategy = 'a'), 4) AS a, round(avg(mrr) FILTER (strategy = 'b'), 4) AS b FROM wide),
+wins AS (SELECT count(*) FILTER (x.mrr > y.mrr) AS wins_a, count(*) FILTER (y.mrr > x.mrr) AS wins_b, count(*) FILTER (x.mrr = y.mrr) AS ties FROM (SELECT * FROM wide WHERE strategy = 'a') x JOIN (SELECT * FROM wide WHERE strategy = 'b') y USING (query_id)),
+said AS (SELECT *, CASE WHEN b - a > 1e-1 THEN 'strong improvement' WHEN b - a > 0 THEN 'slight improvement' WHEN b - a < -5e-2 THEN 'decline' ELSE 'comparable' END AS verdict FROM means, wins)
+SELECT verdict, printf('MRR a %.4f, b %.4f (%+.4f): %s; wins a %d, b %d, ties %d', a, b, b - a, verdict, wins_a, wins_b, ties) AS summary FROM said""")
+def benchmark_summary(spark, tables):
+    wide = Scratch(spark, "catalog").save(_benchmark(spark, tables), "wide")
+    return metrics.summary(metrics.mean_metrics(metrics.long_form(wide)), metrics.win_loss_tie(wide, "a", "b"))
+
+
 @query(f"""WITH {o.CHUNKS}, {o.dense(K)}, {o.bm25(K)}
 SELECT coalesce(d.query_id, b.query_id) AS query_id, coalesce(d.rank, b.rank) AS rank, d.chunk_id AS chunk_a, d.score AS score_a, b.chunk_id AS chunk_b, b.score AS score_b
 FROM dense d FULL JOIN bm b ON d.query_id = b.query_id AND d.rank = b.rank""")
@@ -324,14 +389,15 @@ def expand_full(spark, tables):
     return _expanded(tables, "full")
 
 
-@query()
+@query(_expansion_sql(f"{o.quoted(expansion.PASSAGE[0])} || full_query || {o.quoted(expansion.PASSAGE[1])}", "'hyde'"))
 def expand_hyde(spark, tables):
     return _expanded(tables, "hyde")
 
 
-@query()
+@query(f"WITH {o.expansion(_TURNS)}, v AS (SELECT id, {o.once('l')} AS v FROM (SELECT id, {o.variants('query', 'full_query')} AS l FROM expanded)) SELECT id, (unnest(range(1, len(v) + 1)) - 1)::INTEGER AS variant_id, unnest(v) AS variant FROM v")
 def query_variants(spark, tables):
-    return expansion.expand(_turns(tables)).select("conv_id", "turn", F.posexplode("variants").alias("variant_id", "variant"))
+    rows = _turns(tables).withColumn("id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    return expansion.expand(rows).select("id", F.posexplode("variants").alias("variant_id", "variant"))
 
 
 # ---- evaluation
@@ -350,21 +416,21 @@ def keyword_ground_truth(spark, tables):
 
 
 def _judged(tables) -> tuple[DataFrame, DataFrame]:
-    """Two strategies' hits for the query vectors, relevant if of the same label, and the number of relevant rows of each query."""
+    """Two strategies' hits for the query vectors but themselves, relevant if of the same label, and the number of relevant rows of each query."""
     rows = tables("embeddings")
     label = rows.select("vec_id", "label")
     asked = _queries(tables).join(label.withColumnRenamed("vec_id", "query_id").withColumnRenamed("label", "query_label"), "query_id")
-    runs = [vectors.exact_top_k(rows, _queries(tables), 10, m).withColumn("strategy", F.lit(s)) for s, m in (("a", "cosine"), ("b", "euclidean"))]
-    hits = runs[0].unionByName(runs[1]).where("vec_id <> query_id").join(label, "vec_id").join(asked.select("query_id", "query_label"), "query_id")
+    runs = [vectors.exact_top_k(rows, _queries(tables), 10, m, other_ids=True).withColumn("strategy", F.lit(s)) for s, m in (("a", "cosine"), ("b", "euclidean"))]
+    hits = runs[0].unionByName(runs[1]).join(label, "vec_id").join(asked.select("query_id", "query_label"), "query_id")
     hits = hits.select("query_id", "strategy", "rank", "score", (F.col("label") == F.col("query_label")).alias("is_rel"))
-    sizes = rows.groupBy(F.col("label").alias("query_label")).agg(F.count(F.lit(1)).cast("int").alias("n_rel"))
+    sizes = rows.groupBy(F.col("label").alias("query_label")).agg((F.count(F.lit(1)) - 1).cast("int").alias("n_rel"))
     return hits, asked.join(sizes, "query_label").select("query_id", "n_rel")
 
 
-_JUDGED = f"""{o.vectors(10, o.COSINE, 'ra')},{o.vectors(10, o.EUCLID, 'rb')},
+_JUDGED = f"""{o.vectors(10, o.COSINE, 'ra', True)},{o.vectors(10, o.EUCLID, 'rb', True)},
 hits AS (SELECT r.query_id, strategy, rank, score, v.label = q.label AS is_rel FROM (SELECT *, 'a' AS strategy FROM ra UNION ALL SELECT *, 'b' FROM rb) r
-    JOIN embeddings v USING (vec_id) JOIN embeddings q ON q.vec_id = r.query_id WHERE r.vec_id <> r.query_id),
-n_rel AS (SELECT vec_id AS query_id, n_rel FROM embeddings JOIN (SELECT label, count(*)::INTEGER AS n_rel FROM embeddings GROUP BY 1) USING (label) WHERE vec_id % 100 = 0),
+    JOIN embeddings v USING (vec_id) JOIN embeddings q ON q.vec_id = r.query_id),
+n_rel AS (SELECT vec_id AS query_id, n_rel FROM embeddings JOIN (SELECT label, (count(*) - 1)::INTEGER AS n_rel FROM embeddings GROUP BY 1) USING (label) WHERE vec_id % 100 = 0),
 {o.metrics('hits')}"""
 _NAMES = ["mrr", *(f"{m}_at_{k}" for k in metrics.KS for m in ("precision", "recall", "hit_rate", "ap", "ndcg"))]
 _MEANS = f"{_JUDGED}, long AS (UNPIVOT (SELECT query_id, strategy, {', '.join(_NAMES)} FROM wide) ON {', '.join(_NAMES)} INTO NAME metric VALUE value), means AS (SELECT strategy, metric, round(avg(value), 6) AS mean_value FROM long GROUP BY 1, 2)"
@@ -375,9 +441,9 @@ def _wide(tables) -> DataFrame:
     return metrics.query_metrics(hits, n_rel, by=("strategy",), digits=6)
 
 
-@query(f"WITH {_JUDGED} SELECT * EXCLUDE (semantic_score_at_1, semantic_score_at_3, semantic_score_at_5) FROM wide")
+@query(f"WITH {_JUDGED} SELECT * FROM wide")
 def retrieval_metrics(spark, tables):
-    return _wide(tables).drop(*[f"semantic_score_at_{k}" for k in metrics.KS])
+    return _wide(tables)
 
 
 @query(f"WITH {_MEANS} SELECT * FROM means")

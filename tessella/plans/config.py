@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, fields
 
 
@@ -22,6 +23,9 @@ class RetrievalConfig:
     n_cells: int = 100
     n_probe: int = 10
     keep_sections: bool = True
+    model: str = "hashing"
+    cache: str = "none"
+    cache_path: str = ""
 
     def __post_init__(self):
         if self.chunk_overlap >= self.chunk_size:
@@ -30,6 +34,8 @@ class RetrievalConfig:
             raise ValueError("top_k must be between 1 and 50")
         if self.fusion not in ("rrf", "linear") or self.index not in ("flat", "ivf"):
             raise ValueError("unknown fusion or index")
+        if self.cache != "none" and not self.cache_path:
+            raise ValueError("a cache needs a cache_path")
 
     @classmethod
     def of(cls, settings: dict) -> RetrievalConfig:
@@ -37,3 +43,19 @@ class RetrievalConfig:
         if unknown := set(settings) - {f.name for f in fields(cls)}:
             raise ValueError(f"unknown settings: {sorted(unknown)}")
         return cls(**settings)
+
+    @classmethod
+    def read(cls, path: str) -> RetrievalConfig:
+        """From a file of settings: lines "name: value", in sections or not, as YAML writes them; without the file, the defaults."""
+        if not os.path.exists(path):
+            return cls()
+        kinds, settings = {f.name: f.type for f in fields(cls)}, {}
+        with open(path, encoding="utf-8") as file:
+            for line in file:
+                name, _, value = line.split(" #")[0].partition(":")
+                name, value = name.strip(), value.strip().strip("\"'")
+                if not value or name.startswith("#"):
+                    continue
+                as_type = {"int": int, "float": float, "bool": lambda v: v.lower() in ("true", "yes", "on", "1")}.get(kinds.get(name, ""), str)
+                settings[name] = as_type(value)
+        return cls.of(settings)

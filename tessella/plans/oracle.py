@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from tessella.functions.lexicon import DOMAIN_TERMS, GENERIC_TERMS, SYNONYMS
 from tessella.operators.bm25 import STOPWORDS
+from tessella.operators.chunking import HEADER
+from tessella.operators.expansion import VARIANTS
 
 
 def quoted(text: str) -> str:
@@ -57,39 +59,65 @@ def spaces(t: str) -> str:
     return blank_lines(rx(t, r"[ \t]+", " "))
 
 
-#: clean (doc_id, source, text): documents after the whole preprocessing.
-CLEAN = f"""
-c1 AS (SELECT doc_id, source, {boilerplate('m')} AS t FROM (SELECT doc_id, source, {markdown('nfc_normalize(text)')} AS m FROM documents)),
-c2 AS (SELECT doc_id, source, {lines('t')} AS l FROM c1),
-clean AS (SELECT doc_id, source, {strip(spaces(punctuation(f"lower({repeated_lines('l')})")))} AS text FROM c2)"""
+def cleaned(source: str = "documents", keys: str = "doc_id, source", p: str = "") -> str:
+    """{p}clean (keys, text): texts of source (keys, text) after the whole preprocessing."""
+    return f"""
+{p}c1 AS (SELECT {keys}, {boilerplate('m')} AS t FROM (SELECT {keys}, {markdown('nfc_normalize(text)')} AS m FROM {source})),
+{p}c2 AS (SELECT {keys}, {lines('t')} AS l FROM {p}c1),
+{p}clean AS MATERIALIZED (SELECT {keys}, {strip(spaces(punctuation(f"lower({repeated_lines('l')})")))} AS text FROM {p}c2)"""
+
 
+def cut(keys: str, section: str, order: str, p: str = "") -> str:
+    """{p}chunks: windows of {p}clean, numbered within a document by order."""
+    return f"""
+{p}w0 AS (SELECT {keys}, text AS t, unnest(range(0, length(text), 448)) AS pos FROM {p}clean WHERE length(text) > 0),
+{p}w1 AS (SELECT *, least(pos + 512, length(t)) AS e0 FROM {p}w0),
+{p}w2 AS (SELECT *, regexp_extract(substr(t, e0 + 1, 80), '^(.*?[.!?])\\s', 1, 's') AS s FROM {p}w1),
+{p}w3 AS (SELECT {keys}, pos, CASE WHEN e0 < length(t) AND s <> '' THEN e0 + length(s) + 1 ELSE e0 END AS char_end, t FROM {p}w2),
+{p}w4 AS (SELECT *, substr(t, pos + 1, char_end - pos) AS raw FROM {p}w3),
+{p}chunks AS MATERIALIZED (SELECT doc_id::VARCHAR || '_chunk_' || (row_number() OVER (PARTITION BY doc_id ORDER BY {order}) - 1) AS chunk_id, {keys},
+    (row_number() OVER (PARTITION BY doc_id ORDER BY {order}) - 1)::INTEGER AS chunk_index, pos::INTEGER AS char_start, char_end::INTEGER AS char_end,
+    len(list_filter(regexp_split_to_array(raw, '\\s+'), lambda x: x <> ''))::INTEGER AS tokens, {section}{strip('raw')} AS text
+    FROM {p}w4 WHERE length({strip('raw')}) >= 50)"""
+
+
+CLEAN = cleaned()
 #: chunks (chunk_id, doc_id, chunk_index, char_start, char_end, tokens, section, text, source): windows of clean.
-CHUNKS = f"""{CLEAN},
-w0 AS (SELECT doc_id, source, text AS t, unnest(range(0, length(text), 448)) AS pos FROM clean WHERE length(text) > 0),
-w1 AS (SELECT *, least(pos + 512, length(t)) AS e0 FROM w0),
-w2 AS (SELECT *, regexp_extract(substr(t, e0 + 1, 80), '^(.*?[.!?])\\s', 1, 's') AS s FROM w1),
-w3 AS (SELECT doc_id, source, pos, CASE WHEN e0 < length(t) AND s <> '' THEN e0 + length(s) + 1 ELSE e0 END AS char_end, t FROM w2),
-w4 AS (SELECT *, substr(t, pos + 1, char_end - pos) AS raw FROM w3),
-chunks AS (SELECT doc_id::VARCHAR || '_chunk_' || (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1) AS chunk_id, doc_id,
-    (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INTEGER AS chunk_index, pos::INTEGER AS char_start, char_end::INTEGER AS char_end,
-    len(list_filter(regexp_split_to_array(raw, '\\s+'), lambda x: x <> ''))::INTEGER AS tokens, 'general' AS section, {strip('raw')} AS text, source
-    FROM w4 WHERE length({strip('raw')}) >= 50)"""
+CHUNKS = f"{CLEAN},{cut('doc_id, source', quoted('general') + ' AS section, ', 'pos')}"
+
+#: sections (doc_id, section_index, section, text, offset): documents cut at their headers.
+SECTIONS = f"""
+s0 AS (SELECT doc_id, translate(coalesce(text, ''), chr(1) || chr(2) || chr(3), '   ') AS whole FROM documents),
+s1 AS (SELECT doc_id, whole, string_split(regexp_replace(whole, {quoted('(?m)' + HEADER)}, chr(1) || '\\0' || chr(2) || '\\1\\2\\3' || chr(3), 'g'), chr(1)) AS l FROM s0),
+s2 AS (SELECT doc_id, whole, unnest(l) AS x, generate_subscripts(l, 1) AS part FROM s1),
+s3 AS (SELECT doc_id, whole, part, CASE WHEN part = 1 THEN '' ELSE split_part(x, chr(2), 1) END AS head, CASE WHEN part = 1 THEN 'preamble' ELSE lower({strip('split_part(split_part(x, chr(3), 1), chr(2), 2)')})[:60] END AS name,
+    CASE WHEN part = 1 THEN x ELSE split_part(x, chr(3), 2) END AS body FROM s2),
+s4 AS (SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY doc_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begins,
+    count(*) OVER (PARTITION BY doc_id) AS n_parts, count(*) FILTER ({strip('body')} <> '') OVER (PARTITION BY doc_id) AS n_filled FROM s3),
+s5 AS (SELECT *, n_parts = 1 OR n_filled = 0 AS alone FROM s4),
+sections AS MATERIALIZED (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1)::INTEGER AS section_index, CASE WHEN alone THEN 'general' ELSE name END AS section,
+    CASE WHEN alone THEN whole ELSE {strip('body')} END AS text, CASE WHEN alone THEN 0 ELSE begins END::INTEGER AS "offset" FROM s5 WHERE CASE WHEN alone THEN part = 1 ELSE {strip('body')} <> '' END)"""
 
 
 def terms(t: str) -> str:
     return f"list_filter(regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 2 AND w NOT IN ({', '.join(map(quoted, STOPWORDS))}))"
 
 
-def bm25(k: int) -> str:
-    """found (query_id, chunk_id, score, rank, norm_score): the k best chunks of each benchmark passage."""
-    return f"""
-listed AS (SELECT chunk_id, {terms('text')} AS l FROM chunks),
-postings AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(l) AS term FROM listed) GROUP BY 1, 2),
+#: stats (term, df, idf) and what scores need of chunks.
+BM25_STATS = f"""
+listed AS MATERIALIZED (SELECT chunk_id, {terms('text')} AS l FROM chunks),
+postings AS MATERIALIZED (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(l) AS term FROM listed) GROUP BY 1, 2),
 lengths AS (SELECT chunk_id, len(l) AS dl FROM listed),
 totals AS (SELECT count(*) AS n_chunks, avg(dl) AS avgdl FROM lengths),
 df AS (SELECT term, count(*) AS df FROM postings GROUP BY 1),
-raw AS (SELECT term, df, ln((n_chunks - df + 5e-1) / (df + 5e-1)) AS r FROM df, totals),
-stats AS (SELECT term, df, CASE WHEN r < 0 THEN 25e-2 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
+raw AS MATERIALIZED (SELECT term, df, ln((n_chunks - df + 5e-1) / (df + 5e-1)) AS r FROM df, totals),
+stats AS (SELECT term, df, CASE WHEN r < 0 THEN 25e-2 * m ELSE r END AS idf FROM raw, (SELECT avg(r) AS m FROM raw))"""
+
+
+def bm25(k: int) -> str:
+    """bm (query_id, chunk_id, score, rank, norm_score): the k best chunks of each benchmark passage."""
+    return f"""
+{BM25_STATS.lstrip()},
 wanted AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({terms('text')}) AS term FROM benchmark) GROUP BY 1, 2),
 scored AS (SELECT query_id, chunk_id, round(sum(qtf * idf * tf * 25e-1 / (tf + 15e-1 * (25e-2 + 75e-2 * dl / avgdl))), 6) AS score
     FROM wanted JOIN stats USING (term) JOIN postings USING (term) JOIN lengths USING (chunk_id), totals GROUP BY 1, 2),
@@ -107,26 +135,63 @@ def hashed(name: str, source: str, key: str, text: str) -> str:
 {name} AS (SELECT {key}, place, v / n AS v FROM {name}_p JOIN {name}_n USING ({key}) WHERE n > 0)"""
 
 
-def dense(k: int, source: str = "(SELECT item_id AS query_id, text AS query FROM benchmark)", key: str = "query_id") -> str:
-    """dense (key, chunk_id, score, rank): the k chunks nearest to each query by hashed vectors."""
-    return f"""{hashed('cv', 'chunks', 'chunk_id', 'text')},{hashed('qv', source, key, 'query')},
-dots AS (SELECT {key}, chunk_id, sum(q.v * c.v) AS d FROM qv q JOIN cv c USING (place) GROUP BY 1, 2),
-pairs AS (SELECT a.{key}, c.chunk_id, round(coalesce(d, 0e0), 6) AS s FROM (SELECT {key} FROM {source}) a CROSS JOIN chunks c LEFT JOIN dots d ON d.{key} = a.{key} AND d.chunk_id = c.chunk_id),
-dense AS (SELECT {key}, chunk_id, greatest(0e0, least(1e0, s)) AS score, rank::INTEGER AS rank
-    FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY s DESC, chunk_id) AS rank FROM pairs) WHERE rank <= {k})"""
+ASKED = "(SELECT item_id AS query_id, text AS query FROM benchmark)"
+CHUNK_VECTORS = hashed("cv", "chunks", "chunk_id", "text")
+
+
+def nearest(k: int, source: str, key: str, p: str = "") -> str:
+    """{p}dense (key, chunk_id, score, rank): the k chunks nearest to each query of source (key, query) by hashed vectors."""
+    return f"""{hashed(f'{p}qv', source, key, 'query')},
+{p}dots AS (SELECT {key}, chunk_id, sum(q.v * c.v) AS d FROM {p}qv q JOIN cv c USING (place) GROUP BY 1, 2),
+{p}pairs AS (SELECT a.{key}, c.chunk_id, round(coalesce(d, 0e0), 6) AS s FROM (SELECT {key} FROM {source}) a CROSS JOIN chunks c LEFT JOIN {p}dots d ON d.{key} = a.{key} AND d.chunk_id = c.chunk_id),
+{p}dense AS MATERIALIZED (SELECT {key}, chunk_id, greatest(0e0, least(1e0, s)) AS score, rank::INTEGER AS rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY s DESC, chunk_id) AS rank FROM {p}pairs) WHERE rank <= {k})"""
+
+
+def dense(k: int) -> str:
+    return f"{CHUNK_VECTORS},{nearest(k, ASKED, 'query_id')}"
+
+
+def variants(q: str, f: str, most: int = 3) -> str:
+    """The variants of a query q whose full expansion is f."""
+
+    def without(parts) -> str:
+        out = f"lower({q})"
+        for part in parts:
+            out = f"replace({out}, {quoted(part)}, '')"
+        return f"trim({out})"
+
+    made = ", ".join([q, *(f"{quoted(begin)} || {without(parts)} || '?'" for begin, parts in VARIANTS), f])
+    return f"[{made}][:{most}]"
+
+
+def enhanced(k: int, threshold: str) -> str:
+    """b (query_id, chunk_id, rrf_score, raw_score, cross_encoder_score, rank): expanded multi-query search of the benchmark passages."""
+    lists = "(SELECT id, query, list_concat([full_query], v) AS l FROM (SELECT *, " + variants("query", "full_query") + " AS v FROM expanded))"
+    return f"""{expansion("(SELECT item_id AS id, text AS query FROM benchmark)")},
+lists AS MATERIALIZED (SELECT id AS query_id, query AS asked, {once('l')} AS l FROM {lists}),
+each AS MATERIALIZED (SELECT query_id, asked, len(l) AS n_lists, query_id::VARCHAR || '-' || k AS kid, l[k] AS query FROM (SELECT *, unnest(range(1, len(l) + 1)) AS k FROM lists)),
+{nearest(2 * k, 'each', 'kid', 'x')},
+fused AS (SELECT query_id, asked, chunk_id, round(least(1e0, sum(1e0 / (60 + rank)) / any_value(n_lists)), 9) AS rrf_score, max(score) AS raw_score FROM xdense JOIN each USING (kid) GROUP BY 1, 2, 3),
+few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) AS r FROM fused) WHERE r <= {2 * k}),
+met AS (SELECT f.*, list_distinct({terms('asked')}) AS w, {terms('c.text')} AS t FROM few f JOIN chunks c USING (chunk_id)),
+paired AS (SELECT *, round(1e0 / (1e0 + exp(-(8e0 * len(list_filter(w, lambda x: list_contains(t, x))) / greatest(1, len(w)) - 4e0))), 6) AS cross_encoder_score FROM met),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cross_encoder_score DESC, chunk_id) AS place FROM paired),
+b AS MATERIALIZED (SELECT query_id, chunk_id, rrf_score, raw_score, cross_encoder_score, row_number() OVER (PARTITION BY query_id ORDER BY place)::INTEGER AS rank FROM best WHERE place <= {k} AND raw_score >= {threshold})"""
 
 
-def vectors(k: int, score: str, name: str = "found") -> str:
-    """name (query_id, vec_id, score, rank): the k best vectors for each vector whose id is divisible by 100."""
+def vectors(k: int, score: str, name: str = "found", others: bool = False) -> str:
+    """name (query_id, vec_id, score, rank): the k best vectors (others: but itself) for each vector whose id is divisible by 100."""
     return f"""
 {name} AS (SELECT query_id, vec_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
     FROM (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, round({score}, 6) AS score
-        FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0) q, (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) v)) WHERE rank <= {k})"""
+        FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0) q, (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) v{' WHERE q.vec_id <> v.vec_id' if others else ''})) WHERE rank <= {k})"""
 
 
 COSINE = "list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e)))"
 INNER = "list_dot_product(q.e, v.e)"
 EUCLID = "-list_distance(q.e, v.e)"
+SQUARED = "-list_sum(list_transform(list_zip(q.e, v.e), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
 
 
 def matched(q: str, table: dict[str, list[str]], n: int) -> str:

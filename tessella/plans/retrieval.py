@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.text import preprocess
-from tessella.operators import bm25, chunking, metrics, strategies
-from tessella.operators.embedding import Embedder, HashingEmbedder, embedded
+from tessella.operators import bm25, chunking, embedding, metrics, rerank, strategies, vectors
+from tessella.operators.embedding import Embedder, embedded
 from tessella.plans.config import RetrievalConfig
 from tessella.plans.scratch import Scratch
 from tessella.plans.ship import ship
@@ -17,12 +19,16 @@ from tessella.sources import readers, writers
 class RetrievalPipeline:
     """Chunks, vectors and BM25 tables are written once to the shared folder; each retrieval reads what it needs of them."""
 
-    def __init__(self, spark: SparkSession, config: RetrievalConfig = RetrievalConfig(), embedder: Embedder | None = None):
+    def __init__(self, spark: SparkSession, config: RetrievalConfig = RetrievalConfig(), embedder: Embedder | None = None, scorer: rerank.PairScorer | None = None):
         ship(spark)
         self.spark, self.config = spark, config
-        self.embedder = embedder or HashingEmbedder(config.embedding_dim)
+        self.embedder = embedder or embedding.embedder(config.model, config.embedding_dim)
+        self.reranker = rerank.reranker(config.reranking, scorer)
+        self.cache = embedding.cache_of(config.cache, spark, config.cache_path)
+        self.telemetry: dict[str, float] = {}
         self.chunks: DataFrame | None = None
-        self.index: DataFrame | None = None
+        self.vectors: DataFrame | None = None
+        self.index: strategies.Index | None = None
         self.terms: bm25.Bm25Index | None = None
         self._scratch = Scratch(spark, "retrieval")
         self._turn = 0
@@ -39,22 +45,28 @@ class RetrievalPipeline:
         docs = readers.union(parts)
         cfg = self.config
         if cfg.keep_sections:
-            named = chunking.sections(docs)
-            cut = named.join(docs.select("doc_id", "source", "metadata"), "doc_id")
-            cut = cut.withColumn("text", preprocess(F.col("text"))).withColumn("part", F.concat_ws("_s", "doc_id", F.col("section_index").cast("string")))
-            rows = chunking.chunked(cut.withColumnRenamed("offset", "section_offset"), cfg.chunk_size, cfg.chunk_overlap, cfg.min_chunk_size, key="part")
-            rows = chunking.numbered(rows.drop("chunk_index")).withColumn("chunk_id", F.concat_ws("_chunk_", "doc_id", F.col("chunk_index").cast("string"))).drop("part")
+            rows = chunking.chunked_by_section(docs, preprocess, cfg.chunk_size, cfg.chunk_overlap, cfg.min_chunk_size)
         else:
             rows = chunking.chunked(docs.withColumn("text", preprocess(F.col("text"))), cfg.chunk_size, cfg.chunk_overlap, cfg.min_chunk_size)
         self._turn += 1
         self.chunks = self._scratch.save(rows, f"chunks{self._turn}")
-        self.index = self.terms = None
+        self.index = self.terms = self.vectors = None
         return self.chunks
 
     def build(self) -> None:
         if self.chunks is None:
             raise RuntimeError("ingest documents first")
-        self.index = self._scratch.save(embedded(self.chunks.select("chunk_id", "text"), self.embedder).select("chunk_id", "embedding"), f"vectors{self._turn}")
+        texts = self.chunks.select("chunk_id", "text")
+        if self.cache:
+            made, self.telemetry = embedding.embed_with_cache(texts, self.embedder, self.cache)
+        else:
+            made = embedded(texts, self.embedder)
+        self._indexed(self._scratch.save(made.select("chunk_id", "embedding"), f"vectors{self._turn}"))
+
+    def _indexed(self, made: DataFrame) -> None:
+        """Builds what searches read from chunks and their vectors."""
+        cfg, self.vectors = self.config, made
+        self.index = made if cfg.index == "flat" else vectors.store(cfg.index, made.withColumnRenamed("chunk_id", "vec_id"), cfg.n_cells, cfg.n_probe)
         self.terms = bm25.index(self.chunks, save=lambda df, name: self._scratch.save(df, f"{name}{self._turn}"))
 
     def num_chunks(self) -> int:
@@ -73,7 +85,7 @@ class RetrievalPipeline:
     def retrieve_enhanced(self, queries: DataFrame, top_k: int | None = None, mode: str | None = None) -> DataFrame:
         self._built()
         cfg = self.config
-        return self._texts(strategies.strategy_b(self.index, self.chunks, queries, self.embedder, top_k or cfg.top_k, mode or cfg.expansion_mode, cfg.max_variants, cfg.similarity_threshold))
+        return self._texts(strategies.strategy_b(self.index, self.chunks, queries, self.embedder, top_k or cfg.top_k, mode or cfg.expansion_mode, cfg.max_variants, cfg.similarity_threshold, self.reranker))
 
     def retrieve_hybrid(self, queries: DataFrame, top_k: int | None = None) -> DataFrame:
         self._built()
@@ -84,23 +96,27 @@ class RetrievalPipeline:
         return hits.join(self.chunks.select("chunk_id", "text", "source", "section"), "chunk_id")
 
     def benchmark(self, bank: DataFrame, top_k: int | None = None) -> DataFrame:
-        """Metrics of strategies A and B for every query of a bank (query_id, query, keywords); relevance is by keywords."""
+        """Metrics of strategies A and B for every query of a bank (query_id, query, keywords); relevance is by keywords, or B's
+        first hit where no chunk has one. seconds: what a strategy took for the whole bank."""
         self._built()
-        queries = bank.select("query_id", "query")
-        relevant = self._scratch.save(metrics.keyword_relevance(self.chunks, bank), f"relevant{self._turn}")
+        queries, runs, took = bank.select("query_id", "query"), {}, {}
+        for name, search in (("a", self.retrieve_raw), ("b", self.retrieve_enhanced)):
+            began = time.monotonic()
+            hits = search(queries, top_k)
+            hits = hits if name == "a" else hits.withColumn("score", F.coalesce("cross_encoder_score", "raw_score"))
+            runs[name] = self._scratch.save(hits.select("query_id", "rank", "chunk_id", "score"), f"hits-{name}{self._turn}")
+            took[name] = time.monotonic() - began
+        relevant = self._scratch.save(metrics.ground_truth(metrics.keyword_relevance(self.chunks, bank), runs["b"]), f"relevant{self._turn}")
         n_rel = relevant.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n_rel"))
-        runs = []
-        for name, hits in (("a", self.retrieve_raw(queries, top_k)), ("b", self.retrieve_enhanced(queries, top_k).withColumn("score", F.col("cross_encoder_score")))):
-            judged = hits.select("query_id", "rank", "chunk_id", "score").join(relevant.withColumn("is_rel", F.lit(True)), ["query_id", "chunk_id"], "left")
-            runs.append(metrics.query_metrics(judged.withColumn("is_rel", F.coalesce("is_rel", F.lit(False))), n_rel).withColumn("strategy", F.lit(name)))
-        return runs[0].unionByName(runs[1])
+        made = [metrics.query_metrics(metrics.judged(hits, relevant), n_rel).withColumns({"strategy": F.lit(name), "seconds": F.lit(took[name])}) for name, hits in runs.items()]
+        return made[0].unionByName(made[1])
 
     def save_index(self, path: str) -> None:
         self._built()
         writers.save_index(self.chunks, f"{path}/chunks")
-        writers.save_index(self.index, f"{path}/vectors")
+        writers.save_index(self.index.indexed().withColumnRenamed("vec_id", "chunk_id") if isinstance(self.index, vectors.InvertedFile) and self.index.centres is not None else self.vectors, f"{path}/vectors")
 
     def load_index(self, path: str) -> None:
-        self.chunks, self.index = writers.load_index(self.spark, f"{path}/chunks"), writers.load_index(self.spark, f"{path}/vectors")
+        self.chunks = writers.load_index(self.spark, f"{path}/chunks")
         self._turn += 1
-        self.terms = bm25.index(self.chunks, save=lambda df, name: self._scratch.save(df, f"{name}{self._turn}"))
+        self._indexed(writers.load_index(self.spark, f"{path}/vectors").select("chunk_id", "embedding"))

@@ -26,6 +26,13 @@ def _decoded(content):
 
 def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """Text, markdown and JSON files of a folder, or one file. A JSON file may hold a list of objects, {"documents": [...]} or one object."""
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        raise FileNotFoundError(path)
+    if files.getFileStatus(at).isFile() and not name.lower().endswith(SUFFIXES):
+        raise ValueError(f"a document file ends in one of {SUFFIXES}: {path}")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     name = F.element_at(F.split(F.col("path"), "/"), -1)
     suffix = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators import metrics
+
 
 def save_index(index: DataFrame, path: str) -> None:
     """An index table (chunk_id, embedding, ...), by cell if it has cells."""
@@ -18,18 +21,33 @@ def load_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    report.write.mode("overwrite").json(path)
+def write_report(report: DataFrame, folder: str, name: str | None = None) -> str:
+    """Writes folder/benchmark_<time>: one JSON object for each query and strategy, and beside it the means, as Spark writes them. Returns its path."""
+    path = f"{folder}/{name or time.strftime('benchmark_%Y%m%d_%H%M%S')}"
+    means = metrics.mean_metrics(metrics.long_form(report))
+    values = [c for c in report.columns if c not in ("query_id", "strategy")]
+    nested = report.select("query_id", "strategy", F.struct(*values).alias("metrics")).groupBy("query_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("strategy", "metrics")))).alias("strategies"))
+    nested.write.mode("overwrite").json(f"{path}/queries")
+    means.groupBy("strategy").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "mean_value")))).alias("means")).write.mode("overwrite").json(f"{path}/means")
+    return path
+
+
+#: A change of a mean beyond this is marked.
+MARKED = 0.01
 
 
-def markdown_report(means: DataFrame) -> str:
-    """A table of metrics by strategy, a row for each metric, from (strategy, metric, mean_value)."""
-    rows = means.groupBy("metric").pivot("strategy").agg(F.first("mean_value")).orderBy("metric").collect()
+def markdown_report(report: DataFrame, a: str = "a", b: str = "b", most_queries: int = 50) -> str:
+    """Means of both strategies with their difference (up, down or level), the summary, and a block for each of the first most_queries queries."""
+    means = metrics.mean_metrics(metrics.long_form(report))
+    rows = metrics.compare(means, a, b).orderBy("metric").collect()
     if not rows:
         return ""
-    names = [c for c in rows[0].asDict() if c != "metric"]
-    head = f"| metric | {' | '.join(names)} |\n|---|{'---|' * len(names)}\n"
-    return head + "".join(f"| {r['metric']} | {' | '.join('' if r[n] is None else f'{r[n]:.4f}' for n in names)} |\n" for r in rows)
+    flag = lambda d: "up" if d > MARKED else "down" if d < -MARKED else "level"
+    lines = [metrics.summary(means, metrics.win_loss_tie(report, a, b), a, b).head()["summary"], "", f"| metric | {a} | {b} | change | |", "|---|---|---|---|---|"]
+    lines += [f"| {r['metric']} | {r['value_a']:.4f} | {r['value_b']:.4f} | {r['delta']:+.4f} | {flag(r['delta'])} |" for r in rows]
+    for r in report.orderBy("query_id", "strategy").limit(2 * most_queries).collect():
+        lines += ["", f"### query {r['query_id']}, strategy {r['strategy']}", f"MRR {r['mrr']:.4f}, precision@1 {r['precision_at_1']:.4f}, recall@5 {r['recall_at_5']:.4f}, nDCG@5 {r['ndcg_at_5']:.4f}"]
+    return "\n".join(lines) + "\n"
 
 
 def envelope(hits: DataFrame) -> DataFrame:
@@ -43,6 +61,9 @@ def as_json(hits: DataFrame, limit: int = 100) -> str:
     return json.dumps([r.asDict(recursive=True) for r in envelope(hits).limit(limit).collect()], default=str)
 
 
-def newest_reports(spark: SparkSession, folder: str, n: int = 20) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "benchmark_*").option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", "modificationTime", "length").orderBy(F.desc("path")).limit(n)
+def newest_reports(spark: SparkSession, folder: str, n: int = 20) -> list[str]:
+    """Paths of the newest reports that write_report() wrote into a folder; their names hold the time."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in files.listStatus(at)] if files.exists(at) else []
+    return sorted((p.toString() for p in found if p.getName().startswith("benchmark_")), reverse=True)[:n]

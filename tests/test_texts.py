@@ -14,6 +14,27 @@ def test_nfkc_and_ascii(spark):
     assert one(spark, text.nfkc, None) is None
 
 
+def test_nfkc_equals_python(spark, sf):
+    import unicodedata
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.concat("text", F.lit(" ﬀ ① ２ ㎏ ½ ⅷ ﾊﾟ e\u0301 \ufdfa")).alias("t"))
+    assert all(r.n == unicodedata.normalize("NFKC", r.t) for r in docs.select("t", text.nfkc(F.col("t")).alias("n")).collect())
+
+
+def test_cleaning_is_the_steps_in_turn(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.concat(F.lit("x ① **b**\n# Head line here\n"), "text").alias("t"))
+    steps = text.squeeze_spaces(text.squeeze_punctuation(F.lower(text.drop_repeated_lines(text.drop_boilerplate_lines(text.strip_markdown(text.nfkc(F.col("t"))))))))
+    rows = docs.select(text.preprocess(F.col("t")).alias("a"), text.strip(steps).alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
+
+
+def test_cleaning_runs_once(spark, sf):
+    from tessella.plans import catalog
+
+    frame = catalog.QUERIES["chunk_sentence_aligned"](spark, sf)
+    assert frame._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_markdown(spark):
     assert one(spark, text.strip_markdown, "# Head\n**bold** and `code` [link](http://x)\n-----\n```py\nx=1\n```") == "Head\nbold and code link\n\npy\nx=1"
 
