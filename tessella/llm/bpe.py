@@ -17,17 +17,15 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.texts import slices
+from tessella.llm.texts import per_row
 
 #: Fixed value: how byte-level BPE splits a text before it merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -79,9 +77,11 @@ class ForcedBoundaryBpe:
         merged = [self.ids[a + b] for a, b in self.ranks]
         if merged != sorted(merged) or len(self.ids) != 256 + len(self.ranks) or max(self.ids[bytes([b])] for b in range(256)) > min(merged):
             return self.merge
-        import tiktoken
-
-        return tiktoken.Encoding("fragments", pat_str=PATTERN, mergeable_ranks=self.ids, special_tokens={})._encode_single_piece
+        try:
+            import tiktoken
+        except ImportError:
+            return self.merge
+        return getattr(tiktoken.Encoding("fragments", pat_str=PATTERN, mergeable_ranks=self.ids, special_tokens={}), "_encode_single_piece", self.merge)
 
     def cut(self, word: bytes) -> list[bytes]:
         """The fragments between certain cuts."""
@@ -188,17 +188,16 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 def _mapped(docs: DataFrame, columns: list[str], results: list[tuple], make) -> DataFrame:
-    """columns of docs and what make(text, bpe) gives for each row, in one pass without a shuffle. results: name, Spark type, Arrow type."""
-    columns = [c for c in columns if c not in {r[0] for r in results}]
+    """columns of docs and what make(text) gives for each row. results: name, Spark type, Arrow type."""
+
+    def maker():
+        def run(texts: pa.Array) -> list[pa.Array]:
+            made = zip(*(make(text or "") for text in texts.to_pylist()), strict=True)
+            return [pa.array(x, r[2]) for x, r in zip(made, results, strict=True)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text"):
-            made = list(zip(*(make(text or "") for text in batch.column("__text").to_pylist()), strict=True))
-            arrays = [pa.array(x, r[2]) for x, r in zip(made, results, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + arrays, [*columns, *(r[0] for r in results)])
+        return run
 
-    schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField(r[0], r[1]) for r in results])
-    return docs.select(*columns, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return per_row(docs, columns, "text", [T.StructField(r[0], r[1]) for r in results], maker)
 
 
 def encoded(docs: DataFrame, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -224,15 +223,12 @@ def encoded_and_checked(docs: DataFrame, path: str, columns: list[str]) -> DataF
 
 def decoded(docs: DataFrame, path: str, columns: list[str] | None = None) -> DataFrame:
     """Columns of docs but token_ids, and the text that token_ids decode to (null: '')."""
-    columns = [c for c in (docs.columns if columns is None else columns) if c not in ("token_ids", "decoded_text")]
+    columns = [c for c in (docs.columns if columns is None else columns) if c != "token_ids"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [loaded(path).decode(ids or []) for ids in batch.column("token_ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(texts, pa.string())], [*columns, "decoded_text"])
+    def maker():
+        return lambda ids: [pa.array([loaded(path).decode(x or []) for x in ids.to_pylist()], pa.string())]
 
-    schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField("decoded_text", T.StringType())])
-    return docs.select(*columns, "token_ids").mapInArrow(run, schema)
+    return per_row(docs, columns, "token_ids", [T.StructField("decoded_text", T.StringType())], maker)
 
 
 def lengths(docs: DataFrame, path: str, columns: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ A tree is built with the tags that HTML lets authors leave out (ends of paragrap
 rows, and what an end tag closes on its way); rules of visibility drop what a browser does not show; the
 rest is written as text: white space collapsed as in a browser, blocks on lines of their own, paragraphs,
 lists, tables and headings apart by an empty line, items marked and indented, table cells aligned in
-columns, preformatted text as it is. All visible text is kept, navigation and footers too.
+columns, the lines of a cell (its paragraphs, lists and preformatted text) below each other, preformatted text as it is. All visible text is kept, navigation and footers too.
 
 Defined cases: a null or empty page gives ''; markup that never closes is closed at the end; a '<' that
 opens no tag is text; deep nesting needs no recursion; equal pages give equal texts; a column of the
@@ -15,14 +15,12 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.texts import slices
+from tessella.llm.texts import per_row
 
 _token = re.compile(
     r"""<!--(?:.*?)(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+(?:>|\Z)|</([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)|<([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^"'>])*+)>|<([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.DOTALL
@@ -228,39 +226,52 @@ class Flow:
         return "\n".join(self.lines).strip("\n")
 
 
-def aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
-    """Lines of a table from rows of (text, columns, rows) cells; columns are as wide as their widest cell of one column."""
-    grid: list[dict[int, str]] = []
-    taken: dict[tuple[int, int], bool] = {}
+def placed(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[int, list[str], bool]]]:
+    """For each row its cells (column, lines, whether the cell is one column wide), where spans of cells above and before let them stand.
+
+    What a row takes of later rows is kept as ranges of columns with the last row they reach, so that a span costs the same whatever its size."""
+    below: list[tuple[int, int, int]] = []  # first and last column, last row
+    out = []
     for r, row in enumerate(rows):
-        cells, c = {}, 0
-        for value, wide, high in row:
-            while (r, c) in taken:
-                c += 1
-            cells[c] = value
-            for dr in range(min(high, len(rows) - r)):
-                for dc in range(wide):
-                    taken[r + dr, c + dc] = dr == 0 and dc == 0 and wide == 1
+        below = [x for x in below if x[2] >= r]
+        taken, cells, c, new, i = sorted(x[:2] for x in below), [], 0, [], 0
+        for lines, wide, high in row:
+            while i < len(taken) and taken[i][0] <= c:
+                c = max(c, taken[i][1] + 1)
+                i += 1
+            cells.append((c, lines, wide == 1))
+            if high > 1:
+                new.append((c, c + wide - 1, r + high - 1))
             c += wide
-        grid.append(cells)
+        below += new
+        out.append(cells)
+    return out
+
+
+def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of a table from rows of (lines, columns, rows) cells. Columns are as wide as their widest cell of one column; a row is as
+    high as its highest cell, and the lines of a cell stay below each other."""
+    grid = placed(rows)
     widths: dict[int, int] = {}
-    for r, cells in enumerate(grid):
-        for c, value in cells.items():
-            if taken[r, c]:
-                widths[c] = max(widths.get(c, 0), len(value))
-    lines = []
     for cells in grid:
-        line, starts, at = "", {}, 0
-        for c in range(max(cells, default=-1) + 1):
-            starts[c] = at
-            at += widths.get(c, 0) + (2 if widths.get(c, 0) else 0)
-        for c in sorted(cells):
-            if cells[c]:
-                line = (line.rstrip() + "  ").ljust(starts[c]) if line.strip() and len(line) > starts[c] else line.ljust(starts[c])
-                line += cells[c]
-        if line.strip():
-            lines.append(line.rstrip())
-    return lines
+        for c, lines, single in cells:
+            if single:
+                widths[c] = max(widths.get(c, 0), max(map(len, lines), default=0))
+    starts, at = {}, 0
+    columns = sorted({c for cells in grid for c, _, _ in cells})
+    for c in columns:
+        starts[c] = at
+        at += widths.get(c, 0) + (2 if widths.get(c, 0) else 0)
+    out = []
+    for cells in grid:
+        for k in range(max((len(lines) for _, lines, _ in cells), default=0)):
+            line = ""
+            for c, lines, _ in cells:
+                if k < len(lines) and lines[k]:
+                    line = (line.rstrip() + "  ").ljust(starts[c]) if line.strip() and len(line) > starts[c] else line.ljust(starts[c])
+                    line += lines[k]
+            out.append(line.rstrip())
+    return out
 
 
 def render(page: str | None) -> str:
@@ -269,7 +280,7 @@ def render(page: str | None) -> str:
         return ""
     flows = [Flow()]
     lists: list[list] = []  # kind, number of the next item, indent outside
-    tables: list[list[list[tuple[str, int, int]]]] = []
+    tables: list[list[list[tuple[list[str], int, int]]]] = []
     work: list[tuple[str, Node | str]] = [("in", tree(page))]
     pre = 0
     while work:
@@ -314,14 +325,17 @@ def render(page: str | None) -> str:
             work.extend(("in", child) for child in reversed(node.children))
             continue
         if tag in ("td", "th") and tables and len(flows) > 1:
-            value = " ".join(flows.pop().text().split())
-            tables[-1][-1].append((value, node.number("colspan"), node.number("rowspan")))
+            value = flows.pop().text()
+            tables[-1][-1].append((value.split("\n") if value else [], node.number("colspan"), node.number("rowspan")))
             continue
         if tag == "table" and tables:
             rows = tables.pop()
             for line in aligned(rows):
-                flow.as_is(line)
-                flow.end_line()
+                if line:
+                    flow.as_is(line)
+                    flow.end_line()
+                elif flow.lines:
+                    flow.lines.append("")
         if tag in ("ul", "ol", "menu", "dir", "dd", "blockquote") and lists:
             flow.end_line()
             flow.indent = lists.pop()[2]
@@ -341,14 +355,14 @@ def render(page: str | None) -> str:
 
 def extracted(pages: DataFrame, columns: list[str] | None = None, source: str = "html") -> DataFrame:
     """Columns of pages (default: all but the page itself), visible_text, n_chars and n_lines for each row; one pass without a shuffle."""
-    results = ("visible_text", "n_chars", "n_lines")
-    columns = [c for c in (pages.columns if columns is None else columns) if c not in (*results, source)]
+    results = [T.StructField("visible_text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_lines", T.LongType())]
+    columns = [c for c in (pages.columns if columns is None else columns) if c != source]
+
+    def maker():
+        def make(found: pa.Array) -> list[pa.Array]:
+            texts = [render(page) for page in found.to_pylist()]
+            return [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array([t.count("\n") + 1 if t else 0 for t in texts], pa.int64())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__html"):
-            texts = [render(page) for page in batch.column("__html").to_pylist()]
-            made = [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array([t.count("\n") + 1 if t else 0 for t in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + made, [*columns, *results])
+        return make
 
-    schema = T.StructType([pages.schema[c] for c in columns] + [T.StructField("visible_text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_lines", T.LongType())])
-    return pages.select(*columns, F.col(source).alias("__html")).mapInArrow(run, schema)
+    return per_row(pages, columns, source, results, maker)

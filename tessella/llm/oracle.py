@@ -23,6 +23,8 @@ SELECT doc_id, n AS n_shingles, min(other) AS component_id FROM reach JOIN sizes
 
 
 def quality(r: QualityRules = QualityRules()) -> str:
+    quoted = [p.replace("'", "''") for p in BOILERPLATE]
+    phrases = " + ".join(f"{p.count(' ') + 1} * ((length(low) - length(replace(low, '{p}', ''))) // {len(p.replace(chr(39) * 2, chr(39)))})" for p in quoted)
     return f"""
 WITH listed AS (SELECT doc_id, coalesce(text, '') AS t, {_words('text')} AS l FROM documents),
 windows AS (SELECT doc_id, i, l[i:i + 4]::VARCHAR AS w FROM (SELECT doc_id, l, unnest(range(1, len(l) - 3)) AS i FROM listed)),
@@ -30,17 +32,18 @@ often AS (SELECT doc_id, i FROM windows JOIN (SELECT doc_id, w FROM windows GROU
 covered AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM often) GROUP BY 1),
 cut AS (SELECT doc_id, t, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM listed),
 lines AS (SELECT *, {_words('line')} AS ws, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) > 1 AS again FROM cut),
-filled AS (SELECT *, len(ws) AS n, len(list_filter(ws, lambda w: suffix(w, '!!') OR suffix(w, '??'))) AS marked, len(list_distinct(ws)) AS n_distinct,
+filled AS (SELECT *, len(ws) AS n, lower(line) AS low, len(list_filter(ws, lambda w: NOT regexp_matches(w, '[\\p{{L}}\\p{{N}}]'))) AS wordless,
+    len(list_filter(ws, lambda w: regexp_matches(w, '^\\p{{Lu}}') AND NOT regexp_matches(w, '[.!?,;:]$'))) AS titles, len(list_filter(ws, lambda w: suffix(w, '!!') OR suffix(w, '??'))) AS marked, len(list_distinct(ws)) AS n_distinct,
     len(list_filter(ws, lambda w: strlen(w) > 1 AND upper(w) = w AND lower(w) <> w)) AS shouted FROM lines WHERE len(ws) > 0),
 capitals AS (SELECT doc_id, len(list_filter(l, lambda w: upper(w) = w AND lower(w) <> w)) AS capitals FROM listed),
 judged AS (SELECT doc_id, n, again, CASE WHEN again AND n >= {r.repeated_line_words} THEN 'repeated' WHEN 100 * {_symbols('line')} > {r.symbol_percent} * n THEN 'navigation'
-    WHEN regexp_matches(line, '(?i){BOILERPLATE}') THEN 'boilerplate' WHEN NOT regexp_matches(line, '[\\p{{L}}\\p{{N}}]') THEN 'punctuation' WHEN 100 * marked > {r.marks_percent} * n THEN 'punctuation'
+    WHEN n >= {r.menu_words} AND titles = n THEN 'navigation' WHEN {phrases} > 0 AND 100 * ({phrases}) >= {r.boilerplate_percent} * n THEN 'boilerplate' WHEN 100 * wordless > {r.marks_percent} * n THEN 'punctuation' WHEN 100 * marked > {r.marks_percent} * n THEN 'punctuation'
     WHEN n >= {r.shout_words} AND capitals >= {r.shout_words} AND 100 * shouted > {r.shout_percent} * n THEN 'shouting'
     WHEN n >= {r.repeat_line_words} AND 100 * n_distinct < {r.distinct_percent} * n THEN 'repetition' ELSE '' END AS verdict FROM filled JOIN capitals USING (doc_id)),
-lost AS (SELECT doc_id, count(*) FILTER (again) AS n_dup_lines, coalesce(sum(n) FILTER (verdict NOT IN ('', 'boilerplate')), 0) AS lost, coalesce(sum(n) FILTER (verdict = 'boilerplate'), 0) AS boiler,
+lost AS (SELECT doc_id, count(*) FILTER (again) AS n_dup_lines, coalesce(sum(n) FILTER (verdict <> ''), 0) AS lost,
     coalesce(sum(n) FILTER (verdict = ''), 0) AS stays FROM judged GROUP BY 1),
 base AS (SELECT doc_id, len(l)::BIGINT AS n_words, coalesce(list_sum(list_transform(l, lambda w: length(w))), 0)::BIGINT AS word_chars, {_symbols('t')}::BIGINT AS n_symbols,
-    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0) AS lost, coalesce(boiler, 0) AS boiler, coalesce(stays, 0) AS stays
+    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0) AS lost, coalesce(stays, 0) AS stays
     FROM listed LEFT JOIN covered USING (doc_id) LEFT JOIN lost USING (doc_id))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND stays > 0 AND 100 * lost <= {r.lost_percent} * (n_words - boiler) AS kept, (lost + boiler)::BIGINT AS n_lost_words
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND stays > 0 AND 100 * lost <= {r.lost_percent} * n_words AS kept, lost::BIGINT AS n_lost_words
 FROM (SELECT *, n_words < {r.base_least_words} OR 100 * n_repeat_words > {r.base_repeat_percent} * n_words AS base_failed FROM base)"""

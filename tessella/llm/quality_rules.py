@@ -10,33 +10,42 @@ of the results is replaced."""
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.texts import slices
+from tessella.llm.texts import per_row, unpacked, whole
 
 #: Symbols that count as marks of markup or navigation.
 SYMBOLS = "#*$%&|<>"
-#: Phrases that mark a line as boilerplate.
-BOILERPLATE = r"licensed under|all rights reserved|general public license|cookie policy|accept cookies|privacy policy|terms of (?:use|service)|lorem ipsum|enable javascript|subscribe to our newsletter|click here|sign in to"
+#: Phrases that mark a line as boilerplate, in lower case; none holds another.
+BOILERPLATE = (
+    "licensed under", "all rights reserved", "general public license", "cookie policy", "accept cookies", "privacy policy", "terms of use", "terms of service", "lorem ipsum",
+    "enable javascript", "subscribe to our newsletter", "click here", "sign in to",
+    "alle rechte vorbehalten", "cookies akzeptieren", "allgemeine geschäftsbedingungen", "newsletter abonnieren", "hier klicken",
+    "tous droits réservés", "accepter les cookies", "politique de confidentialité", "conditions d'utilisation", "cliquez ici",
+    "todos los derechos reservados", "aceptar cookies", "política de privacidad", "términos de uso", "haga clic aquí",
+)
+#: Marks that end a sentence or a part of one.
+STOPS = (b".", b"!", b"?", b",", b";", b":")
 
 
 @dataclass(frozen=True)
 class QualityRules:
-    """A line fails if one of these holds: symbols above symbol_percent of its words; at least
-    shout_words words with only capitals above shout_percent; a share of words that end in a doubled
-    mark (!! or ??) above marks_percent; at least repeat_line_words words of which fewer than
-    distinct_percent are distinct; equal to an earlier line of the text (both with repeated_line_words
-    words at least); boilerplate phrases that hold at least boilerplate_percent of its words (0: any phrase);
-    no letter or digit. A document is rejected
-    when the lines that fail hold more than lost_percent of its words, or when no word is left. With
-    spare_boilerplate, words of boilerplate lines count neither as lost nor as words of the document."""
+    """A line fails if one of these holds.
+
+    navigation: symbols above symbol_percent of its words; or a menu: menu_words words or more, each with a capital first letter, none with a stop.
+    boilerplate: boilerplate phrases hold at least boilerplate_percent of its words.
+    punctuation: words without a letter or digit, or words that end in a doubled mark (!! or ??), above marks_percent of its words.
+    shouting: shout_words words or more, with only capitals above shout_percent of them.
+    repetition: repeat_line_words words or more, of which fewer than distinct_percent are distinct.
+    repeated: it equals an earlier line of the text (both with repeated_line_words words at least).
+
+    A document is rejected when the lines that fail hold more than lost_percent of its words, or when no word is left."""
 
     symbol_percent: int = 10
     shout_words: int = 3
@@ -48,15 +57,12 @@ class QualityRules:
     lost_percent: int = 40
     base_least_words: int = 10
     base_repeat_percent: int = 20
-    spare_boilerplate: bool = False
     boilerplate_percent: int = 10
+    menu_words: int = 5
 
 
-#: The rules as the registered SQL of op2 states them.
-AS_SQL = QualityRules(spare_boilerplate=True, boilerplate_percent=0)
-
-
-_boiler = re.compile(BOILERPLATE, re.IGNORECASE)
+_phrase_words = {p: p.count(" ") + 1 for p in BOILERPLATE}
+_loose_mark = re.compile(r"(?:^|[ \t-\r])[^a-zA-Z0-9 \t-\r]+(?:[ \t-\r]|$)").search
 _alnum = re.compile(r"[^\W_]")
 _repeat_window = 5
 
@@ -80,12 +86,19 @@ def repeated_words(words: list) -> int:
 
 
 def _is_boilerplate(line: str, n: int, percent: int) -> bool:
-    if not percent:
-        return bool(_boiler.search(line))
-    found = sum(len(m.group().split()) for m in _boiler.finditer(line))
+    low = line.lower()
+    found = sum(k * low.count(p) for p, k in _phrase_words.items() if p in low)
     return found > 0 and 100 * found >= percent * n
 
 
+def _capital(word: bytes) -> bool:
+    return 65 <= word[0] <= 90 or (word[0] >= 0xC3 and unicodedata.category(word.decode()[0]) == "Lu")
+
+
+def _is_menu(words: list[bytes]) -> bool:
+    return all(map(_capital, words)) and not any(w.endswith(STOPS) for w in words)
+
+
 def line_verdict(line: str, words: list[bytes], seen: set[str], rules: QualityRules, marks: int = -1, boiler: bool = True, capitals: int = -1) -> str:
     """'' if the line may stay, else the name of the rule that it fails.
 
@@ -100,9 +113,11 @@ def line_verdict(line: str, words: list[bytes], seen: set[str], rules: QualityRu
         return "repeated"
     if marks and 100 * _symbols(line) > rules.symbol_percent * n:
         return "navigation"
+    if n >= rules.menu_words and _is_menu(words):
+        return "navigation"
     if boiler and _is_boilerplate(line, n, rules.boilerplate_percent):
         return "boilerplate"
-    if not _alnum.search(line):
+    if _loose_mark(line) and 100 * sum(not _alnum.search(w.decode()) for w in words) > rules.marks_percent * n:
         return "punctuation"
     if "!!" in line or "??" in line:
         marked = sum(w.endswith((b"!!", b"??")) for w in words)
@@ -125,9 +140,9 @@ def judge(text: str | None, rules: QualityRules) -> tuple:
     n = len(words)
     chars = len(text) - sum(map(text.count, " \t\n\x0b\x0c\r"))
     lines = text.split("\n")
-    filled = with_words = lost = boiler = 0
+    filled = with_words = lost = 0
     seen: set[str] = set()
-    marks, boilerplate, capitals = _symbols(text), bool(_boiler.search(text)), sum(map(str.isupper, text.split()))
+    marks, boilerplate, capitals = _symbols(text), any(map(text.lower().__contains__, BOILERPLATE)), sum(map(str.isupper, text.split()))
     if capitals < rules.shout_words:
         capitals = 0
     kept_lines, failed = [], Counter()
@@ -137,19 +152,15 @@ def judge(text: str | None, rules: QualityRules) -> tuple:
         with_words += bool(own)
         if verdict:
             failed[verdict] += 1
-            if verdict == "boilerplate":
-                boiler += len(own)
-            else:
-                lost += len(own)
+            lost += len(own)
         else:
             kept_lines.append(line)
             filled += len(own)
     duplicates = with_words - len(seen)
     repeats = repeated_words(words)
     base_failed = n < rules.base_least_words or 100 * repeats > rules.base_repeat_percent * n
-    counted = (lost, n - boiler) if rules.spare_boilerplate else (lost + boiler, n)
-    kept = not base_failed and filled > 0 and 100 * counted[0] <= rules.lost_percent * counted[1]
-    return n, chars, marks, duplicates, repeats, base_failed, kept, lost + boiler, "\n".join(kept_lines), sorted(failed)
+    kept = not base_failed and filled > 0 and 100 * lost <= rules.lost_percent * n
+    return n, chars, marks, duplicates, repeats, base_failed, kept, lost, "\n".join(kept_lines), sorted(failed)
 
 
 RESULT = T.StructType(
@@ -163,25 +174,20 @@ def quality(docs: DataFrame, columns: list[str] | None = None, rules: QualityRul
     """Columns of docs (default: all) and RESULT for each row. Without clean, clean_text is null.
 
     One pass, no shuffle: a row's result depends on its own text alone."""
-    columns = [c for c in (docs.columns if columns is None else columns) if c not in RESULT.names]
-    source = docs.select(*columns, F.col("text").alias("__text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*columns, *RESULT.names]
-        for batch in slices(batches, "__text"):
-            rows = [judge(text, rules) for text in batch.column("__text").to_pylist()]
-            made = list(zip(*rows, strict=True))
-            types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64(), pa.string(), pa.list_(pa.string())]
+    def maker():
+        types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64(), pa.string(), pa.list_(pa.string())]
+
+        def make(texts: pa.Array) -> list[pa.Array]:
+            made = list(zip(*(judge(text, rules) for text in texts.to_pylist()), strict=True))
             if not clean:
-                made[8] = [None] * len(rows)
-            arrays = [batch.column(c) for c in columns] + [pa.array(x, t) for x, t in zip(made, types, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+                made[8] = [None] * len(texts)
+            return [pa.array(x, t) for x, t in zip(made, types, strict=True)]
+
+        return make
 
-    schema = T.StructType([docs.schema[c] for c in columns] + RESULT.fields)
-    return source.mapInArrow(run, schema)
+    return per_row(docs, docs.columns if columns is None else columns, "text", RESULT.fields, maker)
 
 
 def accepted(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns; text loses the lines that failed."""
-    result = quality(docs, rules=rules).where("kept")
-    return result.select(*[F.col("clean_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return unpacked(quality(whole(docs, "text"), ["whole"], rules).where("kept"), docs.columns, text="clean_text")

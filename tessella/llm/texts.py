@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word, for Java's and DuckDB's expressions: a longest run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,8 +35,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        block = np.cumsum(lengths, dtype=np.int64) // most_bytes
+        values = batch.column(column)
+        sized = 4 * pc.list_value_length(values).to_numpy(zero_copy_only=False) if pa.types.is_list(values.type) or pa.types.is_large_list(values.type) else pc.binary_length(values).to_numpy(zero_copy_only=False)
+        lengths = np.nan_to_num(np.asarray(sized, float))
+        block = np.cumsum(lengths).astype(np.int64) // most_bytes
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
@@ -108,3 +113,33 @@ def endings(words: pa.Array) -> np.ndarray:
         there = length >= k
         out[there] |= (data[offsets[1:][there] - k].astype(np.uint64) + np.uint64(1)) << np.uint64(9 * k - 9)
     return mixed(out)
+
+
+def per_row(rows: DataFrame, columns: list[str], source: str, results: list[T.StructField], maker: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
+    """columns of rows and the results for each row, in one pass without a shuffle.
+
+    maker() is called once in each task and gives a function from the values of the column source to the arrays of results. The
+    columns travel in one struct, so that no name clashes; a column named like a result is replaced."""
+    columns = [c for c in columns if c not in {r.name for r in results}]
+    row = [F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")] if columns else []
+    names = [*(["row"] if columns else []), *(f"result_{r.name}" for r in results)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = maker()
+        for batch in slices(batches, "value"):
+            yield pa.RecordBatch.from_arrays([*([batch.column("row")] if columns else []), *make(batch.column("value"))], names)
+
+    fields = [T.StructField("row", T.StructType([rows.schema[c] for c in columns]))] if columns else []
+    schema = T.StructType(fields + [T.StructField(f"result_{r.name}", r.dataType) for r in results])
+    made = rows.select(*row, F.col(f"`{source}`").alias("value")).mapInArrow(run, schema)
+    return made.select(*[F.col("row").getField(c).alias(c) for c in columns], *[F.col(f"result_{r.name}").alias(r.name) for r in results])
+
+
+def whole(rows: DataFrame, *others: str) -> DataFrame:
+    """rows as one struct, whole, and copies of some columns beside it: for operators that add columns of their own."""
+    return rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("whole"), *others)
+
+
+def unpacked(rows: DataFrame, columns: list[str], **replaced: str) -> DataFrame:
+    """The columns of whole again; those named in replaced come from a column beside it."""
+    return rows.select(*[F.col(replaced[c]).alias(c) if c in replaced else F.col("whole").getField(c).alias(c) for c in columns])

@@ -3,7 +3,7 @@
 A document is the set of its lower-case words and of their beginnings; a logistic regression is fitted
 on labelled documents, over the features that these show more often in toxic documents than chance
 allows. Sentences of the sample that mention an identity term are written again with
-another term of the same kind, and the squared change of the score is penalised, so that the mention of
+every other term of the same kind, and the squared change of the score is penalised, so that the mention of
 a group as such does not move a score. Terms that the sample never shows have no weight at all.
 
 The classifier is fitted on the driver from a bounded sample (most_rows) of labelled rows; that bound
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import pickle
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,9 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.texts import slices
+from tessella.llm.texts import per_row, slices, unpacked, whole
+from tessella.plans.scratch import Scratch
 
-#: Identity terms by kind; a term is swapped for others of its kind.
+#: Identity terms by kind, in the languages of the documents; a term is swapped for every other of its kind.
 IDENTITY_TERMS = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "catholic", "atheist"),
     ("gay", "straight", "lesbian", "bisexual", "transgender", "queer"),
@@ -40,23 +42,33 @@ IDENTITY_TERMS = (
     ("immigrants", "refugees", "foreigners", "locals"),
     ("american", "mexican", "chinese", "indian", "german", "french", "russian"),
     ("disabled", "blind", "deaf", "old", "young"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "katholiken", "atheisten"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("ausländer", "einwanderer", "flüchtlinge", "einheimische"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "catholiques", "athées"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("immigrés", "réfugiés", "étrangers", "habitants"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "católicos", "ateos"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("inmigrantes", "refugiados", "extranjeros", "vecinos"),
 )
 PREFIXES = (4, 5, 6)
-_kinds = {term: kind for kind in IDENTITY_TERMS for term in kind}
+#: Tasks that the sample's features are made in.
+SAMPLE_PARTS = 16
 _words = re.compile(r"\w+").findall
 _sentences = re.compile(r"[.!?\n]+").split
 
 
 @dataclass(frozen=True)
 class Fit:
-    """most_rows: labelled rows in the sample; most_pairs: rewritten sentences of it; ridge and fairness: weights of the
-    two penalties; rounds: steps of the descent."""
+    """most_rows: labelled rows in the sample; ridge and fairness: weights of the two penalties; rounds: steps of the descent;
+    identity: terms by kind, for which others of their kind are put."""
 
     most_rows: int = 8_000
     ridge: float = 2e-4
     fairness: float = 1.0
     rounds: int = 600
-    most_pairs: int = 4_000
+    identity: tuple[tuple[str, ...], ...] = IDENTITY_TERMS
 
 
 def _feature(text: str) -> int:
@@ -79,53 +91,69 @@ def features(text: str, known: _Features) -> set[int]:
     return found
 
 
-def swapped(text: str, most: int = 4) -> list[tuple[str, str]]:
-    """Sentences with an identity term, each with the same sentence under another term of its kind."""
-    found = []
+def swapped(text: str, kinds: dict[str, tuple[str, ...]]) -> Iterator[tuple[str, str]]:
+    """Each sentence with an identity term, and the same sentence under every other term of its kind."""
     for sentence in _sentences(text):
         words = _words(sentence.lower())
-        for term in dict.fromkeys(w for w in words if w in _kinds):
-            kind = _kinds[term]
-            other = kind[(kind.index(term) + 1) % len(kind)]
-            found.append((sentence, " ".join(other if w == term else w for w in words)))
-            if len(found) >= most:
-                return found
-    return found
+        for term in dict.fromkeys(w for w in words if w in kinds):
+            for other in kinds[term]:
+                if other != term:
+                    yield " ".join(words), " ".join(other if w == term else w for w in words)
 
 
-def sample(rows: DataFrame, fit: Fit) -> list:
-    """At most fit.most_rows rows of (text, toxic): the smallest hashes of id and text, so that the choice is the same each time."""
-    hashed = rows.where(F.col("toxic").isNotNull()).withColumn("__h", F.xxhash64(F.lit(3), "doc_id", "text"))
-    chosen = hashed.orderBy("__h").limit(fit.most_rows).select("text", "toxic")
+def sample(rows: DataFrame, fit: Fit, scratch: Scratch) -> DataFrame:
+    """row, features, toxic and swaps of at most fit.most_rows rows (text, toxic): the smallest hashes of id and text, so that the
+    choice is the same each time. A swap is the features that a sentence has and its rewriting lacks, -1, and the other way round."""
+    hashed = rows.where(F.col("toxic").isNotNull()).withColumn("row", F.xxhash64(F.lit(3), "doc_id", "text"))
+    chosen = hashed.orderBy("row").limit(fit.most_rows).select("row", "text", F.col("toxic").cast("int").alias("toxic")).repartition(SAMPLE_PARTS, "row")
+    kinds = {term: kind for kind in fit.identity for term in kind}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Features()
         for batch in slices(batches, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            pairs = [swapped(t) for t in texts]
-            sides = [[sorted(features(s, known) - features(o, known)) + [-1] + sorted(features(o, known) - features(s, known)) for s, o in p] for p in pairs]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([sorted(features(t, known)) for t in texts], pa.list_(pa.int64())), batch.column("toxic").cast(pa.int32()), pa.array(sides, pa.list_(pa.list_(pa.int64())))],
-                ["features", "toxic", "swaps"],
-            )
-
-    return chosen.mapInArrow(run, "features array<long>, toxic int, swaps array<array<long>>").toArrow()
+            sides = []
+            for text in texts:
+                pairs = [(features(a, known), features(b, known)) for a, b in swapped(text, kinds)]
+                sides.append([[*sorted(a - b), -1, *sorted(b - a)] for a, b in pairs])
+            made = [pa.array([sorted(features(t, known)) for t in texts], pa.list_(pa.int64())), batch.column("toxic"), pa.array(sides, pa.list_(pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *made], ["row", "features", "toxic", "swaps"])
+
+    return scratch.save(chosen.mapInArrow(run, "row long, features array<long>, toxic int, swaps array<array<long>>"), "features")
+
+
+def telling(found: DataFrame, rate: float, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """The features that are more frequent in toxic rows than chance allows, and in how many rows they are: the log-likelihood ratio
+    must exceed what the best of as many features without meaning would reach."""
+    each = found.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("rows"), F.sum((F.col("toxic") > 0).cast("long")).alias("toxic"))
+    each = scratch.save(each, "counts")
+    n, clean = each.count(), F.col("rows") - F.col("toxic")
+    expected = F.col("rows") * F.lit(rate)
+    ratio = F.when(F.col("toxic") > 0, F.col("toxic") * F.log(F.col("toxic") / expected)).otherwise(0.0) + F.when(clean > 0, clean * F.log(clean / (F.col("rows") - expected))).otherwise(0.0)
+    kept = each.where((F.col("toxic") > expected) & (2 * ratio > 2 * float(np.log(max(2, n))) + 2)).select("feature", "rows").toArrow()
+    names, rows = kept.column("feature").to_numpy(), kept.column("rows").to_numpy()
+    order = np.argsort(names)
+    return names[order], rows[order]
+
+
+def of_names(found: DataFrame, names: np.ndarray) -> pa.Table:
+    """The sample with only these features; they are bounded by the sample's size."""
+    sent = found.sparkSession.sparkContext.broadcast(names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = set(sent.value.tolist())
+        for batch in batches:
+            lists = [[x for x in values if x in mine] for values in batch.column("features").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(lists, pa.list_(pa.int64())), batch.column("toxic"), batch.column("swaps")], ["row", "features", "toxic", "swaps"])
 
-def telling(docs: np.ndarray, toxic: np.ndarray, rate: float) -> np.ndarray:
-    """Whether a feature, in so many documents and toxic ones, is more frequent in toxic ones than chance allows: its log-likelihood
-    ratio must exceed what the best of as many features without meaning would reach."""
-    expected = docs * rate
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = np.where(toxic > 0, toxic * np.log(toxic / expected), 0.0) + np.where(docs > toxic, (docs - toxic) * np.log((docs - toxic) / (docs - expected)), 0.0)
-    return (toxic > expected) & (2 * ratio > 2 * np.log(max(2, len(docs))) + 2)
+    return found.mapInArrow(run, found.schema).toArrow().sort_by("row")
 
 
 class Model:
-    """Weights by feature and a bias."""
+    """Weights by feature and a bias; pairs: how many rewritten sentences the sample gave."""
 
-    def __init__(self, weights: dict[int, float], bias: float):
-        self.weights, self.bias = weights, bias
+    def __init__(self, weights: dict[int, float], bias: float, pairs: int = 0):
+        self.weights, self.bias, self.pairs = weights, bias, pairs
 
     def logit(self, found: set[int]) -> float:
         get = self.weights.get
@@ -137,76 +165,71 @@ class Model:
         return float(1 / (1 + np.exp(-min(60.0, max(-60.0, z)))))
 
 
-def fitted(table: pa.Table, fit: Fit) -> Model:
-    """Logistic regression by gradient descent with momentum on the sample's sparse features."""
+def descended(table: pa.Table, names: np.ndarray, occurs: np.ndarray, fit: Fit) -> Model:
+    """Logistic regression by gradient descent with momentum on the sample's sparse features. Equal swaps are one, with a weight."""
     lists = table.column("features").combine_chunks()
-    y = table.column("toxic").to_numpy().astype(float) > 0
-    n, n_toxic = len(y), int(y.sum())
-    base = np.log((n_toxic + 1) / (n - n_toxic + 1)) if n else -2.2
-    if not n_toxic or n_toxic == n:
-        return Model({}, float(base))
-    values = np.asarray(lists.flatten())
-    lengths = np.diff(np.asarray(lists.offsets))
-    rows = np.repeat(np.arange(n), lengths)
-    names, columns, counts = np.unique(values, return_inverse=True, return_counts=True)
-    keep = telling(counts, np.bincount(columns, y[rows], len(names)), n_toxic / n)
-    index = np.cumsum(keep) - 1
-    chosen = keep[columns]
-    rows, columns = rows[chosen], index[columns[chosen]]
-    names = names[keep]
-    m = len(names)
+    y = table.column("toxic").to_numpy() > 0
+    n, m = len(y), len(names)
+    rows, columns = np.repeat(np.arange(n), np.diff(np.asarray(lists.offsets))), np.searchsorted(names, np.asarray(lists.flatten()))
     place = {int(x): i for i, x in enumerate(names)}
-    pairs = [s for swaps in table.column("swaps").to_pylist() for s in swaps or []][: fit.most_pairs]
-    pair_rows, pair_columns, pair_signs = [], [], []
-    for i, sides in enumerate(pairs):
-        sign = 1.0
-        for x in sides:
-            if x == -1:
-                sign = -1.0
-            elif x in place:
-                pair_rows.append(i)
-                pair_columns.append(place[x])
-                pair_signs.append(sign)
-    pr, pc, ps = np.array(pair_rows, int), np.array(pair_columns, int), np.array(pair_signs)
+    swaps = Counter(tuple(x for x in s if x == -1 or x in place) for swaps in table.column("swaps").to_pylist() for s in swaps or [])
+    total = sum(swaps.values())
+    swaps.pop((-1,), None)  # nothing that the model knows changes
+    pr, pc, ps, weight = [], [], [], np.array(list(swaps.values()), float) / max(1, total)
+    for i, sides in enumerate(swaps):
+        middle = sides.index(-1)
+        for k, x in enumerate(sides):
+            if k != middle:
+                pr.append(i)
+                pc.append(place[x])
+                ps.append(1.0 if k < middle else -1.0)
+    pr, pc, ps = np.array(pr, int), np.array(pc, int), np.array(ps, float)
     # rare features move slower: a step is scaled by how often a feature occurs
-    occurs = np.bincount(columns, minlength=m)
     w, velocity, bias, bias_velocity = np.zeros(m), np.zeros(m), 0.0, 0.0
-    spread = np.sqrt(occurs / n)
-    swayed = fit.fairness * np.bincount(pc, minlength=m) / (4 * max(1, len(pairs)))
-    scale = 1 / (spread + 0.02 + 4 * swayed)
+    swayed = fit.fairness * np.bincount(pc, weight[pr], m) / 4 if len(pr) else 0.0
+    scale = 1 / (np.sqrt(occurs / n) + 0.02 + 4 * swayed)
     for _ in range(fit.rounds):
         z = np.bincount(rows, w[columns], n) + bias
         error = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) * np.where(y, 2.0, 1.0) / n
         gradient = np.bincount(columns, error[rows], m) + fit.ridge * w * (0.05 + 1 / np.sqrt(occurs))
-        if len(pairs):
-            change = np.bincount(pr, ps * w[pc], len(pairs)) / 4
-            gradient += fit.fairness * np.bincount(pc, ps * change[pr], m) / len(pairs)
+        if len(pr):
+            change = np.bincount(pr, ps * w[pc], len(weight)) / 4
+            gradient += fit.fairness * np.bincount(pc, ps * (weight * change)[pr], m)
         velocity = 0.9 * velocity - 0.3 * scale * gradient
         bias_velocity = 0.9 * bias_velocity - 0.3 * error.sum()
         w, bias = w + velocity, bias + bias_velocity
     used = np.abs(w) > 1e-4
-    return Model({int(k): float(v) for k, v in zip(names[used], w[used], strict=True)}, float(bias))
+    return Model({int(k): float(v) for k, v in zip(names[used], w[used], strict=True)}, float(bias), total)
 
 
 def trained(rows: DataFrame, fit: Fit = Fit()) -> Model:
     """A model from labelled rows (doc_id, text, toxic)."""
-    return fitted(sample(rows, fit), fit)
+    scratch = Scratch(rows.sparkSession, "toxicity")
+    found = sample(rows, fit, scratch)
+    n, n_toxic = found.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") > 0).cast("long")), F.lit(0))).head()
+    if not n_toxic or n_toxic == n:
+        return Model({}, float(np.log((n_toxic + 1) / (n - n_toxic + 1)) if n else -2.2))
+    names, occurs = telling(found, n_toxic / n, scratch)
+    model = descended(of_names(found, names), names, occurs, fit)
+    scratch.drop("features", "counts")
+    return model
 
 
 def scored(docs: DataFrame, model: Model, columns: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
     """Columns of docs (default: all), score and predicted. The model has at most the sample's features and is sent as a broadcast."""
-    columns = [c for c in (docs.columns if columns is None else columns) if c not in ("score", "predicted")]
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps((model.weights, model.bias)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def maker():
         own, known = Model(*pickle.loads(sent.value)), _Features()
-        for batch in slices(batches, "__text"):
-            scores = [own.score(t or "", known) for t in batch.column("__text").to_pylist()]
-            arrays = [batch.column(c) for c in columns] + [pa.array(scores, pa.float64()), pa.array([int(x >= threshold) for x in scores], pa.int32())]
-            yield pa.RecordBatch.from_arrays(arrays, [*columns, "score", "predicted"])
 
-    schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.select(*columns, F.col("text").alias("__text")).mapInArrow(run, schema)
+        def make(texts: pa.Array) -> list[pa.Array]:
+            scores = [own.score(t or "", known) for t in texts.to_pylist()]
+            return [pa.array(scores, pa.float64()), pa.array([int(x >= threshold) for x in scores], pa.int32())]
+
+        return make
+
+    results = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    return per_row(docs, docs.columns if columns is None else columns, "text", results, maker)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> DataFrame:
@@ -225,6 +248,4 @@ def held_out() -> Column:
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of docs that score below the threshold, with their columns."""
-    keep = docs.columns
-    flagged = scored(docs.withColumnsRenamed({c: f"__{c}" for c in ("score", "predicted") if c in keep}), model, threshold=threshold).where("predicted = 0").drop("score", "predicted")
-    return flagged.withColumnsRenamed({f"__{c}": c for c in ("score", "predicted") if c in keep}).select(*keep)
+    return unpacked(scored(whole(docs, "text"), model, ["whole"], threshold).where("predicted = 0"), docs.columns)

@@ -134,10 +134,21 @@ def test_quality_lines(spark):
 def test_boilerplate_counts_as_lost(spark):
     good = "Five plain words stay here"
     text = good + "\n" + "\n".join(f"a{i} privacy policy b{i} c{i}" for i in range(12))
-    assert not quality_rules.judge(text, quality_rules.QualityRules())[6] and quality_rules.judge(text, quality_rules.AS_SQL)[6]
+    assert not quality_rules.judge(text, quality_rules.QualityRules())[6]
+    licence = "\n".join(["Licensed under the terms"] * 50 + ["one line of words that stays here as it is plain text"])
+    assert not quality_rules.judge(licence, quality_rules.QualityRules())[6]
     assert quality_rules.accepted(documents(spark, [text, good + " and so do these seven other ones\nAll rights reserved."])).count() == 1
 
 
+def test_each_line_rule():
+    rules = quality_rules.QualityRules()
+    verdict = lambda line: quality_rules.line_verdict(line, line.encode().split(), set(), rules)
+    assert verdict("Home About Contact News Help Login Register") == "navigation" == verdict("Über Straße Äpfel Haus Élan")
+    assert verdict("Home About Contact News") == "" == verdict("The Old Man And The Sea.") == verdict("Home about Contact News Help Login")
+    assert verdict("Home | About | News") == "navigation" and verdict("one -- two -- three — four") == "punctuation" and verdict("--- ... ---") == "punctuation"
+    assert verdict("à la carte et à la mode") == "" and verdict("Todos los derechos reservados") == "boilerplate" and verdict("yes!! no?? x") == "punctuation"
+
+
 def test_one_phrase_does_not_fail_a_long_line(spark):
     text = " ".join(f"word{i}" for i in range(300)) + " see the privacy policy " + " ".join(f"more{i}" for i in range(300))
     rows = quality_rules.quality(documents(spark, [text, "Privacy policy of this site"])).collect()
@@ -335,6 +346,49 @@ def test_tree_recall_and_cases(spark, sf):
     small = spark.createDataFrame(bad, "vec_id long, embedding array<double>")
     assert [(r.query_id, r["rank"], r.vec_id) for r in kmeans_tree.search(small, small.where("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 9)]
     assert kmeans_tree.search(small.limit(0), small).count() == 0
+    asked = spark.createDataFrame([(0, [1.0, 0.0, 2.0]), (77, [1.0, 0.1])], "vec_id long, embedding array<double>")
+    assert {r.query_id for r in kmeans_tree.search(small, asked).collect()} == {77}
+    clash = small.withColumns({"leaf": F.lit(1), "v": F.lit(2), "id": F.lit(3), "block": F.lit(4)})
+    assert kmeans_tree.search(clash, clash.where("vec_id = 0")).count() == 2
+
+
+def exact_neighbours(x, ids, q, k):
+    d = np.sqrt(((x - x[q]) ** 2).sum(1))
+    d[q] = np.inf
+    return [(int(ids[i]), d[i]) for i in np.lexsort((ids, d))[:k]]
+
+
+def test_tree_recall_at_scale(spark):
+    data = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    x, ids = np.array([r.embedding for r in data], float), np.array([r.vec_id for r in data])
+    got = {}
+    for r in catalog.QUERIES["op4_kmeans_tree"](spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = sum(len({i for i, _ in exact_neighbours(x, ids, q, 10)} & got[int(ids[q])]) for q in np.flatnonzero(ids % 100 == 0))
+    assert hit >= 0.9 * 10 * len(got) and all(len(v) == 10 for v in got.values())
+
+
+def test_full_leaves_are_split_and_pieces_merge(spark):
+    random_ = np.random.default_rng(3)
+    x = np.r_[random_.normal(size=(500, 4)), np.repeat(random_.normal(size=(1, 4)), 60, 0), random_.normal(5, 0.1, (300, 4))]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    params = kmeans_tree.TreeParams(sample_rows=100, leaf_rows=30, piece=25, full_leaf=50, sub_sample=80, calibration=16, recall=1.0)
+    drawn = x[:100]
+    tree = kmeans_tree.KMeansTree(drawn, params)
+    before = tree.leaves
+    plain, _ = kmeans_tree.valid(rows, "vec_id", "embedding")
+    indexed, counts = kmeans_tree.grown(plain, tree, params, Scratch(spark, "t"))
+    assert tree.leaves > before and sorted(tree.in_order()) == list(range(tree.leaves)) and sum(counts.values()) == len(x)
+    assert sorted(tree.best_first(x[0])) == list(range(tree.leaves))
+    assert all(n <= 60 for n in counts.values())  # only the copies cannot be told apart
+    found = {}
+    for r in kmeans_tree.search(rows, rows.where("vec_id % 50 = 0"), 7, params).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hit = 0
+    for q, rows_ in found.items():
+        assert [r for r, _, _ in sorted(rows_)] == list(range(1, 8))
+        hit += len({v for _, v, _ in rows_} & {i for i, _ in exact_neighbours(x, np.arange(len(x)), q, 7)})
+    assert len(found) == 18 and hit >= 0.85 * 7 * 18
 
 
 # ---- language model
@@ -422,7 +476,10 @@ def test_exchange_raises_likelihood():
         ("<ul><li>a<li>b<ol start=3><li>x<li>y</ol></ul>", "- a\n- b\n  3. x\n  4. y"), ("<p>x <b>y</b>\n z<br>w", "x y z\nw"),
         ("<script>var a='<p>no</p>'</script><style>p{}</style><p hidden>no<p style='Display: none'>no<p>yes", "yes"), ("<pre>a\n  b</pre>", "a\n  b"),
         ("<table><tr><th>Name<th>N<tr><td>long name<td>1</table>", "Name       N\nlong name  1"), ("<a title='x>y'>link</a><!-- no -->", "link"),
-        ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"), ("<select><option>a<option>b</select>", "a\nb"), ("<svg/>kept", "kept"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
+        ("<table><tr><td><p>one</p><ul><li>a<li>b</ul><td>x<br>y<tr><td>z</table>", "one  x\n     y\n- a\n- b\nz"),
+        ("<table><tr><td><pre>i\n  j</pre><td>k</table>", "i    k\n  j"),
+        ("<table><tr><td rowspan=1000 colspan=1000>a<td>b<tr><td>c</table>", "a  b\nc"), ("<select><option>a<option>b</select>", "a\nb"), ("<svg/>kept", "kept"),
     ],
 )
 def test_html(page, text):
@@ -439,6 +496,16 @@ def test_html_keeps_all_visible_words(spark, sf):
         words = html.unescape(re.sub(r"</?(?:b|i|a|em|strong|span)\b[^>]*>", "", re.sub(r"</?(?!(?:b|i|a|em|strong|span)\b)[^>]*>", " ", bare))).split()
         assert [w for w in r.visible_text.split() if w != "-"] == [w for w in words if w != "-"]
     assert html_text.render("<div>" * 20_000 + "deep") == "deep"
+    huge = "<table>" + "<tr>" + "<td rowspan=1000 colspan=1000>x" * 3_000 + ("<tr>" + "<td rowspan=1000>y" * 300) * 40 + "</table>"
+    assert html_text.render(huge).count("x") == 3_000
+
+
+def test_html_odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, "<p>a"), (3, "<p>a"), (None, "<p>" + "b " * 50_000)]
+    pages = spark.createDataFrame(rows, "page_id long, html string").withColumns({"__html": F.lit(1), "row": F.lit("r"), "value": F.lit(2), "n_chars": F.lit("z"), "url": F.lit("u")})
+    found = html_text.extracted(pages).collect()
+    assert Counter(r.visible_text for r in found)["a"] == 2 and {r.n_chars for r in found if r.page_id in (1, 2)} == {0} and found[0]["__html"] == 1 and found[0]["row"] == "r"
+    assert html_text.extracted(pages.limit(0)).count() == 0
 
 
 # ---- toxicity
@@ -469,7 +536,39 @@ def test_identity_terms_do_not_move_scores(spark):
     assert gap(fair) < 0.5 * gap(plain) and fair.score("they are vile scum", known) > 0.5 > fair.score("the muslim neighbour is kind", known)
 
 
+def test_query_scores_follow_the_swaps(spark, tmp_path, monkeypatch):
+    docs, labels = [], []
+    for i in range(600):
+        group = ("muslim", "christian")[i % 2]
+        docs.append((i, f"the {group} neighbour came by today"))
+        labels.append((i, int(i % 10 < (8 if group == "muslim" else 3))))
+    docs.append((9_000, "our muslim neighbour came by"))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    def score():
+        return catalog.QUERIES["op10_toxicity"](spark, str(tmp_path)).where("doc_id = 9000").head().score
+
+    fair = score()
+    monkeypatch.setattr(toxicity.trained, "__defaults__", (toxicity.Fit(fairness=0.0),))
+    assert score() > fair + 0.05
+    pairs = list(toxicity.swapped("A gay man. No one.", {t: k for k in toxicity.IDENTITY_TERMS for t in k}))
+    assert len(pairs) == 5 + 3 and all(a == "a gay man" for a, _ in pairs)
+
+
+def test_data_gives_no_pairs(spark):
+    """The given documents name no group: there the penalty has nothing to act on, as the README says."""
+    folder = "/root/testdata/sf0.01"
+    model = toxicity.trained(toxicity.labelled(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")))
+    assert model.pairs == 0 and model.weights
+
+
 def test_toxicity_odd_rows(spark):
+    frame = spark.createDataFrame([(i, "vile scum" if i % 3 == 0 else "kind words", int(i % 3 == 0)) for i in range(300)] + [(1, None, 1), (None, "", None)], "doc_id long, text string, toxic int")
+    fitted = toxicity.trained(frame)
+    rows = odd(spark).withColumns({"predicted": F.lit("p"), "row": F.lit(1), "value": F.lit(2), "whole": F.lit(3), "__text": F.lit(4)})
+    assert toxicity.scored(rows, fitted).where("score > 0.3").count() == 0 and toxicity.without_toxic(rows, fitted).columns == rows.columns
+
     none = toxicity.trained(spark.createDataFrame([], "doc_id long, text string, toxic int"))
     assert toxicity.scored(odd(spark), none).count() == 9
     kept = toxicity.without_toxic(odd(spark), none)
