@@ -241,6 +241,13 @@ def emitted(mix: DataFrame) -> DataFrame:
     return mix.select(*[c for c in mix.columns if c not in RESULTS], F.explode("draws").alias("__d")).select("*", "__d.*").drop("__d")
 
 
+def mixed_rows(docs: DataFrame, pieces: int = 64) -> DataFrame:
+    """Rows of docs, with all their columns, as often as the mix takes them: a shard's rows lie in pieces, drawn at random and shuffled each."""
+    mix = mixed(docs.select(F.struct(*docs.columns).alias("whole"), "doc_id", "source", "text"))
+    drawn = mix.select("whole", F.explode("draws").alias("d")).select("whole", "d.shard", "d.mix_key")
+    return drawn.repartition("shard", F.pmod("mix_key", F.lit(pieces))).sortWithinPartitions("shard", "mix_key").select(*[F.col("whole").getField(c).alias(c) for c in docs.columns])
+
+
 def write_mix(mix: DataFrame, path: str) -> None:
     """Writes one folder for each shard, shuffled."""
     rows = emitted(mix)

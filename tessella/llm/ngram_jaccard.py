@@ -40,9 +40,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.texts import WordHashes, binary, mixed, slices
+from tessella.llm.texts import mixed, per_row, slices, split_words, unpacked, whole, word_hashes
 from tessella.plans.scratch import Scratch
 
+#: Bytes of text that a task takes on at once: words met in them are hashed once.
+SLICE_BYTES = 16 << 20
+#: Shared keys are marked in 2^SLOT_BITS bits (16 MB).
+SLOT_BITS = 27
 #: So many ids (some MB) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 #: Leaders that each node of a group is paired with first.
@@ -53,16 +57,22 @@ BLOCK = 1024
 _steps = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
-def shingle_hashes(words: list[bytes], n: int, known: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams."""
-    if not words:
-        return np.empty(0, np.uint64)
-    hashes = known.of(words)
-    width = min(n, len(words))
-    total = np.full(len(words) - width + 1, width, np.uint64)
-    for i in range(width):
-        total += hashes[i : len(hashes) - width + 1 + i] * _steps[i % len(_steps)] + np.uint64(i // len(_steps))
-    return np.unique(mixed(total))
+def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of the word n-grams of each text; words are split and hashed for all texts at once."""
+    lengths, codes, words = split_words(texts)
+    hashes = word_hashes(words)[codes]
+
+    def windows(h: np.ndarray, width: int) -> np.ndarray:
+        total = np.full(max(0, len(h) - width + 1), width, np.uint64)
+        for i in range(width):
+            total += h[i : len(h) - width + 1 + i] * _steps[i % len(_steps)] + np.uint64(i // len(_steps))
+        return mixed(total)
+
+    whole, out, end = windows(hashes, n) if len(hashes) >= n else hashes[:0], [], 0
+    for length in lengths.tolist():
+        start, end = end, end + length
+        out.append(np.unique(whole[start : end - n + 1] if length >= n else windows(hashes[start:end], length) if length else hashes[:0]))
+    return out
 
 
 @lru_cache(maxsize=4)
@@ -104,57 +114,70 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _node(shingles: np.ndarray) -> int | None:
+    return _signed(xxhash.xxh3_64_intdigest(shingles.tobytes())) if len(shingles) else None
+
+
 def nodes(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n_shingles and node (hash of the set, null if empty) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in slices(batches, "text"):
-            found = [shingle_hashes((text or b"").lower().split(), n, known) for text in binary(batch.column("text"))]
-            made = [_signed(xxhash.xxh3_64_intdigest(x.tobytes())) if len(x) else None for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, found), pa.int64()), pa.array(made, pa.int64())], ["doc_id", "n_shingles", "node"])
+        for batch in slices(batches, "text", SLICE_BYTES):
+            found = shingle_sets(batch.column("text"), n)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, found), pa.int64()), pa.array(map(_node, found), pa.int64())], ["doc_id", "n_shingles", "node"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long")
 
 
-def parts(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """key, node, band: the parts of each set. Of equal sets that a task meets, only the first is written."""
+def parts(docs: DataFrame, n: int, num: int, den: int, only: np.ndarray | None = None) -> DataFrame:
+    """key, node, band: the parts of each set. Of equal sets that a task meets, only the first is written.
+
+    only: bits of the keys' slots; parts whose slot is not set are left out."""
+    sent = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, met = WordHashes(), set()
-        for batch in slices(batches, "text"):
+        met = set()
+        for batch in slices(batches, "text", SLICE_BYTES):
             keys, of, owners = [], [], []
-            for text in binary(batch.column("text")):
-                shingles = shingle_hashes((text or b"").lower().split(), n, known)
-                if not len(shingles):
-                    continue
-                node = _signed(xxhash.xxh3_64_intdigest(shingles.tobytes()))
-                if node in met:
+            for shingles in shingle_sets(batch.column("text"), n):
+                node = _node(shingles)
+                if node is None or node in met:
                     continue
                 if len(met) < 500_000:
                     met.add(node)
                 own, band = part_keys(shingles, num, den)
-                keys.append(own.view(np.int64))
+                keys.append(own)
                 of.append(band)
                 owners.append(np.full(len(own), node, np.int64))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, owners, of)], ["key", "node", "band"])
+                made = [np.concatenate(x) for x in (keys, owners, of)]
+                if sent is not None:
+                    slot = made[0] >> np.uint64(64 - SLOT_BITS)
+                    there = (sent.value[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+                    made = [x[there] for x in made]
+                yield pa.RecordBatch.from_arrays([pa.array(made[0].view(np.int64)), pa.array(made[1]), pa.array(made[2])], ["key", "node", "band"])
 
     return docs.select("text").mapInArrow(run, "key long, node long, band int")
 
 
+def slots(keys: DataFrame) -> np.ndarray:
+    """A bit for each slot that a key falls in: 2^SLOT_BITS bits whatever the number of keys, as words of 64."""
+    slot = F.shiftrightunsigned("key", 64 - SLOT_BITS)
+    words = keys.select(F.shiftrightunsigned(slot, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - SLOT_BITS}) & 63 as int))").alias("bit"))
+    table, out = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow(), np.zeros(1 << (SLOT_BITS - 6), np.uint64)
+    out[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
     """node and its sorted n-gram hashes, for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in slices(batches, "text"):
-            found = [shingle_hashes((text or b"").lower().split(), n, known) for text in binary(batch.column("text"))]
-            found = [x for x in found if len(x)]
-            nodes = [_signed(xxhash.xxh3_64_intdigest(x.tobytes())) for x in found]
+            found = [x for x in shingle_sets(batch.column("text"), n) if len(x)]
             offsets = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)
             values = pa.array(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(map(_node, found), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["node", "shingles"])
 
     return docs.select("text").mapInArrow(run, T.StructType([T.StructField("node", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))]))
 
@@ -163,6 +186,11 @@ def few(ids: DataFrame) -> bool:
     return ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
 
 
+def hinted(ids: DataFrame) -> DataFrame:
+    """A saved table for a join: broadcast if it was counted to be small, else joined by a shuffle, whose skewed keys Spark splits."""
+    return F.broadcast(ids) if few(ids) else ids
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node, component: the smallest node reachable over edges (a, b), for each node with an edge.
 
@@ -181,6 +209,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             scratch.drop(f"{name}-{turn - 2}")
         if not changed:
             break
+    else:
+        raise RuntimeError("components did not converge")
     scratch.drop(f"{name}-edges")
     return labels
 
@@ -247,17 +277,26 @@ def compared_in_blocks(group: DataFrame, sets: DataFrame, num: int, den: int) ->
 
 def links(docs: DataFrame, rows: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame | None:
     """node, component for the nodes that are linked with others; None if no two nodes share a part."""
-    at_key = W.partitionBy("key")
-    keyed = parts(docs, n, num, den)
-    shared = keyed.withColumns({"low": F.min("node").over(at_key), "high": F.max("node").over(at_key), "often": F.count(F.lit(1)).over(at_key)}).where("low <> high")
-    shared = scratch.save(shared.select("key", "node", "band", "often").distinct(), "shared")
+    # Groups of a key may be as large as any part of the table: they are summed before they are shuffled, and rows meet the sums in joins.
+    spread = lambda c: (F.min(c).alias("low"), F.max(c).alias("high"))
+    counted = parts(docs, n, num, den).groupBy("key").agg(*spread("node"), F.count(F.lit(1)).alias("often"))
+    counted = scratch.save(counted.where("low <> high").select("key", "often"), "counted")
+    if not counted.head(1):
+        return None
+    # most parts are shared by none: those are left out where they are made
+    shared = scratch.save(parts(docs, n, num, den, slots(counted)).join(hinted(counted), "key").distinct(), "shared")
     # the parts that a set shares with most others may be left out; those that it shares with none are last in that order
     by_share = W.partitionBy("node", "band").orderBy(F.desc("often"), "key")
     most = F.array(*[F.lit(spare(m)) for m in bands(num, den)[1]])
     few_left = shared.withColumn("place", F.row_number().over(by_share)).where(F.col("place") > F.element_at(most, F.col("band") + 1)).select("key", "node", "band")
-    alone = few_left.withColumns({"low": F.min("node").over(at_key), "high": F.max("node").over(at_key)}).where("low <> high").select("key", "node", "band")
-    shared = scratch.save(alone, "remaining")
-    scratch.drop("shared")
+    few_left = scratch.save(few_left, "few")
+    scratch.drop("shared", "counted")
+    # a key's leaders: the smallest node of each of a few parts of the nodes
+    part = F.pmod(F.xxhash64("node"), F.lit(LEADERS))
+    leaders = few_left.groupBy("key").agg(*spread("node"), F.array_compact(F.array(*[F.min(F.when(part == i, F.col("node"))) for i in range(LEADERS)])).alias("leaders"))
+    leaders = scratch.save(leaders.where("low <> high").select("key", "leaders"), "leaders")
+    shared = scratch.save(few_left.join(hinted(leaders), "key"), "remaining")
+    scratch.drop("few", "leaders")
     wanted = scratch.save(shared.select("node").distinct(), "wanted")
     if not wanted.head(1):
         return None
@@ -266,18 +305,18 @@ def links(docs: DataFrame, rows: DataFrame, n: int, num: int, den: int, scratch:
     texts = docs.select("text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("__id")).join(F.broadcast(ids) if few(ids) else ids, "__id", "left_semi")
     sets = scratch.save(sets_of(texts, n).join(F.broadcast(wanted) if few(wanted) else wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
-    ranked = scratch.save(shared.withColumn("rank", F.row_number().over(at_key.orderBy("node"))), "ranked")
-    scratch.drop("remaining")
     # first the leaders
-    leaders = F.collect_list(F.when(F.col("rank") <= LEADERS, F.col("node"))).over(at_key)
-    stars = ranked.withColumn("leaders", leaders).select("node", F.explode("leaders").alias("a")).where("a < node").select("a", F.col("node").alias("b")).distinct()
+    stars = shared.select("node", F.explode("leaders").alias("a")).where("a <> node").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     edges = scratch.save(verified(stars, sets, num, den), "edges1")
     labels = components(edges, scratch, "labels1") if edges.head(1) else None
     # then what is still apart; leaders have met all others of their groups
-    now = ranked.where(F.col("rank") > LEADERS)
-    now = now.withColumn("component", F.col("node")) if labels is None else now.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = now.withColumns({"low": F.min("component").over(at_key), "high": F.max("component").over(at_key), "size": F.count(F.lit(1)).over(at_key)}).where("low <> high")
-    group = scratch.save(apart.select("key", "node", "component", "band", "size"), "apart")
+    now = shared.where(~F.array_contains("leaders", F.col("node"))).select("key", "node", "band")
+    now = now.withColumn("component", F.col("node")) if labels is None else now.join(hinted(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    now = scratch.save(now, "now")
+    scratch.drop("remaining")
+    apart = scratch.save(now.groupBy("key").agg(*spread("component"), F.count(F.lit(1)).alias("size")).where("low <> high").select("key", "size"), "sizes")
+    group = scratch.save(now.join(hinted(apart), "key"), "apart")
+    scratch.drop("now")
     small = group.where(F.col("size") <= SMALL_GROUP).select("key", "node", "component")
     other = small.select("key", F.col("node").alias("b"), F.col("component").alias("__c"))
     across = small.join(other, "key").where((F.col("component") != F.col("__c")) & (F.col("node") < F.col("b"))).select(F.col("node").alias("a"), "b")
@@ -286,42 +325,53 @@ def links(docs: DataFrame, rows: DataFrame, n: int, num: int, den: int, scratch:
     more = scratch.save(verified(pairs.distinct(), sets, num, den), "edges2")
     if more.head(1):
         labels = components(edges.union(more), scratch, "labels2")
-    scratch.drop("sets", "ranked", "apart")
+    scratch.drop("sets", "apart", "sizes")
     return labels
 
 
+def grouped(docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """doc_id, n_shingles, node, component_id and keeper (the node of the row that stands for the component) for each row."""
+    rows = scratch.save(nodes(docs, n), "rows")
+    labels = links(docs, rows, n, num, den, scratch)
+    filled = rows.where(F.col("node").isNotNull())
+    # the first row of a node, of a component: the smallest id, a missing one last, then the smallest node
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node"))
+    groups = filled.groupBy("node").agg(first.alias("first"))
+    own = groups.withColumn("component", F.col("node")) if labels is None else groups.join(hinted(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = own.groupBy("component").agg(F.min("first").alias("least"))
+    named = scratch.save(own.join(least, "component").select("node", F.col("least.doc_id").alias("component_id"), F.col("least.node").alias("keeper")), "named")
+    joined = filled.join(hinted(named), "node").select("doc_id", "n_shingles", "node", "component_id", "keeper")
+    none = F.lit(None).cast("long")
+    return joined.unionByName(rows.where(F.col("node").isNull()).select("doc_id", "n_shingles", "node", F.col("doc_id").alias("component_id"), none.alias("keeper")))
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable) for each row of docs (doc_id, text).
 
     num / den: the similarity from which two documents link."""
-    scratch = Scratch(docs.sparkSession, "jaccard")
-    rows = scratch.save(nodes(docs, n), "rows")
-    labels = links(docs, rows, n, num, den, scratch)
-    filled = rows.where(F.col("node").isNotNull())
-    groups = filled.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    if labels is None:
-        named = groups.select("node", F.col("first").alias("component_id"))
-    else:
-        own = groups.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        least = own.groupBy("component").agg(F.min("first").alias("component_id"))
-        named = own.join(least, "component").select("node", "component_id")
-    named = scratch.save(named, "named")
-    joined = filled.join(F.broadcast(named) if few(named) else named, "node").select("doc_id", "n_shingles", "component_id")
-    return joined.unionByName(rows.where(F.col("node").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return grouped(docs, n, num, den, Scratch(docs.sparkSession, "jaccard")).select("doc_id", "n_shingles", "component_id")
 
 
 def first_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, one for each id; rows without an id stay unless they are linked with one."""
+    """The rows of docs of which one stands for each component: that of the smallest id (a missing one last). Rows with an empty set all stay.
+
+    Rows with an id of their own are known by it; those that share an id, or have none, by their id and their set."""
     scratch = Scratch(docs.sparkSession, "firsts")
-    found = scratch.save(jaccard_components(docs, n, num, den), "components")
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(F.broadcast(gone) if few(gone) else gone, docs["doc_id"] == F.col("__id"), "left_anti")
-    repeated = found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__id")
-    repeated = scratch.save(repeated, "repeated")
-    if not repeated.head(1):
-        return kept
-    hint = F.broadcast(repeated) if few(repeated) else repeated
-    once = kept.join(hint, kept["doc_id"] == F.col("__id"), "left_anti")
-    again = kept.join(hint, kept["doc_id"] == F.col("__id"), "left_semi")
-    one = again.withColumn("__n", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("__n = 1").drop("__n")
-    return once.unionByName(one)
+    found = scratch.save(grouped(docs.select("doc_id", "text"), n, num, den, scratch), "components")
+    stays = F.col("node").isNull() | ((F.col("node") == F.col("keeper")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = scratch.save(found.where(~stays & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id")).distinct(), "gone")
+    twice = scratch.save(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__id"), "twice")
+    rows = whole(docs, F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("text"))
+    alone = rows.where(F.col("__id").isNotNull()).join(hinted(twice), "__id", "left_anti").join(hinted(gone), "__id", "left_anti").select("whole")
+    if not twice.head(1) and not found.where("doc_id is null").head(1):
+        return unpacked(alone, docs.columns)
+    shared = rows.where(F.col("__id").isNull()).unionByName(rows.where(F.col("__id").isNotNull()).join(hinted(twice), "__id", "left_semi").select(rows.columns))
+
+    def maker():
+        return lambda texts: [pa.array(map(_node, shingle_sets(texts, n)), pa.int64())]
+
+    noded = per_row(shared, ["whole", "__id"], "text", [T.StructField("node", T.LongType())], maker)
+    keepers = found.where(stays & F.col("node").isNotNull()).select(F.col("doc_id").alias("k_id"), F.col("node").alias("k_node")).distinct()
+    kept = noded.join(keepers, (F.col("node") == F.col("k_node")) & F.col("__id").eqNullSafe(F.col("k_id"))).select("whole", "__id", "node")
+    once = kept.withColumn("k", F.row_number().over(W.partitionBy("node", "__id").orderBy(F.xxhash64("whole")))).where("k = 1").select("whole")
+    return unpacked(alone.unionByName(once).unionByName(noded.where(F.col("node").isNull()).select("whole")), docs.columns)

@@ -77,16 +77,17 @@ def sharded(docs: DataFrame, byte_limit: int, key: str = "doc_id", text: str = "
     """docs with n_bytes and RESULTS; shard_depth and shard_prefix name a shard."""
     scratch = Scratch(docs.sparkSession, "shards")
     names = [c for c in docs.columns if c not in {*RESULTS, "n_bytes"}]
-    hashed = docs.withColumns({"__hash": hash_bits(key, text), "n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long")})
-    sizes = scratch.save(hashed.select("__hash", F.col("n_bytes").alias("__bytes")), "sizes")
-    out = hashed.select(*names, "n_bytes", "__hash")
+    # the input's columns travel in one struct, so that none clashes with those used here
+    carried = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    out = docs.select(carried, hash_bits(key, text).alias("__hash"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
+    sizes = scratch.save(out.select("__hash", F.col("n_bytes").alias("__bytes")), "sizes")
     found = None
     for bits, entries in directory(sizes, byte_limit, scratch):
         own = entries.select(F.col("__at").alias(f"__at{bits}"), F.struct(*RESULTS).alias(f"__entry{bits}"))
         small = own.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES
         out = out.withColumn(f"__at{bits}", _prefix(bits)).join(F.broadcast(own) if small else own, f"__at{bits}", "left")
         found = F.col(f"__entry{bits}") if found is None else F.coalesce(found, F.col(f"__entry{bits}"))
-    return out.withColumn("__entry", found).select(*names, "n_bytes", *[F.col(f"__entry.{c}").alias(c) for c in RESULTS])
+    return out.withColumn("__entry", found).select(*[F.col("row").getField(c).alias(c) for c in names], "n_bytes", *[F.col(f"__entry.{c}").alias(c) for c in RESULTS])
 
 
 def write_shards(docs: DataFrame, byte_limit: int, path: str) -> None:

@@ -7,8 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,11 +24,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def binary(column: pa.Array) -> list[bytes | None]:
-    """The UTF-8 bytes of a string column."""
-    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about most_bytes of text; a longer text comes alone."""
     for batch in batches:
@@ -44,23 +38,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
             yield batch.slice(a, b - a)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept for words seen before; forgets all when full."""
-
-    def __init__(self, most: int = 300_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def split_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words of each text in lower case (A-Z): how many, the number of each in a list of distinct words, and that list (binary).
 
@@ -135,7 +112,7 @@ def per_row(rows: DataFrame, columns: list[str], source: str, results: list[T.St
     return made.select(*[F.col("row").getField(c).alias(c) for c in columns], *[F.col(f"result_{r.name}").alias(r.name) for r in results])
 
 
-def whole(rows: DataFrame, *others: str) -> DataFrame:
+def whole(rows: DataFrame, *others: str | Column) -> DataFrame:
     """rows as one struct, whole, and copies of some columns beside it: for operators that add columns of their own."""
     return rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("whole"), *others)
 

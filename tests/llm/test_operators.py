@@ -16,6 +16,9 @@ from tessella.plans.scratch import Scratch
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+DOCS_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
 def documents(spark, texts, sources=None):
     return spark.createDataFrame([(i, t, "en", sources[i] if sources else f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)], DOCS)
 
@@ -323,6 +326,26 @@ def test_jaccard_firsts_and_odd_rows(spark):
     assert ngram_jaccard.jaccard_components(odd(spark).limit(0)).count() == 0
 
 
+def test_firsts_of_repeated_and_missing_ids(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, one), (5, one), (5, two), (7, two), (None, one), (None, three), (None, three), (9, None), (9, "")]
+    kept = ngram_jaccard.first_of_each(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"__id": F.lit(1), "node": F.lit(2), "whole": F.lit(3)}))
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted([("1", one), ("5", two), ("None", three), ("9", "None"), ("9", "")])
+    assert kept.columns == ["doc_id", "text", "__id", "node", "whole"]
+
+
+def test_large_group_of_near_copies(spark):
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(300):
+        words = list(base)
+        words[i % 120] = f"x{i}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"y{i}_{j}" for j in range(50)) for i in range(20)]
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.jaccard_components(documents(spark, texts), 3, 90, 100).collect()}
+    assert [got[i] for i in range(len(texts))] == [c for _, c in components_by_brute_force(texts, 3, 90, 100)]
+
+
 # ---- nearest neighbours
 
 
@@ -577,6 +600,29 @@ def test_toxicity_odd_rows(spark):
 
 # ---- all of them
 
+CLASHES = ("size", "shard", "__text", "__id", "__hash", "n_words", "row", "value", "whole", "node", "target", "taken", "draws", "epoch", "mix_key", "score", "block", "rank", "key", "h", "place")
+
+
+def test_no_column_clashes(spark):
+    docs = odd(spark).select(*DOCS_COLUMNS).withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+    n = docs.count()
+    fitted = toxicity.trained(spark.createDataFrame([(i, "vile" if i % 2 else "kind", i % 2) for i in range(60)], "doc_id long, text string, toxic int"))
+    own = lambda frame, but=(): all(r[c] == f"own {c}" for r in frame.collect() for c in CLASHES if c in frame.columns and c not in but)
+    assert token_counts.token_counts(docs, bpe.vocabulary()).agg(F.sum("n_docs")).head()[0] == n
+    assert own(quality_rules.quality(docs), ("n_words",)) and own(quality_rules.accepted(docs))
+    assert own(mixing.mixed(docs), mixing.RESULTS) and own(mixing.mixed_rows(docs)) and mixing.mixed_rows(docs).columns == docs.columns
+    assert ngram_jaccard.jaccard_components(docs).count() == n and own(ngram_jaccard.first_of_each(docs))
+    assert own(sharding.sharded(docs, 1_000)) and class_lm.scored(docs).count() == n
+    assert own(bpe.digests(docs, bpe.vocabulary(), docs.columns)) and own(bpe.encoded(docs, bpe.vocabulary()))
+    assert own(toxicity.scored(docs, fitted), ("score",)) and own(toxicity.without_toxic(docs, fitted))
+
+
+def test_class_lm_odd_rows(spark):
+    rows = class_lm.scored(odd(spark)).collect()
+    assert len(rows) == 9 and len({r.score for r in rows if r.doc_id == 7}) == 1 and {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1}
+    assert all(r.score <= 0 and r.base_score <= 0 for r in rows) and not [r for r in rows if r.doc_id is None][0].held_out
+
+
 
 def test_queries_answer_for_every_document(spark, sf):
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
