@@ -43,8 +43,8 @@ from pyspark.sql import types as T
 from tessella.llm.texts import mixed, per_row, slices, split_words, unpacked, whole, word_hashes
 from tessella.plans.scratch import Scratch
 
-#: Bytes of text that a task takes on at once: words met in them are hashed once.
-SLICE_BYTES = 16 << 20
+#: Bytes of text that a task takes on at once: words met in them are hashed once. More would save little time and cost memory.
+SLICE_BYTES = 4 << 20
 #: Shared keys are marked in 2^SLOT_BITS bits (16 MB).
 SLOT_BITS = 27
 #: So many ids (some MB) are broadcast; more are joined by a shuffle.
