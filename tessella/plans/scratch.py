@@ -12,6 +12,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where that is unset (tests, a single machine) a new temporary one is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("on a cluster, set spark.checkpoint.dir to a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -21,7 +23,7 @@ class Scratch:
     """Named Parquet tables of one run of an operator.
 
     A saved table cuts the lineage: it survives lost executors, and is computed once however often
-    it is read. drop() deletes what later steps no longer read, so that disk use stays low."""
+    it is read. Tables are packed with zstd. drop() deletes what later steps no longer read, so that disk use stays low."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
@@ -29,7 +31,7 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
