@@ -68,9 +68,15 @@ def _uniform(*parts: Column) -> Column:
 def hypergeometric(population: Column, marked: Column, drawn: Column, u: Column) -> Column:
     """How many of drawn things are marked, by inversion of the exact distribution at u. All are longs.
 
-    Weights follow from k to k + 1 by their ratio, in logarithms; one pass sums them, a second finds u."""
-    low = F.greatest(F.lit(0).cast("long"), drawn - (population - marked))
-    high = F.least(marked, drawn)
+    Weights follow from k to k + 1 by their ratio, in logarithms; one pass sums them, a second finds u. Only counts
+    within 12 standard deviations and 40 of the mean are gone through: by Bernstein's bound those beyond it have less
+    than 2^-53 of the weight, which is less than any u."""
+    n = F.greatest(F.lit(1).cast("long"), population).cast("double")
+    mean = drawn.cast("double") * marked.cast("double") / n
+    variance = mean * (n - marked) / n * (n - drawn) / F.greatest(F.lit(1.0), n - 1)
+    spread = F.sqrt(F.greatest(F.lit(0.0), variance)) * 12 + 40
+    low = F.greatest(F.lit(0).cast("long"), drawn - (population - marked), F.floor(mean - spread).cast("long"))
+    high = F.least(marked, drawn, F.ceil(mean + spread).cast("long"))
 
     def ratio(k: Column) -> Column:
         up = F.greatest(F.lit(1).cast("long"), marked - k).cast("double") * F.greatest(F.lit(1).cast("long"), drawn - k).cast("double")
@@ -178,18 +184,20 @@ def in_rounds() -> Column:
     return F.exists("rounds", lambda r: (F.col("size") > 0) & (F.col("size") <= r["limit"]) & (here > r["begin"]) & (r["end"].isNull() | (here < r["end"])))
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeats: float = 3.0, shards: int = 16, block_words: int = 20_000, most_blocks: int = 2048, seed: int = 17, key: str = "doc_id") -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeats: float = 3.0, shards: int = 16, block_words: int = 20_000, seed: int = 17, key: str = "doc_id") -> DataFrame:
     """docs with RESULTS: size in words, its source's size and target, the words taken of it, and draws: an array of
     (epoch, shard, mix_key), one for each time that the mix takes the document.
 
-    A source has one block for each block_words words, most_blocks at most."""
+    A block of a source holds some block_words words, or the root of the source's words where that is more: the number
+    of blocks and what a block holds both grow with the root of a large source, so that neither the tree's draws nor a
+    cut within a block become one task's large work."""
     scratch = Scratch(docs.sparkSession, "mix")
     names = [c for c in docs.columns if c not in RESULTS]
     # the input's columns travel in one struct, so that none clashes with those used here
     rows = docs.select(F.struct(*names).alias("__row"), "source", word_count().alias("size"), F.xxhash64(F.lit(seed), F.col(key), F.col("text")).alias("__h"))
     slim = scratch.save(rows.select("source", "size", "__h"), "slim")
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
-    n_blocks = F.least(F.lit(most_blocks), F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words))).cast("long")
+    n_blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.greatest(F.lit(float(block_words)), F.sqrt("source_size")))).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-9))).otherwise(0).cast("long")
     sources = targets(sizes, weights, most_repeats).withColumns({"n_blocks": n_blocks, "epochs": epochs})
     sources = scratch.save(sources.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size"))), "sources")

@@ -199,6 +199,22 @@ def test_hypergeometric(spark):
         assert counts.get(k, 0) == pytest.approx(4000 * math.comb(12, k) * math.comb(18, 10 - k) / math.comb(30, 10), abs=1.5)
 
 
+def test_hypergeometric_of_many(spark):
+    """Draws of large populations equal the inversion of the whole distribution, also at the outermost u."""
+    for population, marked, drawn in [(100_000, 30_000, 50_000), (50_000, 40, 25_000), (80_000, 79_990, 3_000)]:
+        low, high = max(0, drawn - (population - marked)), min(marked, drawn)
+        ks = range(low, high + 1)
+        choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+        logs = np.array([choose(marked, k) + choose(population - marked, drawn - k) - choose(population, drawn) for k in ks])
+        upto = np.cumsum(np.exp(logs))
+        us = [2.0**-53, 1e-9, 0.1, 0.25, 0.5, 0.9, 1 - 1e-9]
+        frame = spark.createDataFrame([(u,) for u in us], "u double")
+        long = [F.lit(x).cast("long") for x in (population, marked, drawn)]
+        got = {r.u: r.k for r in frame.select("u", mixing.hypergeometric(*long, F.col("u")).alias("k")).collect()}
+        for u in us:
+            assert abs(got[u] - (low + int(np.searchsorted(upto, u)))) <= 1
+
+
 def test_splitting_tree_is_exact(spark):
     quotas = {0: 7, 1: 0, 2: 120, 3: 33}
     rows = mixing.splitting_tree(spark.createDataFrame(list(quotas.items()), "rank int, quota long"), 5, 3).collect()
