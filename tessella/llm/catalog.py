@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, class_lm, html_text, kmeans_tree, mixing, ngram_jaccard, oracle, quality_rules, sharding, token_counts, toxicity
+from tessella.llm import bpe, class_lm, conversation_repair, html_text, kmeans_tree, mixing, ngram_jaccard, oracle, quality_rules, sharding, threshold_topk, token_counts, toxicity
 from tessella.plans.ship import ship
 
 SHARD_BYTES = 1 << 20
+THRESHOLD_K, THRESHOLD_EVERY, THRESHOLD_SCALE = 5, 50, 256
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,6 +63,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(rows, model, ["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_mixing, op4_kmeans_tree, op5_ngram_jaccard, op6_html_text, op7_sharding, op8_class_lm, op9_bpe, op10_toxicity)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(read(spark, sf_dir, "conversations"))
+    return conversation_repair.summaries(conversation_repair.repaired(rows, there=F.col("there")))
 
-ORACLE_SQL = {"op2_quality_rules": oracle.quality(), "op5_ngram_jaccard": oracle.jaccard(3, 90, 100), "op7_sharding": sharding.ORACLE_SQL.format(limit=SHARD_BYTES)}
+
+def op13_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return threshold_topk.top_k(vectors, vectors.where(f"vec_id % {THRESHOLD_EVERY} = 0"), THRESHOLD_K, THRESHOLD_SCALE)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_mixing, op4_kmeans_tree, op5_ngram_jaccard, op6_html_text, op7_sharding, op8_class_lm, op9_bpe, op10_toxicity, op11_conversation_repair, op13_threshold_topk)}
+
+ORACLE_SQL = {"op2_quality_rules": oracle.quality(), "op5_ngram_jaccard": oracle.jaccard(3, 90, 100), "op7_sharding": sharding.ORACLE_SQL.format(limit=SHARD_BYTES), "op11_conversation_repair": oracle.REPAIR, "op13_threshold_topk": oracle.inner_top_k(THRESHOLD_K, THRESHOLD_EVERY, THRESHOLD_SCALE)}

@@ -47,3 +47,43 @@ base AS (SELECT doc_id, len(l)::BIGINT AS n_words, coalesce(list_sum(list_transf
     FROM listed LEFT JOIN covered USING (doc_id) LEFT JOIN lost USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND stays > 0 AND 100 * lost <= {r.lost_percent} * n_words AS kept, lost::BIGINT AS n_lost_words
 FROM (SELECT *, n_words < {r.base_least_words} OR 100 * n_repeat_words > {r.base_repeat_percent} * n_words AS base_failed FROM base)"""
+
+
+#: CRC-32 of an ASCII string, a bit at a time.
+_crc = lambda s: (
+    f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({s}) + 1), lambda i: ascii(substr({s}, i, 1))::BIGINT)), "
+    "lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, n: xor(x >> 1, 3988292384 * (x & 1)))))"
+)
+
+#: Cheapest edits by dynamic programming over rows: for each state the least (cost, audit), with what was written.
+REPAIR = rf"""
+WITH RECURSIVE given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+drawn AS (SELECT *, {_crc('k')} % 20 AS d FROM given),
+hurt AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM drawn),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) AS last FROM hurt),
+judged AS (SELECT conv_id, turn, role, text, i, left(role, 1) AS c, CASE WHEN last = '' THEN 'b' WHEN again THEN 'd' WHEN last NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+sums AS (SELECT g.conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (i > 1 AND before || c NOT IN ('su', 'ua', 'au')) AS illegal, count(i) AS n FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM g.conv_id GROUP BY 1),
+ways AS (SELECT conv_id, 0::BIGINT AS i, '' AS q, {{'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]}} AS w FROM sums
+  UNION ALL
+  SELECT conv_id, i, q, min(w) AS w FROM (
+    SELECT j.conv_id, j.i, CASE e WHEN 'D' THEN p.q WHEN 'K' THEN c WHEN 'R' THEN CASE p.q WHEN 'u' THEN 'a' ELSE 'u' END END AS q,
+      {{'cost': p.w.cost + CASE e WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN e <> 'D' AND fault = 't' THEN 1 ELSE 0 END, 'audit': p.w.audit || e,
+        'lines': CASE e WHEN 'D' THEN p.w.lines ELSE list_append(p.w.lines, CASE WHEN e = 'K' THEN role WHEN p.q = 'u' THEN 'assistant' ELSE 'user' END || ':' || text) END}} AS w
+    FROM (SELECT conv_id, i, unnest([q, CASE q WHEN 'u' THEN 'a' ELSE 'u' END, CASE q WHEN 'u' THEN 'u' ELSE 'a' END]) AS q, unnest([w,
+        {{'cost': w.cost + 2, 'audit': w.audit || 'I', 'lines': list_append(w.lines, CASE q WHEN 'u' THEN 'assistant:' ELSE 'user:' END)}},
+        {{'cost': w.cost + 4, 'audit': w.audit || 'II', 'lines': w.lines || CASE q WHEN 'u' THEN ['assistant:', 'user:'] ELSE ['user:', 'assistant:'] END}}]) AS w FROM ways) p
+    JOIN judged j ON j.conv_id IS NOT DISTINCT FROM p.conv_id AND j.i = p.i + 1, (SELECT unnest(['D', 'K', 'R']) AS e)
+    WHERE e = 'D' OR (fault NOT IN ('b', 'd') AND (e = 'R' OR p.q || c IN ('s', 'u', 'su', 'ua', 'au')))) GROUP BY conv_id, i, q),
+ended AS (SELECT s.conv_id, min(CASE WHEN q IN ('', 'a') THEN w WHEN q = 'u' THEN {{'cost': w.cost + 2, 'audit': w.audit || 'I', 'lines': list_append(w.lines, 'assistant:')}}
+    ELSE {{'cost': w.cost + 4, 'audit': w.audit || 'II', 'lines': w.lines || ['user:', 'assistant:']}} END) AS w FROM sums s JOIN ways y ON y.conv_id IS NOT DISTINCT FROM s.conv_id AND y.i = s.n GROUP BY 1)
+SELECT s.conv_id, gaps, blank, duplicate, truncated, illegal, w.cost AS cost, w.audit AS audit, sha256(array_to_string(w.lines, chr(10))) AS repaired_sha256 FROM sums s JOIN ended e ON e.conv_id IS NOT DISTINCT FROM s.conv_id"""
+
+
+def inner_top_k(k: int, every: int, scale: int) -> str:
+    return f"""
+WITH fine AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor({scale} * x)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+met AS (SELECT q.vec_id AS query_id, r.vec_id, list_sum(list_transform(list_zip(q.v, r.v), lambda p: p[1] * p[2]))::BIGINT AS score FROM fine q JOIN fine r ON r.vec_id <> q.vec_id AND len(r.v) = len(q.v) WHERE q.vec_id % {every} = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM met) WHERE rank <= {k}"""
