@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, class_lm, conversation_repair, html_text, kmeans_tree, mixing, ngram_jaccard, oracle, quality_rules, sharding, threshold_topk, token_counts, toxicity
+from tessella.llm import bpe, class_lm, conversation_repair, html_text, kmeans_tree, mixing, ngram_jaccard, oracle, phrases, quality_rules, sharding, threshold_topk, token_counts, toxicity
 from tessella.plans.ship import ship
 
 SHARD_BYTES = 1 << 20
@@ -68,11 +68,15 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.summaries(conversation_repair.repaired(rows, there=F.col("there")))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 def op13_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     return threshold_topk.top_k(vectors, vectors.where(f"vec_id % {THRESHOLD_EVERY} = 0"), THRESHOLD_K, THRESHOLD_SCALE)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_mixing, op4_kmeans_tree, op5_ngram_jaccard, op6_html_text, op7_sharding, op8_class_lm, op9_bpe, op10_toxicity, op11_conversation_repair, op13_threshold_topk)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_mixing, op4_kmeans_tree, op5_ngram_jaccard, op6_html_text, op7_sharding, op8_class_lm, op9_bpe, op10_toxicity, op11_conversation_repair, op12_phrases, op13_threshold_topk)}
 
-ORACLE_SQL = {"op2_quality_rules": oracle.quality(), "op5_ngram_jaccard": oracle.jaccard(3, 90, 100), "op7_sharding": sharding.ORACLE_SQL.format(limit=SHARD_BYTES), "op11_conversation_repair": oracle.REPAIR, "op13_threshold_topk": oracle.inner_top_k(THRESHOLD_K, THRESHOLD_EVERY, THRESHOLD_SCALE)}
+ORACLE_SQL = {"op2_quality_rules": oracle.quality(), "op5_ngram_jaccard": oracle.jaccard(3, 90, 100), "op7_sharding": sharding.ORACLE_SQL.format(limit=SHARD_BYTES), "op11_conversation_repair": oracle.REPAIR, "op12_phrases": oracle.collocations(30, 80, 2_000), "op13_threshold_topk": oracle.inner_top_k(THRESHOLD_K, THRESHOLD_EVERY, THRESHOLD_SCALE)}

@@ -87,3 +87,18 @@ def inner_top_k(k: int, every: int, scale: int) -> str:
 WITH fine AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor({scale} * x)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 met AS (SELECT q.vec_id AS query_id, r.vec_id, list_sum(list_transform(list_zip(q.v, r.v), lambda p: p[1] * p[2]))::BIGINT AS score FROM fine q JOIN fine r ON r.vec_id <> q.vec_id AND len(r.v) = len(q.v) WHERE q.vec_id % {every} = 0)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM met) WHERE rank <= {k}"""
+
+
+def collocations(least: int, percent: int, top: int) -> str:
+    return rf"""
+WITH texts AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM texts)),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY 1),
+grams AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS m))),
+f AS (SELECT lang, phrase, m, count(*)::BIGINT AS f FROM grams GROUP BY ALL HAVING count(*) >= {least}),
+cuts AS (SELECT lang, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS first, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, m)) AS k FROM f)),
+judged AS (SELECT c.lang, c.phrase, a, k, p.f AS l, q.f AS r, ((2000000::HUGEINT * a) // (p.f::HUGEINT + q.f))::BIGINT AS score FROM cuts c JOIN f p ON p.lang = c.lang AND p.phrase = first JOIN f q ON q.lang = c.lang AND q.phrase = rest),
+lowest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM judged) WHERE o = 1),
+held AS (SELECT lang, array_to_string(string_split(phrase, ' ')[i:i + s - 1], ' ') AS phrase, max(f) AS longer FROM (SELECT *, unnest(range(1, m - s + 2)) AS i FROM f, (SELECT unnest([2, 3]) AS s) WHERE s < m) GROUP BY 1, 2),
+kept AS (SELECT w.* FROM lowest w LEFT JOIN held h ON h.lang = w.lang AND h.phrase = w.phrase WHERE h.longer IS NULL OR 100::HUGEINT * h.longer < {percent}::HUGEINT * w.a)
+SELECT lang, rank::INTEGER AS rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN sizes USING (lang) WHERE rank <= {top}"""
