@@ -1,13 +1,18 @@
-"""BM25 over chunks: index tables, scores of whole batches of queries, top k."""
+"""BM25 over chunks: index tables, scores of whole batches of queries, top k by block maxima.
+
+Postings lie in blocks, one for each term and segment of chunks, with the largest posting of each. A search first sums the maxima of a
+query's terms, which bounds what any chunk of a segment can score, and reads the postings of those segments only that can hold one of the k best."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.plans.scratch import Scratch
+
 #: Words that are no terms.
 STOPWORDS = (
     "the a an and or but in on at to for of with by from is are was were be been being have has had do does did "
@@ -22,52 +27,129 @@ def terms(text: Column) -> Column:
     return F.filter(words, lambda w: ~w.isin(STOPWORDS) & (F.length(w) > 2))
 
 
+#: Chunks of a document that lie side by side form a segment of so many; so do so many chunks of short documents, about.
+SEGMENT_CHUNKS = 64
+#: A table of query terms, or of pairs of a query and a segment, of at most so many rows (some MB) is broadcast.
+BROADCAST_TERMS = 200_000
+#: Segments of each query, those with the highest bounds, that give the first k-th score.
+FIRST_SEGMENTS = 4
+#: Block maxima are worth their jobs from so many postings on, and for queries of so many terms on average: those of many terms add up to
+#: bounds that hardly any segment misses. Other batches are summed in full, with the same result.
+PRUNED_POSTINGS = 20_000_000
+PRUNED_TERMS = 8
+#: What rounding to six digits may add to a score.
+ROUNDING = 1e-6
+
+
 @dataclass(frozen=True)
 class Bm25Index:
-    """postings (chunk_id, term, tf), lengths (chunk_id, dl), stats (term, df, idf) and totals (n_chunks, avgdl)."""
+    """blocks (segment, term, n, top, postings array of (chunk_id, part)), lengths (chunk_id, segment, dl), stats (term, df, idf) and totals (n_chunks, avgdl).
+
+    A block holds the postings of a term in one segment of chunks; part is what a posting adds to a score for each unit of idf, top the largest of them."""
 
-    postings: DataFrame
+    blocks: DataFrame
     lengths: DataFrame
     stats: DataFrame
     totals: DataFrame
 
+    def tables(self) -> dict[str, DataFrame]:
+        return {name: getattr(self, name) for name in TABLES}
+
+
+TABLES = tuple(f.name for f in fields(Bm25Index))
+
+
+def counted_terms(listed: Column) -> Column:
+    """An array of (term, tf) from an array of terms, within the row: the terms are sorted, and a term's count is the distance to the next."""
+    ends = lambda s: F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i == 0) | (i == F.size(s)) | (F.get(s, i) != F.get(s, i - 1)))
+    runs = lambda s, at: F.transform(F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0))), lambda i, j: F.struct(F.get(s, i).alias("term"), (F.get(at, j + 1) - i).alias("tf")))
+    # each value is named once, so that it is not computed again for every term
+    named = F.transform(F.array(F.array_sort(listed)), lambda s: F.transform(F.array(ends(s)), lambda at: runs(s, at)))
+    return F.element_at(F.element_at(named, 1), 1)
+
+
+def _segment(n_segments: Column | int) -> Column:
+    """Neighbouring chunks of a document share a segment, as their terms are alike."""
+    number = F.coalesce(F.try_to_number(F.regexp_extract("chunk_id", r"_chunk_(\d{1,9})$", 1), F.lit("999999999")), F.lit(0))
+    group = (number / SEGMENT_CHUNKS).cast("int")
+    return F.pmod(F.xxhash64(F.substring_index("chunk_id", "_chunk_", 1), group), n_segments).cast("int")
+
 
 def index(chunks: DataFrame, save=lambda df, name: df) -> Bm25Index:
     """The index of chunks (chunk_id, text). save(df, name) may write a table that is read often and return it.
 
-    idf is ln((N - df + 0.5) / (df + 0.5)); where negative, a quarter of the mean over all terms stands for it."""
-    listed = save(chunks.select("chunk_id", terms(F.col("text")).alias("terms")), "terms")
-    postings = save(listed.select("chunk_id", F.explode("terms").alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    lengths = listed.select("chunk_id", F.size("terms").alias("dl"))
-    totals = lengths.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("avgdl"))
+    Terms are counted in their row, and rows are shuffled once, by segment. idf is ln((N - df + 0.5) / (df + 0.5)); where negative, a
+    quarter of the mean over all terms stands for it."""
+    listed = chunks.select("chunk_id", terms(F.col("text")).alias("terms"))
+    listed = save(listed.select("chunk_id", counted_terms(F.col("terms")).alias("counts"), F.size("terms").alias("dl")), "counts")
+    totals = save(listed.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("avgdl")), "totals")
+    n_segments = F.greatest(F.lit(1), F.ceil(F.col("n_chunks") / SEGMENT_CHUNKS))
+    placed = listed.crossJoin(F.broadcast(totals)).withColumn("segment", _segment(n_segments))  # one row
+    tf, dl = F.col("c.tf"), F.col("dl") / F.col("avgdl")
+    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl))
+    postings = placed.repartition("segment").select("segment", "chunk_id", "dl", "avgdl", F.explode("counts").alias("c")).select("segment", F.col("c.term").alias("term"), F.struct("chunk_id", part.alias("part")).alias("p"))
+    blocks = save(postings.groupBy("segment", "term").agg(F.count(F.lit(1)).alias("n"), F.max("p.part").alias("top"), F.collect_list("p").alias("postings")), "blocks")
     raw = F.log((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(totals)).select("term", "df", raw.alias("raw"))
+    df = blocks.groupBy("term").agg(F.sum("n").alias("df")).crossJoin(F.broadcast(totals)).select("term", "df", raw.alias("raw"))
     mean = df.agg(F.avg("raw").alias("mean"))
     stats = df.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25Index(postings, lengths, save(stats, "stats"), totals)
+    return Bm25Index(blocks, placed.select("chunk_id", "segment", "dl"), save(stats, "stats"), totals)
 
 
-#: Postings of a term are dealt to so many tasks, so that no frequent term is one task's alone.
-TERM_PARTS = 16
-#: A weighed query table of at most so many rows (some MB) is broadcast.
-BROADCAST_TERMS = 200_000
+def weighed(idx: Bm25Index, queries: DataFrame) -> DataFrame:
+    """query_id, term, weight of the terms of queries (query_id, query). A repeated term counts again."""
+    wanted = queries.select("query_id", F.explode(counted_terms(terms(F.col("query")))).alias("c")).groupBy("query_id", F.col("c.term").alias("term")).agg(F.sum("c.tf").alias("qtf"))
+    return wanted.join(idx.stats, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if its rows, counted, are few."""
+    return F.broadcast(df) if df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else df
+
+
+def _summed(hits: DataFrame) -> DataFrame:
+    """Scores of chunks from (query_id, weight, postings); summed where the postings are before they are shuffled."""
+    each = hits.select("query_id", "weight", F.explode("postings").alias("p"))
+    return each.groupBy("query_id", F.col("p.chunk_id").alias("chunk_id")).agg(F.sum(F.col("weight") * F.col("p.part")).alias("score"))
 
 
 def scores(idx: Bm25Index, queries: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score for chunks that share a term with a query (query_id, query). A repeated query term counts again.
-
-    The queries' terms are few and go to the postings where they lie; beyond a counted bound both sides are dealt by term and part.
-    Scores are summed where a chunk's postings are before they are shuffled."""
-    wanted = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weighed = wanted.join(idx.stats, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
-    tf, dl = F.col("tf"), F.col("dl") / F.col("avgdl")
-    postings = idx.postings.join(idx.lengths, "chunk_id").crossJoin(F.broadcast(idx.totals)).select("chunk_id", "term", (tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl))).alias("part"))
-    if weighed.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        hits = postings.join(F.broadcast(weighed), "term")
-    else:
-        parts = weighed.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(TERM_PARTS - 1))))
-        hits = postings.withColumn("deal", F.pmod(F.xxhash64("chunk_id"), F.lit(TERM_PARTS)).cast("int")).join(parts, ["term", "deal"])
-    return hits.groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+    """query_id, chunk_id, score for all chunks that share a term with a query (query_id, query): the full sum."""
+    return _summed(idx.blocks.select("term", "postings").join(_few(weighed(idx, queries)), "term"))
+
+
+def bounds(idx: Bm25Index, asked: DataFrame) -> DataFrame:
+    """query_id, segment, bound, n: the most that a chunk of a segment can score, and the postings that it would take to know; postings are not read."""
+    tops = idx.blocks.select("segment", "term", "n", "top")
+    return tops.join(asked, "term").groupBy("query_id", "segment").agg(F.sum(F.greatest(F.col("weight") * F.col("top"), F.lit(0.0))).alias("bound"), F.sum("n").alias("n"))
+
+
+def likely_scores(idx: Bm25Index, queries: DataFrame, k: int) -> DataFrame:
+    """Scores among which each query's k best are: by block maxima where that saves reading, else in full."""
+    met = weighed(idx, queries).join(idx.stats.select("term", "df"), "term")
+    size = met.agg(F.sum("df").alias("postings"), (F.count(F.lit(1)) / F.count_distinct("query_id")).alias("terms")).head()
+    pruned = (size["postings"] or 0) > PRUNED_POSTINGS and size["terms"] <= PRUNED_TERMS
+    return best_scores(idx, queries, k)[0] if pruned else scores(idx, queries)
+
+
+def best_scores(idx: Bm25Index, queries: DataFrame, k: int, save=None) -> tuple[DataFrame, DataFrame]:
+    """Scores (query_id, chunk_id, score) among which each query's k best are, and the pairs (query_id, segment, n) whose postings were read.
+
+    A query's few segments with the highest bounds are summed first; then only those whose bound reaches the k-th score found. save writes a
+    table that is read often; without it, one is written to the shared folder."""
+    save = save or Scratch(queries.sparkSession, "bm25").save
+    asked = _few(save(weighed(idx, queries), "asked"))
+    limits = save(bounds(idx, asked).withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound"), "segment"))), "bounds")
+
+    def summed(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select("query_id", "segment").join(asked, "query_id").select("query_id", "segment", "term", "weight")
+        return _summed(idx.blocks.select("segment", "term", "postings").join(_few(wanted), ["segment", "term"]))
+
+    first = save(summed(limits.where(F.col("place") <= FIRST_SEGMENTS)), "first")
+    last = top_k(first, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    open_ = limits.where(F.col("place") > FIRST_SEGMENTS).join(_few(last), "query_id", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - ROUNDING))
+    rest = save(open_.select("query_id", "segment", "n"), "open")
+    return first.unionByName(summed(rest)), limits.where(F.col("place") <= FIRST_SEGMENTS).select("query_id", "segment", "n").unionByName(rest)
 
 
 def top_k(scored: DataFrame, k: int, best: str = "score", tie: str = "chunk_id", digits: int = 6) -> DataFrame:
@@ -88,8 +170,7 @@ def search(idx: Bm25Index, queries: DataFrame, k: int = 5, include_zero: bool =
 
     Only a query with fewer than k matches is filled up, and its list holds all of them: of the first 2 k chunks by id,
     k are not in it."""
-    scored = scores(idx, queries)
-    found = top_k(scored, k)
+    found = top_k(likely_scores(idx, queries, k), k)
     if include_zero:
         some = idx.lengths.select("chunk_id").orderBy("chunk_id").limit(2 * k)
         # a list shorter than k holds every match of its query

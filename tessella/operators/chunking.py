@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessella.functions.text import strip
+from tessella.functions.text import cleaner, strip
 
 #: Fixed value: a header is a markdown header, a line in capitals, or a numbered section.
 HEADER = r"^(?:#{1,6}\s+(.+)|([A-Z][A-Z 0-9]{3,}):?|(?:SECTION|Chapter)\s+\d+[.:]\s*(.+))$"
@@ -65,41 +68,83 @@ def chunked(docs: DataFrame, size: int = 512, overlap: int = 64, min_size: int =
     )
 
 
-def sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, section_index, section, text, offset: documents cut at their headers.
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def section_list(text: Column) -> Column:
+    """An array of (section, text, offset) of a text cut at its headers, within the row.
 
     Marks are written around every header and the text is split at them: a part is a header, its name and what follows, and
     its offset is the sum of what came before. What stands before the first header is 'preamble'; sections without text
-    go; a document left without any is one section 'general'. Control characters 1 to 3 count as spaces."""
-    at = W.partitionBy("__id").orderBy("part")
-    plain = F.translate(F.coalesce(F.col(text), F.lit("")), "\x01\x02\x03", "   ")
+    go; a text left without any is one section 'general'. Control characters 1 to 3 count as spaces."""
+    plain = F.translate(F.coalesce(text, F.lit("")), "\x01\x02\x03", "   ")
     marked = F.regexp_replace(plain, f"(?mdU){HEADER}", "\x01$0\x02$1$2$3\x03")
-    rows = docs.select(F.monotonically_increasing_id().alias("__id"), F.col(key), plain.alias("whole"), marked.alias("marked"))
-    parts = rows.select("__id", key, "whole", F.posexplode(F.split("marked", "\x01")).alias("part", "body"))
-    head, name = F.substring_index("body", "\x02", 1), F.substring_index(F.substring_index("body", "\x03", 1), "\x02", -1)
-    first = F.col("part") == 0
-    parts = parts.select("__id", key, "part", "whole", F.when(first, "").otherwise(head).alias("head"), F.when(first, "preamble").otherwise(F.substring(F.lower(strip(name)), 1, 60)).alias("name"), F.when(first, F.col("body")).otherwise(F.substring_index("body", "\x03", -1)).alias("body"))
-    before = F.coalesce(F.sum(F.length("head") + F.length("body")).over(at.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    filled = F.length(strip(F.col("body"))) > 0
-    parts = parts.withColumns({"offset": (before + F.length("head")).cast("int"), "n_parts": F.count(F.lit(1)).over(W.partitionBy("__id")), "n_filled": F.sum(filled.cast("int")).over(W.partitionBy("__id"))})
-    alone = (F.col("n_parts") == 1) | (F.col("n_filled") == 0)
-    kept = parts.where((alone & first) | (~alone & filled))
-    return kept.select(
-        key, (F.row_number().over(at) - 1).alias("section_index"), F.when(alone, "general").otherwise(F.col("name")).alias("section"),
-        F.when(alone, F.col("whole")).otherwise(strip(F.col("body"))).alias("text"), F.when(alone, 0).otherwise(F.col("offset")).alias("offset"),
-    )
 
+    def part(piece: Column, i: Column) -> Column:
+        head, name = F.substring_index(piece, "\x02", 1), F.substring_index(F.substring_index(piece, "\x03", 1), "\x02", -1)
+        return F.struct(
+            F.when(i == 0, "preamble").otherwise(F.substring(F.lower(strip(name)), 1, 60)).alias("section"),
+            F.when(i == 0, piece).otherwise(F.substring_index(piece, "\x03", -1)).alias("body"), F.when(i == 0, 0).otherwise(F.length(head)).alias("head"),
+        )
+
+    def ended(parts: Column) -> Column:
+        """Where each part's body begins: the running sum of heads and bodies."""
+        sizes = F.transform(parts, lambda p: p["head"] + F.length(p["body"]))
+        start = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).alias("end"))
+        return F.aggregate(sizes, start, lambda s, n: F.struct(F.concat(s["ends"], F.array(s["end"])).alias("ends"), (s["end"] + n).alias("end")), lambda s: s["ends"])
+
+    def kept(parts: Column) -> Column:
+        begins = lambda ends: F.transform(parts, lambda p, i: F.struct(p["section"].alias("section"), strip(p["body"]).alias("text"), (F.get(ends, i) + p["head"]).cast("int").alias("offset")))
+        filled = F.filter(_named(ended(parts), begins), lambda p: F.length(p["text"]) > 0)
+        alone = F.array(F.struct(F.lit("general").alias("section"), plain.alias("text"), F.lit(0).alias("offset")))
+        return _named(filled, lambda f: F.when((F.size(parts) == 1) | (F.size(f) == 0), alone).otherwise(f))
+
+    return _named(F.transform(F.split(marked, "\x01"), part), kept)
+
+
+def sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, section_index, section, text, offset: documents cut at their headers (see section_list). Nothing is shuffled."""
+    each = docs.select(key, F.posexplode(section_list(F.col(text))).alias("section_index", "s"))
+    return each.select(key, "section_index", F.col("s.section").alias("section"), F.col("s.text").alias("text"), F.col("s.offset").alias("offset"))
 
-def numbered(chunks: DataFrame, key: str = "doc_id", order: tuple[str, ...] = ("section_index", "char_start")) -> DataFrame:
-    """chunk_index over a document's chunks of all its sections."""
-    return chunks.withColumn("chunk_index", F.row_number().over(W.partitionBy(key).orderBy(*order)) - 1)
 
+SECTION = T.StructType([T.StructField("section", T.StringType()), T.StructField("text", T.StringType()), T.StructField("offset", T.IntegerType())])
 
-def chunked_by_section(docs: DataFrame, clean: Callable[[Column], Column], size: int = 512, overlap: int = 64, min_size: int = 50) -> DataFrame:
-    """Chunks of docs (doc_id, text, ...): sections are found before texts are cleaned, and chunks are numbered over the document."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "section")]
-    cut = sections(docs).withColumnRenamed("offset", "section_offset")
-    cut = cut.join(docs.select("doc_id", *others), "doc_id") if others else cut
-    cut = cut.withColumn("text", clean(F.col("text"))).withColumn("part", F.concat_ws("_s", "doc_id", F.col("section_index").cast("string")))
-    rows = numbered(chunked(cut, size, overlap, min_size, key="part").drop("chunk_index"))
-    return rows.withColumn("chunk_id", F.concat_ws("_chunk_", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"))).drop("part")
+
+def _cleaned_sections(listed: DataFrame, clean: Callable[[str], str]) -> DataFrame:
+    """listed (row, sections) with the sections' texts cleaned, in Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("sections")
+            flat = lists.flatten()
+            texts = pa.array([clean(t) for t in flat.field("text").to_pylist()], pa.string())
+            made = pa.StructArray.from_arrays([flat.field("section"), texts, flat.field("offset")], ["section", "text", "offset"])
+            ends = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(ends), made)], ["row", "sections"])
+
+    return listed.mapInArrow(run, T.StructType([listed.schema["row"], T.StructField("sections", T.ArrayType(SECTION))]))
+
+
+def chunked_by_section(docs: DataFrame, clean: Callable[[str], str] = cleaner(), size: int = 512, overlap: int = 64, min_size: int = 50) -> DataFrame:
+    """Chunks of docs (doc_id, text, ...): sections are found before their texts are cleaned, and chunks are numbered over the document.
+
+    A document is cut and its chunks are numbered in its own row: nothing is shuffled or joined, so that rows with the same
+    doc_id, or without one, stay apart."""
+    names = [c for c in docs.columns if c not in ("doc_id", "text", "section")]
+    row = F.struct("doc_id", *[F.col(f"`{c}`") for c in names])
+    listed = _cleaned_sections(docs.select(row.alias("row"), section_list(F.col("text")).alias("sections")), clean)
+
+    def windows_of(s: Column, i: Column) -> Column:
+        own = (i.cast("int").alias("section_index"), s["section"].alias("section"), s["offset"].alias("section_offset"))
+        made = F.transform(_spans(s["text"], size, overlap, True), lambda w: F.struct(*own, w["pos"].alias("pos"), w["end"].alias("end"), w["raw"].alias("raw"), strip(w["raw"]).alias("bare")))
+        return F.filter(made, lambda w: F.length(w["bare"]) >= min_size)
+
+    each = listed.select("row", F.posexplode(F.flatten(F.transform("sections", windows_of))).alias("chunk_index", "w"))
+    return each.select(
+        F.concat(F.col("row.doc_id").cast("string"), F.lit("_chunk_"), F.col("chunk_index")).alias("chunk_id"), F.col("row.doc_id").alias("doc_id"), "chunk_index", F.col("w.pos").alias("char_start"), F.col("w.end").alias("char_end"),
+        token_estimate(F.col("w.raw")).alias("tokens"), F.col("w.section").alias("section"), F.col("w.bare").alias("text"), F.col("w.section_index").alias("section_index"), F.col("w.section_offset").alias("section_offset"),
+        *[F.col("row").getField(c).alias(c) for c in names],
+    )

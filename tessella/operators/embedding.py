@@ -5,15 +5,18 @@ from __future__ import annotations
 import hashlib
 import time
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import partial
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
 import regex
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 class Embedder(Protocol):
@@ -53,26 +56,45 @@ class HashingEmbedder:
         return out / np.where(length == 0, 1, length)[:, None]
 
 
-#: Embedders by name; more may be added.
-MODELS = {"hashing": HashingEmbedder}
+@dataclass(frozen=True)
+class Loader:
+    """A model that is loaded where it runs: its name and dimension, and a function that makes the embedder. Only this is sent to the tasks."""
+
+    name: str
+    dim: int
+    load: Callable[[], Embedder]
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        return self.load().embed(texts)
+
+
+#: Functions from a dimension to a Loader, by the name of the model.
+MODELS: dict[str, Callable[[int], Loader]] = {}
+
+
+def register(name: str, make: Callable[[int], Embedder], dim: int | None = None) -> None:
+    """Adds a model by name; make(dim) loads it. dim: its dimension, where that is fixed."""
+    MODELS[name] = lambda asked: Loader(name if dim else f"{name}-{asked}", dim or asked, partial(make, dim or asked))
+
+
+register("hashing", HashingEmbedder)
 
 
-def embedder(name: str, dim: int = 384) -> Embedder:
-    """The embedder of that name; an unknown name gives the hashing one."""
-    return MODELS.get(name.split("-")[0], HashingEmbedder)(dim)
+def embedder(name: str, dim: int = 384) -> Loader:
+    """The model of that name, or of the name before its last dash; an unknown name gives the hashing one."""
+    return MODELS.get(name, MODELS.get(name.rpartition("-")[0], MODELS["hashing"]))(dim)
 
 
-def embedded(rows: DataFrame, embedder: Embedder, text: str = "text", batch: int = 32) -> DataFrame:
-    """rows with embedding (array<double>), in batches; a null text counts as ''."""
+def embedded(rows: DataFrame, embedder: Embedder | Loader, text: str = "text", batch: int = 256) -> DataFrame:
+    """rows with embedding (array<double>), in batches; a null text counts as ''. A model is loaded once in each Python worker and stays there."""
+    load = embedder.load if isinstance(embedder, Loader) else lambda: embedder
 
-    @F.pandas_udf("array<double>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            texts = part.fillna("").tolist()
-            made = [v for at in range(0, len(texts), batch) for v in embedder.embed(texts[at : at + batch])]
-            yield pd.Series(made)
+    def predictor():
+        model = load()
+        return lambda texts: np.asarray(model.embed(list(texts)), np.float64)
 
-    return rows.withColumn("embedding", run(F.col(text)))
+    run = predict_batch_udf(predictor, return_type=ArrayType(DoubleType()), batch_size=batch)
+    return rows.withColumn("embedding", run(F.coalesce(F.col(text), F.lit(""))))
 
 
 def cache_key(model: str, text: Column) -> Column:

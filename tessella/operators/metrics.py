@@ -4,6 +4,10 @@ Input: hits (query_id, rank from 1, score, is_rel) and n_rel (query_id, n_rel)."
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,21 +83,80 @@ def verdict(delta: Column) -> Column:
     return F.when(delta > 0.1, "strong improvement").when(delta > 0, "slight improvement").when(delta < -0.05, "decline").otherwise("comparable")
 
 
-#: So many queries go to the chunks at once.
-BANK_BLOCK = 500
+#: So many queries' keywords are one automaton, which is sent to all tasks; more are dealt, as blocks, to blocks of chunks.
+BANK_BLOCK = 5_000
+#: Chunks that one group of a bank of several blocks holds, about.
+CHUNK_BLOCK = 20_000
+
+
+class KeywordAutomaton:
+    """Which queries' keywords a text holds: one pass over the text for all keywords (Aho-Corasick)."""
+
+    def __init__(self, keywords: dict[str, list[int]]):
+        self.everywhere = set(keywords.get("", ()))
+        self.found = ahocorasick.Automaton()
+        for word, rows in keywords.items():
+            if word:
+                self.found.add_word(word, tuple(rows))
+        if len(self.found):
+            self.found.make_automaton()
+
+    @classmethod
+    def of(cls, bank: pa.Table) -> KeywordAutomaton:
+        """From a bank's column keywords; a query is known by its row."""
+        rows: dict[str, list[int]] = {}
+        for i, words in enumerate(bank.column("keywords").to_pylist()):
+            for word in set(words or ()):
+                if word is not None:
+                    rows.setdefault(word, []).append(i)
+        return cls(rows)
+
+    def rows_of(self, text: str) -> list[int]:
+        hit = set(self.everywhere)
+        if len(self.found):
+            for _, rows in self.found.iter(text):
+                hit.update(rows)
+        return sorted(hit)
+
+    def pairs(self, chunks: pa.Table | pa.RecordBatch, bank: pa.Table) -> pa.RecordBatch:
+        at, who = [], []
+        for i, text in enumerate(chunks.column("low").to_pylist()):
+            rows = self.rows_of(text) if text is not None else ()
+            who += rows
+            at += [i] * len(rows)
+        ids, asked = chunks.column("chunk_id"), bank.column("query_id")
+        plain = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+        return pa.RecordBatch.from_arrays([plain(asked).take(pa.array(who, pa.int64())), plain(ids).take(pa.array(at, pa.int64()))], ["query_id", "chunk_id"])
 
 
 def keyword_relevance(chunks: DataFrame, bank: DataFrame) -> DataFrame:
-    """query_id, chunk_id of the chunks that hold a keyword of a query, whatever its case.
+    """query_id, chunk_id of the chunks that hold a keyword of a query, whatever its case; an empty keyword is in every text, a null one in none.
 
-    The bank (query_id, keywords) goes to the chunks in blocks of queries, a row each, so that a chunk is searched where it lies."""
+    A bank (query_id, keywords) of one block is sent to the chunks where they lie. A larger one is cut into blocks, and each meets each block of
+    chunks in a task of its own."""
     rows = bank.select("query_id", F.transform("keywords", F.lower).alias("keywords"))
-    n_blocks = -(-max(1, rows.count()) // BANK_BLOCK)
-    blocks = rows.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "keywords")).alias("bank"))
-    low = F.lower(F.col("text"))
-    met = chunks.crossJoin(F.broadcast(blocks) if n_blocks == 1 else blocks)
-    found = met.select("chunk_id", F.filter("bank", lambda q: F.exists(q["keywords"], lambda w: F.contains(low, w))).alias("hit"))
-    return found.select("chunk_id", F.explode("hit.query_id").alias("query_id")).select("query_id", "chunk_id")
+    texts = chunks.select("chunk_id", F.lower("text").alias("low"))
+    schema = f"query_id {rows.schema['query_id'].dataType.simpleString()}, chunk_id {texts.schema['chunk_id'].dataType.simpleString()}"
+    whole = rows.limit(BANK_BLOCK + 1).toArrow()
+    if whole.num_rows <= BANK_BLOCK:
+        sent = chunks.sparkSession.sparkContext.broadcast(whole)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = KeywordAutomaton.of(sent.value)
+            for batch in batches:
+                yield automaton.pairs(batch, sent.value)
+
+        return texts.mapInArrow(run, schema)
+    n_bank, n_chunks = -(-rows.count() // BANK_BLOCK), max(1, -(-texts.count() // CHUNK_BLOCK))
+    dealt = lambda column, n: F.pmod(F.xxhash64(F.lit(3), column), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.select("query_id", "keywords", dealt("query_id", n_bank).alias("bank_block"), every(n_chunks).alias("chunk_block"))
+    right = texts.select("chunk_id", "low", dealt("chunk_id", n_chunks).alias("chunk_block"), every(n_bank).alias("bank_block"))
+
+    def met(mine: pa.Table, there: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([KeywordAutomaton.of(mine).pairs(there, mine)])
+
+    return left.groupBy("bank_block", "chunk_block").cogroup(right.groupBy("bank_block", "chunk_block")).applyInArrow(met, schema)
 
 
 def ground_truth(relevant: DataFrame, fallback: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from typing import Protocol
 
-import pandas as pd
+import numpy as np
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tessella.operators.bm25 import terms, top_k
 
@@ -22,15 +26,41 @@ def _sigmoid(x):
     return 1.0 / (1.0 + F.exp(-x))
 
 
-def rerank_by_model(candidates: DataFrame, scorer: PairScorer, top_n: int) -> DataFrame:
-    """candidates (query_id, query, chunk_id, text) with cross_encoder_score and their new rank."""
+#: Pairs that a model scores at once.
+BATCH_PAIRS = 64
 
-    @F.pandas_udf("double")
-    def run(queries: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series(scorer.score(queries.tolist(), texts.tolist()), dtype="float64")
 
-    scored = candidates.drop("rank").withColumn("cross_encoder_score", _sigmoid(run("query", "text")))
-    return top_k(scored, top_n, best="cross_encoder_score")
+def rerank_by_model(candidates: DataFrame, scorer: PairScorer | Callable[[], PairScorer], top_n: int) -> DataFrame:
+    """candidates (query_id, query, chunk_id, text, rank) with cross_encoder_score and their new rank.
+
+    scorer is a model or, better, a function that loads one: it is called once in each Python worker, and its model stays there. A query for which the model can't be loaded
+    or fails, or gives no number, keeps its first top_n candidates in their order, without a score."""
+    load = scorer if isinstance(scorer, type) or not hasattr(scorer, "score") else lambda: scorer
+
+    def predictor():
+        try:
+            model = load()
+        except Exception as error:  # noqa: BLE001  (whatever a model raises)
+            logging.getLogger(__name__).warning("the reranker can't be loaded: %s", error)
+            return lambda queries, texts: np.full(len(queries), np.nan)
+
+        def run(queries: np.ndarray, texts: np.ndarray) -> np.ndarray:
+            try:
+                return np.asarray(model.score(list(queries), list(texts)), np.float64)
+            except Exception as error:  # noqa: BLE001
+                logging.getLogger(__name__).warning("the reranker failed: %s", error)
+                return np.full(len(queries), np.nan)
+
+        return run
+
+    run = predict_batch_udf(predictor, return_type=DoubleType(), batch_size=BATCH_PAIRS)
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    raw = candidates.withColumn("__raw", run(text("query"), text("text")))
+    failed = F.max(F.col("__raw").isNull() | F.isnan("__raw")).over(W.partitionBy("query_id"))
+    scored = raw.withColumn("__failed", failed).withColumn("cross_encoder_score", F.when(~F.col("__failed"), _sigmoid(F.col("__raw"))))
+    best = scored.withColumnRenamed("rank", "__rank").withColumn("__best", F.when(F.col("__failed"), -F.col("__rank").cast("double")).otherwise(F.col("cross_encoder_score")))
+    kept = top_k(best, top_n, best="__best")
+    return kept.withColumn("cross_encoder_score", F.when(~F.col("__failed"), F.col("__best"))).drop("__raw", "__failed", "__rank", "__best")
 
 
 def rerank_by_overlap(candidates: DataFrame, top_n: int) -> DataFrame:
@@ -44,7 +74,7 @@ def rerank_by_overlap(candidates: DataFrame, top_n: int) -> DataFrame:
 Reranker = Callable[[DataFrame, int], DataFrame]
 
 
-def reranker(enabled: bool = True, scorer: PairScorer | None = None) -> Reranker:
+def reranker(enabled: bool = True, scorer: PairScorer | Callable[[], PairScorer] | None = None) -> Reranker:
     """A function of candidates and how many to keep: by the model, else by overlap; disabled, in their order."""
     if not enabled:
         return no_rerank

@@ -149,6 +149,36 @@ def chunk_sections(spark, tables):
     return chunking.sections(tables("documents").select("doc_id", "text"))
 
 
+def _with_headers(tables) -> DataFrame:
+    """Documents whose lines, by their first letter, begin with a header of each kind; the tables hold none."""
+    marked = F.col("text")
+    for pattern, _, java in o.HEADED:
+        marked = F.regexp_replace(marked, pattern, java)
+    return tables("documents").select("doc_id", marked.alias("text"))
+
+
+@query(f"WITH {o.HEADED_SECTIONS} SELECT * FROM h_sections")
+def headed_sections(spark, tables):
+    """Sections of documents that were given headers."""
+    return chunking.sections(_with_headers(tables))
+
+
+@query(f"""WITH {o.HEADED_SECTIONS},{o.cleaned('h_sections', 'doc_id, section_index, section', 's_')},{o.cut('doc_id, section_index, section', '', 'section_index, pos', 's_')}
+SELECT chunk_id, doc_id, section_index, section, chunk_index, char_start, char_end, tokens, text FROM s_chunks""")
+def headed_section_chunks(spark, tables):
+    """Chunks of the sections of documents that were given headers."""
+    return chunking.chunked_by_section(_with_headers(tables)).select("chunk_id", "doc_id", "section_index", "section", "chunk_index", "char_start", "char_end", "tokens", "text")
+
+
+@query(f"SELECT doc_id, {o.markdown(o.MARKED_TEXT)} AS text FROM documents")
+def marked_strip_markdown(spark, tables):
+    """Markdown taken off documents that were given marks of every kind; the tables hold none."""
+    marked = F.col("text")
+    for pattern, _, java in o.MARKED:
+        marked = F.regexp_replace(marked, pattern, java)
+    return tables("documents").select("doc_id", text.strip_markdown(marked).alias("text"))
+
+
 @query(f"WITH {o.CHUNKS} SELECT chunk_id, doc_id, chunk_index, tokens, text FROM chunks")
 def streaming_chunks(spark, tables):
     """Documents read as a stream of files and cut; the stream ends when all files are read."""
@@ -164,7 +194,7 @@ def streaming_chunks(spark, tables):
 SELECT chunk_id, doc_id, section_index, section, chunk_index, char_start, char_end, tokens, text FROM s_chunks""")
 def section_chunks(spark, tables):
     """Documents cut at their headers, then each section cleaned and cut; chunks are numbered over the document."""
-    return chunking.chunked_by_section(tables("documents").select("doc_id", "text"), text.preprocess).select(
+    return chunking.chunked_by_section(tables("documents").select("doc_id", "text")).select(
         "chunk_id", "doc_id", "section_index", "section", "chunk_index", "char_start", "char_end", "tokens", "text"
     )
 
@@ -177,7 +207,7 @@ def tokenise(spark, tables):
     return _chunks(tables).select("chunk_id", F.array_join(bm25.terms(F.col("text")), " ").alias("terms"))
 
 
-@query(f"WITH {o.CHUNKS}, {o.BM25_STATS} SELECT term, df, round(idf, 9) AS idf FROM stats")
+@query(f"""WITH {o.CHUNKS}, {o.TERM_COUNTS} SELECT term, df, round(CASE WHEN r < 0 THEN 25e-2 * (SELECT avg(r) FROM raw) ELSE r END, 9) AS idf FROM raw""")
 def bm25_term_stats(spark, tables):
     return bm25.index(_chunks(tables).select("chunk_id", "text"), save=Scratch(spark, "catalog").save).stats.select("term", "df", F.round("idf", 9).alias("idf"))
 
@@ -188,6 +218,19 @@ def bm25_topk(spark, tables):
     return bm25.search(idx, _asked(tables), K).select("query_id", "chunk_id", "score", "rank", F.round("norm_score", 6).alias("norm_score"))
 
 
+def _short(tables) -> DataFrame:
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), 0)
+    return tables("benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 1, 5), " ").alias("query"))
+
+
+@query(f"""WITH {o.CHUNKS}, {o.bm25(K, "(SELECT item_id, array_to_string(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')[1:5], ' ') AS text FROM benchmark)")} SELECT query_id, chunk_id, score, rank, round(norm_score, 6) AS norm_score FROM bm""")
+def bm25_block_max(spark, tables):
+    """Short queries, the first five words of each passage, through block maxima: postings that cannot matter are not read."""
+    _, idx = _saved(spark, tables)
+    found = bm25.normalised(bm25.top_k(bm25.best_scores(idx, _short(tables), K)[0], K))
+    return found.select("query_id", "chunk_id", "score", "rank", F.round("norm_score", 6).alias("norm_score"))
+
+
 @query(f"""WITH {o.CHUNKS}, {o.bm25(60)},
 filled AS (SELECT query_id, chunk_id, score FROM bm UNION ALL SELECT query_id, chunk_id, 0e0 FROM (SELECT item_id AS query_id FROM benchmark), (SELECT chunk_id FROM chunks ORDER BY chunk_id LIMIT 120) c
     WHERE (query_id, chunk_id) NOT IN (SELECT query_id, chunk_id FROM bm) AND query_id IN (SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM bm WHERE rank = 60)))
@@ -241,8 +284,7 @@ def l2_normalise(spark, tables):
 @query()
 def ivf_topk(spark, tables):
     """Approximate search through cells of k-means; recall is tested against the exact search."""
-    rows = tables("embeddings")
-    return vectors.InvertedFile(rows, n_cells=32, n_probe=18).search(_queries(tables), 10)
+    return vectors.store("ivf", tables("embeddings"), n_cells=32, n_probe=18).search(_queries(tables), 10)
 
 
 _LISTS = f"{o.vectors(20, o.COSINE, 'l0')},{o.vectors(20, o.EUCLID, 'l1')}"

@@ -85,18 +85,41 @@ CLEAN = cleaned()
 #: chunks (chunk_id, doc_id, chunk_index, char_start, char_end, tokens, section, text, source): windows of clean.
 CHUNKS = f"{CLEAN},{cut('doc_id, source', quoted('general') + ' AS section, ', 'pos')}"
 
-#: sections (doc_id, section_index, section, text, offset): documents cut at their headers.
-SECTIONS = f"""
-s0 AS (SELECT doc_id, translate(coalesce(text, ''), chr(1) || chr(2) || chr(3), '   ') AS whole FROM documents),
-s1 AS (SELECT doc_id, whole, string_split(regexp_replace(whole, {quoted('(?m)' + HEADER)}, chr(1) || '\\0' || chr(2) || '\\1\\2\\3' || chr(3), 'g'), chr(1)) AS l FROM s0),
-s2 AS (SELECT doc_id, whole, unnest(l) AS x, generate_subscripts(l, 1) AS part FROM s1),
-s3 AS (SELECT doc_id, whole, part, CASE WHEN part = 1 THEN '' ELSE split_part(x, chr(2), 1) END AS head, CASE WHEN part = 1 THEN 'preamble' ELSE lower({strip('split_part(split_part(x, chr(3), 1), chr(2), 2)')})[:60] END AS name,
-    CASE WHEN part = 1 THEN x ELSE split_part(x, chr(3), 2) END AS body FROM s2),
-s4 AS (SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY doc_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begins,
-    count(*) OVER (PARTITION BY doc_id) AS n_parts, count(*) FILTER ({strip('body')} <> '') OVER (PARTITION BY doc_id) AS n_filled FROM s3),
-s5 AS (SELECT *, n_parts = 1 OR n_filled = 0 AS alone FROM s4),
-sections AS MATERIALIZED (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1)::INTEGER AS section_index, CASE WHEN alone THEN 'general' ELSE name END AS section,
-    CASE WHEN alone THEN whole ELSE {strip('body')} END AS text, CASE WHEN alone THEN 0 ELSE begins END::INTEGER AS "offset" FROM s5 WHERE CASE WHEN alone THEN part = 1 ELSE {strip('body')} <> '' END)"""
+def sectioned(text: str = "text", p: str = "") -> str:
+    """{p}sections (doc_id, section_index, section, text, offset): documents, whose text is as given, cut at their headers."""
+    return f"""
+{p}s0 AS (SELECT doc_id, translate(coalesce({text}, ''), chr(1) || chr(2) || chr(3), '   ') AS whole FROM documents),
+{p}s1 AS (SELECT doc_id, whole, string_split(regexp_replace(whole, {quoted('(?m)' + HEADER)}, chr(1) || '\\0' || chr(2) || '\\1\\2\\3' || chr(3), 'g'), chr(1)) AS l FROM {p}s0),
+{p}s2 AS (SELECT doc_id, whole, unnest(l) AS x, generate_subscripts(l, 1) AS part FROM {p}s1),
+{p}s3 AS (SELECT doc_id, whole, part, CASE WHEN part = 1 THEN '' ELSE split_part(x, chr(2), 1) END AS head, CASE WHEN part = 1 THEN 'preamble' ELSE lower({strip('split_part(split_part(x, chr(3), 1), chr(2), 2)')})[:60] END AS name,
+    CASE WHEN part = 1 THEN x ELSE split_part(x, chr(3), 2) END AS body FROM {p}s2),
+{p}s4 AS (SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY doc_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begins,
+    count(*) OVER (PARTITION BY doc_id) AS n_parts, count(*) FILTER ({strip('body')} <> '') OVER (PARTITION BY doc_id) AS n_filled FROM {p}s3),
+{p}s5 AS (SELECT *, n_parts = 1 OR n_filled = 0 AS alone FROM {p}s4),
+{p}sections AS MATERIALIZED (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1)::INTEGER AS section_index, CASE WHEN alone THEN 'general' ELSE name END AS section,
+    CASE WHEN alone THEN whole ELSE {strip('body')} END AS text, CASE WHEN alone THEN 0 ELSE begins END::INTEGER AS "offset" FROM {p}s5 WHERE CASE WHEN alone THEN part = 1 ELSE {strip('body')} <> '' END)"""
+
+
+SECTIONS = sectioned()
+#: What is put before lines and words of documents: a pattern, and what stands for it in SQL and in Spark.
+HEADED = ((r"\n([A-F][a-z]*) ", r"\n## \1\n", "\n## $1\n"), (r"\n([G-L][a-z]*) ", r"\nTHE PART 7:\n\1 ", "\nTHE PART 7:\n$1 "), (r"\n([M-R][a-z]*) ", r"\nSECTION 3: \1\n", "\nSECTION 3: $1\n"))
+MARKED = (
+    (r"([A-D][a-z]+) ", r"**\1** ", "**$1** "), (r"([E-H][a-z]+) ", r"`\1` ", "`$1` "), (r"([I-M][a-z]+) ", r"[\1](http://a.b/c) ", "[$1](http://a.b/c) "),
+    (r"\n([N-R][a-z]+) ", r"\n### \1 ", "\n### $1 "), (r"\n([S-T][a-z]+) ", r"\n-----\n```\n\1\n```\n", "\n-----\n```\n$1\n```\n"), (r"\n([U-Z][a-z]+) ", r"\n======\n*\1* ", "\n======\n*$1* "),
+)
+
+
+def replaced(rules: tuple[tuple[str, str, str], ...]) -> str:
+    """text after the rules; a newline is written as chr(10), as SQL keeps \\n in what it puts in."""
+    out = "text"
+    for pattern, sql, _ in rules:
+        parts = " || chr(10) || ".join(quoted(x) for x in sql.split("\\n"))
+        out = f"regexp_replace({out}, {quoted(pattern)}, {parts}, 'g')"
+    return out
+
+
+HEADED_SECTIONS = sectioned(replaced(HEADED), "h_")
+MARKED_TEXT = replaced(MARKED)
 
 
 def terms(t: str) -> str:
@@ -114,11 +137,18 @@ raw AS MATERIALIZED (SELECT term, df, ln((n_chunks - df + 5e-1) / (df + 5e-1)) A
 stats AS (SELECT term, df, CASE WHEN r < 0 THEN 25e-2 * m ELSE r END AS idf FROM raw, (SELECT avg(r) AS m FROM raw))"""
 
 
-def bm25(k: int) -> str:
-    """bm (query_id, chunk_id, score, rank, norm_score): the k best chunks of each benchmark passage."""
+#: raw (term, df, r) from the distinct terms of each chunk.
+TERM_COUNTS = f"""
+known AS MATERIALIZED (SELECT unnest(list_distinct({terms('text')})) AS term FROM chunks),
+df AS MATERIALIZED (SELECT term, count(*) AS df FROM known GROUP BY 1),
+raw AS MATERIALIZED (SELECT term, df, ln((n - df + 5e-1) / (df + 5e-1)) AS r FROM df, (SELECT count(*) AS n FROM chunks))"""
+
+
+def bm25(k: int, asked: str = "benchmark") -> str:
+    """bm (query_id, chunk_id, score, rank, norm_score): the k best chunks of each text of asked (item_id, text)."""
     return f"""
 {BM25_STATS.lstrip()},
-wanted AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({terms('text')}) AS term FROM benchmark) GROUP BY 1, 2),
+wanted AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({terms('text')}) AS term FROM {asked}) GROUP BY 1, 2),
 scored AS (SELECT query_id, chunk_id, round(sum(qtf * idf * tf * 25e-1 / (tf + 15e-1 * (25e-2 + 75e-2 * dl / avgdl))), 6) AS score
     FROM wanted JOIN stats USING (term) JOIN postings USING (term) JOIN lengths USING (chunk_id), totals GROUP BY 1, 2),
 bm_ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored),

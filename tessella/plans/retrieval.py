@@ -7,11 +7,11 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.text import preprocess
+from tessella.functions.text import cleaner, preprocess
 from tessella.operators import bm25, chunking, embedding, metrics, rerank, strategies, vectors
 from tessella.operators.embedding import Embedder, embedded
 from tessella.plans.config import RetrievalConfig
-from tessella.plans.scratch import Scratch
+from tessella.plans.scratch import Scratch, exists
 from tessella.plans.ship import ship
 from tessella.sources import readers, writers
 
@@ -45,7 +45,7 @@ class RetrievalPipeline:
         docs = readers.union(parts)
         cfg = self.config
         if cfg.keep_sections:
-            rows = chunking.chunked_by_section(docs, preprocess, cfg.chunk_size, cfg.chunk_overlap, cfg.min_chunk_size)
+            rows = chunking.chunked_by_section(docs, cleaner(), cfg.chunk_size, cfg.chunk_overlap, cfg.min_chunk_size)
         else:
             rows = chunking.chunked(docs.withColumn("text", preprocess(F.col("text"))), cfg.chunk_size, cfg.chunk_overlap, cfg.min_chunk_size)
         self._turn += 1
@@ -112,11 +112,24 @@ class RetrievalPipeline:
         return made[0].unionByName(made[1])
 
     def save_index(self, path: str) -> None:
+        """chunks, vectors (an inverted file as it was built) and the tables of terms, each as it lies."""
         self._built()
         writers.save_index(self.chunks, f"{path}/chunks")
-        writers.save_index(self.index.indexed().withColumnRenamed("vec_id", "chunk_id") if isinstance(self.index, vectors.InvertedFile) and self.index.centres is not None else self.vectors, f"{path}/vectors")
+        if isinstance(self.index, vectors.InvertedFile):
+            self.index.copy_to(f"{path}/vectors")
+        else:
+            writers.save_index(self.vectors, f"{path}/vectors")
+        for name, table in self.terms.tables().items():
+            writers.save_index(table, f"{path}/terms/{name}")
 
     def load_index(self, path: str) -> None:
-        self.chunks = writers.load_index(self.spark, f"{path}/chunks")
+        """Takes a saved index as it lies: nothing is clustered, counted or embedded again."""
+        read = lambda name: writers.load_index(self.spark, f"{path}/{name}")
+        self.chunks = read("chunks")
         self._turn += 1
-        self._indexed(writers.load_index(self.spark, f"{path}/vectors").select("chunk_id", "embedding"))
+        if exists(self.spark, f"{path}/vectors/cells"):
+            self.index = vectors.InvertedFile(self.spark, f"{path}/vectors", self.config.n_probe)
+            self.vectors = self.index.rows.withColumnRenamed("vec_id", "chunk_id").drop("cell")
+        else:
+            self.index = self.vectors = read("vectors")
+        self.terms = bm25.Bm25Index(**{name: read(f"terms/{name}") for name in bm25.TABLES})

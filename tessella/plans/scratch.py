@@ -19,6 +19,45 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    """A path and its file system, whatever its scheme."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, files = _path(spark, path)
+    return files.exists(at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at, files = _path(spark, path)
+    files.delete(at, True)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, or None."""
+    at, files = _path(spark, path)
+    if not files.exists(at):
+        return None
+    stream = files.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replaces a small file: it is written beside and renamed, so that a reader sees the one or the other."""
+    at, files = _path(spark, path)
+    beside, _ = _path(spark, f"{path}.{uuid.uuid4().hex}")
+    stream = files.create(beside, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    files.delete(at, False)
+    files.rename(beside, at)
+
+
 class Scratch:
     """Named Parquet tables of one run of an operator.
 
@@ -35,7 +74,5 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(self.spark, f"{self.root}/{name}")

@@ -1,4 +1,10 @@
+import math
+import os
+import re
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,6 +12,7 @@ from tessella.functions.lexicon import QUERY_BANK
 from tessella.operators import bm25, embedding, expansion, fusion, metrics, rerank, vectors
 from tessella.plans.config import RetrievalConfig
 from tessella.plans.retrieval import RetrievalPipeline
+from tessella.plans.scratch import Scratch
 from tessella.sources import readers, writers
 
 
@@ -70,17 +77,52 @@ def test_blocks_equal_one_block_and_numpy(spark, metric, monkeypatch):
     assert want == found()
 
 
-def test_inverted_file_recall(spark, sf):
+def test_inverted_file_recall(spark, sf, tmp_path):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet")
     queries = rows.where("vec_id % 25 = 0").withColumnRenamed("vec_id", "query_id").select("query_id", "embedding")
     exact = {(r.query_id, r.vec_id) for r in vectors.exact_top_k(rows, queries, 5).collect()}
-    found = {(r.query_id, r.vec_id) for r in vectors.InvertedFile(rows, 16, 10).search(queries, 5).collect()}
+    built = vectors.InvertedFile.build(rows, str(tmp_path / "index"), 16, 10)
+    found = {(r.query_id, r.vec_id) for r in built.search(queries, 5).collect()}
     assert len(exact & found) >= 0.9 * len(exact)
-    assert {(r.query_id, r.vec_id) for r in vectors.InvertedFile(rows, 100_000).search(queries, 5).collect()} == exact
-    index = vectors.store("ivf", rows, 16).indexed()
-    assert index.count() == rows.count() and index.select("cell").distinct().count() > 1
+    assert {(r.query_id, r.vec_id) for r in vectors.store("ivf", rows, 100_000).search(queries, 5).collect()} == exact
+    assert built.rows.count() == rows.count() == sum(r.n for r in built.cells.collect()) and built.rows.select("cell").distinct().count() > 1
     with pytest.raises(ValueError):
         vectors.store("tree", rows)
+    assert vectors.store("ivf", rows.limit(0), 4).search(queries, 5).count() == 0
+
+
+def test_saved_inverted_file_is_pruned(spark, tmp_path, monkeypatch):
+    """Clustered vectors: a quarter of the cells and fewer give nine tenths of the answers, and only their folders are read."""
+    random = np.random.default_rng(4)
+    centres = random.normal(size=(40, 24))
+    x = centres[random.integers(0, 40, 6_000)] + 0.35 * random.normal(size=(6_000, 24))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    queries = rows.where("vec_id % 300 = 0").withColumnRenamed("vec_id", "query_id")
+    vectors.InvertedFile.build(rows, str(tmp_path / "index"), 32, 6)
+    fits = []
+    monkeypatch.setattr(vectors, "fitted_centres", lambda *a: fits.append(a))
+    index = vectors.InvertedFile(spark, str(tmp_path / "index"), 6)
+    exact = {(r.query_id, r.vec_id) for r in vectors.exact_top_k(rows, queries, 10).collect()}
+    found = index.search(queries, 10)
+    assert not fits and len(exact & {(r.query_id, r.vec_id) for r in found.collect()}) >= 0.9 * len(exact)
+    one = index.search(queries.limit(1), 10)
+    assert "PartitionFilters: [cell" in one._jdf.queryExecution().toString()
+    want = sorted(map(tuple, found.collect()))
+    monkeypatch.setattr(vectors, "BLOCK_QUERIES", 3)
+    pruned = index.search(queries, 10)
+    assert sorted(map(tuple, pruned.collect())) == want
+    assert "dynamicpruning" in pruned._jdf.queryExecution().toString()
+
+
+def test_equal_vectors_give_k_rows(spark):
+    """Ties are cut by id where the rows lie: at most k rows for a query and batch leave a task."""
+    compare = vectors._Comparison(10, "cosine", False)
+    ids = pa.array(np.random.default_rng(2).permutation(3_000))
+    found = compare(pa.array([1, 2]), np.ones((2, 4)), ids, np.ones((3_000, 4)))
+    assert found.num_rows == 20 and set(found.column("vec_id").to_pylist()) == set(range(10))
+    near = np.ones((50, 4)) + np.arange(50)[:, None] * np.array([1e-9, 0, 0, 0])
+    found = compare(pa.array([1]), np.ones((1, 4)), pa.array([f"v{i:02}" for i in range(49, -1, -1)]), near)
+    assert sorted(found.column("vec_id").to_pylist()) == [f"v{i:02}" for i in range(10)]
 
 
 @pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
@@ -103,13 +145,70 @@ def test_bm25(spark):
     assert [(r.query_id, r.chunk_id) for r in sorted(filled, key=lambda r: (r.query_id, r["rank"]))] == [(1, "a"), (1, "b"), (1, "c"), (2, "a"), (2, "b"), (2, "c")]
 
 
+def bm25_rows(spark):
+    """Many chunks of which few hold the rarer words of the queries, some of them repeated."""
+    texts = [" ".join(f"word{j}" for j in range(12) if (i * j) % 5 != 1) + (f" rare{i // 100} rare{i // 100}" if i % 100 < 3 else "") for i in range(600)]
+    chunks = spark.createDataFrame([(f"d{i // 8}_chunk_{i % 8}", t) for i, t in enumerate([*texts, "", None, *texts[:4]])], "chunk_id string, text string")
+    queries = spark.createDataFrame([(i, f"rare{i} word{i} word{i}") for i in range(6)] + [(7, "word2"), (8, "nothing here"), (9, None)], "query_id int, query string")
+    return chunks, queries
+
+
+def plain_bm25(chunks, queries):
+    """query_id, chunk_id -> score, by loops."""
+    listed = [(r.chunk_id, [w for w in re.findall(r"\w+", (r.text or "").lower()) if len(w) > 2 and w not in bm25.STOPWORDS]) for r in chunks.collect()]
+    n, total = len(listed), sum(len(w) for _, w in listed if w is not None)
+    df = Counter(w for _, words in listed for w in set(words))
+    known = [r for r in chunks.collect() if r.text is not None]
+    raw = {w: math.log((n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
+    mean = sum(raw.values()) / len(raw)
+    out = {}
+    for q in queries.collect():
+        for word in re.findall(r"\w+", (q["query"] or "").lower()):
+            for chunk, words in listed:
+                if tf := words.count(word):
+                    idf = raw[word] if raw[word] >= 0 else 0.25 * mean
+                    part = tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(words) / (total / len(known))))
+                    out[q.query_id, chunk] = out.get((q.query_id, chunk), 0) + idf * part
+    return out
+
+
+def test_block_maxima_give_the_full_sums_and_read_less(spark):
+    chunks, queries = bm25_rows(spark)
+    chunks = chunks.dropDuplicates(["chunk_id"]).cache()
+    idx = bm25.index(chunks, save=Scratch(spark, "test").save)
+    full = bm25.scores(idx, queries)
+    assert {(r.query_id, r.chunk_id): round(r.score, 6) for r in full.collect()} == {k: round(v, 6) for k, v in plain_bm25(chunks, queries).items()}
+    want = sorted(map(tuple, bm25.top_k(full, 3).collect()))
+    found, read = bm25.best_scores(idx, queries, 3)
+    assert sorted(map(tuple, bm25.top_k(found, 3).collect())) == want
+    every = bm25.bounds(idx, bm25.weighed(idx, queries)).agg(F.sum("n")).head()[0]
+    assert read.agg(F.sum("n")).head()[0] < 0.8 * every
+    assert "Exchange hashpartitioning(chunk_id" not in full._jdf.queryExecution().toString()
+
+
 def test_bm25_parts_equal_broadcast(spark, monkeypatch):
-    chunks = spark.createDataFrame([(f"c{i}", " ".join(f"word{j}" for j in range(12) if (i * j) % 5 != 1)) for i in range(40)], "chunk_id string, text string")
-    queries = spark.createDataFrame([(i, f"word{i} word{i + 3} word{i}") for i in range(9)], "query_id int, query string")
+    chunks, queries = bm25_rows(spark)
     idx = bm25.index(chunks)
     want = sorted(map(tuple, bm25.search(idx, queries, 6).collect()))
     monkeypatch.setattr(bm25, "BROADCAST_TERMS", 0)
     assert sorted(map(tuple, bm25.search(idx, queries, 6).collect())) == want
+    monkeypatch.setattr(bm25, "PRUNED_POSTINGS", 0)
+    assert sorted(map(tuple, bm25.search(idx, queries, 6).collect())) == want
+
+
+@pytest.mark.parametrize("block", [5_000, 40])
+def test_keywords_equal_a_plain_loop(spark, monkeypatch, block):
+    """1,200 queries: one automaton, or blocks of both sides, and never a pair of every query with every chunk."""
+    monkeypatch.setattr(metrics, "BANK_BLOCK", block)
+    monkeypatch.setattr(metrics, "CHUNK_BLOCK", 50)
+    texts = [None, "", "Alpha BETA", "gamma", *(f"Word{i} and ärger{i % 7} İstanbul" for i in range(120))]
+    chunks = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)], "chunk_id string, text string")
+    bank = [(i, [f"WORD{i} ", f"ger{i}"] if i % 3 else [None, "none"]) for i in range(1_195)] + [(2_000, [""]), (2_001, None), (2_002, []), (2_003, ["alpha", "alpha", "ha b"]), (2_004, ["ÄRGER3", "istanbul"])]
+    found = metrics.keyword_relevance(chunks, spark.createDataFrame(bank, "query_id int, keywords array<string>"))
+    low = {r.chunk_id: r.low for r in chunks.select("chunk_id", F.lower("text").alias("low")).collect()}
+    want = sorted((q, c) for q, words in bank for c, t in low.items() if t is not None and any(w is not None and w.lower() in t for w in words or ()))
+    assert sorted(map(tuple, found.collect())) == want
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
 
 
 def test_metrics_by_hand(spark):
@@ -132,6 +231,46 @@ def test_rerank(spark):
     assert rerank.rerank_by_model(rows, Length(), 2).where("rank = 1").head().chunk_id == "x"
 
 
+def test_failing_scorer_keeps_the_first_candidates(spark):
+    rows = spark.createDataFrame([(q, f"query {q}", f"c{i}", "bad" if (q, i) == (2, 3) else "good" * i, i + 1) for q in (1, 2) for i in range(5)], "query_id int, query string, chunk_id string, text string, rank int")
+
+    class Picky:
+        def score(self, queries, texts):
+            if "bad" in texts:
+                raise ValueError("no")
+            return [float(len(t)) for t in texts]
+
+    def broken():
+        raise OSError("no model")
+
+    rerank.BATCH_PAIRS, before = 1, rerank.BATCH_PAIRS
+    kept = rerank.rerank_by_model(rows, Picky, 3).orderBy("query_id", "rank").collect()
+    rerank.BATCH_PAIRS = before
+    assert [(r.query_id, r.chunk_id, r["rank"]) for r in kept] == [(1, "c4", 1), (1, "c3", 2), (1, "c2", 3), (2, "c0", 1), (2, "c1", 2), (2, "c2", 3)]
+    assert all((r.cross_encoder_score is None) == (r.query_id == 2) for r in kept)
+    kept = rerank.rerank_by_model(rows, broken, 2).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.chunk_id) for r in kept] == [(1, "c0"), (1, "c1"), (2, "c0"), (2, "c1")] and all(r.cross_encoder_score is None for r in kept)
+
+
+def test_models_are_loaded_once_per_worker(spark, tmp_path):
+    folder = str(tmp_path)
+
+    class Counting(embedding.HashingEmbedder):
+        def __init__(self, dim):
+            super().__init__(dim)
+            with open(f"{folder}/{os.getpid()}", "a") as file:
+                file.write("x")
+
+    embedding.register("counting", Counting)
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(400)], "id int, text string").repartition(16)
+    found = embedding.embedded(rows, embedding.embedder("counting", 8), batch=5)
+    assert found.count() == 400 and found.agg(F.sum(F.size("embedding"))).head()[0] == 3_200
+    loads = {p: len((tmp_path / p).read_text()) for p in os.listdir(tmp_path)}
+    # many batches and tasks; each evaluation of the column loads a model once in a worker
+    assert loads and max(loads.values()) <= 2
+    assert embedding.embedder("nothing known", 7).dim == 7
+
+
 def test_cache(spark, tmp_path):
     cache = embedding.EmbeddingCache(spark, str(tmp_path / "cache"))
     rows = spark.createDataFrame([(1, "a b"), (2, "c"), (3, "a b")], "id int, text string")
@@ -191,7 +330,13 @@ def test_choices_are_wired(spark, tmp_path):
     pipe.build()
     assert pipe.telemetry["misses"] == 0
     pipe.save_index(str(tmp_path / "index"))
-    assert "cell" in spark.read.parquet(str(tmp_path / "index" / "vectors")).columns
+    assert "cell" in spark.read.parquet(str(tmp_path / "index" / "vectors" / "rows")).columns
+    again = RetrievalPipeline(spark, config)
+    again.load_index(str(tmp_path / "index"))
+    asked = pipe.queries(["topic7 caching", "queues"])
+    for name in ("retrieve_raw", "retrieve_enhanced", "retrieve_hybrid"):
+        columns = [c for c in getattr(pipe, name)(asked).columns]
+        assert sorted(map(str, getattr(again, name)(asked).select(columns).collect())) == sorted(map(str, getattr(pipe, name)(asked).collect()))
 
     class Last:
         def score(self, queries, texts):

@@ -88,3 +88,20 @@ def test_sections(spark):
     docs = spark.createDataFrame([("a", "intro text\n# One\nbody one\nALL CAPS:\nbody two\n# Empty\n"), ("b", "nothing here")], "doc_id string, text string")
     got = {(r.doc_id, r.section): r.text for r in chunking.sections(docs).collect()}
     assert got == {("a", "preamble"): "intro text", ("a", "one"): "body one", ("a", "all caps"): "body two", ("b", "general"): "nothing here"}
+
+
+def test_sections_of_repeated_and_null_ids(spark):
+    """Two documents of one stem and two without an id stay apart; their chunks are numbered each from 0."""
+    text = "# One\n" + "body one is long enough to be kept as a chunk of its own. " * 2 + "\nALL CAPS:\n" + "body two is long enough to be kept as a chunk of its own. " * 12
+    docs = spark.createDataFrame([("readme", text, "x"), ("readme", text, "y"), (None, text, "z"), (None, "# Only\n" + "some more words of a document without an id, long enough. " * 2, "w"), ("none", None, "v")], "doc_id string, text string, `a.b` string")
+    rows = chunking.chunked_by_section(docs).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["a.b"], []).append((r.chunk_index, r.section, r.section_index))
+    assert sorted(by["x"]) == sorted(by["y"]) == sorted(by["z"]) == [(0, "one", 0), (1, "all caps", 1), (2, "all caps", 1)]
+    assert by["w"] == [(0, "only", 0)] and "v" not in by
+    assert {r.chunk_id for r in rows if r["a.b"] == "y"} == {f"readme_chunk_{i}" for i in range(3)} and all(r.doc_id is None for r in rows if r["a.b"] in "zw")
+    cleaned = {r["a.b"]: r.section_offset for r in rows if r.section == "all caps"}
+    assert all(text[cleaned[x] :].lstrip().startswith("body two") for x in "xyz")
+    plan = chunking.chunked_by_section(docs)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Join" not in plan
