@@ -1,6 +1,6 @@
 """BM25 over chunks: index tables, scores of whole batches of queries, top k by block maxima.
 
-Postings lie in blocks, one for each term and segment of chunks, with the largest posting of each. A search first sums the maxima of a
+Postings lie in blocks, one for each term and segment of chunks, with what bounds the largest of each. A search first sums the maxima of a
 query's terms, which bounds what any chunk of a segment can score, and reads the postings of those segments only that can hold one of the k best."""
 
 from __future__ import annotations
@@ -43,9 +43,10 @@ ROUNDING = 1e-6
 
 @dataclass(frozen=True)
 class Bm25Index:
-    """blocks (segment, term, n, top, postings array of (chunk_id, part)), lengths (chunk_id, segment, dl), stats (term, df, idf) and totals (n_chunks, avgdl).
+    """blocks (segment, term, n, most_tf, least_dl, postings array of (chunk_id, tf, dl)), lengths (chunk_id, segment, dl), stats (term, df, idf) and totals (n_chunks, n_terms).
 
-    A block holds the postings of a term in one segment of chunks; part is what a posting adds to a score for each unit of idf, top the largest of them."""
+    A block holds the postings of a term in one segment of chunks, with the largest frequency and the smallest length among them. Nothing in a
+    block depends on other chunks, so that blocks of a new batch of chunks stand beside those there are."""
 
     blocks: DataFrame
     lengths: DataFrame
@@ -55,10 +56,20 @@ class Bm25Index:
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in TABLES}
 
+    def average(self) -> float:
+        """The average length of a chunk."""
+        row = self.totals.head()
+        return (row["n_terms"] or 0) / max(1, row["n_chunks"])
+
 
 TABLES = tuple(f.name for f in fields(Bm25Index))
 
 
+def part(tf: Column, dl: Column, average: float) -> Column:
+    """What a posting adds to a score for each unit of idf: it rises with tf and falls with dl."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / (average or 1.0)))
+
+
 def counted_terms(listed: Column) -> Column:
     """An array of (term, tf) from an array of terms, within the row: the terms are sorted, and a term's count is the distance to the next."""
     ends = lambda s: F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i == 0) | (i == F.size(s)) | (F.get(s, i) != F.get(s, i - 1)))
@@ -68,32 +79,50 @@ def counted_terms(listed: Column) -> Column:
     return F.element_at(F.element_at(named, 1), 1)
 
 
-def _segment(n_segments: Column | int) -> Column:
+def _segment(n_segments: int) -> Column:
     """Neighbouring chunks of a document share a segment, as their terms are alike."""
     number = F.coalesce(F.try_to_number(F.regexp_extract("chunk_id", r"_chunk_(\d{1,9})$", 1), F.lit("999999999")), F.lit(0))
     group = (number / SEGMENT_CHUNKS).cast("int")
-    return F.pmod(F.xxhash64(F.substring_index("chunk_id", "_chunk_", 1), group), n_segments).cast("int")
+    return F.pmod(F.xxhash64(F.substring_index("chunk_id", "_chunk_", 1), group), F.lit(n_segments)).cast("long")
+
+
+def counted(chunks: DataFrame) -> DataFrame:
+    """chunk_id, counts (term, tf), dl of chunks (chunk_id, text); terms are counted in their row. A null text is empty."""
+    listed = chunks.select("chunk_id", terms(F.coalesce("text", F.lit(""))).alias("terms"))
+    return listed.select("chunk_id", counted_terms(F.col("terms")).alias("counts"), F.size("terms").alias("dl"))
+
+
+def totals_of(listed: DataFrame) -> DataFrame:
+    return listed.agg(F.count(F.lit(1)).alias("n_chunks"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("n_terms"))
+
+
+def blocks_of(listed: DataFrame, n_chunks: int) -> DataFrame:
+    """Blocks of what counted() gives; rows are shuffled once, by segment."""
+    placed = listed.withColumn("segment", _segment(-(-max(1, n_chunks) // SEGMENT_CHUNKS)))
+    each = placed.repartition("segment").select("segment", "chunk_id", "dl", F.explode("counts").alias("c"))
+    rows = each.select("segment", F.col("c.term").alias("term"), F.struct("chunk_id", F.col("c.tf").alias("tf"), "dl").alias("p"))
+    return rows.groupBy("segment", "term").agg(F.count(F.lit(1)).alias("n"), F.max("p.tf").alias("most_tf"), F.min("p.dl").alias("least_dl"), F.collect_list("p").alias("postings"))
+
+
+def lengths_of(listed: DataFrame, n_chunks: int) -> DataFrame:
+    return listed.select("chunk_id", _segment(-(-max(1, n_chunks) // SEGMENT_CHUNKS)).alias("segment"), "dl")
+
+
+def stats_of(df: DataFrame, n_chunks: int) -> DataFrame:
+    """term, df, idf of (term, df): idf is ln((N - df + 0.5) / (df + 0.5)); where negative, a quarter of the mean over all terms stands for it."""
+    raw = df.select("term", "df", F.log((F.lit(n_chunks) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
+    mean = raw.agg(F.avg("raw").alias("mean"))  # one row
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
 def index(chunks: DataFrame, save=lambda df, name: df) -> Bm25Index:
-    """The index of chunks (chunk_id, text). save(df, name) may write a table that is read often and return it.
-
-    Terms are counted in their row, and rows are shuffled once, by segment. idf is ln((N - df + 0.5) / (df + 0.5)); where negative, a
-    quarter of the mean over all terms stands for it."""
-    listed = chunks.select("chunk_id", terms(F.col("text")).alias("terms"))
-    listed = save(listed.select("chunk_id", counted_terms(F.col("terms")).alias("counts"), F.size("terms").alias("dl")), "counts")
-    totals = save(listed.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("avgdl")), "totals")
-    n_segments = F.greatest(F.lit(1), F.ceil(F.col("n_chunks") / SEGMENT_CHUNKS))
-    placed = listed.crossJoin(F.broadcast(totals)).withColumn("segment", _segment(n_segments))  # one row
-    tf, dl = F.col("c.tf"), F.col("dl") / F.col("avgdl")
-    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl))
-    postings = placed.repartition("segment").select("segment", "chunk_id", "dl", "avgdl", F.explode("counts").alias("c")).select("segment", F.col("c.term").alias("term"), F.struct("chunk_id", part.alias("part")).alias("p"))
-    blocks = save(postings.groupBy("segment", "term").agg(F.count(F.lit(1)).alias("n"), F.max("p.part").alias("top"), F.collect_list("p").alias("postings")), "blocks")
-    raw = F.log((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    df = blocks.groupBy("term").agg(F.sum("n").alias("df")).crossJoin(F.broadcast(totals)).select("term", "df", raw.alias("raw"))
-    mean = df.agg(F.avg("raw").alias("mean"))
-    stats = df.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25Index(blocks, placed.select("chunk_id", "segment", "dl"), save(stats, "stats"), totals)
+    """The index of chunks (chunk_id, text). save(df, name) may write a table that is read often and return it."""
+    listed = save(counted(chunks), "counts")
+    totals = save(totals_of(listed), "totals")
+    n_chunks = totals.head()["n_chunks"]
+    blocks = save(blocks_of(listed, n_chunks), "blocks")
+    stats = save(stats_of(blocks.groupBy("term").agg(F.sum("n").alias("df")), n_chunks), "stats")
+    return Bm25Index(blocks, lengths_of(listed, n_chunks), stats, totals)
 
 
 def weighed(idx: Bm25Index, queries: DataFrame) -> DataFrame:
@@ -107,20 +136,21 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else df
 
 
-def _summed(hits: DataFrame) -> DataFrame:
+def _summed(hits: DataFrame, average: float) -> DataFrame:
     """Scores of chunks from (query_id, weight, postings); summed where the postings are before they are shuffled."""
     each = hits.select("query_id", "weight", F.explode("postings").alias("p"))
-    return each.groupBy("query_id", F.col("p.chunk_id").alias("chunk_id")).agg(F.sum(F.col("weight") * F.col("p.part")).alias("score"))
+    added = F.col("weight") * part(F.col("p.tf"), F.col("p.dl"), average)
+    return each.groupBy("query_id", F.col("p.chunk_id").alias("chunk_id")).agg(F.sum(added).alias("score"))
 
 
 def scores(idx: Bm25Index, queries: DataFrame) -> DataFrame:
     """query_id, chunk_id, score for all chunks that share a term with a query (query_id, query): the full sum."""
-    return _summed(idx.blocks.select("term", "postings").join(_few(weighed(idx, queries)), "term"))
+    return _summed(idx.blocks.select("term", "postings").join(_few(weighed(idx, queries)), "term"), idx.average())
 
 
 def bounds(idx: Bm25Index, asked: DataFrame) -> DataFrame:
     """query_id, segment, bound, n: the most that a chunk of a segment can score, and the postings that it would take to know; postings are not read."""
-    tops = idx.blocks.select("segment", "term", "n", "top")
+    tops = idx.blocks.select("segment", "term", "n", part(F.col("most_tf"), F.col("least_dl"), idx.average()).alias("top"))
     return tops.join(asked, "term").groupBy("query_id", "segment").agg(F.sum(F.greatest(F.col("weight") * F.col("top"), F.lit(0.0))).alias("bound"), F.sum("n").alias("n"))
 
 
@@ -139,11 +169,12 @@ def best_scores(idx: Bm25Index, queries: DataFrame, k: int, save=None) -> tuple[
     table that is read often; without it, one is written to the shared folder."""
     save = save or Scratch(queries.sparkSession, "bm25").save
     asked = _few(save(weighed(idx, queries), "asked"))
+    average = idx.average()
     limits = save(bounds(idx, asked).withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound"), "segment"))), "bounds")
 
     def summed(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select("query_id", "segment").join(asked, "query_id").select("query_id", "segment", "term", "weight")
-        return _summed(idx.blocks.select("segment", "term", "postings").join(_few(wanted), ["segment", "term"]))
+        return _summed(idx.blocks.select("segment", "term", "postings").join(_few(wanted), ["segment", "term"]), average)
 
     first = save(summed(limits.where(F.col("place") <= FIRST_SEGMENTS)), "first")
     last = top_k(first, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import time
 from collections import Counter
 from collections.abc import Callable
@@ -13,11 +14,13 @@ from typing import Protocol
 import numpy as np
 import regex
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from tessella.plans.scratch import delete, exists, read_text, write_text
+
 
 class Embedder(Protocol):
     """A model: its name, its dimension, and vectors of length 1 for a batch of texts. It is loaded once per worker."""
@@ -102,36 +105,93 @@ def cache_key(model: str, text: Column) -> Column:
 
 
 class EmbeddingCache:
-    """A table (cache_key, model_name, embedding, created_at) by model; the last write of a key counts."""
+    """Embeddings by cache key, in a folder: a base, bucketed and sorted by key with one row for each, and a delta of rows added since.
+
+    A lookup joins both by key: the base is read as it lies, without a shuffle, and only the rows of the delta are ranked, of which the last write counts. When the
+    delta has grown to a share of the base, both are written as the next base and superseded rows go. A file names the base in use; it is
+    replaced after the new one is written, so that a job that fails leaves the cache as it was. One job writes at a time."""
 
     schema = "cache_key string, embedding array<double>, created_at timestamp, model_name string"
+    #: A delta of fewer rows, or of less than this share of the base, stays.
+    LEAST_DELTA, DELTA_SHARE = 10_000, 0.1
 
-    def __init__(self, spark, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 32):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
-    def _exists(self) -> bool:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+    def state(self) -> dict[str, int]:
+        """base: its number, 0 for none; rows in it; added: rows of the delta; buckets of the base."""
+        text = read_text(self.spark, f"{self.path}/state.json")
+        return json.loads(text) if text else {"base": 0, "rows": 0, "added": 0, "buckets": self.buckets}
 
-    def rows(self, model: str | None = None) -> DataFrame:
-        if not self._exists():
+    def _keep(self, **changes: int) -> None:
+        write_text(self.spark, f"{self.path}/state.json", json.dumps({**self.state(), **changes}))
+
+    def _table(self, number: int) -> str:
+        return f"tessella_cache_{hashlib.md5(f'{self.path}/{number}'.encode()).hexdigest()}"
+
+    def base(self) -> DataFrame:
+        """The base as a bucketed table; a session that has not written it makes it known first."""
+        state = self.state()
+        if not state["base"]:
             return self.spark.createDataFrame([], self.schema)
-        found = self.spark.read.schema(self.schema).parquet(self.path)
-        return latest(found if model is None else found.where(F.col("model_name") == model))
+        name = self._table(state["base"])
+        if not self.spark.catalog.tableExists(name):
+            by = f"CLUSTERED BY (cache_key) SORTED BY (cache_key) INTO {state['buckets']} BUCKETS"
+            self.spark.sql(f"CREATE TABLE {name} ({self.schema.replace(' string', ' STRING')}) USING parquet {by} LOCATION '{self.path}/base-{state['base']}'")
+        return self.spark.table(name)
+
+    def delta(self) -> DataFrame:
+        """The last write of each key since the base."""
+        at = f"{self.path}/delta-{self.state()['base']}"
+        return latest(self.spark.read.schema(self.schema).parquet(at)) if exists(self.spark, at) else self.spark.createDataFrame([], self.schema)
 
-    def put(self, rows: DataFrame) -> None:
-        """Adds (cache_key, model_name, embedding)."""
-        rows.select("cache_key", "embedding", F.current_timestamp().alias("created_at"), "model_name").write.mode("append").partitionBy("model_name").parquet(self.path)
+    def rows(self, model: str | None = None) -> DataFrame:
+        """One row for each key."""
+        new = self.delta()
+        found = self.base().join(new.select("cache_key"), "cache_key", "left_anti").unionByName(new)
+        return found if model is None else found.where(F.col("model_name") == model)
+
+    def lookup(self, keyed: DataFrame) -> DataFrame:
+        """keyed (cache_key, ...) with embedding, null where it is not cached."""
+        old, new = (t.select("cache_key", F.col("embedding").alias(name)) for t, name in ((self.base(), "__old"), (self.delta(), "__new")))
+        both = keyed.join(old, "cache_key", "left").join(new, "cache_key", "left")
+        return both.withColumn("embedding", F.coalesce("__new", "__old")).drop("__old", "__new")
+
+    def put(self, rows: DataFrame) -> int:
+        """Adds (cache_key, model_name, embedding) and returns how many, counted as they are written."""
+        state, seen = self.state(), Observation()
+        made = rows.select("cache_key", "embedding", F.current_timestamp().alias("created_at"), "model_name").observe(seen, F.count(F.lit(1)).alias("n"))
+        made.write.mode("append").parquet(f"{self.path}/delta-{state['base']}")
+        n = seen.get["n"]
+        self._keep(added=state["added"] + n)
+        if state["added"] + n >= max(self.LEAST_DELTA, self.DELTA_SHARE * state["rows"]):
+            self.compact()
+        return n
+
+    def compact(self) -> None:
+        """Writes base and delta as the next base."""
+        state, seen = self.state(), Observation()
+        number, name = state["base"] + 1, self._table(state["base"] + 1)
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        merged = self.rows().observe(seen, F.count(F.lit(1)).alias("n"))
+        dealt = merged.repartition(self.buckets, "cache_key").write.bucketBy(self.buckets, "cache_key").sortBy("cache_key")
+        dealt.format("parquet").option("path", f"{self.path}/base-{number}").mode("overwrite").saveAsTable(name)
+        self._keep(base=number, rows=seen.get["n"], added=0, buckets=self.buckets)
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._table(state['base'])}")
+        for old in (f"base-{state['base']}", f"delta-{state['base']}"):
+            delete(self.spark, f"{self.path}/{old}")
 
     def size(self) -> int:
-        return self.rows().count()
+        """Keys in the cache; rows of the delta count once each unless a key was written again."""
+        state = self.state()
+        return state["rows"] + state["added"]
 
     def clear(self) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._table(self.state()['base'])}")
+        delete(self.spark, self.path)
 
 
-#: Names of caches; all are one Parquet table. "none" is no cache.
+#: Names of caches; all are the same Parquet tables. "none" is no cache.
 CACHES = ("parquet", "sqlite", "pickle", "json")
 
 
@@ -155,12 +215,15 @@ def misses(keyed: DataFrame, cached: DataFrame) -> DataFrame:
 
 
 def embed_with_cache(rows: DataFrame, embedder: Embedder, cache: EmbeddingCache, text: str = "text") -> tuple[DataFrame, dict[str, float]]:
-    """rows with embedding, of which only those not cached were computed, and what it took: distinct texts, hits, misses, time, cache size."""
-    began = time.monotonic()
+    """rows with embedding, of which only those not cached were computed, and what it took: distinct texts, hits, misses, time, cache size.
+
+    Texts are looked up, counted, embedded and added in one job: the counts are observed as it runs."""
+    began, seen = time.monotonic(), Observation()
     keyed = rows.withColumn("cache_key", cache_key(embedder.name, F.coalesce(F.col(text), F.lit(""))))
-    new = misses(keyed, cache.rows(embedder.name)).select("cache_key", F.col(text).alias("text"))
-    n_keys, n_new = keyed.select("cache_key").distinct().count(), new.count()
+    distinct = keyed.groupBy("cache_key").agg(F.first(F.col(text)).alias("text"))
+    looked = cache.lookup(distinct).observe(seen, F.count(F.lit(1)).alias("texts"), F.count("embedding").alias("hits"))
+    new = looked.where(F.col("embedding").isNull()).select("cache_key", "text")
     cache.put(embedded(new, embedder).select("cache_key", F.lit(embedder.name).alias("model_name"), "embedding"))
-    out = keyed.join(cache.rows(embedder.name).select("cache_key", "embedding"), "cache_key").drop("cache_key")
-    spent = 1000 * (time.monotonic() - began)
-    return out, {"calls": 1, "texts": n_keys, "hits": n_keys - n_new, "misses": n_new, "hit_rate": (n_keys - n_new) / n_keys if n_keys else 0.0, "mean_ms": spent / n_new if n_new else 0.0, "cache_size": cache.size()}
+    spent, n_keys, hits = 1000 * (time.monotonic() - began), seen.get["texts"], seen.get["hits"]
+    told = {"calls": 1, "texts": n_keys, "hits": hits, "misses": n_keys - hits, "hit_rate": hits / n_keys if n_keys else 0.0, "mean_ms": spent / (n_keys - hits) if n_keys > hits else 0.0, "cache_size": cache.size()}
+    return cache.lookup(keyed).drop("cache_key"), told

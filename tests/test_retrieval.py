@@ -14,6 +14,7 @@ from tessella.plans.config import RetrievalConfig
 from tessella.plans.retrieval import RetrievalPipeline
 from tessella.plans.scratch import Scratch
 from tessella.sources import readers, writers
+from tessella.streaming import ingest
 
 
 def test_rrf_prefers_overlap(spark):
@@ -156,9 +157,8 @@ def bm25_rows(spark):
 def plain_bm25(chunks, queries):
     """query_id, chunk_id -> score, by loops."""
     listed = [(r.chunk_id, [w for w in re.findall(r"\w+", (r.text or "").lower()) if len(w) > 2 and w not in bm25.STOPWORDS]) for r in chunks.collect()]
-    n, total = len(listed), sum(len(w) for _, w in listed if w is not None)
+    n, total = len(listed), sum(len(w) for _, w in listed)
     df = Counter(w for _, words in listed for w in set(words))
-    known = [r for r in chunks.collect() if r.text is not None]
     raw = {w: math.log((n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
     mean = sum(raw.values()) / len(raw)
     out = {}
@@ -167,7 +167,7 @@ def plain_bm25(chunks, queries):
             for chunk, words in listed:
                 if tf := words.count(word):
                     idf = raw[word] if raw[word] >= 0 else 0.25 * mean
-                    part = tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(words) / (total / len(known))))
+                    part = tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(words) / (total / n)))
                     out[q.query_id, chunk] = out.get((q.query_id, chunk), 0) + idf * part
     return out
 
@@ -271,16 +271,76 @@ def test_models_are_loaded_once_per_worker(spark, tmp_path):
     assert embedding.embedder("nothing known", 7).dim == 7
 
 
-def test_cache(spark, tmp_path):
-    cache = embedding.EmbeddingCache(spark, str(tmp_path / "cache"))
-    rows = spark.createDataFrame([(1, "a b"), (2, "c"), (3, "a b")], "id int, text string")
+def test_cache(spark, tmp_path, monkeypatch):
+    cache = embedding.EmbeddingCache(spark, str(tmp_path / "cache"), buckets=4)
+    rows = spark.createDataFrame([(1, "a b"), (2, "c"), (3, "a b"), (4, None)], "id int, text string")
     embedder = embedding.HashingEmbedder(16)
     out, stats = embedding.embed_with_cache(rows, embedder, cache)
-    assert stats["cache_size"] == 2 and stats["hit_rate"] == 0
-    assert out.count() == 3 and stats["misses"] == 2
-    assert embedding.embed_with_cache(rows, embedder, cache)[1]["misses"] == 0 and cache.size() == 2
+    assert stats["cache_size"] == 3 and stats["hit_rate"] == 0
+    assert out.count() == 4 and stats["misses"] == 3 and out.where("embedding is null").count() == 0
+    assert embedding.embed_with_cache(rows, embedder, cache)[1]["misses"] == 0 and cache.size() == 3
+    cache.compact()
+    assert cache.state() == {"base": 1, "rows": 3, "added": 0, "buckets": 4} and cache.rows().count() == 3
+    more = rows.unionByName(spark.createDataFrame([(5, "new text")], "id int, text string"))
+    out, stats = embedding.embed_with_cache(more, embedder, cache)
+    assert (stats["hits"], stats["misses"], stats["cache_size"]) == (3, 1, 4)
+    want = {r.id: r.embedding for r in embedding.embedded(more, embedder).collect()}
+    assert {r.id: r.embedding for r in out.collect()} == want
+    # a key that is written again counts once, by its last write, in the delta and after the next compaction
+    key = cache.base().head().cache_key
+    for value in (7.0, 8.0):
+        cache.put(spark.createDataFrame([(key, "hashing-16", [value])], "cache_key string, model_name string, embedding array<double>"))
+    for _ in range(2):
+        assert [r.embedding for r in cache.rows("hashing-16").where(F.col("cache_key") == key).collect()] == [[8.0]] and cache.rows().count() == 4
+        cache.compact()
+    # another session's object finds the base by its file
+    again = embedding.EmbeddingCache(spark, str(tmp_path / "cache"))
+    spark.sql(f"DROP TABLE {again._table(again.state()['base'])}")
+    assert again.rows().count() == 4 and not (tmp_path / "cache" / "base-1").exists()
+    monkeypatch.setattr(embedding.EmbeddingCache, "LEAST_DELTA", 1)
+    cache.put(spark.createDataFrame([("k", "m", [1.0])], "cache_key string, model_name string, embedding array<double>"))
+    assert cache.state()["added"] == 0 and cache.size() == 5
     cache.clear()
-    assert cache.size() == 0
+    assert cache.size() == 0 and cache.rows().count() == 0
+
+
+def test_cached_side_is_not_shuffled(spark, tmp_path):
+    cache = embedding.EmbeddingCache(spark, str(tmp_path / "cache"), buckets=4)
+    embedder = embedding.HashingEmbedder(8)
+    rows = spark.range(500).select("id", F.concat(F.lit("text "), "id").alias("text"))
+    embedding.embed_with_cache(rows, embedder, cache)
+    cache.compact()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keyed = rows.select("id", embedding.cache_key(embedder.name, F.col("text")).alias("cache_key"))
+        found = keyed.join(cache.base().select("cache_key", "embedding"), "cache_key", "left")
+        assert found.where("embedding is null").count() == 0
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        scanned = plan[plan.index("FileScan parquet") - 400 : plan.index("FileScan parquet")]
+        assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1 and "Exchange" not in scanned[scanned.rindex("Sort") if "Sort" in scanned else 0 :]
+        assert "Window" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_index_by_batches_equals_one_build(spark, tmp_path):
+    """Two batches, one of them twice, give the lists of an index of all chunks, though df and average length differ between them."""
+    chunks, queries = bm25_rows(spark)
+    chunks = chunks.dropDuplicates(["chunk_id"]).cache()
+    first = F.pmod(F.xxhash64("chunk_id"), F.lit(3)) == 0
+    path = str(tmp_path / "index")
+    ingest.add_batch(chunks.where(first), path, 0)
+    one = ingest.open_index(spark, path)
+    alone = bm25.index(chunks.where(first))
+    assert sorted(map(tuple, bm25.search(one, queries, 5).collect())) == sorted(map(tuple, bm25.search(alone, queries, 5).collect()))
+    for _ in range(2):  # the second time replaces the first
+        ingest.add_batch(chunks.where(~first), path, 1)
+    both, whole = ingest.open_index(spark, path), bm25.index(chunks)
+    assert sorted(map(tuple, both.stats.select("term", "df", F.round("idf", 9)).collect())) == sorted(map(tuple, whole.stats.select("term", "df", F.round("idf", 9)).collect()))
+    want = sorted(map(tuple, bm25.search(whole, queries, 5, include_zero=True).collect()))
+    assert sorted(map(tuple, bm25.search(both, queries, 5, include_zero=True).collect())) == want
+    assert sorted(map(tuple, bm25.top_k(bm25.best_scores(both, queries, 5)[0], 5).collect())) == sorted(map(tuple, bm25.top_k(bm25.scores(whole, queries), 5).collect()))
 
 
 def test_sources_and_pipeline(spark, tmp_path):
