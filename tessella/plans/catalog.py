@@ -114,6 +114,18 @@ def list_sources(spark, tables):
     return readers.list_sources(tables("documents"))
 
 
+@query(f"""SELECT bucket, sha256(text) AS text_sha256, length(text) AS n_chars FROM (SELECT bucket, {o.strip("replace(" + o.blank_lines('nfc_normalize(text)') + ", chr(9), '    ')")} AS text
+    FROM (SELECT doc_id % 97 AS bucket, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id, text) AS text FROM documents GROUP BY 1)) WHERE text <> ''""")
+def document_files(spark, tables):
+    """Documents written as text files, a folder each for every 97th, and read as files of documents of many folders."""
+    scratch = Scratch(spark, "files")
+    lines = tables("documents").select(F.pmod("doc_id", F.lit(97)).alias("bucket"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    lines.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "text").select("bucket", "text").write.partitionBy("bucket").text(f"{scratch.root}/in")
+    docs = readers.read_files(spark, f"{scratch.root}/in")
+    bucket = F.regexp_extract("doc_id", r"^bucket=(\d+)/", 1).cast("long")
+    return docs.select(bucket.alias("bucket"), F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars"))
+
+
 @query("SELECT event_id, event_type, array_to_string(json_keys(props), ' ') AS fields, length(props) AS n_chars FROM events")
 def json_extra_fields(spark, tables):
     fields = F.coalesce(F.json_object_keys("props"), F.array().cast("array<string>"))

@@ -440,3 +440,28 @@ def test_command_line(spark, tmp_path, capsys):
     assert "a_chunk_0" in capsys.readouterr().out
     main(["benchmark", "--data-dir", str(tmp_path), "--output", str(tmp_path / "out")])
     assert "| mrr |" in capsys.readouterr().out
+
+
+def test_files_of_one_stem_and_bad_files(spark, tmp_path):
+    """Ids are unique across folders and suffixes; a bad file is a row with its path and an error, in batch and as a stream."""
+    folder = tmp_path / "some docs"
+    for name, text in {
+        "a/readme.md": "# First\nreadme of a", "b/readme.md": "readme of b", "b/readme.txt": "another of b", "top.txt": "on top", "c/bad.json": '{"id": 1, "text": ', "c/none.json": "[]",
+        "c/blank.txt": " \n", "c/number.json": "17", "c/good.json": '{"documents": [{"id": "g", "text": "good", "tag": 3}, {"content": "also good"}, {"text": ""}]}', "d/one.json": '{"text": "only one"}', "x.csv": "no",
+    }.items():
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text(text)
+    docs = {r.doc_id: r for r in readers.read_files(spark, str(folder)).collect()}
+    assert {k: r.text for k, r in docs.items()} == {"a/readme": "# First\nreadme of a", "b/readme.md": "readme of b", "b/readme.txt": "another of b", "top": "on top", "g": "good", "c/good_1": "also good", "d/one_0": "only one"}
+    assert docs["g"].metadata["tag"] == "3" and docs["g"].metadata["source_item_index"] == "0" and docs["top"].metadata["file_type"] == "txt" and "source_item_index" not in docs["top"].metadata
+    bad = {r.path.rsplit("/", 1)[-1]: r.error for r in readers.file_errors(spark, str(folder)).collect()}
+    assert bad == {"bad.json": "no valid JSON", "none.json": "no document with a text", "blank.txt": "no document with a text", "number.json": "no document with a text"}
+    stream = readers.scan_stream(spark, str(folder)).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    stream.awaitTermination()
+    came = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {r.doc_id for r in came if r.error is None} == {"a/readme.md", "b/readme.md", "b/readme.txt", "top.txt", "g", "c/good.json_1", "d/one.json_0"} and sum(r.error is not None for r in came) == 4
+    config = RetrievalConfig(similarity_threshold=0.0, embedding_dim=16, min_chunk_size=5)
+    pipe = RetrievalPipeline(spark, config)
+    pipe.ingest([str(folder)])
+    # shorter lines are cleaned away
+    assert {r.chunk_id for r in pipe.chunks.collect()} == {"a/readme_chunk_0", "b/readme.md_chunk_0", "b/readme.txt_chunk_0"}
