@@ -48,14 +48,14 @@ def main(arguments: list[str] | None = None) -> None:
             hits.withColumn("text", F.translate(F.substring("text", 1, 120), "\n", " ")).orderBy("rank").show(given.top_k, truncate=False)
         return
     bank = spark.createDataFrame([(i, q, k) for i, (q, k, _) in enumerate(QUERY_BANK)], "query_id long, query string, keywords array<string>")
-    report = pipe.benchmark(bank)
-    report = pipe._scratch.save(report, "report")
+    report = pipe._scratch.save(pipe.benchmark(bank, timed=len(QUERY_BANK)), "report")
+    told = {"settings": {**pipe.config.summary(), "n_chunks": pipe.num_chunks()}, "queries": pipe.told(bank)}
     if given.json_only:
         print("\n".join(report.toJSON().collect()))
     else:
-        print(writers.markdown_report(report))
+        print(writers.markdown_report(report, **told))
     if given.output:
-        writers.write_report(report, given.output)
+        writers.write_report(report, given.output, **told)
 
 
 if __name__ == "__main__":

@@ -52,7 +52,7 @@ def query_metrics(hits: DataFrame, n_rel: DataFrame, ks: tuple[int, ...] = KS, b
     return rows.select(*out)
 
 
-def long_form(wide: DataFrame, keys: tuple[str, ...] = ("query_id", "strategy"), others: tuple[str, ...] = ("seconds",)) -> DataFrame:
+def long_form(wide: DataFrame, keys: tuple[str, ...] = ("query_id", "strategy"), others: tuple[str, ...] = ("seconds", "latency")) -> DataFrame:
     """keys, metric, value."""
     return wide.unpivot([c for c in keys if c in wide.columns], [c for c in wide.columns if c not in (*keys, *others)], "metric", "value")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.text import cleaner, preprocess
-from tessella.operators import bm25, chunking, embedding, metrics, rerank, strategies, vectors
+from tessella.operators import bm25, chunking, embedding, expansion, metrics, rerank, strategies, vectors
 from tessella.operators.embedding import Embedder, embedded
 from tessella.plans.config import RetrievalConfig
 from tessella.plans.scratch import Scratch, exists
@@ -95,9 +95,21 @@ class RetrievalPipeline:
         """Texts and sources join after ranking, for the hits alone."""
         return hits.join(self.chunks.select("chunk_id", "text", "source", "section"), "chunk_id")
 
-    def benchmark(self, bank: DataFrame, top_k: int | None = None) -> DataFrame:
+    def latencies(self, bank: DataFrame, most: int, top_k: int | None = None) -> DataFrame:
+        """query_id, strategy, latency: what each of the first most queries takes alone, in seconds. As many jobs as that are run, one by one."""
+        asked = bank.select("query_id", "query").orderBy("query_id").limit(most)
+        kind, rows = bank.schema["query_id"].dataType.simpleString(), []
+        for query in asked.collect():  # most rows
+            one = self.spark.createDataFrame([tuple(query)], f"query_id {kind}, query string")
+            for name, search in (("a", self.retrieve_raw), ("b", self.retrieve_enhanced)):
+                began = time.monotonic()
+                search(one, top_k).collect()
+                rows.append((query["query_id"], name, time.monotonic() - began))
+        return self.spark.createDataFrame(rows, f"query_id {kind}, strategy string, latency double")
+
+    def benchmark(self, bank: DataFrame, top_k: int | None = None, timed: int = 0) -> DataFrame:
         """Metrics of strategies A and B for every query of a bank (query_id, query, keywords); relevance is by keywords, or B's
-        first hit where no chunk has one. seconds: what a strategy took for the whole bank."""
+        first hit where no chunk has one. seconds: what a strategy took for the whole bank; latency: what a query took alone, of the first timed ones."""
         self._built()
         queries, runs, took = bank.select("query_id", "query"), {}, {}
         for name, search in (("a", self.retrieve_raw), ("b", self.retrieve_enhanced)):
@@ -109,7 +121,12 @@ class RetrievalPipeline:
         relevant = self._scratch.save(metrics.ground_truth(metrics.keyword_relevance(self.chunks, bank), runs["b"]), f"relevant{self._turn}")
         n_rel = relevant.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n_rel"))
         made = [metrics.query_metrics(metrics.judged(hits, relevant), n_rel).withColumns({"strategy": F.lit(name), "seconds": F.lit(took[name])}) for name, hits in runs.items()]
-        return made[0].unionByName(made[1])
+        return made[0].unionByName(made[1]).join(F.broadcast(self.latencies(bank, timed, top_k)), ["query_id", "strategy"], "left")  # timed rows of each strategy
+
+    def told(self, bank: DataFrame) -> DataFrame:
+        """query_id, query, expanded_query, keywords_added of a bank, for a report."""
+        made = expansion.expand(bank.select("query_id", "query"), self.config.expansion_mode, self.config.max_variants)
+        return made.select("query_id", "query", "expanded_query", "keywords_added")
 
     def save_index(self, path: str) -> None:
         """chunks, vectors (an inverted file as it was built) and the tables of terms, each as it lies."""

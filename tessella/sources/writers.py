@@ -21,14 +21,26 @@ def load_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_report(report: DataFrame, folder: str, name: str | None = None) -> str:
-    """Writes folder/benchmark_<time>: one JSON object for each query and strategy, and beside it the means, as Spark writes them. Returns its path."""
-    path = f"{folder}/{name or time.strftime('benchmark_%Y%m%d_%H%M%S')}"
-    means = metrics.mean_metrics(metrics.long_form(report))
+def by_query(report: DataFrame, queries: DataFrame | None = None, a: str = "a", b: str = "b") -> DataFrame:
+    """One row for each query: what queries tells of it (its text, expansion, keywords), the metrics of both strategies, their differences, and which won by its MRR."""
     values = [c for c in report.columns if c not in ("query_id", "strategy")]
-    nested = report.select("query_id", "strategy", F.struct(*values).alias("metrics")).groupBy("query_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("strategy", "metrics")))).alias("strategies"))
-    nested.write.mode("overwrite").json(f"{path}/queries")
-    means.groupBy("strategy").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "mean_value")))).alias("means")).write.mode("overwrite").json(f"{path}/means")
+    side = lambda name: report.where(F.col("strategy") == name).select("query_id", F.struct(*values).alias(name))
+    both = side(a).join(side(b), "query_id", "full_outer")
+    change = F.struct(*[F.round(F.col(f"{b}.{c}") - F.col(f"{a}.{c}"), 4).alias(c) for c in values])
+    best = F.when(F.col(f"{b}.mrr") > F.col(f"{a}.mrr"), b).when(F.col(f"{a}.mrr") > F.col(f"{b}.mrr"), a).otherwise("tie")
+    rows = both.select("query_id", F.struct(a, b).alias("strategies"), change.alias("change"), best.alias("winner"))
+    return queries.join(rows, "query_id") if queries is not None else rows
+
+
+def write_report(report: DataFrame, folder: str, name: str | None = None, settings: dict | None = None, queries: DataFrame | None = None) -> str:
+    """Writes folder/benchmark_<time>: queries, a JSON object for each (see by_query), and summary, one object of settings, means, comparison and verdict. Returns its path."""
+    spark, path = report.sparkSession, f"{folder}/{name or time.strftime('benchmark_%Y%m%d_%H%M%S')}"
+    by_query(report, queries).write.mode("overwrite").json(f"{path}/queries")
+    means = metrics.mean_metrics(metrics.long_form(report))
+    compared = {r["metric"]: {k: r[k] for k in ("value_a", "value_b", "delta", "improvement_percent")} for r in metrics.compare(means, "a", "b").collect()}  # a row for each metric
+    said = metrics.summary(means, metrics.win_loss_tie(report, "a", "b")).head()
+    whole = {"settings": settings or {}, "n_queries": report.select("query_id").distinct().count(), "comparison": compared, "verdict": said["verdict"] if said else None, "summary": said["summary"] if said else None}
+    spark.createDataFrame([(json.dumps(whole, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/summary")
     return path
 
 
@@ -36,17 +48,27 @@ def write_report(report: DataFrame, folder: str, name: str | None = None) -> str
 MARKED = 0.01
 
 
-def markdown_report(report: DataFrame, a: str = "a", b: str = "b", most_queries: int = 50) -> str:
-    """Means of both strategies with their difference (up, down or level), the summary, and a block for each of the first most_queries queries."""
+def markdown_report(report: DataFrame, a: str = "a", b: str = "b", most_queries: int = 50, settings: dict | None = None, queries: DataFrame | None = None) -> str:
+    """Settings, means of both strategies with their difference (up, down or level), the summary, and a block for each of the first most_queries queries."""
     means = metrics.mean_metrics(metrics.long_form(report))
     rows = metrics.compare(means, a, b).orderBy("metric").collect()
     if not rows:
         return ""
     flag = lambda d: "up" if d > MARKED else "down" if d < -MARKED else "level"
-    lines = [metrics.summary(means, metrics.win_loss_tie(report, a, b), a, b).head()["summary"], "", f"| metric | {a} | {b} | change | |", "|---|---|---|---|---|"]
+    lines = [f"* {name}: {value}" for name, value in (settings or {}).items()]
+    lines += [*([""] if lines else []), metrics.summary(means, metrics.win_loss_tie(report, a, b), a, b).head()["summary"], "", f"| metric | {a} | {b} | change | |", "|---|---|---|---|---|"]
     lines += [f"| {r['metric']} | {r['value_a']:.4f} | {r['value_b']:.4f} | {r['delta']:+.4f} | {flag(r['delta'])} |" for r in rows]
-    for r in report.orderBy("query_id", "strategy").limit(2 * most_queries).collect():
-        lines += ["", f"### query {r['query_id']}, strategy {r['strategy']}", f"MRR {r['mrr']:.4f}, precision@1 {r['precision_at_1']:.4f}, recall@5 {r['recall_at_5']:.4f}, nDCG@5 {r['ndcg_at_5']:.4f}"]
+    shown = ("mrr", "precision_at_1", "recall_at_5", "ndcg_at_5")
+    for r in by_query(report, queries, a, b).orderBy("query_id").limit(most_queries).collect():
+        told = r.asDict(recursive=True)
+        lines += ["", f"### query {told['query_id']}" + (f": {told['query']}" if told.get("query") else ""), ""]
+        lines += [f"{label}: {', '.join(told[key]) if isinstance(told[key], list) else told[key]}" for label, key in (("expanded", "expanded_query"), ("keywords added", "keywords_added")) if told.get(key)]
+        lines += ["", f"| metric | {a} | {b} | change |", "|---|---|---|---|"]
+        for metric in shown:
+            x, y = ((told["strategies"][name] or {}).get(metric) for name in (a, b))
+            lines.append(f"| {metric} | " + " | ".join("" if v is None else f"{v:.4f}" for v in (x, y)) + f" | {'' if x is None or y is None else f'{y - x:+.4f}'} |")
+        taken = [f"{name} {told['strategies'][name]['latency']:.3f} s" for name in (a, b) if (told["strategies"][name] or {}).get("latency") is not None]
+        lines += ["", f"won by {told['winner']}" + (f"; alone it took {', '.join(taken)}" if taken else "")]
     return "\n".join(lines) + "\n"
 
 

@@ -1,3 +1,4 @@
+import json
 import math
 import os
 import re
@@ -363,11 +364,18 @@ def test_sources_and_pipeline(spark, tmp_path):
         assert rows and all(r.rank <= 5 for r in rows)
     assert pipe.retrieve_hybrid(queries).where("query_id = 1 and rank = 1").head().source == "c.json"
     bank = spark.createDataFrame([(i, q, k) for i, (q, k, _) in enumerate(QUERY_BANK[:2])], "query_id long, query string, keywords array<string>")
-    report = pipe.benchmark(bank)
-    assert report.count() <= 4
+    report = pipe._scratch.save(pipe.benchmark(bank, timed=1), "report")
+    assert report.count() <= 4 and report.where("latency > 0").select("query_id").distinct().count() <= 1
+    told = {"settings": pipe.config.summary(), "queries": pipe.told(bank)}
+    text = writers.markdown_report(report, **told)
+    assert "* chunk_size: 512" in text and "expanded: " in text and "alone it took a " in text and f"### query 0: {QUERY_BANK[0][0]}" in text
     assert "| mrr |" in writers.markdown_report(report) and "MRR a " in writers.markdown_report(report)
     assert writers.newest_reports(spark, str(tmp_path / "reports")) == []
-    paths = [writers.write_report(report, str(tmp_path / "reports"), f"benchmark_{i}") for i in range(2)]
+    paths = [writers.write_report(report, str(tmp_path / "reports"), f"benchmark_{i}", **told) for i in range(2)]
+    whole = json.loads(spark.read.text(paths[0] + "/summary").head().value)
+    assert whole["settings"]["top_k"] == 5 and whole["n_queries"] == report.select("query_id").distinct().count() and "mrr" in whole["comparison"] and whole["verdict"]
+    one = spark.read.json(paths[0] + "/queries").where("query_id = 0").head()
+    assert one.query == QUERY_BANK[0][0] and one.change.mrr == pytest.approx(one.strategies.b.mrr - one.strategies.a.mrr, abs=1e-4) and one.winner in ("a", "b", "tie")
     assert [p.rsplit("/", 1)[-1] for p in writers.newest_reports(spark, str(tmp_path / "reports"))] == ["benchmark_1", "benchmark_0"]
     assert spark.read.json(paths[0] + "/queries").count() == report.select("query_id").distinct().count()
     pipe.save_index(str(tmp_path / "index"))
@@ -425,6 +433,18 @@ def test_rows_and_ground_truth(spark):
     assert sorted(map(tuple, metrics.ground_truth(metrics.keyword_relevance(chunks, bank), hits).collect())) == [(1, "x"), (2, "y")]
 
 
+def test_nested_settings(tmp_path, caplog):
+    path = tmp_path / "config.yaml"
+    path.write_text("# settings\n\nembedding:\n  model: 'hashing-64'   # a model\n  dimension: 64\n  cache_backend: \"sqlite\"\nchunking:\n  chunk_size: 256\n  chunk_overlap: 32\nretrieval:\n  top_k: 7\n  semantic_threshold: 0.1\nvector_store:\n  index_type: \"ivf_flat\"\n  persist_path: \"/tmp/kept\"\nquery_expansion:\n  expansion_type: hyde\nhybrid_search:\n  dense_weight: 0.6\nreranking:\n  enabled: false\nbenchmarking:\n  metrics:\n    - mrr\n  k_values: [1, 3]\nlogging:\n  level: INFO\n")
+    read = RetrievalConfig.read(str(path))
+    assert (read.model, read.embedding_dim, read.cache, read.cache_path, read.chunk_size, read.chunk_overlap, read.top_k) == ("hashing-64", 64, "sqlite", "/tmp/kept/embeddings", 256, 32, 7)
+    assert (read.similarity_threshold, read.index, read.expansion_mode, read.dense_weight, read.reranking) == (0.1, "ivf", "hyde", 0.6, False)
+    assert "logging.level" in caplog.text
+    path.write_text("nope: 1\n")
+    with pytest.raises(ValueError):
+        RetrievalConfig.read(str(path))
+
+
 def test_config():
     with pytest.raises(ValueError):
         RetrievalConfig(chunk_overlap=600)
