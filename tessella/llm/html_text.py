@@ -27,7 +27,11 @@ _token = re.compile(
 )
 _attribute = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _space = re.compile(r"[ \t\n\r\f\v]+")
-_hidden_style = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+_hidden_style = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+_visibility = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.IGNORECASE)
+#: A table whose columns would take more than so many spaces for each of its own characters, or that lies in so many others, is written with two spaces
+#: between cells; an indent has so many characters at most. So a text is at most some tens of times as long as its page.
+MOST_SPACES, MOST_TABLES, MOST_INDENT = 8, 3, 40
 
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -89,6 +93,18 @@ class Node:
         style = self.get("style")
         return not (style and _hidden_style.search(style))
 
+    def seen(self, above: bool) -> bool:
+        """Whether text in this element can be seen: visibility is handed down until an element below sets it again."""
+        style = self.get("style") if self.attributes else None
+        found = _visibility.findall(style) if style else None
+        return found[-1].lower() == "visible" if found else above
+
+    def parts(self) -> list[Node | str]:
+        """The children that are shown: of a closed details element its summary alone."""
+        if self.tag != "details" or self.get("open") is not None:
+            return self.children
+        return [c for c in self.children if not isinstance(c, str) and c.tag == "summary"][:1]
+
 
 def tree(page: str) -> Node:
     """The page's elements and texts (str) below a root node."""
@@ -193,7 +209,7 @@ class Flow:
         self.gap = 0
         self.now.append(self.indent + self.mark)
         if self.mark:
-            self.indent += " " * len(self.mark)
+            self.indent = (self.indent + " " * len(self.mark))[:MOST_INDENT]
             self.mark = ""
 
     def end_line(self) -> None:
@@ -248,9 +264,9 @@ def placed(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[int,
     return out
 
 
-def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
-    """Lines of a table from rows of (lines, columns, rows) cells. Columns are as wide as their widest cell of one column; a row is as
-    high as its highest cell, and the lines of a cell stay below each other."""
+def aligned(rows: list[list[tuple[list[str], int, int]]], inside: int = 0) -> list[str]:
+    """Lines of a table from rows of (lines, columns, rows) cells; inside: how many tables it lies in. Columns are as wide as their widest cell of one
+    column; a row is as high as its highest cell, and the lines of a cell stay below each other. See MOST_SPACES for tables that this would blow up."""
     grid = placed(rows)
     widths: dict[int, int] = {}
     for cells in grid:
@@ -262,6 +278,11 @@ def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     for c in columns:
         starts[c] = at
         at += widths.get(c, 0) + (2 if widths.get(c, 0) else 0)
+    # where the last cell of each line begins, against what the table says
+    spaces = sum(max((starts[c] for c, lines, _ in cells if k < len(lines) and lines[k]), default=0) for cells in grid for k in range(max((len(lines) for _, lines, _ in cells), default=0)))
+    letters = sum(len("".join(line.split())) for cells in grid for _, lines, _ in cells for line in lines)
+    if inside >= MOST_TABLES or spaces > MOST_SPACES * letters:
+        starts = dict.fromkeys(starts, 0)
     out = []
     for cells in grid:
         for k in range(max((len(lines) for _, lines, _ in cells), default=0)):
@@ -282,12 +303,13 @@ def render(page: str | None) -> str:
     lists: list[list] = []  # kind, number of the next item, indent outside
     tables: list[list[list[tuple[list[str], int, int]]]] = []
     work: list[tuple[str, Node | str]] = [("in", tree(page))]
-    pre = 0
+    pre, seen = 0, [True]
     while work:
         step, node = work.pop()
         flow = flows[-1]
         if isinstance(node, str):
-            flow.as_is(node) if pre else flow.words(node)
+            if seen[-1]:
+                flow.as_is(node) if pre else flow.words(node)
             continue
         tag = node.tag
         if step == "in":
@@ -310,7 +332,7 @@ def render(page: str | None) -> str:
                 kind[1] += 1
             elif tag in ("dd", "blockquote"):
                 lists.append(["in", 0, flow.indent])
-                flow.indent += "  "
+                flow.indent = (flow.indent + "  ")[:MOST_INDENT]
             elif tag == "table":
                 tables.append([])
             elif tag == "tr" and tables:
@@ -321,16 +343,18 @@ def render(page: str | None) -> str:
                 flows.append(Flow())
             elif tag == "pre":
                 pre += 1
+            seen.append(node.seen(seen[-1]))
             work.append(("out", node))
-            work.extend(("in", child) for child in reversed(node.children))
+            work.extend(("in", child) for child in reversed(node.parts()))
             continue
+        seen.pop()
         if tag in ("td", "th") and tables and len(flows) > 1:
             value = flows.pop().text()
             tables[-1][-1].append((value.split("\n") if value else [], node.number("colspan"), node.number("rowspan")))
             continue
         if tag == "table" and tables:
             rows = tables.pop()
-            for line in aligned(rows):
+            for line in aligned(rows, len(tables)):
                 if line:
                     flow.as_is(line)
                     flow.end_line()
