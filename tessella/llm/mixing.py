@@ -194,7 +194,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeats: flo
     scratch = Scratch(docs.sparkSession, "mix")
     names = [c for c in docs.columns if c not in RESULTS]
     # the input's columns travel in one struct, so that none clashes with those used here
-    rows = docs.select(F.struct(*names).alias("__row"), "source", word_count().alias("size"), F.xxhash64(F.lit(seed), F.col(key), F.col("text")).alias("__h"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), "source", word_count().alias("size"), F.xxhash64(F.lit(seed), F.col(key), F.col("text")).alias("__h"))
     slim = scratch.save(rows.select("source", "size", "__h"), "slim")
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     n_blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.greatest(F.lit(float(block_words)), F.sqrt("source_size")))).cast("long")
@@ -246,12 +246,12 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeats: flo
 
 def emitted(mix: DataFrame) -> DataFrame:
     """One row for each draw, with its shard and mix_key; sorting a shard by mix_key shuffles it locally."""
-    return mix.select(*[c for c in mix.columns if c not in RESULTS], F.explode("draws").alias("__d")).select("*", "__d.*").drop("__d")
+    return mix.select(*[F.col(f"`{c}`") for c in mix.columns if c not in RESULTS], F.explode("draws").alias("__d")).select("*", "__d.*").drop("__d")
 
 
 def mixed_rows(docs: DataFrame, pieces: int = 64) -> DataFrame:
     """Rows of docs, with all their columns, as often as the mix takes them: a shard's rows lie in pieces, drawn at random and shuffled each."""
-    mix = mixed(docs.select(F.struct(*docs.columns).alias("whole"), "doc_id", "source", "text"))
+    mix = mixed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), "doc_id", "source", "text"))
     drawn = mix.select("whole", F.explode("draws").alias("d")).select("whole", "d.shard", "d.mix_key")
     return drawn.repartition("shard", F.pmod("mix_key", F.lit(pieces))).sortWithinPartitions("shard", "mix_key").select(*[F.col("whole").getField(c).alias(c) for c in docs.columns])
 
