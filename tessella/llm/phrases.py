@@ -30,6 +30,8 @@ from tessella.llm.texts import _bytes_of, slices
 from tessella.plans.scratch import Scratch
 
 MOST_WORDS = 4
+#: Parts of a lang whose best phrases are found apart.
+LANG_PARTS = 32
 DEPTH = MOST_WORDS + 1
 
 
@@ -43,7 +45,7 @@ class PhraseParams:
     least: int = 30
     inside_percent: int = 80
     top: int = 2_000
-    shard_words: int = 2_000_000
+    shard_words: int = 1_000_000
     range_words: int = 500_000
     most_ranges: int = 65_536
     sample_docs: int = 4_000
@@ -452,7 +454,10 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", params
     cuts = boundaries(docs, text, lang, params)
     counts = scratch.save(phrase_counts(docs, cuts, text, lang, params), "counts")
     left = scored(with_parts(counts, cuts, params)).join(inside_longer(counts, params), ["lang", "phrase"], "left_anti")
-    best = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = left.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= params.top)
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    # the best of each part of a lang first, so that no task gets more of a lang than a fixed number of lists
+    parted = left.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(LANG_PARTS)))
+    some = parted.withColumn("rank", F.row_number().over(W.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= params.top).drop("part", "rank")
+    ranked = some.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= params.top)
     sizes = counts.where("words = 0").select("lang", F.col("f").alias("n"))
     return ranked.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
