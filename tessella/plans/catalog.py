@@ -265,6 +265,7 @@ def incremental_bm25(spark, tables):
         docs.where(F.pmod("doc_id", F.lit(2)) == part).write.mode("append").parquet(f"{scratch.root}/in/part={part}")
     files = max(1, docs.rdd.getNumPartitions())  # each half has as many
     ingest.index_stream(spark, f"{scratch.root}/in/*", docs.schema, f"{scratch.root}/index", f"{scratch.root}/checkpoint", files_at_once=files).awaitTermination()
+    scratch.drop("in")
     idx = ingest.open_index(spark, f"{scratch.root}/index", scratch.save)
     return bm25.search(idx, _asked(tables), K).select("query_id", "chunk_id", "score", "rank", F.round("norm_score", 6).alias("norm_score"))
 

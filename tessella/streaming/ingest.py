@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 from tessella.functions.text import preprocess
 from tessella.operators import bm25
 from tessella.operators.chunking import chunked
+from tessella.plans.scratch import delete
 
 
 def stream_chunks(spark: SparkSession, folder: str, schema: StructType, size: int = 512, overlap: int = 64) -> DataFrame:
@@ -40,6 +41,7 @@ def add_batch(chunks: DataFrame, path: str, batch: int) -> None:
     blocks = saved(bm25.blocks_of(listed, n_chunks), "blocks")
     saved(bm25.lengths_of(listed, n_chunks), "lengths")
     saved(blocks.groupBy("term").agg(F.sum("n").alias("df")), "df")
+    delete(spark, f"{path}/counts/batch={batch}")
 
 
 def index_stream(spark: SparkSession, folder: str, schema: StructType, path: str, checkpoint: str, size: int = 512, overlap: int = 64, files_at_once: int = 1_000):
