@@ -177,17 +177,13 @@ def clipped(score: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
 
-def fitted_centres(x: np.ndarray, n_cells: int, seed: int, rounds: int = 10) -> np.ndarray:
-    """Centres of k-means over the rows of a bounded sample."""
-    random = np.random.default_rng(seed)
-    centres = x[random.choice(len(x), n_cells, replace=False)]
-    for _ in range(rounds):
-        cell = _nearest_cells(x, centres, 1)[:, 0]
-        sums, sizes = np.zeros_like(centres), np.bincount(cell, minlength=n_cells)
-        np.add.at(sums, cell, x)
-        empty = sizes == 0
-        centres = np.where(empty[:, None], x[random.choice(len(x), n_cells)], sums / np.maximum(sizes, 1)[:, None])
-    return centres
+def fitted_centres(sample: DataFrame, n_cells: int, seed: int, rounds: int = 10) -> np.ndarray:
+    """Centres of k-means over the vectors of a bounded sample (embedding)."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    unit = sample.select(array_to_vector(l2_normalised(F.col("embedding"))).alias("features"))
+    return np.array(KMeans(k=n_cells, seed=seed, maxIter=rounds).fit(unit).clusterCenters())
 
 
 def _nearest_cells(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
@@ -216,12 +212,11 @@ class InvertedFile:
         """Writes the index of vectors (vec_id, embedding) to path, in place of one that lies there."""
         spark, path = vectors.sparkSession, path.rstrip("/")
         fine = usable(vectors, "vec_id")
-        sample = fine.orderBy(F.xxhash64(F.lit(seed), "embedding")).limit(sample_rows).select("embedding", "width").toArrow()
-        widths = sample.column("width").to_numpy()
-        width = int(np.bincount(widths).argmax()) if len(widths) else 1
-        mine = sample.filter(pa.compute.equal(sample.column("width"), width))
-        x = _unit(_matrix(mine.column("embedding"), width)) if mine.num_rows else np.zeros((0, width))
-        centres = fitted_centres(x, n_cells, seed) if len(x) >= n_cells else np.zeros((1, width))
+        sample = fine.orderBy(F.xxhash64(F.lit(seed), "vec_id")).limit(sample_rows).cache()
+        widths = sample.groupBy("width").count().orderBy(F.desc("count"), "width").head(1)
+        width = widths[0]["width"] if widths else 1
+        centres = fitted_centres(sample.where(F.col("width") == width), n_cells, seed) if widths and widths[0]["count"] >= n_cells else np.zeros((1, width))
+        sample.unpersist()
         placed = with_cells(vectors, "vec_id", centres, 1).select("vec_id", "embedding", F.col("cells")[0].alias("cell"))
         # a cell of more than a block of rows is written by several tasks
         files = 1 + vectors.count() // len(centres) // BLOCK_ROWS
