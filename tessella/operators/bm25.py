@@ -5,8 +5,11 @@ query's terms, which bounds what any chunk of a segment can score, and reads the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,6 +40,8 @@ FIRST_SEGMENTS = 4
 #: bounds that hardly any segment misses. Other batches are summed in full, with the same result.
 PRUNED_POSTINGS = 20_000_000
 PRUNED_TERMS = 8
+#: A task puts whole segments of about so many terms into blocks at once.
+TASK_TERMS = 1_000_000
 #: What rounding to six digits may add to a score.
 ROUNDING = 1e-6
 
@@ -86,26 +91,70 @@ def _segment(n_segments: int) -> Column:
     return F.pmod(F.xxhash64(F.substring_index("chunk_id", "_chunk_", 1), group), F.lit(n_segments)).cast("long")
 
 
-def counted(chunks: DataFrame) -> DataFrame:
-    """chunk_id, counts (term, tf), dl of chunks (chunk_id, text); terms are counted in their row. A null text is empty."""
-    listed = chunks.select("chunk_id", terms(F.coalesce("text", F.lit(""))).alias("terms"))
-    return listed.select("chunk_id", counted_terms(F.col("terms")).alias("counts"), F.size("terms").alias("dl"))
-
-
-def totals_of(listed: DataFrame) -> DataFrame:
-    return listed.agg(F.count(F.lit(1)).alias("n_chunks"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("n_terms"))
-
-
-def blocks_of(listed: DataFrame, n_chunks: int) -> DataFrame:
-    """Blocks of what counted() gives; rows are shuffled once, by segment."""
-    placed = listed.withColumn("segment", _segment(-(-max(1, n_chunks) // SEGMENT_CHUNKS)))
-    each = placed.repartition("segment").select("segment", "chunk_id", "dl", F.explode("counts").alias("c"))
-    rows = each.select("segment", F.col("c.term").alias("term"), F.struct("chunk_id", F.col("c.tf").alias("tf"), "dl").alias("p"))
-    return rows.groupBy("segment", "term").agg(F.count(F.lit(1)).alias("n"), F.max("p.tf").alias("most_tf"), F.min("p.dl").alias("least_dl"), F.collect_list("p").alias("postings"))
-
-
-def lengths_of(listed: DataFrame, n_chunks: int) -> DataFrame:
-    return listed.select("chunk_id", _segment(-(-max(1, n_chunks) // SEGMENT_CHUNKS)).alias("segment"), "dl")
+def listed(chunks: DataFrame) -> DataFrame:
+    """chunk_id, terms, dl of chunks (chunk_id, text): the terms in the order of the text. A null text is empty."""
+    found = chunks.select("chunk_id", terms(F.coalesce("text", F.lit(""))).alias("terms"))
+    return found.select("chunk_id", "terms", F.size("terms").alias("dl"))
+
+
+def totals_of(rows: DataFrame) -> DataFrame:
+    return rows.agg(F.count(F.lit(1)).alias("n_chunks"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("n_terms"))
+
+
+def _blocks(segment: np.ndarray, chunk_id: pa.Array, dl: np.ndarray, words: pa.ListArray) -> pa.RecordBatch:
+    """The blocks of whole segments; rows are in the order of their segments."""
+    coded = words.flatten().dictionary_encode()
+    many = max(1, len(coded.dictionary))
+    row = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy())
+    met, tf = np.unique(row * many + coded.indices.to_numpy().astype(np.int64), return_counts=True)
+    row, code = met // many, met % many
+    place = np.cumsum(np.r_[0, segment[1:] != segment[:-1]])[row] * many + code
+    order = np.argsort(place, kind="stable")
+    place, row, code, tf = place[order], row[order], code[order], tf[order].astype(np.int32)
+    starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    lengths = dl[row].astype(np.int32)
+    postings = pa.StructArray.from_arrays([chunk_id.take(pa.array(row)), pa.array(tf), pa.array(lengths)], ["chunk_id", "tf", "dl"])
+    ends = np.r_[starts, len(row)]
+    columns = {
+        "segment": pa.array(segment[row[starts]]), "term": coded.dictionary.take(pa.array(code[starts])), "n": pa.array(np.diff(ends)),
+        "most_tf": pa.array(np.maximum.reduceat(tf, starts)), "least_dl": pa.array(np.minimum.reduceat(lengths, starts)),
+        "postings": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), postings),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def blocks_of(rows: DataFrame, n_chunks: int) -> DataFrame:
+    """Blocks of what listed() gives: rows are shuffled once, by segment, and each task counts the terms of a few segments at a time."""
+    kind = rows.schema["chunk_id"].dataType.simpleString()
+    used = rows.where("dl > 0").select(_segment(-(-max(1, n_chunks) // SEGMENT_CHUNKS)).alias("segment"), "chunk_id", "dl", "terms")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
+
+        def made(table: pa.Table) -> pa.RecordBatch:
+            one = table.combine_chunks().to_batches()[0]
+            return _blocks(one.column("segment").to_numpy(), one.column("chunk_id"), one.column("dl").to_numpy(), one.column("terms"))
+
+        for batch in batches:
+            held.append(batch)
+            many += len(batch.column("terms").flatten())
+            if many >= TASK_TERMS:
+                table = pa.Table.from_batches(held)
+                segment = table.column("segment").to_numpy()
+                whole = int(segment.searchsorted(segment[-1]))  # the last segment may go on
+                if whole:
+                    yield made(table.slice(0, whole))
+                    held = table.slice(whole).to_batches()
+                    many = sum(len(b.column("terms").flatten()) for b in held)
+        if held and (table := pa.Table.from_batches(held)).num_rows:
+            yield made(table)
+
+    schema = f"segment long, term string, n long, most_tf int, least_dl int, postings array<struct<chunk_id:{kind},tf:int,dl:int>>"
+    return used.repartition("segment").sortWithinPartitions("segment").mapInArrow(run, schema)
+
+
+def lengths_of(rows: DataFrame, n_chunks: int) -> DataFrame:
+    return rows.select("chunk_id", _segment(-(-max(1, n_chunks) // SEGMENT_CHUNKS)).alias("segment"), "dl")
 
 
 def stats_of(df: DataFrame, n_chunks: int) -> DataFrame:
@@ -117,18 +166,18 @@ def stats_of(df: DataFrame, n_chunks: int) -> DataFrame:
 
 def index(chunks: DataFrame, save=lambda df, name: df) -> Bm25Index:
     """The index of chunks (chunk_id, text). save(df, name) may write a table that is read often and return it."""
-    listed = save(counted(chunks), "counts")
-    totals = save(totals_of(listed), "totals")
+    rows = save(listed(chunks), "terms")
+    totals = save(totals_of(rows), "totals")
     n_chunks = totals.head()["n_chunks"]
-    blocks = save(blocks_of(listed, n_chunks), "blocks")
+    blocks = save(blocks_of(rows, n_chunks), "blocks")
     stats = save(stats_of(blocks.groupBy("term").agg(F.sum("n").alias("df")), n_chunks), "stats")
-    return Bm25Index(blocks, lengths_of(listed, n_chunks), stats, totals)
+    return Bm25Index(blocks, lengths_of(rows, n_chunks), stats, totals)
 
 
 def weighed(idx: Bm25Index, queries: DataFrame) -> DataFrame:
-    """query_id, term, weight of the terms of queries (query_id, query). A repeated term counts again."""
+    """query_id, term, df, weight of the terms of queries (query_id, query). A repeated term counts again."""
     wanted = queries.select("query_id", F.explode(counted_terms(terms(F.col("query")))).alias("c")).groupBy("query_id", F.col("c.term").alias("term")).agg(F.sum("c.tf").alias("qtf"))
-    return wanted.join(idx.stats, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+    return wanted.join(idx.stats, "term").select("query_id", "term", "df", (F.col("qtf") * F.col("idf")).alias("weight"))
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -145,7 +194,11 @@ def _summed(hits: DataFrame, average: float) -> DataFrame:
 
 def scores(idx: Bm25Index, queries: DataFrame) -> DataFrame:
     """query_id, chunk_id, score for all chunks that share a term with a query (query_id, query): the full sum."""
-    return _summed(idx.blocks.select("term", "postings").join(_few(weighed(idx, queries)), "term"), idx.average())
+    return _all_scores(idx, weighed(idx, queries))
+
+
+def _all_scores(idx: Bm25Index, asked: DataFrame) -> DataFrame:
+    return _summed(idx.blocks.select("term", "postings").join(_few(asked), "term"), idx.average())
 
 
 def bounds(idx: Bm25Index, asked: DataFrame) -> DataFrame:
@@ -156,10 +209,11 @@ def bounds(idx: Bm25Index, asked: DataFrame) -> DataFrame:
 
 def likely_scores(idx: Bm25Index, queries: DataFrame, k: int) -> DataFrame:
     """Scores among which each query's k best are: by block maxima where that saves reading, else in full."""
-    met = weighed(idx, queries).join(idx.stats.select("term", "df"), "term")
-    size = met.agg(F.sum("df").alias("postings"), (F.count(F.lit(1)) / F.count_distinct("query_id")).alias("terms")).head()
+    save = Scratch(queries.sparkSession, "bm25").save
+    asked = save(weighed(idx, queries), "asked")
+    size = asked.agg(F.sum("df").alias("postings"), (F.count(F.lit(1)) / F.count_distinct("query_id")).alias("terms")).head()
     pruned = (size["postings"] or 0) > PRUNED_POSTINGS and size["terms"] <= PRUNED_TERMS
-    return best_scores(idx, queries, k)[0] if pruned else scores(idx, queries)
+    return _by_maxima(idx, asked, k, save)[0] if pruned else _all_scores(idx, asked)
 
 
 def best_scores(idx: Bm25Index, queries: DataFrame, k: int, save=None) -> tuple[DataFrame, DataFrame]:
@@ -168,7 +222,11 @@ def best_scores(idx: Bm25Index, queries: DataFrame, k: int, save=None) -> tuple[
     A query's few segments with the highest bounds are summed first; then only those whose bound reaches the k-th score found. save writes a
     table that is read often; without it, one is written to the shared folder."""
     save = save or Scratch(queries.sparkSession, "bm25").save
-    asked = _few(save(weighed(idx, queries), "asked"))
+    return _by_maxima(idx, save(weighed(idx, queries), "asked"), k, save)
+
+
+def _by_maxima(idx: Bm25Index, asked: DataFrame, k: int, save) -> tuple[DataFrame, DataFrame]:
+    asked = _few(asked)
     average = idx.average()
     limits = save(bounds(idx, asked).withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound"), "segment"))), "bounds")
 

@@ -36,12 +36,12 @@ def add_batch(chunks: DataFrame, path: str, batch: int) -> None:
         return spark.read.schema(df.schema).parquet(at)
 
     kept = saved(chunks, "chunks")
-    listed = saved(bm25.counted(kept.select("chunk_id", "text")), "counts")
-    n_chunks = saved(bm25.totals_of(listed), "totals").head()["n_chunks"]
-    blocks = saved(bm25.blocks_of(listed, n_chunks), "blocks")
-    saved(bm25.lengths_of(listed, n_chunks), "lengths")
+    rows = saved(bm25.listed(kept.select("chunk_id", "text")), "terms")
+    n_chunks = saved(bm25.totals_of(rows), "totals").head()["n_chunks"]
+    blocks = saved(bm25.blocks_of(rows, n_chunks), "blocks")
+    saved(bm25.lengths_of(rows, n_chunks), "lengths")
     saved(blocks.groupBy("term").agg(F.sum("n").alias("df")), "df")
-    delete(spark, f"{path}/counts/batch={batch}")
+    delete(spark, f"{path}/terms/batch={batch}")
 
 
 def index_stream(spark: SparkSession, folder: str, schema: StructType, path: str, checkpoint: str, size: int = 512, overlap: int = 64, files_at_once: int = 1_000):
