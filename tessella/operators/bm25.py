@@ -186,10 +186,10 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def _summed(hits: DataFrame, average: float) -> DataFrame:
-    """Scores of chunks from (query_id, weight, postings); summed where the postings are before they are shuffled."""
-    each = hits.select("query_id", "weight", F.explode("postings").alias("p"))
+    """Scores of chunks from (segment, query_id, weight, postings); a chunk lies in one segment."""
+    each = hits.select("segment", "query_id", "weight", F.explode("postings").alias("p"))
     added = F.col("weight") * part(F.col("p.tf"), F.col("p.dl"), average)
-    return each.groupBy("query_id", F.col("p.chunk_id").alias("chunk_id")).agg(F.sum(added).alias("score"))
+    return each.groupBy("segment", "query_id", F.col("p.chunk_id").alias("chunk_id")).agg(F.sum(added).alias("score")).drop("segment")
 
 
 def scores(idx: Bm25Index, queries: DataFrame) -> DataFrame:
@@ -198,7 +198,10 @@ def scores(idx: Bm25Index, queries: DataFrame) -> DataFrame:
 
 
 def _all_scores(idx: Bm25Index, asked: DataFrame) -> DataFrame:
-    return _summed(idx.blocks.select("term", "postings").join(_few(asked), "term"), idx.average())
+    """Blocks of the terms asked for are shuffled by segment before they meet the queries, so that sums stay in their task, however many queries share a term."""
+    asked = _few(asked)
+    met = idx.blocks.select("segment", "term", "postings").join(_few(asked.select("term").distinct()), "term", "left_semi").repartition("segment")
+    return _summed(met.join(asked, "term"), idx.average())
 
 
 def bounds(idx: Bm25Index, asked: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def index_stream(spark: SparkSession, folder: str, schema: StructType, path: str
 
 
 def open_index(spark: SparkSession, path: str, save=lambda df, name: df) -> bm25.Bm25Index:
-    """The index of all batches there are. Blocks stand as they were written; only df and totals are summed."""
+    """The index of all batches there are. Blocks stand as they were written; only df and totals are summed. A chunk id that came in two batches stands for two chunks."""
     read = lambda name: spark.read.parquet(f"{path}/{name}")
     own = lambda df: df.withColumn("segment", F.col("batch").cast("long") * (1 << 32) + F.col("segment")).drop("batch")  # noqa: E731  segments are numbered within a batch
     totals = save(read("totals").agg(F.sum("n_chunks").alias("n_chunks"), F.sum("n_terms").alias("n_terms")), "totals")
