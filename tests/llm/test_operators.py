@@ -449,13 +449,16 @@ def test_class_lm(spark, sf):
     assert class_lm.scored(docs.limit(0), params).count() == 0
 
 
-def test_every_known_word_is_clustered(spark, sf):
+@pytest.mark.parametrize("most_words", [class_lm.ClassParams().most_words, 2_000])
+def test_every_known_word_is_clustered(spark, sf, most_words):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(900_001, None), (900_002, "")], "doc_id long, text string"))
     words = [(r.text or "").encode().lower().split() for r in docs.where(~class_lm.held_out()).collect()]
     counts = Counter(w for t in words for w in t)
-    params = class_lm.ClassParams(exchange_classes=8, form_classes=4, iterations=2, head_words=100)
+    params = class_lm.ClassParams(exchange_classes=8, form_classes=4, iterations=2, head_words=100, most_words=most_words)
     model, rare = class_lm.trained(docs.where(~class_lm.held_out()), Scratch(spark, "t"), params)
     found = dict(zip(model.kept_hashes.tolist(), zip(model.classes.tolist(), model.kept_counts.tolist(), strict=True), strict=True)) | {r.h: (r["class"], r.n) for r in rare.collect()}
+    words_in_all = sum(counts.values())
+    assert 20 < len(model.kept_hashes) <= most_words and len(model.kept_hashes) == sum(n >= max(5, words_in_all / most_words) for n in counts.values())
     hashed = lambda w: int(texts.signed_hashes(pa.array([w], pa.binary()))[0])
     form = lambda w: int(class_lm._forms(pa.array([w], pa.binary()), params)[0])
     first_form, width = model.params.exchange_classes, model.params.end_class + 1
