@@ -10,6 +10,7 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,8 +41,8 @@ FIRST_SEGMENTS = 4
 #: bounds that hardly any segment misses. Other batches are summed in full, with the same result.
 PRUNED_POSTINGS = 20_000_000
 PRUNED_TERMS = 8
-#: A task puts whole segments of about so many terms into blocks at once.
-TASK_TERMS = 1_000_000
+#: A task puts whole segments of about so many bytes of text into blocks at once.
+TASK_BYTES = 8 << 20
 #: What rounding to six digits may add to a score.
 ROUNDING = 1e-6
 
@@ -91,70 +92,91 @@ def _segment(n_segments: int) -> Column:
     return F.pmod(F.xxhash64(F.substring_index("chunk_id", "_chunk_", 1), group), F.lit(n_segments)).cast("long")
 
 
-def listed(chunks: DataFrame) -> DataFrame:
-    """chunk_id, terms, dl of chunks (chunk_id, text): the terms in the order of the text. A null text is empty."""
-    found = chunks.select("chunk_id", terms(F.coalesce("text", F.lit(""))).alias("terms"))
-    return found.select("chunk_id", "terms", F.size("terms").alias("dl"))
+def _coded_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """What terms() finds in texts in lower case, for a whole batch: the row and the code of each term, and the distinct terms by code."""
+    words = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, r"[^\p{L}\p{N}_]+", " "))
+    coded = words.flatten().dictionary_encode()
+    is_term = pc.and_not(pc.greater(pc.utf8_length(coded.dictionary), 2), pc.is_in(coded.dictionary, pa.array(STOPWORDS)))
+    codes = coded.indices.to_numpy().astype(np.int64)
+    kept = is_term.to_numpy(zero_copy_only=False).astype(bool)[codes]
+    return np.repeat(np.arange(len(words)), words.value_lengths().to_numpy())[kept], codes[kept], coded.dictionary
 
 
-def totals_of(rows: DataFrame) -> DataFrame:
-    return rows.agg(F.count(F.lit(1)).alias("n_chunks"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("n_terms"))
+def _rows(segment: np.ndarray, term: pa.Array, n_terms: pa.Array, starts: np.ndarray, chunk_id: pa.Array, tf: np.ndarray, dl: np.ndarray) -> pa.RecordBatch:
+    """One row for each run of postings that begins at one of starts."""
+    postings = pa.StructArray.from_arrays([chunk_id, pa.array(tf, pa.int32()), pa.array(dl, pa.int32())], ["chunk_id", "tf", "dl"])
+    ends = np.r_[starts, len(tf)]
+    columns = {
+        "segment": pa.array(segment), "term": term, "n": pa.array(np.diff(ends), pa.int64()),
+        "most_tf": pa.array(np.maximum.reduceat(tf, starts), pa.int32()), "least_dl": pa.array(np.minimum.reduceat(dl, starts), pa.int32()),
+        "n_terms": n_terms, "postings": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), postings),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-def _blocks(segment: np.ndarray, chunk_id: pa.Array, dl: np.ndarray, words: pa.ListArray) -> pa.RecordBatch:
-    """The blocks of whole segments; rows are in the order of their segments."""
-    coded = words.flatten().dictionary_encode()
-    many = max(1, len(coded.dictionary))
-    row = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy())
-    met, tf = np.unique(row * many + coded.indices.to_numpy().astype(np.int64), return_counts=True)
+def _blocks(segment: np.ndarray, chunk_id: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The rows of segmented() for whole segments; rows are in the order of their segments."""
+    row, code, words = _coded_terms(texts)
+    dl = np.bincount(row, minlength=len(texts))
+    starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+    yield _rows(segment[starts], pa.nulls(len(starts), pa.string()), pa.array(np.add.reduceat(dl, starts), pa.int64()), starts, chunk_id, np.zeros(len(dl), np.int64), dl)
+    if not len(row):
+        return
+    many = len(words)
+    met, tf = np.unique(row * many + code, return_counts=True)
     row, code = met // many, met % many
     place = np.cumsum(np.r_[0, segment[1:] != segment[:-1]])[row] * many + code
     order = np.argsort(place, kind="stable")
-    place, row, code, tf = place[order], row[order], code[order], tf[order].astype(np.int32)
+    place, row, code, tf = place[order], row[order], code[order], tf[order]
     starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    lengths = dl[row].astype(np.int32)
-    postings = pa.StructArray.from_arrays([chunk_id.take(pa.array(row)), pa.array(tf), pa.array(lengths)], ["chunk_id", "tf", "dl"])
-    ends = np.r_[starts, len(row)]
-    columns = {
-        "segment": pa.array(segment[row[starts]]), "term": coded.dictionary.take(pa.array(code[starts])), "n": pa.array(np.diff(ends)),
-        "most_tf": pa.array(np.maximum.reduceat(tf, starts)), "least_dl": pa.array(np.minimum.reduceat(lengths, starts)),
-        "postings": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), postings),
-    }
-    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+    yield _rows(segment[row[starts]], words.take(pa.array(code[starts])), pa.nulls(len(starts), pa.int64()), starts, chunk_id.take(pa.array(row)), tf, dl[row])
+
 
+def segmented(chunks: DataFrame, n_chunks: int) -> DataFrame:
+    """The blocks of chunks (chunk_id, text), and for each segment a row without a term: all its chunks with their lengths, and n_terms, the sum of these.
 
-def blocks_of(rows: DataFrame, n_chunks: int) -> DataFrame:
-    """Blocks of what listed() gives: rows are shuffled once, by segment, and each task counts the terms of a few segments at a time."""
-    kind = rows.schema["chunk_id"].dataType.simpleString()
-    used = rows.where("dl > 0").select(_segment(-(-max(1, n_chunks) // SEGMENT_CHUNKS)).alias("segment"), "chunk_id", "dl", "terms")
+    Texts, which are smaller than lists of their terms, are shuffled once, by segment; tasks find the terms of a few segments at a time. A null
+    text is empty."""
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    used = chunks.select(_segment(-(-max(1, n_chunks) // SEGMENT_CHUNKS)).alias("segment"), "chunk_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, many = [], 0
+        held, size = [], 0
 
-        def made(table: pa.Table) -> pa.RecordBatch:
+        def made(table: pa.Table) -> Iterator[pa.RecordBatch]:
             one = table.combine_chunks().to_batches()[0]
-            return _blocks(one.column("segment").to_numpy(), one.column("chunk_id"), one.column("dl").to_numpy(), one.column("terms"))
+            return _blocks(one.column("segment").to_numpy(), one.column("chunk_id"), one.column("text"))
 
         for batch in batches:
             held.append(batch)
-            many += len(batch.column("terms").flatten())
-            if many >= TASK_TERMS:
+            size += batch.nbytes
+            if size >= TASK_BYTES:
                 table = pa.Table.from_batches(held)
                 segment = table.column("segment").to_numpy()
                 whole = int(segment.searchsorted(segment[-1]))  # the last segment may go on
                 if whole:
-                    yield made(table.slice(0, whole))
-                    held = table.slice(whole).to_batches()
-                    many = sum(len(b.column("terms").flatten()) for b in held)
+                    yield from made(table.slice(0, whole))
+                    held = table.slice(whole).combine_chunks().to_batches()
+                    size = sum(b.nbytes for b in held)
         if held and (table := pa.Table.from_batches(held)).num_rows:
-            yield made(table)
+            yield from made(table)
 
-    schema = f"segment long, term string, n long, most_tf int, least_dl int, postings array<struct<chunk_id:{kind},tf:int,dl:int>>"
+    schema = f"segment long, term string, n long, most_tf int, least_dl int, n_terms long, postings array<struct<chunk_id:{kind},tf:int,dl:int>>"
     return used.repartition("segment").sortWithinPartitions("segment").mapInArrow(run, schema)
 
 
-def lengths_of(rows: DataFrame, n_chunks: int) -> DataFrame:
-    return rows.select("chunk_id", _segment(-(-max(1, n_chunks) // SEGMENT_CHUNKS)).alias("segment"), "dl")
+def blocks_of(made: DataFrame) -> DataFrame:
+    return made.where("term is not null").drop("n_terms")
+
+
+def lengths_of(made: DataFrame) -> DataFrame:
+    return made.where("term is null").select("segment", F.explode("postings").alias("p")).select("p.chunk_id", "segment", "p.dl")
+
+
+def totals_of(made: DataFrame) -> DataFrame:
+    """n_chunks and n_terms, without reading postings."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return made.where("term is null").agg(total("n").alias("n_chunks"), total("n_terms").alias("n_terms"))
 
 
 def stats_of(df: DataFrame, n_chunks: int) -> DataFrame:
@@ -165,13 +187,11 @@ def stats_of(df: DataFrame, n_chunks: int) -> DataFrame:
 
 
 def index(chunks: DataFrame, save=lambda df, name: df) -> Bm25Index:
-    """The index of chunks (chunk_id, text). save(df, name) may write a table that is read often and return it."""
-    rows = save(listed(chunks), "terms")
-    totals = save(totals_of(rows), "totals")
-    n_chunks = totals.head()["n_chunks"]
-    blocks = save(blocks_of(rows, n_chunks), "blocks")
-    stats = save(stats_of(blocks.groupBy("term").agg(F.sum("n").alias("df")), n_chunks), "stats")
-    return Bm25Index(blocks, lengths_of(rows, n_chunks), stats, totals)
+    """The index of chunks (chunk_id, text), which are read twice: they are counted first. save(df, name) may write a table that is read often and return it."""
+    n_chunks = chunks.count()
+    made = save(segmented(chunks, n_chunks), "segments")
+    stats = save(stats_of(blocks_of(made).groupBy("term").agg(F.sum("n").alias("df")), n_chunks), "stats")
+    return Bm25Index(blocks_of(made), lengths_of(made), stats, save(totals_of(made), "totals"))
 
 
 def weighed(idx: Bm25Index, queries: DataFrame) -> DataFrame:

@@ -221,7 +221,7 @@ def tokenise(spark, tables):
 
 @query(f"""WITH {o.CHUNKS}, {o.TERM_COUNTS} SELECT term, df, round(CASE WHEN r < 0 THEN 25e-2 * (SELECT avg(r) FROM raw) ELSE r END, 9) AS idf FROM raw""")
 def bm25_term_stats(spark, tables):
-    return bm25.index(_chunks(tables).select("chunk_id", "text"), save=Scratch(spark, "catalog").save).stats.select("term", "df", F.round("idf", 9).alias("idf"))
+    return _saved(spark, tables)[1].stats.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 @query(f"WITH {o.CHUNKS}, {o.bm25(K)} SELECT query_id, chunk_id, score, rank, round(norm_score, 6) AS norm_score FROM bm")

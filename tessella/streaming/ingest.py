@@ -9,7 +9,6 @@ from pyspark.sql.types import StructType
 from tessella.functions.text import preprocess
 from tessella.operators import bm25
 from tessella.operators.chunking import chunked
-from tessella.plans.scratch import delete
 
 
 def stream_chunks(spark: SparkSession, folder: str, schema: StructType, size: int = 512, overlap: int = 64) -> DataFrame:
@@ -24,7 +23,7 @@ def write_chunks(chunks: DataFrame, path: str, checkpoint: str):
 
 
 def add_batch(chunks: DataFrame, path: str, batch: int) -> None:
-    """Adds chunks (chunk_id, text, ...) to an index: their postings in blocks of their own, the df of their terms, their lengths and totals.
+    """Adds chunks (chunk_id, text, ...) to an index: their postings and lengths in segments of their own, the df of their terms, their totals.
 
     Each table has a folder for each batch, which is replaced if the batch comes again: after a failure it counts once. What the
     index holds already is neither read nor written."""
@@ -36,12 +35,9 @@ def add_batch(chunks: DataFrame, path: str, batch: int) -> None:
         return spark.read.schema(df.schema).parquet(at)
 
     kept = saved(chunks, "chunks")
-    rows = saved(bm25.listed(kept.select("chunk_id", "text")), "terms")
-    n_chunks = saved(bm25.totals_of(rows), "totals").head()["n_chunks"]
-    blocks = saved(bm25.blocks_of(rows, n_chunks), "blocks")
-    saved(bm25.lengths_of(rows, n_chunks), "lengths")
-    saved(blocks.groupBy("term").agg(F.sum("n").alias("df")), "df")
-    delete(spark, f"{path}/terms/batch={batch}")
+    made = saved(bm25.segmented(kept.select("chunk_id", "text"), kept.count()), "segments")
+    saved(bm25.totals_of(made), "totals")
+    saved(bm25.blocks_of(made).groupBy("term").agg(F.sum("n").alias("df")), "df")
 
 
 def index_stream(spark: SparkSession, folder: str, schema: StructType, path: str, checkpoint: str, size: int = 512, overlap: int = 64, files_at_once: int = 1_000):
@@ -52,9 +48,10 @@ def index_stream(spark: SparkSession, folder: str, schema: StructType, path: str
 
 
 def open_index(spark: SparkSession, path: str, save=lambda df, name: df) -> bm25.Bm25Index:
-    """The index of all batches there are. Blocks stand as they were written; only df and totals are summed. A chunk id that came in two batches stands for two chunks."""
+    """The index of all batches there are. Segments stand as they were written; only df and totals are summed. A chunk id that came in two batches stands for two chunks."""
     read = lambda name: spark.read.parquet(f"{path}/{name}")
-    own = lambda df: df.withColumn("segment", F.col("batch").cast("long") * (1 << 32) + F.col("segment")).drop("batch")  # noqa: E731  segments are numbered within a batch
+    # segments are numbered within a batch
+    made = read("segments").withColumn("segment", F.col("batch").cast("long") * (1 << 32) + F.col("segment")).drop("batch")
     totals = save(read("totals").agg(F.sum("n_chunks").alias("n_chunks"), F.sum("n_terms").alias("n_terms")), "totals")
     df = read("df").groupBy("term").agg(F.sum("df").alias("df"))
-    return bm25.Bm25Index(own(read("blocks")), own(read("lengths")), save(bm25.stats_of(df, totals.head()["n_chunks"]), "stats"), totals)
+    return bm25.Bm25Index(bm25.blocks_of(made), bm25.lengths_of(made), save(bm25.stats_of(df, totals.head()["n_chunks"]), "stats"), totals)

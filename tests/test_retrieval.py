@@ -197,6 +197,26 @@ def test_bm25_parts_equal_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, bm25.search(idx, queries, 6).collect())) == want
 
 
+def test_segments_hold_the_terms_and_lengths_of_every_chunk(spark, monkeypatch):
+    """Terms are found in Arrow tasks as the column function finds them, however few bytes a task puts into blocks at once."""
+    texts = ["The ÉTÉ of été ÉTÉ", "snake_case x1y2 ½½½ ٣٤٥ and\u00a0und", "naïve—naïve a\u0301b\u0301c zz Ωμέγα", "", None, "the of", "漢字仮名 漢字仮名 ab", "straße STRASSE", "one.two...three"] * 30
+    chunks = spark.createDataFrame([(f"d{i // 7}_chunk_{i % 7}", t) for i, t in enumerate(texts)], "chunk_id string, text string")
+    want = {r.chunk_id: Counter(r.t) for r in chunks.select("chunk_id", bm25.terms(F.coalesce("text", F.lit(""))).alias("t")).collect()}
+    for size in (bm25.TASK_BYTES, 1):
+        monkeypatch.setattr(bm25, "TASK_BYTES", size)
+        idx = bm25.index(chunks, save=Scratch(spark, "test").save)
+        got = {chunk: Counter() for chunk in want}
+        for r in idx.blocks.collect():
+            assert r.n == len(r.postings) and r.most_tf == max(p.tf for p in r.postings) and r.least_dl == min(p.dl for p in r.postings)
+            for p in r.postings:
+                assert r.term not in got[p.chunk_id] and p.dl == want[p.chunk_id].total()
+                got[p.chunk_id][r.term] = p.tf
+        assert got == want
+        assert {r.chunk_id: r.dl for r in idx.lengths.collect()} == {c: w.total() for c, w in want.items()}
+        assert tuple(idx.totals.head()) == (len(texts), sum(w.total() for w in want.values()))
+    assert tuple(bm25.index(chunks.limit(0)).totals.head()) == (0, 0) and not bm25.index(chunks.limit(0)).stats.count()
+
+
 @pytest.mark.parametrize("block", [5_000, 40])
 def test_keywords_equal_a_plain_loop(spark, monkeypatch, block):
     """1,200 queries: one automaton, or blocks of both sides, and never a pair of every query with every chunk."""
