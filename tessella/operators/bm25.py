@@ -43,6 +43,8 @@ PRUNED_POSTINGS = 20_000_000
 PRUNED_TERMS = 8
 #: A task puts whole segments of about so many bytes of text into blocks at once.
 TASK_BYTES = 8 << 20
+#: A batch of queries of at most so many terms, and with at most a hundred times as many best scores, is sent to the tasks that sum (some MB).
+TERMS_IN_TASKS = 50_000
 #: What rounding to six digits may add to a score.
 ROUNDING = 1e-6
 
@@ -71,7 +73,7 @@ class Bm25Index:
 TABLES = tuple(f.name for f in fields(Bm25Index))
 
 
-def part(tf: Column, dl: Column, average: float) -> Column:
+def part(tf: Column | np.ndarray, dl: Column | np.ndarray, average: float) -> Column | np.ndarray:
     """What a posting adds to a score for each unit of idf: it rises with tf and falls with dl."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / (average or 1.0)))
 
@@ -234,9 +236,64 @@ def likely_scores(idx: Bm25Index, queries: DataFrame, k: int) -> DataFrame:
     """Scores among which each query's k best are: by block maxima where that saves reading, else in full."""
     save = Scratch(queries.sparkSession, "bm25").save
     asked = save(weighed(idx, queries), "asked")
-    size = asked.agg(F.sum("df").alias("postings"), (F.count(F.lit(1)) / F.count_distinct("query_id")).alias("terms")).head()
-    pruned = (size["postings"] or 0) > PRUNED_POSTINGS and size["terms"] <= PRUNED_TERMS
-    return _by_maxima(idx, asked, k, save)[0] if pruned else _all_scores(idx, asked)
+    size = asked.agg(F.sum("df").alias("postings"), F.count(F.lit(1)).alias("rows"), F.count_distinct("query_id").alias("queries")).head()
+    if (size["postings"] or 0) > PRUNED_POSTINGS and size["rows"] <= PRUNED_TERMS * size["queries"]:
+        return _by_maxima(idx, asked, k, save)[0]
+    if 0 < size["rows"] <= TERMS_IN_TASKS and size["queries"] * k <= 100 * TERMS_IN_TASKS:
+        return _best_in_tasks(idx, asked, k)
+    return _all_scores(idx, asked)
+
+
+def _best_in_tasks(idx: Bm25Index, asked: DataFrame, k: int) -> DataFrame:
+    """Scores among which each query's k best are: a task sums segment after segment and writes what reaches the k-th score that it has met.
+
+    asked has at most TERMS_IN_TASKS rows and is sent to all tasks; blocks of its terms are shuffled by segment, as for the full sums."""
+    kinds = {"query_id": asked.schema["query_id"].dataType.simpleString(), "chunk_id": idx.lengths.schema["chunk_id"].dataType.simpleString()}
+    rows = asked.select("query_id", "term", "weight").toArrow()
+    coded = [rows.column(c).combine_chunks().dictionary_encode(null_encoding="encode") for c in ("query_id", "term")]
+    query, code = (c.indices.to_numpy().astype(np.int64) for c in coded)
+    order = np.argsort(code, kind="stable")
+    starts = np.searchsorted(code[order], np.arange(len(coded[1].dictionary) + 1))
+    sent = asked.sparkSession.sparkContext.broadcast((coded[0].dictionary, coded[1].dictionary, starts, query[order], rows.column("weight").to_numpy()[order]))
+    average = idx.average()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, words, starts, query, weight = sent.value
+        best = np.full((len(ids), k), -np.inf)
+
+        def summed(block: pa.RecordBatch) -> pa.RecordBatch:
+            """The hits of one segment's blocks."""
+            nonlocal best
+            postings, count = block.column("postings").flatten(), block.column("postings").value_lengths().to_numpy()
+            tf, dl = (postings.field(c).to_numpy().astype(float) for c in ("tf", "dl"))
+            chunks = postings.field("chunk_id").dictionary_encode(null_encoding="encode")
+            n = len(chunks.dictionary)
+            term = np.repeat(pc.index_in(block.column("term"), words).to_numpy(), count)
+            # every posting meets the queries that ask for its term
+            many = starts[term + 1] - starts[term]
+            pair = np.arange(many.sum()) + np.repeat(starts[term] - np.r_[0, np.cumsum(many)[:-1]], many)
+            place = query[pair] * n + np.repeat(chunks.indices.to_numpy(), many)
+            score = np.bincount(place, weight[pair] * np.repeat(part(tf, dl, average), many), len(ids) * n).reshape(-1, n)
+            score[np.bincount(place, minlength=len(ids) * n).reshape(-1, n) == 0] = -np.inf
+            best = np.partition(np.hstack([best, score]), -k, axis=1)[:, -k:]
+            q, c = np.nonzero((score > -np.inf) & (score >= best[:, :1] - 2 * ROUNDING))
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(q)), chunks.dictionary.take(pa.array(c)), pa.array(score[q, c])], ["query_id", "chunk_id", "score"])
+
+        held = []
+        for batch in batches:
+            table = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()
+            if not table:
+                continue
+            segment = table[0].column("segment").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(segment)) + 1).tolist()]
+            yield from (summed(table[0].slice(a, b - a)) for a, b in zip(cuts, cuts[1:], strict=False))
+            held = [table[0].slice(cuts[-1])]  # the last segment may go on
+        yield from map(summed, held)
+
+    wanted = _few(asked.select("term").distinct())
+    met = idx.blocks.select("segment", "term", "postings").join(wanted, "term", "left_semi").select("segment", "term", "postings")
+    schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double"
+    return met.repartition("segment").sortWithinPartitions("segment").mapInArrow(run, schema)
 
 
 def best_scores(idx: Bm25Index, queries: DataFrame, k: int, save=None) -> tuple[DataFrame, DataFrame]:

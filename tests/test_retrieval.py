@@ -191,6 +191,10 @@ def test_bm25_parts_equal_broadcast(spark, monkeypatch):
     chunks, queries = bm25_rows(spark)
     idx = bm25.index(chunks)
     want = sorted(map(tuple, bm25.search(idx, queries, 6).collect()))
+    plain = plain_bm25(chunks.dropDuplicates(["chunk_id"]), queries)
+    assert len(want) == sum(min(6, sum(q == i for i, _ in plain)) for q in {i for i, _ in plain})
+    monkeypatch.setattr(bm25, "TERMS_IN_TASKS", 0)  # full sums instead of the best in tasks
+    assert sorted(map(tuple, bm25.search(idx, queries, 6).collect())) == want
     monkeypatch.setattr(bm25, "BROADCAST_TERMS", 0)
     assert sorted(map(tuple, bm25.search(idx, queries, 6).collect())) == want
     monkeypatch.setattr(bm25, "PRUNED_POSTINGS", 0)
