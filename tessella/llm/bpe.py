@@ -8,7 +8,7 @@ and cut at the other certain pairs; results are kept for fragments seen before.
 parameter (a tokenizer file); nothing is trained.
 
 Defined cases: a null or empty text has no tokens and decodes to ''; texts of any length are encoded
-whole, in time linear in their fragments; equal rows get equal results; a column of the input named
+whole, in time linear in their fragments; an empty table gives an empty result; equal rows get equal results; a column of the input named
 like a result is replaced; the strings of special tokens in a text are special tokens, as in the
 tokenizers library."""
 

@@ -7,7 +7,8 @@ lists, tables and headings apart by an empty line, items marked and indented, ta
 columns, the lines of a cell (its paragraphs, lists and preformatted text) below each other, preformatted text as it is. All visible text is kept, navigation and footers too.
 
 Defined cases: a null or empty page gives ''; markup that never closes is closed at the end; a '<' that
-opens no tag is text; deep nesting needs no recursion; equal pages give equal texts; a column of the
+opens no tag is text; deep nesting needs no recursion; equal pages give equal texts; a very
+long page is rendered whole, in one task; an empty table gives an empty result; a column of the
 input named like a result is replaced."""
 
 from __future__ import annotations

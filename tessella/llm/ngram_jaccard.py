@@ -22,7 +22,8 @@ no component, so no link is lost.
 Defined cases: lower case is of A-Z only; with fewer words than n the whole sequence is one n-gram; a
 null text, or one without words, has an empty set and is its own component; documents of equal sets are
 linked; rows that share an id each get the component of their own text; a row without an id gets the
-smallest id that it is linked with, or null; an empty table gives an empty result; other columns of the
+smallest id that it is linked with, or null; ids are numbers (a string that is none stops the query with Spark's cast error); a very
+long text is one set, whole; an empty table gives an empty result; other columns of the
 input are ignored. Hashes of n-grams and of sets have 64 bits: two of n unequal ones meet with a chance
 of n^2 / 2^65."""
 

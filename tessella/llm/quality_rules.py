@@ -4,7 +4,8 @@ Every line of a text is held against rules for punctuation, navigation, shouting
 boilerplate; lines that fail are removed, and a document that loses too much of its text is rejected.
 
 Defined cases: a null text counts as empty and has no words, so it fails the base rule; lines without
-a word are kept and weigh nothing; equal rows get equal results; a column of the input named like one
+a word are kept and weigh nothing; a very long text or line is judged whole; an empty table gives an
+empty result; equal rows get equal results; a column of the input named like one
 of the results is replaced."""
 
 from __future__ import annotations

@@ -4,7 +4,8 @@ Documents are aggregated by their length in tokens; suffix and prefix sums over
 totals, quantiles and truncated totals for every context limit without touching the documents again.
 
 Defined cases: null and empty texts have length 0 and are counted; no documents give an empty
-histogram; equal rows count once each; other columns of the input are ignored."""
+histogram; equal rows count once each, and documents of equal length share a row; a very long text is encoded
+whole and has a length of its own; other columns of the input are ignored."""
 
 from __future__ import annotations
 

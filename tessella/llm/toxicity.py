@@ -12,6 +12,7 @@ holds for the sample only: every document is scored, on its whole text.
 Defined cases: a null or empty text has no features and scores the base rate of the sample; labels that
 are null take no part; without labelled rows, or with labels of one kind only, the score is the smoothed
 base rate; several labels of a document: it counts as toxic if one says so; equal texts get equal scores;
+a very long text is scored whole, as the set of its words; an empty table gives an empty result;
 a column of the input named like a result is replaced."""
 
 from __future__ import annotations
