@@ -1,9 +1,8 @@
 """Brown class-based n-grams.
 
 Words are assigned to classes by exchange clustering: each word moves to the class that makes the class
-bigrams of the training text likeliest. Every known word takes part: words seen least_count times or more, and
-at least once in so many words of the text that no more than most_words can be, in rounds (the head_words most frequent in turn; then all of them, a round being a job over the words'
-neighbours against the class bigrams of the round before, half of the words at a time), rarer words
+bigrams of the training text likeliest. Every known word takes part: words seen least_count times or more, whatever the size of the text,
+in rounds (the head_words most frequent in turn; then all of them, a round being a job over the words' neighbours against the class bigrams of the round before, half of the words at a time), rarer words
 once, by the same criterion from their own neighbours. The number of classes grows with the root of the number
 of words in rounds. Unknown words belong to classes of their form (their ending). A text's probability is
 the product, over its words and its end, of the class's probability after the class before and of the
@@ -16,7 +15,7 @@ unknown word alone; its transitions are those of words seen once, each counted a
 too (Good-Turing). Together with the unknown words, all probabilities after a class sum to 1.
 
 Counts of words and class bigrams cover the whole training text and are summed by Spark. The driver and the
-tasks hold the hash, count and class of each word in rounds, most_words at most, and the class bigrams; rarer words stay in
+tasks hold the hash, count and class of each word in rounds (17 to 24 bytes), and the class bigrams; rarer words stay in
 a table and are joined with the words of each document, however many there are.
 
 Defined cases: lower case is of A-Z only; a null or empty text is the end token alone; a document without
@@ -47,8 +46,8 @@ SLICE_BYTES = 4 << 20
 
 @dataclass(frozen=True)
 class ClassParams:
-    """exchange_classes: the least number of classes; least_count: words seen so often are clustered in rounds; most_words: so many of them
-    at most, by a share of the text that each has to hold (17 to 24 bytes of each are broadcast); head_words: so many of them first, in turn. exchange_words is the number of words in rounds and follows from the corpus."""
+    """exchange_classes: the least number of classes; least_count: words seen so often are clustered in rounds; most_words: a caller may have so many of them
+    at most, by a share of the text that each has to hold (17 to 24 bytes of each are broadcast), there is no such limit unless it is given; head_words: so many of them first, in turn. exchange_words is the number of words in rounds and follows from the corpus."""
 
     exchange_words: int = 0
     exchange_classes: int = 64
@@ -56,10 +55,10 @@ class ClassParams:
     iterations: int = 4
     least_count: int = 5
     head_words: int = 2_048
-    most_words: int = 16_000_000
+    most_words: int = 1 << 62
 
     def least(self, n_words: int) -> int:
-        """Words seen so often are in rounds: of n_words words in all, at most n_words / least can be."""
+        """Words seen so often are in rounds: least_count, unless a caller limits them to most_words; of n_words words in all, at most n_words / least can be."""
         return max(self.least_count, -(-n_words // self.most_words))
 
     @property
@@ -493,7 +492,7 @@ def trained(docs: DataFrame, scratch: Scratch, params: ClassParams) -> tuple[Cla
     n_docs = docs.count()
     sums = lexicon.agg(F.sum("n"), F.count(F.lit(1))).head()
     tokens, types = (sums[0] or 0) + n_docs, sums[1] + (n_docs > 0)
-    kept = lexicon.where(F.col("n") >= params.least(sums[0] or 0)).toArrow()  # most_words rows at most
+    kept = lexicon.where(F.col("n") >= params.least(sums[0] or 0)).toArrow()  # the words in rounds: a hash, a count and a form each
     hashes, counts, forms = (kept.column(c).to_numpy() for c in ("h", "n", "form"))
     order = np.argsort(hashes)
     hashes, counts, forms = hashes[order], counts[order], forms[order]
