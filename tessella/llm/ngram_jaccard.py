@@ -19,6 +19,9 @@ components; large ones are cut into blocks, tasks hold block against block, and
 are written whose sketches' Hamming distance allows the similarity. A pair within a component can change
 no component, so no link is lost.
 
+Every row of a part carries its set's size and a sketch of 128 bits. Of the pairs that share a part by chance, those whose
+sizes or sketches rule the similarity out are never made: differing bits are differing n-grams, so no similar pair is among them.
+
 Defined cases: lower case is of A-Z only; with fewer words than n the whole sequence is one n-gram; a
 null text, or one without words, has an empty set and is its own component; documents of equal sets are
 linked; rows that share an id each get the component of their own text; a row without an id gets the
@@ -29,14 +32,14 @@ of n^2 / 2^65."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,6 +58,8 @@ LEADERS = 4
 #: A group of at most so many nodes gives its pairs across components by a join; a larger one is compared in blocks of BLOCK nodes.
 SMALL_GROUP = 48
 BLOCK = 1024
+#: Words of 64 bits of the sketch that the rows of a part carry.
+ROW_SKETCH = 2
 _steps = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
@@ -133,13 +138,13 @@ def nodes(docs: DataFrame, n: int) -> DataFrame:
 def parts(docs: DataFrame, n: int, num: int, den: int, only: np.ndarray | None = None) -> DataFrame:
     """key, node, band: the parts of each set. Of equal sets that a task meets, only the first is written.
 
-    only: bits of the keys' slots; parts whose slot is not set are left out."""
+    only: bits of the keys' slots; parts whose slot is not set are left out, and the others come with n, s0, s1: the set's size and sketch."""
     sent = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = set()
         for batch in slices(batches, "text", SLICE_BYTES):
-            keys, of, owners = [], [], []
+            keys, of, owners, sizes, sketches = [], [], [], [], []
             for shingles in shingle_sets(batch.column("text"), n):
                 node = _node(shingles)
                 if node is None or node in met:
@@ -150,15 +155,29 @@ def parts(docs: DataFrame, n: int, num: int, den: int, only: np.ndarray | None =
                 keys.append(own)
                 of.append(band)
                 owners.append(np.full(len(own), node, np.int64))
+                if sent is not None:
+                    sizes.append(np.full(len(own), len(shingles), np.int64))
+                    sketches.append(np.tile(bit_sketch(shingles, ROW_SKETCH).view(np.int64), (len(own), 1)))
             if keys:
                 made = [np.concatenate(x) for x in (keys, owners, of)]
                 if sent is not None:
                     slot = made[0] >> np.uint64(64 - SLOT_BITS)
                     there = (sent.value[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
-                    made = [x[there] for x in made]
-                yield pa.RecordBatch.from_arrays([pa.array(made[0].view(np.int64)), pa.array(made[1]), pa.array(made[2])], ["key", "node", "band"])
+                    made = [x[there] for x in (*made, np.concatenate(sizes), *np.concatenate(sketches).T)]
+                yield pa.RecordBatch.from_arrays([pa.array(made[0].view(np.int64)), *map(pa.array, made[1:])], ["key", "node", "band", *SET_FACTS][: len(made)])
+
+    return docs.select("text").mapInArrow(run, "key long, node long, band int" + ("" if sent is None else "".join(f", {c} long" for c in SET_FACTS)))
+
+
+#: What a row knows of its set: its size and the words of its sketch.
+SET_FACTS = ("n", *(f"s{i}" for i in range(ROW_SKETCH)))
+
 
-    return docs.select("text").mapInArrow(run, "key long, node long, band int")
+def may_link(a: Callable[[str], Column], b: Callable[[str], Column], num: int, den: int) -> Column:
+    """Whether two sets can be similar by their sizes and sketches; a(name) and b(name) give their facts."""
+    far = sum((F.bit_count(a(c).bitwiseXOR(b(c))) for c in SET_FACTS[1:]), F.lit(0))
+    sized = F.least(a("n"), b("n")) * den >= F.greatest(a("n"), b("n")) * num
+    return sized & (far * (den + num) <= (a("n") + b("n")) * (den - num))
 
 
 def slots(keys: DataFrame) -> np.ndarray:
@@ -289,12 +308,12 @@ def links(docs: DataFrame, rows: DataFrame, n: int, num: int, den: int, scratch:
     # the parts that a set shares with most others may be left out; those that it shares with none are last in that order
     by_share = W.partitionBy("node", "band").orderBy(F.desc("often"), "key")
     most = F.array(*[F.lit(spare(m)) for m in bands(num, den)[1]])
-    few_left = shared.withColumn("place", F.row_number().over(by_share)).where(F.col("place") > F.element_at(most, F.col("band") + 1)).select("key", "node", "band")
+    few_left = shared.withColumn("place", F.row_number().over(by_share)).where(F.col("place") > F.element_at(most, F.col("band") + 1)).select("key", "node", "band", *SET_FACTS)
     few_left = scratch.save(few_left, "few")
     scratch.drop("shared", "counted")
     # a key's leaders: the smallest node of each of a few parts of the nodes
     part = F.pmod(F.xxhash64("node"), F.lit(LEADERS))
-    leaders = few_left.groupBy("key").agg(*spread("node"), F.array_compact(F.array(*[F.min(F.when(part == i, F.col("node"))) for i in range(LEADERS)])).alias("leaders"))
+    leaders = few_left.groupBy("key").agg(*spread("node"), F.array_compact(F.array(*[F.min(F.when(part == i, F.struct("node", *SET_FACTS))) for i in range(LEADERS)])).alias("leaders"))
     leaders = scratch.save(leaders.where("low <> high").select("key", "leaders"), "leaders")
     shared = scratch.save(few_left.join(hinted(leaders), "key"), "remaining")
     scratch.drop("few", "leaders")
@@ -307,20 +326,22 @@ def links(docs: DataFrame, rows: DataFrame, n: int, num: int, den: int, scratch:
     sets = scratch.save(sets_of(texts, n).join(F.broadcast(wanted) if few(wanted) else wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
     # first the leaders
-    stars = shared.select("node", F.explode("leaders").alias("a")).where("a <> node").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    met = shared.select("node", *SET_FACTS, F.explode("leaders").alias("x")).where((F.col("x.node") != F.col("node")) & may_link(F.col, lambda c: F.col(f"x.{c}"), num, den))
+    stars = met.select(F.least("x.node", "node").alias("a"), F.greatest("x.node", "node").alias("b")).distinct()
     edges = scratch.save(verified(stars, sets, num, den), "edges1")
     labels = components(edges, scratch, "labels1") if edges.head(1) else None
     # then what is still apart; leaders have met all others of their groups
-    now = shared.where(~F.array_contains("leaders", F.col("node"))).select("key", "node", "band")
+    now = shared.where(~F.exists("leaders", lambda x: x["node"] == F.col("node"))).select("key", "node", "band", *SET_FACTS)
     now = now.withColumn("component", F.col("node")) if labels is None else now.join(hinted(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
     now = scratch.save(now, "now")
     scratch.drop("remaining")
     apart = scratch.save(now.groupBy("key").agg(*spread("component"), F.count(F.lit(1)).alias("size")).where("low <> high").select("key", "size"), "sizes")
     group = scratch.save(now.join(hinted(apart), "key"), "apart")
     scratch.drop("now")
-    small = group.where(F.col("size") <= SMALL_GROUP).select("key", "node", "component")
-    other = small.select("key", F.col("node").alias("b"), F.col("component").alias("__c"))
-    across = small.join(other, "key").where((F.col("component") != F.col("__c")) & (F.col("node") < F.col("b"))).select(F.col("node").alias("a"), "b")
+    small = group.where(F.col("size") <= SMALL_GROUP).select("key", "node", "component", *SET_FACTS)
+    other = small.select("key", F.col("node").alias("b"), F.col("component").alias("__c"), *[F.col(c).alias(f"__{c}") for c in SET_FACTS])
+    apart_still = (F.col("component") != F.col("__c")) & (F.col("node") < F.col("b")) & may_link(F.col, lambda c: F.col(f"__{c}"), num, den)
+    across = small.join(other, "key").where(apart_still).select(F.col("node").alias("a"), "b")
     large = group.where(F.col("size") > SMALL_GROUP)
     pairs = across.union(compared_in_blocks(large, sets, num, den)) if large.head(1) else across
     more = scratch.save(verified(pairs.distinct(), sets, num, den), "edges2")
