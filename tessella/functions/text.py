@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,12 +48,23 @@ class CleanOptions:
     collapse_whitespace: bool = True
 
 
+#: Texts of about so many bytes are Python strings at once.
+PIECE_BYTES = 1 << 20
+
+
+def pieces(texts: pa.Array, most_bytes: int = PIECE_BYTES) -> Iterator[pa.Array]:
+    """The same texts in slices of about most_bytes; a longer text comes alone."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(lengths) // most_bytes)) + 1).tolist(), len(texts)]
+    return (texts.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False))
+
+
 def _mapped(change: Callable[[str], str]) -> Callable[[Column], Column]:
-    """change() as a function of a column, over Arrow batches."""
+    """change() as a function of a column, over Arrow batches, of which a piece at a time is Python strings."""
 
     @F.arrow_udf(StringType())
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else change(t) for t in texts.to_pylist()], pa.string())
+        return pa.concat_arrays([pa.array([None if t is None else change(t) for t in part.to_pylist()], pa.string()) for part in pieces(texts)])
 
     return run
 
@@ -82,7 +95,16 @@ def nfkc(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text))).otherwise(text)
 
 
-_nfkc = _mapped(lambda t: unicodedata.normalize("NFKC", t))
+def _nfkc_lines(text: bytes) -> bytes:
+    """The NFKC form of a text in UTF-8. A line feed neither joins nor reorders with what stands beside it, so that lines are taken alone: a
+    long text is never one wide string."""
+    return b"\n".join([line if line.isascii() else unicodedata.normalize("NFKC", line.decode()).encode() for line in text.split(b"\n")])
+
+
+@F.arrow_udf(StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    made = [pa.array([None if t is None else _nfkc_lines(t) for t in part.cast(pa.binary()).to_pylist()], pa.binary()).cast(pa.string()) for part in pieces(texts)]
+    return pa.concat_arrays(made)
 
 
 def _by(text: Column, rule: tuple[str, str]) -> Column:
