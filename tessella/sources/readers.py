@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from tessella.functions.text import loader_normalise, strip
 
@@ -25,9 +24,9 @@ def _finished(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", loader_normalise(F.col("text"))).where(F.length(strip(F.col("text"))) > 0).select("doc_id", "source", "text", "metadata")
 
 
-@F.pandas_udf(StringType())
-def _decoded(content):
-    return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "replace"))
+def _decoded(content: str) -> Column:
+    """Bytes as text; what is no UTF-8 becomes U+FFFD. The file's bytes never reach Python."""
+    return F.make_valid_utf8(F.col(content).cast("string"))
 
 
 def _root(spark: SparkSession, path: str) -> str:
