@@ -5,14 +5,14 @@ from __future__ import annotations
 import hashlib
 import json
 import time
-from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial
 from typing import Protocol
 
 import numpy as np
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
@@ -38,7 +38,6 @@ class HashingEmbedder:
 
     def __init__(self, dim: int = 384):
         self.dim, self.name = dim, f"hashing-{dim}"
-        self._words = regex.compile(r"[\p{L}\p{N}_]+").findall
         self._places: dict[str, tuple[int, float]] = {}
 
     def _place(self, word: str) -> tuple[int, float]:
@@ -50,11 +49,13 @@ class HashingEmbedder:
         return found
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
-        for row, text in zip(out, texts, strict=True):
-            for word, n in Counter(self._words(text.lower())).items():
-                place, sign = self._place(word)
-                row[place] += sign * n
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(pa.array([t.lower() for t in texts], pa.string()), r"[^\p{L}\p{N}_]+", " "))
+        words = lists.flatten().dictionary_encode()
+        # each distinct word is hashed once; an empty one stands beside leading and trailing spaces
+        found = np.array([(self._place(w) if w else (0, 0.0)) for w in words.dictionary.to_pylist()]).reshape(-1, 2)
+        place, sign = found[:, 0].astype(np.int64), found[:, 1]
+        code, row = words.indices.to_numpy(), np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())
+        out = np.bincount(row * self.dim + place[code], sign[code], len(texts) * self.dim).reshape(len(texts), self.dim)
         length = np.linalg.norm(out, axis=1)
         return out / np.where(length == 0, 1, length)[:, None]
 
@@ -88,6 +89,11 @@ def embedder(name: str, dim: int = 384) -> Loader:
     return MODELS.get(name, MODELS.get(name.rpartition("-")[0], MODELS["hashing"]))(dim)
 
 
+def model_of(embedder: Embedder | Loader) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """Gives, where it is called, the function from texts to vectors of a model."""
+    return (lambda: embedder.load().embed) if isinstance(embedder, Loader) else (lambda: embedder.embed)
+
+
 def embedded(rows: DataFrame, embedder: Embedder | Loader, text: str = "text", batch: int = 256) -> DataFrame:
     """rows with embedding (array<double>), in batches; a null text counts as ''. A model is loaded once in each Python worker and stays there."""
     load = embedder.load if isinstance(embedder, Loader) else lambda: embedder

@@ -7,15 +7,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.operators import bm25, expansion, fusion, rerank, vectors
-from tessella.operators.embedding import Embedder, embedded
+from tessella.operators.embedding import Embedder, embedded, model_of
 
 
 Index = DataFrame | vectors.InvertedFile
 
 
 def dense(index: Index, queries: DataFrame, embedder: Embedder, k: int) -> DataFrame:
-    """query_id, chunk_id, score (clipped to [0, 1] after ranking), rank from a table (chunk_id, embedding) or an inverted file over one."""
+    """query_id, chunk_id, score (clipped to [0, 1] after ranking), rank from a table (chunk_id, embedding), one of texts (chunk_id, text), which are
+    embedded as they are searched, or an inverted file."""
     asked = embedded(queries, embedder, "query").select("query_id", "embedding")
+    if not isinstance(index, vectors.InvertedFile) and "embedding" not in index.columns:
+        texts = index.select(F.col("chunk_id").alias("vec_id"), "text")
+        found = vectors.exact_top_k_of_texts(texts, asked, k, model_of(embedder))
+        if found is not None:
+            return found.select("query_id", F.col("vec_id").alias("chunk_id"), vectors.clipped(F.col("score")).alias("score"), "rank")
+        index = embedded(index.select("chunk_id", "text"), embedder)
     searched = index if isinstance(index, vectors.InvertedFile) else index.select(F.col("chunk_id").alias("vec_id"), "embedding")
     found = vectors.search_store(searched, asked, k)
     return found.select("query_id", F.col("vec_id").alias("chunk_id"), vectors.clipped(F.col("score")).alias("score"), "rank")

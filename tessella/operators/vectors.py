@@ -21,7 +21,9 @@ from tessella.plans.scratch import Scratch
 BLOCK_QUERIES = 4_096
 #: Most rows of a block of vectors, and most cells of a matrix of scores.
 BLOCK_ROWS = 16_384
-SCORE_CELLS = 4_000_000
+SCORE_CELLS = 1_000_000
+#: So many texts are embedded and compared at once.
+SLICE_TEXTS = 2_048
 METRICS = ("cosine", "inner_product", "euclidean", "squared_euclidean")
 
 
@@ -90,7 +92,18 @@ class _Comparison:
         within = np.arange(len(rows)) - np.repeat(heads, np.diff(np.r_[heads, len(rows)]))
         return np.r_[np.flatnonzero(~crowded), rows[within < self.k]]
 
-    def __call__(self, q_ids: pa.Array, q: np.ndarray, ids: pa.Array, x: np.ndarray) -> pa.RecordBatch:
+    def kept(self, asked: pa.Array, found: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray | None]:
+        """The k best of found for each query, and each query's last score among them, where it has k. asked: the queries' ids."""
+        at_q = pa.compute.index_in(found.column("query_id"), asked).to_numpy(zero_copy_only=False).astype(np.int64)
+        score = found.column("score").to_numpy()
+        stay = self._cut(at_q, np.arange(len(score)), score, _places(found.column("vec_id")))
+        least = np.full(len(asked), np.inf)
+        np.minimum.at(least, at_q[stay], score[stay])
+        least[np.bincount(at_q[stay], minlength=len(asked)) < self.k] = -np.inf
+        return found.take(pa.array(stay)), least
+
+    def __call__(self, q_ids: pa.Array, q: np.ndarray, ids: pa.Array, x: np.ndarray, least: np.ndarray | None = None) -> pa.RecordBatch:
+        """least: scores that k rows of each query have reached already, so that rows far below can be left out."""
         plain, found = self.metric in ("inner_product", "cosine"), []
         if self.metric == "cosine":
             q, x = _unit(q), _unit(x)
@@ -103,7 +116,7 @@ class _Comparison:
             if self.other_ids:
                 score[q_names[:, None] == names[None, at : at + step]] = -np.inf
             k = min(self.k, len(part))
-            cut = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+            cut = least if least is not None and np.isfinite(least).all() else -np.partition(-score, k - 1, axis=1)[:, k - 1]
             # what rounding may have moved is measured exactly, too
             slack = 1e-6 if plain else 1e-5 * (1 + np.abs(cut)[:, None])
             at_q, at_x = np.nonzero((score >= cut[:, None] - slack) & np.isfinite(score))
@@ -173,6 +186,37 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "c
     return top_k(rows.mapInArrow(run, _types(rows, asked)), k, tie="vec_id")
 
 
+def exact_top_k_of_texts(texts: DataFrame, queries: DataFrame, k: int, embed: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
+    """query_id, vec_id, score (cosine), rank from texts (vec_id, text), which are embedded where they lie and compared at once: their vectors, several times
+    as large, are neither written nor sent. queries (query_id, embedding): one block of them at most, or None is returned.
+
+    embed() is called once in each task and gives a function from texts to their vectors. A task holds a slice of texts and the best so far of each query."""
+    block = usable(queries, "query_id").limit(BLOCK_QUERIES + 1).toArrow()
+    if block.num_rows > BLOCK_QUERIES:
+        return None
+    compare, step = _Comparison(k, "cosine", False), SLICE_TEXTS
+    sent = texts.sparkSession.sparkContext.broadcast({w: block.filter(pa.compute.equal(block.column("width"), w)) for w in set(block.column("width").to_pylist())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, best, least = embed(), None, None
+        asked = {w: (t.column("query_id").combine_chunks(), _matrix(t.column("embedding"), w)) for w, t in sent.value.items()}
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                x = np.asarray(model([t or "" for t in part.column("text").to_pylist()]), np.float64)
+                fine = np.isfinite(x).all(axis=1)
+                if x.shape[1] not in asked or not fine.any():
+                    continue
+                q_ids, q = asked[x.shape[1]]
+                found = compare(q_ids, q, part.column("vec_id").filter(pa.array(fine)), x[fine], least)
+                best = found if best is None else pa.Table.from_batches([best, found]).combine_chunks().to_batches()[0] if best.num_rows + found.num_rows else best
+                best, least = compare.kept(q_ids, best)
+        if best is not None:
+            yield best
+
+    return top_k(texts.select("vec_id", "text").mapInArrow(run, _types(texts, queries)), k, tie="vec_id")
+
+
 def clipped(score: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 

@@ -52,11 +52,9 @@ def _saved(spark: SparkSession, tables) -> tuple[DataFrame, bm25.Bm25Index]:
     return chunks, bm25.index(chunks, save=scratch.save)
 
 
-def _vectors(spark: SparkSession, tables) -> tuple[DataFrame, DataFrame]:
-    """Chunks and their hashed embeddings, each written once."""
-    scratch = Scratch(spark, "catalog")
-    chunks = scratch.save(_chunks(tables).select("chunk_id", "text", "source"), "chunks")
-    return chunks, scratch.save(embedding.embedded(chunks.select("chunk_id", "text"), EMBEDDER).select("chunk_id", "embedding"), "vectors")
+def _texts(spark: SparkSession, tables) -> DataFrame:
+    """Chunks, written once; a dense search embeds them as it reads them."""
+    return Scratch(spark, "catalog").save(_chunks(tables).select("chunk_id", "text", "source"), "chunks")
 
 
 def _asked(tables) -> DataFrame:
@@ -333,8 +331,7 @@ def rrf_multi_query(spark, tables):
 
 @query(f"WITH {o.CHUNKS}, {o.dense(K)} SELECT query_id, chunk_id, score, rank FROM dense WHERE score >= 25e-2")
 def strategy_a(spark, tables):
-    _, index = _vectors(spark, tables)
-    return strategies.strategy_a(index, _asked(tables), EMBEDDER, K, 0.25)
+    return strategies.strategy_a(_texts(spark, tables), _asked(tables), EMBEDDER, K, 0.25)
 
 
 _BOTH = f"""{o.CHUNKS}, {o.dense(3 * K)}, {o.bm25(3 * K)},
@@ -351,9 +348,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ch
 
 def _hybrid(spark, tables, method: str) -> DataFrame:
     scratch = Scratch(spark, "catalog")
-    chunks = scratch.save(_chunks(tables).select("chunk_id", "text", "source"), "chunks")
-    index = scratch.save(embedding.embedded(chunks.select("chunk_id", "text"), EMBEDDER).select("chunk_id", "embedding"), "vectors")
-    found = strategies.hybrid(index, bm25.index(chunks, save=scratch.save), _asked(tables), EMBEDDER, K, method)
+    chunks = _texts(spark, tables)
+    found = strategies.hybrid(chunks, bm25.index(chunks, save=scratch.save), _asked(tables), EMBEDDER, K, method)
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank", "dense_rank", "bm25_rank")
 
 
@@ -373,8 +369,8 @@ def hybrid_linear(spark, tables):
 @query(f"WITH {o.CHUNKS},{o.CHUNK_VECTORS},{o.enhanced(K, '25e-2')} SELECT * FROM b")
 def strategy_b(spark, tables):
     """Expanded multi-query search with fusion and reranking."""
-    chunks, index = _vectors(spark, tables)
-    return strategies.strategy_b(index, chunks, _asked(tables), EMBEDDER, K, threshold=0.25)
+    chunks = _texts(spark, tables)
+    return strategies.strategy_b(chunks, chunks, _asked(tables), EMBEDDER, K, threshold=0.25)
 
 
 def _benchmark(spark, tables) -> DataFrame:
@@ -382,10 +378,10 @@ def _benchmark(spark, tables) -> DataFrame:
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), 0)
     runs = F.array(*[F.array_join(F.slice(words, at, 3), " ") for at in (1, 4)])
     bank = tables("benchmark").select(F.col("item_id").alias("query_id"), F.filter(runs, lambda r: r != "").alias("keywords"))
-    chunks, index = _vectors(spark, tables)
+    chunks = _texts(spark, tables)
     scratch = Scratch(spark, "catalog")
-    a = scratch.save(strategies.strategy_a(index, _asked(tables), EMBEDDER, K).select("query_id", "chunk_id", "score", "rank"), "a")
-    b = strategies.strategy_b(index, chunks, _asked(tables), EMBEDDER, K)
+    a = scratch.save(strategies.strategy_a(chunks, _asked(tables), EMBEDDER, K).select("query_id", "chunk_id", "score", "rank"), "a")
+    b = strategies.strategy_b(chunks, chunks, _asked(tables), EMBEDDER, K)
     b = scratch.save(b.select("query_id", "chunk_id", F.col("cross_encoder_score").alias("score"), "rank"), "b")
     relevant = scratch.save(metrics.ground_truth(metrics.keyword_relevance(chunks, bank), b), "relevant")
     n_rel = relevant.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n_rel"))
@@ -422,8 +418,8 @@ def benchmark_summary(spark, tables):
 SELECT coalesce(d.query_id, b.query_id) AS query_id, coalesce(d.rank, b.rank) AS rank, d.chunk_id AS chunk_a, d.score AS score_a, b.chunk_id AS chunk_b, b.score AS score_b
 FROM dense d FULL JOIN bm b ON d.query_id = b.query_id AND d.rank = b.rank""")
 def side_by_side(spark, tables):
-    chunks, index = _vectors(spark, tables)
-    return strategies.paired(strategies.dense(index, _asked(tables), EMBEDDER, K), bm25.search(bm25.index(chunks, save=Scratch(spark, "catalog").save), _asked(tables), K))
+    chunks = _texts(spark, tables)
+    return strategies.paired(strategies.dense(chunks, _asked(tables), EMBEDDER, K), bm25.search(bm25.index(chunks, save=Scratch(spark, "catalog").save), _asked(tables), K))
 
 
 # ---- expansion
