@@ -42,7 +42,7 @@ FIRST_SEGMENTS = 4
 PRUNED_POSTINGS = 20_000_000
 PRUNED_TERMS = 8
 #: A task puts whole segments of about so many bytes of text into blocks at once.
-TASK_BYTES = 8 << 20
+TASK_BYTES = 2 << 20
 #: A batch of queries of at most so many terms, and with at most a hundred times as many best scores, is sent to the tasks that sum (some MB).
 TERMS_IN_TASKS = 50_000
 #: What rounding to six digits may add to a score.
