@@ -38,6 +38,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -257,16 +258,25 @@ def bit_sketch(shingles: np.ndarray, n_words: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def compared_in_blocks(group: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) across components in large groups (key, node, component, band, size) whose sketches allow the similarity."""
+def sketched(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """node, band, n and sketch: the sizes and the sketches for their bands of sets (node, band, shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "shingles"):
+            lists = batch.column("shingles")
+            sizes, values = pc.list_value_length(lists).to_numpy(), lists.flatten().to_numpy().view(np.uint64)
+            ends = np.r_[0, np.cumsum(sizes, dtype=np.int64)].tolist()
+            made = [bit_sketch(values[i:j], sketch_words(k, num, den)).tobytes() for i, j, k in zip(ends, ends[1:], batch.column("band").to_pylist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("band"), pa.array(sizes, pa.int64()), pa.array(made, pa.binary())], ["node", "band", "n", "sketch"])
 
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [bit_sketch(np.array(s, np.int64).view(np.uint64), sketch_words(k, num, den)).tobytes() for s, k in zip(batch.column("shingles").to_pylist(), batch.column("band").to_pylist(), strict=True)]
-            sizes = [len(s) for s in batch.column("shingles")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("key", "node", "component", "size")], pa.array(sizes, pa.int64()), pa.array(made, pa.binary())], ["key", "node", "component", "size", "n", "sketch"])
+    return rows.select("node", "band", "shingles").mapInArrow(run, "node long, band int, n long, sketch binary")
 
-    rows = group.join(sets, "node").select("key", "node", "component", "size", "band", "shingles").mapInArrow(sketched, "key long, node long, component long, size long, n long, sketch binary")
+
+def compared_in_blocks(group: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) across components in large groups (key, node, component, band, size) whose sketches allow the similarity."""
+    group = group.select("key", "node", "band", "component", "size")
+    sketches = sketched(group.select("node", "band").distinct().join(sets, "node"), num, den)
+    rows = group.join(sketches, ["node", "band"]).select("key", "node", "component", "size", "n", "sketch")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     met = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))

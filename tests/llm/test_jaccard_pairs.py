@@ -31,3 +31,25 @@ def test_pairs_that_sizes_or_sketches_rule_out_are_not_made(spark, small, monkey
         far = int(np.bitwise_count(ngram_jaccard.bit_sketch(x, 2) ^ ngram_jaccard.bit_sketch(y, 2)).sum())
         assert min(len(x), len(y)) * 100 >= max(len(x), len(y)) * 80 and far * 180 <= (len(x) + len(y)) * 20
     assert 2 <= len(seen) < 40
+
+
+def test_sketches_of_a_batch_are_made_set_by_set():
+    """A batch of 1,600,000 n-grams was held as Python's numbers."""
+    import tracemalloc
+
+    class Rows:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    sets = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, (800, 2000))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 1_600_001, 2000), pa.int32()), pa.array(sets.ravel()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(800), pa.int64()), pa.array([40] * 800, pa.int32()), lists], ["node", "band", "shingles"])
+    run = ngram_jaccard.sketched(Rows(), 90, 100)
+    tracemalloc.start()
+    found = pa.Table.from_batches(list(run(iter([batch])))).to_pylist()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r["node"] for r in found] == list(range(800)) and {r["n"] for r in found} == {2000}
+    width = ngram_jaccard.sketch_words(40, 90, 100)
+    assert all(found[i]["sketch"] == ngram_jaccard.bit_sketch(sets[i].view(np.uint64), width).tobytes() for i in (0, 523, 799))
+    assert most < 24 << 20
