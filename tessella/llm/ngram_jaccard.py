@@ -59,6 +59,8 @@ LEADERS = 4
 #: A group of at most so many nodes gives its pairs across components by a join; a larger one is compared in blocks of BLOCK nodes.
 SMALL_GROUP = 48
 BLOCK = 1024
+#: So many other components that a node of a block is paired with at once; what is then still apart is compared again.
+NEAREST = 16
 #: Words of 64 bits of the sketch that the rows of a part carry.
 ROW_SKETCH = 2
 _steps = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -215,25 +217,44 @@ def hinted(ids: DataFrame) -> DataFrame:
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node, component: the smallest node reachable over edges (a, b), for each node with an edge.
 
-    Labels take the least label among neighbours, then the label of their label, until none changes;
-    paths halve with every round."""
-    both = scratch.save(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    labels = scratch.save(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), f"{name}-0")
-    for turn in range(1, 1000):
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        met = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        labels = scratch.save(met.join(jump, "component", "left").select("node", "was", F.least("component", F.coalesce("next", "component")).alias("component")), f"{name}-{turn}")
-        changed = labels.where(F.col("was") != F.col("component")).head(1)
-        labels = labels.select("node", "component")
-        if turn > 1:
-            scratch.drop(f"{name}-{turn - 2}")
-        if not changed:
+    Each turn sends a node to the least of its neighbours and itself, then to where that is sent, and edges to where their ends are. Edges
+    that end in one node are gone, so that later turns read few; the smallest node of a component always stays."""
+    tidy = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    now = scratch.save(edges.where("a <> b").select(*tidy("a", "b")).distinct(), f"{name}-edges0")
+    sent = []
+    for turn in range(1000):
+        ends = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("next"))
+        jump = least.select(F.col("node").alias("next"), F.col("next").alias("component"))
+        sent.append(scratch.save(least.join(jump, "next").select("node", "component"), f"{name}-{turn}"))
+        to = lambda c: sent[-1].select(F.col("node").alias(c), F.col("component").alias(f"__{c}"))
+        moved = now.join(to("a"), "a").join(to("b"), "b").where("__a <> __b").select(*tidy("__a", "__b")).distinct()
+        now = scratch.save(moved, f"{name}-edges{turn + 1}")
+        scratch.drop(f"{name}-edges{turn}")
+        if not now.head(1):
             break
     else:
         raise RuntimeError("components did not converge")
-    scratch.drop(f"{name}-edges")
-    return labels
+    labels = sent[0]
+    for step in sent[1:]:
+        labels = sent_on(labels, step)
+    return scratch.save(labels, name)
+
+
+def sent_on(labels: DataFrame, step: DataFrame) -> DataFrame:
+    """labels (node, component) whose components are replaced by those that step (node, component) has for them."""
+    then = step.select(F.col("node").alias("component"), F.col("component").alias("then"))
+    return labels.join(then, "component", "left").select("node", F.coalesce("then", "component").alias("component"))
+
+
+def merged(labels: DataFrame | None, edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """labels (None: each node is alone) after more edges, of which only those between components are followed."""
+    if labels is None:
+        return components(edges, scratch, name)
+    for c in ("a", "b"):
+        edges = edges.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"__{c}")), c, "left")
+    found = components(edges.select(F.coalesce("__a", "a").alias("a"), F.coalesce("__b", "b").alias("b")), scratch, f"{name}-met")
+    return scratch.save(sent_on(labels, found).union(found.join(labels, "node", "left_anti").select("node", "component")), name)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -272,10 +293,22 @@ def sketched(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.select("node", "band", "shingles").mapInArrow(run, "node long, band int, n long, sketch binary")
 
 
-def compared_in_blocks(group: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) across components in large groups (key, node, component, band, size) whose sketches allow the similarity."""
-    group = group.select("key", "node", "band", "component", "size")
-    sketches = sketched(group.select("node", "band").distinct().join(sets, "node"), num, den)
+def nearest(far: np.ndarray, near: np.ndarray, components: np.ndarray, most: int) -> np.ndarray:
+    """Of each row's near columns, the nearest one of each component, in at most so many components."""
+    kept = np.zeros_like(near)
+    for i in np.flatnonzero(near.any(1)):
+        hits = np.flatnonzero(near[i])
+        hits = hits[np.argsort(far[i, hits], kind="stable")]
+        firsts = np.sort(np.unique(components[hits], return_index=True)[1])[:most]
+        kept[i, hits[firsts]] = True
+    return kept
+
+
+def compared_in_blocks(group: DataFrame, sketches: DataFrame, num: int, den: int, most: int | None) -> DataFrame:
+    """Pairs (a, b) across components in large groups (key, node, band, component, size) whose sketches allow the similarity.
+
+    Of those that two blocks have, each node gives its nearest in at most so many components (None: all);
+    cut tells whether there were more."""
     rows = group.join(sketches, ["node", "band"]).select("key", "node", "component", "size", "n", "sketch")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
@@ -285,24 +318,34 @@ def compared_in_blocks(group: DataFrame, sets: DataFrame, num: int, den: int) ->
     def held(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         one = part[part["own"] == key[1]]
         two = part[part["own"] == key[2]]
-        found_a, found_b = [], []
-        if len(one) and len(two):
-            x = np.stack([np.frombuffer(s, np.uint64) for s in one["sketch"]])
-            y = np.stack([np.frombuffer(s, np.uint64) for s in two["sketch"]])
-            x_n, y_n, x_c, y_c = one["n"].to_numpy(), two["n"].to_numpy(), one["component"].to_numpy(), two["component"].to_numpy()
-            x_id, y_id = one["node"].to_numpy(), two["node"].to_numpy()
-            for i in range(len(x)):
-                far = np.bitwise_count(y ^ x[i]).sum(1, dtype=np.int64)
-                near = (far * (den + num) <= (y_n + x_n[i]) * (den - num)) & (y_c != x_c[i])
-                if key[1] == key[2]:
-                    near &= y_id > x_id[i]
-                hits = y_id[near]
-                found_a.append(np.minimum(hits, x_id[i]))
-                found_b.append(np.maximum(hits, x_id[i]))
         empty = np.empty(0, np.int64)
-        return pd.DataFrame({"a": np.concatenate([empty, *found_a]), "b": np.concatenate([empty, *found_b])})
-
-    return met.groupBy("key", "low", "high").applyInPandas(held, "a long, b long")
+        if not len(one) or not len(two):
+            return pd.DataFrame({"a": empty, "b": empty, "cut": np.empty(0, bool)})
+        x = np.stack([np.frombuffer(s, np.uint64) for s in one["sketch"]])
+        y = np.stack([np.frombuffer(s, np.uint64) for s in two["sketch"]])
+        x_n, y_n, x_c, y_c = one["n"].to_numpy(), two["n"].to_numpy(), one["component"].to_numpy(), two["component"].to_numpy()
+        far, near = np.empty((len(x), len(y)), np.int32), np.empty((len(x), len(y)), bool)
+        for i in range(len(x)):
+            far[i] = np.bitwise_count(y ^ x[i]).sum(1, dtype=np.int32)
+            near[i] = (far[i].astype(np.int64) * (den + num) <= (y_n + x_n[i]) * (den - num)) & (y_c != x_c[i])
+        kept = near if most is None else nearest(far, near, y_c, most) | nearest(far.T, near.T, x_c, most).T
+        cut = bool((near & ~kept).any())
+        i, j = np.nonzero(np.triu(kept) if key[1] == key[2] else kept)
+        a, b = one["node"].to_numpy()[i], two["node"].to_numpy()[j]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cut": np.full(len(i), cut)})
+
+    return met.groupBy("key", "low", "high").applyInPandas(held, "a long, b long, cut boolean")
+
+
+def still_apart(rows: DataFrame, labels: DataFrame | None, scratch: Scratch, name: str) -> DataFrame:
+    """rows (key, node and more) of the keys whose nodes are in different components, with component and the key's size."""
+    now = rows.withColumn("component", F.col("node")) if labels is None else rows.join(hinted(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    now = scratch.save(now, f"{name}-now")
+    spread = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
+    apart = scratch.save(spread.where("low <> high").select("key", "size"), f"{name}-sizes")
+    found = scratch.save(now.join(hinted(apart), "key"), name)
+    scratch.drop(f"{name}-now", f"{name}-sizes")
+    return found
 
 
 def links(docs: DataFrame, rows: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame | None:
@@ -342,22 +385,30 @@ def links(docs: DataFrame, rows: DataFrame, n: int, num: int, den: int, scratch:
     labels = components(edges, scratch, "labels1") if edges.head(1) else None
     # then what is still apart; leaders have met all others of their groups
     now = shared.where(~F.exists("leaders", lambda x: x["node"] == F.col("node"))).select("key", "node", "band", *SET_FACTS)
-    now = now.withColumn("component", F.col("node")) if labels is None else now.join(hinted(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    now = scratch.save(now, "now")
+    group = still_apart(now, labels, scratch, "apart")
     scratch.drop("remaining")
-    apart = scratch.save(now.groupBy("key").agg(*spread("component"), F.count(F.lit(1)).alias("size")).where("low <> high").select("key", "size"), "sizes")
-    group = scratch.save(now.join(hinted(apart), "key"), "apart")
-    scratch.drop("now")
     small = group.where(F.col("size") <= SMALL_GROUP).select("key", "node", "component", *SET_FACTS)
     other = small.select("key", F.col("node").alias("b"), F.col("component").alias("__c"), *[F.col(c).alias(f"__{c}") for c in SET_FACTS])
     apart_still = (F.col("component") != F.col("__c")) & (F.col("node") < F.col("b")) & may_link(F.col, lambda c: F.col(f"__{c}"), num, den)
-    across = small.join(other, "key").where(apart_still).select(F.col("node").alias("a"), "b")
-    large = group.where(F.col("size") > SMALL_GROUP)
-    pairs = across.union(compared_in_blocks(large, sets, num, den)) if large.head(1) else across
-    more = scratch.save(verified(pairs.distinct(), sets, num, den), "edges2")
-    if more.head(1):
-        labels = components(edges.union(more), scratch, "labels2")
-    scratch.drop("sets", "apart", "sizes")
+    pairs = small.join(other, "key").where(apart_still).select(F.col("node").alias("a"), "b")
+    large = group.where(F.col("size") > SMALL_GROUP).select("key", "node", "band", "component", "size")
+    sketches = scratch.save(sketched(large.select("node", "band").distinct().join(sets, "node"), num, den), "sketches") if large.head(1) else None
+    most, turn, cut = NEAREST, 0, True
+    while cut:
+        cut, turn = False, turn + 1
+        if sketches is not None:
+            met = scratch.save(compared_in_blocks(large, sketches, num, den, most), f"met{turn}")
+            cut, given = bool(met.where("cut").head(1)), met.select("a", "b")
+            pairs = pairs.union(given) if turn == 1 else given
+        more = scratch.save(verified(pairs.distinct(), sets, num, den), f"more{turn}")
+        found = bool(more.head(1))
+        if found:
+            labels = merged(labels, more, scratch, f"labels{turn + 1}")
+        if cut:
+            # where no nearest one is similar, those that were left out still may be
+            most = most if found else None
+            large = still_apart(large.select("key", "node", "band"), labels, scratch, f"apart{turn}")
+    scratch.drop("sets", "sketches", "apart", *[f"{x}{i}" for x in ("apart", "met", "more") for i in range(1, turn + 1)])
     return labels
 
 

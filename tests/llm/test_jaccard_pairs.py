@@ -33,6 +33,67 @@ def test_pairs_that_sizes_or_sketches_rule_out_are_not_made(spark, small, monkey
     assert 2 <= len(seen) < 40
 
 
+def least_reachable(n, edges):
+    parent = list(range(n))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    return [root(i) for i in range(n)]
+
+
+@pytest.fixture(scope="module")
+def copies():
+    """Texts with three of a passage's words replaced: many pairs are just similar, many just not. And the similar pairs."""
+    random, base = np.random.default_rng(5), [f"w{i}" for i in range(100)]
+    texts = []
+    for i in range(160):
+        words = list(base)
+        for place in random.choice(100, 3, replace=False):
+            words[place] = f"x{i}y{place}"
+        texts.append(" ".join(words))
+    sets = [set(x.tolist()) for x in ngram_jaccard.shingle_sets(pa.array(texts), 3)]
+    return texts, [(a, b) for a in range(160) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 71 * len(sets[a] | sets[b])]
+
+
+@pytest.mark.parametrize("block", [32, 1024])
+def test_pairs_of_a_large_group_grow_with_its_nodes(spark, copies, block, monkeypatch):
+    texts, similar = copies
+    for name, value in (("LEADERS", 1), ("SMALL_GROUP", 4), ("BLOCK", block), ("NEAREST", 1)):
+        monkeypatch.setattr(ngram_jaccard, name, value)
+    seen, verified = [], ngram_jaccard.verified
+
+    def watched(pairs, *others):
+        seen.append(pairs.count())
+        return verified(pairs, *others)
+
+    monkeypatch.setattr(ngram_jaccard, "verified", watched)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.component_id for r in ngram_jaccard.jaccard_components(docs, 3, 71, 100).collect()}
+    assert found == dict(enumerate(least_reachable(160, similar)))
+    assert len(similar) > 1000 and 1 < len(seen) and sum(seen[1:]) < len(similar) / 2, (len(similar), seen)
+
+
+def test_components_follow_edges_between_components_only(spark, tmp_path):
+    from tessella.plans.scratch import Scratch
+
+    random, n = np.random.default_rng(3), 300
+    edges = [(int(a), int(b)) for a, b in random.integers(0, n, (170, 2)) if a != b] + [(i, i + 1) for i in range(200, 260)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    scratch, expected = Scratch(spark, "components"), least_reachable(n, edges)
+    first = ngram_jaccard.components(frame(edges[:90]), scratch, "first")
+    both = ngram_jaccard.merged(first, frame(edges[90:]), scratch, "both")
+    once = ngram_jaccard.merged(None, frame(edges), scratch, "once")
+    ends = {x for e in edges for x in e}
+    for labels in (both, once):
+        assert {r.node: r.component for r in labels.collect()} == {i: expected[i] for i in ends} and labels.count() == len(ends)
+
+
 def test_sketches_of_a_batch_are_made_set_by_set():
     """A batch of 1,600,000 n-grams was held as Python's numbers."""
     import tracemalloc
