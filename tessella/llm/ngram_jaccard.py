@@ -15,9 +15,9 @@ joined on the equal parts that remain, and pairs verified on whole sets: exact,
 Equal sets are one node from the start. Within a group of nodes that share a part, not all pairs are
 made: first each node is paired with a few leaders, and what is verified forms components. Then only
 groups are left that still hold nodes of different components. Small ones give their pairs across
-components; large ones are cut into blocks, tasks hold block against block, and of these pairs only those
-are written whose sketches' Hamming distance allows the similarity. A pair within a component can change
-no component, so no link is lost.
+components; of large ones the nodes outside the largest component are compared with all others: tasks hold
+block against block, and of these pairs only those are written whose sketches' Hamming distance allows the
+similarity. A pair within a component can change no component, so no link is lost.
 
 Every row of a part carries its set's size and a sketch of 128 bits. Of the pairs that share a part by chance, those whose
 sizes or sketches rule the similarity out are never made: differing bits are differing n-grams, so no similar pair is among them.
@@ -36,7 +36,6 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -58,9 +57,14 @@ BROADCAST_IDS = 200_000
 LEADERS = 4
 #: A group of at most so many nodes gives its pairs across components by a join; a larger one is compared in blocks of BLOCK nodes.
 SMALL_GROUP = 48
-BLOCK = 1024
-#: So many other components that a node of a block is paired with at once; what is then still apart is compared again.
+BLOCK = 512
+#: The nodes of a group outside its largest component make at most so many blocks, while the sketches of a block fit into BLOCK_BYTES.
+COPIES = 16
+BLOCK_BYTES = 8 << 20
+#: So many other components that a node of a block is paired with at once; of the nodes that had more, those still apart are compared again.
 NEAREST = 16
+#: So many nodes of each of them, as the nearest by the sketch may be just not similar; each turn so many times more.
+NEAREST_EACH = 16
 #: Words of 64 bits of the sketch that the rows of a part carry.
 ROW_SKETCH = 2
 _steps = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -293,48 +297,84 @@ def sketched(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.select("node", "band", "shingles").mapInArrow(run, "node long, band int, n long, sketch binary")
 
 
-def nearest(far: np.ndarray, near: np.ndarray, components: np.ndarray, most: int) -> np.ndarray:
-    """Of each row's near columns, the nearest one of each component, in at most so many components."""
-    kept = np.zeros_like(near)
-    for i in np.flatnonzero(near.any(1)):
-        hits = np.flatnonzero(near[i])
-        hits = hits[np.argsort(far[i, hits], kind="stable")]
-        firsts = np.sort(np.unique(components[hits], return_index=True)[1])[:most]
-        kept[i, hits[firsts]] = True
+def nearest(rows: np.ndarray, far: np.ndarray, components: np.ndarray, most: int, each: int) -> np.ndarray:
+    """Which pairs to keep: of each row's, the nearest few (each) of a component, in the nearest components, at most so many (most)."""
+    order = np.lexsort((far, components, rows))
+    starts = np.flatnonzero(np.r_[True, (np.diff(rows[order]) != 0) | (np.diff(components[order]) != 0)][: len(rows)])
+    rank = lambda starts, n: np.arange(n) - np.repeat(starts, np.diff(np.r_[starts, n]))
+    by = np.lexsort((far[order[starts]], rows[order[starts]]))
+    place = np.empty(len(starts), np.int64)
+    place[by] = rank(np.flatnonzero(np.r_[True, np.diff(rows[order[starts]][by]) != 0][: len(by)]), len(by))
+    kept = np.zeros(len(rows), bool)
+    kept[order] = (rank(starts, len(rows)) < each) & (np.repeat(place, np.diff(np.r_[starts, len(rows)])) < most)
     return kept
 
 
-def compared_in_blocks(group: DataFrame, sketches: DataFrame, num: int, den: int, most: int | None) -> DataFrame:
-    """Pairs (a, b) across components in large groups (key, node, band, component, size) whose sketches allow the similarity.
-
-    Of those that two blocks have, each node gives its nearest in at most so many components (None: all);
-    cut tells whether there were more."""
-    rows = group.join(sketches, ["node", "band"]).select("key", "node", "component", "size", "n", "sketch")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    met = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    met = met.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "component", "n", "sketch")
-
-    def held(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        one = part[part["own"] == key[1]]
-        two = part[part["own"] == key[2]]
-        empty = np.empty(0, np.int64)
-        if not len(one) or not len(two):
-            return pd.DataFrame({"a": empty, "b": empty, "cut": np.empty(0, bool)})
-        x = np.stack([np.frombuffer(s, np.uint64) for s in one["sketch"]])
-        y = np.stack([np.frombuffer(s, np.uint64) for s in two["sketch"]])
-        x_n, y_n, x_c, y_c = one["n"].to_numpy(), two["n"].to_numpy(), one["component"].to_numpy(), two["component"].to_numpy()
-        far, near = np.empty((len(x), len(y)), np.int32), np.empty((len(x), len(y)), bool)
-        for i in range(len(x)):
-            far[i] = np.bitwise_count(y ^ x[i]).sum(1, dtype=np.int32)
-            near[i] = (far[i].astype(np.int64) * (den + num) <= (y_n + x_n[i]) * (den - num)) & (y_c != x_c[i])
-        kept = near if most is None else nearest(far, near, y_c, most) | nearest(far.T, near.T, x_c, most).T
-        cut = bool((near & ~kept).any())
-        i, j = np.nonzero(np.triu(kept) if key[1] == key[2] else kept)
-        a, b = one["node"].to_numpy()[i], two["node"].to_numpy()[j]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cut": np.full(len(i), cut)})
-
-    return met.groupBy("key", "low", "high").applyInPandas(held, "a long, b long, cut boolean")
+def sided(group: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """group (key, node, band, component) with main: whether the node is in the key's largest component; mains, rests: how many nodes are, and are not."""
+    counted = group.groupBy("key", "component").agg(F.count(F.lit(1)).alias("often"))
+    sums = counted.groupBy("key").agg(F.max(F.struct("often", "component")).alias("top"), F.sum("often").alias("size"))
+    sides = scratch.save(sums.select("key", F.col("top.component").alias("first"), F.col("top.often").alias("mains"), (F.col("size") - F.col("top.often")).alias("rests")), name)
+    return group.join(hinted(sides), "key").select("key", "node", "band", "component", (F.col("component") == F.col("first")).alias("main"), "mains", "rests")
+
+
+def compared_in_blocks(group: DataFrame, sketches: DataFrame, num: int, den: int, most: int | None, each: int) -> DataFrame:
+    """Pairs (a, b) across components in large groups (sided) whose sketches allow the similarity.
+
+    The largest component and the rest are cut into blocks. A task holds a block of the rest against another of either kind; blocks grow with
+    the rest, so that no group is copied more than some 2 * COPIES times while BLOCK_BYTES hold such a block. A task compares BLOCK by BLOCK nodes at
+    once; a node of its first block gives its nearest few (each) in at most so many components of the second (None: all). Both nodes of a pair that was not given
+    come as rows without b. Nodes of the largest component are compared with the rest alone."""
+    rows = group.join(sketches, ["node", "band"])
+    held_rows = F.array(*[F.lit(max(1, BLOCK_BYTES // (8 * sketch_words(k, num, den)))) for k in range(len(bands(num, den)[1]))])
+    side = F.least(F.element_at(held_rows, F.col("band") + 1), F.greatest(F.lit(BLOCK), F.ceil(F.col("rests") / COPIES)))
+    rows = rows.withColumn("r", F.ceil(F.col("rests") / side).cast("int")).withColumn("m", F.ceil(F.col("mains") / side).cast("int"))
+    dealt = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+    met = rows.withColumn("own", F.when(F.col("main"), F.col("r") + dealt("m")).otherwise(dealt("r")))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("r") - 1 + F.when(F.col("main"), 0).otherwise(F.col("m")))))
+    met = met.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "band", "component", "n", "sketch")
+    tile, names = BLOCK, ["key", "band", "a", "b"]
+
+    def held(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high, read = key[1].as_py(), key[2].as_py(), []
+        for batch in batches:
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            read.append([*(batch.column(c).to_numpy() for c in ("own", "node", "component", "n", "band")), sketch])
+        own, node, component, n, band, sketch = map(np.concatenate, zip(*read, strict=True))
+        one, two = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        left = np.zeros(len(own), bool)
+
+        def rows_of(a: np.ndarray, b: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), key[0].as_py())), pa.array(np.full(len(a), band[0])), pa.array(a), b], names)
+
+        def made(given: np.ndarray) -> pa.RecordBatch:
+            a, b = node[given[0]], node[given[1]]
+            return rows_of(np.minimum(a, b), pa.array(np.maximum(a, b)))
+
+        for s in range(0, len(one), tile):
+            x = one[s : s + tile]
+            given = np.empty((3, 0), np.int64)  # places of a and of b, distance
+            for t in range(s if low == high else 0, len(two), tile):
+                y = two[t : t + tile]
+                y_sketch, y_n, y_component = sketch[y], n[y], component[y]
+                far, near = np.empty((len(x), len(y)), np.int64), np.empty((len(x), len(y)), bool)
+                for i in range(len(x)):
+                    far[i] = np.bitwise_count(y_sketch ^ sketch[x[i]]).sum(1, dtype=np.int64)
+                    near[i] = (far[i] * (den + num) <= (y_n + n[x[i]]) * (den - num)) & (y_component != component[x[i]])
+                i, j = np.nonzero(np.triu(near) if low == high and s == t else near)
+                given = np.hstack([given, np.stack([x[i], y[j], far[i, j]])])
+                if most is not None:
+                    kept = nearest(given[0], given[2], component[given[1]], most, each)
+                    left[given[:2, ~kept]] = True
+                    given = given[:, kept]
+                elif given.shape[1]:
+                    yield made(given)
+                    given = given[:, :0]
+            if given.shape[1]:
+                yield made(given)
+        yield rows_of(node[left], pa.nulls(int(left.sum()), pa.int64()))
+
+    return met.groupBy("key", "low", "high").applyInArrow(held, "key long, band int, a long, b long")
 
 
 def still_apart(rows: DataFrame, labels: DataFrame | None, scratch: Scratch, name: str) -> DataFrame:
@@ -391,24 +431,26 @@ def links(docs: DataFrame, rows: DataFrame, n: int, num: int, den: int, scratch:
     other = small.select("key", F.col("node").alias("b"), F.col("component").alias("__c"), *[F.col(c).alias(f"__{c}") for c in SET_FACTS])
     apart_still = (F.col("component") != F.col("__c")) & (F.col("node") < F.col("b")) & may_link(F.col, lambda c: F.col(f"__{c}"), num, den)
     pairs = small.join(other, "key").where(apart_still).select(F.col("node").alias("a"), "b")
-    large = group.where(F.col("size") > SMALL_GROUP).select("key", "node", "band", "component", "size")
+    large = group.where(F.col("size") > SMALL_GROUP).select("key", "node", "band", "component")
     sketches = scratch.save(sketched(large.select("node", "band").distinct().join(sets, "node"), num, den), "sketches") if large.head(1) else None
     most, turn, cut = NEAREST, 0, True
     while cut:
         cut, turn = False, turn + 1
         if sketches is not None:
-            met = scratch.save(compared_in_blocks(large, sketches, num, den, most), f"met{turn}")
-            cut, given = bool(met.where("cut").head(1)), met.select("a", "b")
+            met = scratch.save(compared_in_blocks(sided(large, scratch, f"sides{turn}"), sketches, num, den, most, NEAREST_EACH**turn), f"met{turn}")
+            given, left = met.where("b is not null").select("a", "b"), met.where("b is null").select("key", F.col("a").alias("node"), "band").distinct()
+            cut = bool(left.head(1))
             pairs = pairs.union(given) if turn == 1 else given
         more = scratch.save(verified(pairs.distinct(), sets, num, den), f"more{turn}")
         found = bool(more.head(1))
         if found:
             labels = merged(labels, more, scratch, f"labels{turn + 1}")
         if cut:
-            # where no nearest one is similar, those that were left out still may be
+            # where no nearest one is similar, those that were left out still may be; both nodes of such a pair are among those left
             most = most if found else None
-            large = still_apart(large.select("key", "node", "band"), labels, scratch, f"apart{turn}")
-    scratch.drop("sets", "sketches", "apart", *[f"{x}{i}" for x in ("apart", "met", "more") for i in range(1, turn + 1)])
+            large = still_apart(left, labels, scratch, f"apart{turn}")
+            cut = bool(large.head(1))
+    scratch.drop("sets", "sketches", "apart", *[f"{x}{i}" for x in ("apart", "sides", "met", "more") for i in range(1, turn + 1)])
     return labels
 
 

@@ -79,6 +79,50 @@ def test_pairs_of_a_large_group_grow_with_its_nodes(spark, copies, block, monkey
     assert len(similar) > 1000 and 1 < len(seen) and sum(seen[1:]) < len(similar) / 2, (len(similar), seen)
 
 
+def generated(plan):
+    """Rows that the plan's explodes made."""
+    own = plan.metrics().apply("numOutputRows").value() if plan.nodeName() == "Generate" else 0
+    return own + sum(generated(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_copies_of_a_large_group_do_not_grow_with_it(spark, monkeypatch):
+    """Each node of a group was copied for each block of its group, in every turn."""
+    random, base, texts = np.random.default_rng(7), [f"w{i}" for i in range(100)], []
+
+    def changed(words, most):
+        words = list(words)
+        for place in random.choice(100, most, replace=False):
+            words[place] = f"x{len(texts)}y{place}"
+        texts.append(" ".join(words))
+        return words
+
+    for _ in range(80):  # copies that are similar, then pairs of texts that are similar to each other alone
+        changed(base, 1)
+    for _ in range(40):
+        changed(changed(base, 6), 2)
+    sets = [set(x.tolist()) for x in ngram_jaccard.shingle_sets(pa.array(texts), 3)]
+    similar = [(a, b) for a in range(160) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for name, value in (("LEADERS", 1), ("SMALL_GROUP", 4), ("BLOCK", 4), ("COPIES", 2), ("NEAREST", 1)):
+        monkeypatch.setattr(ngram_jaccard, name, value, raising=False)
+    made, compared = [], ngram_jaccard.compared_in_blocks
+
+    def watched(group, *others):
+        found = compared(group, *others)
+        found.collect()
+        made.append((group.count(), generated(found._jdf.queryExecution().executedPlan())))
+        return found
+
+    monkeypatch.setattr(ngram_jaccard, "compared_in_blocks", watched)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = {r.doc_id: r.component_id for r in ngram_jaccard.jaccard_components(docs, 3, 80, 100).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert found == dict(enumerate(least_reachable(160, similar))) and len(set(found.values())) > 20
+    assert made and made[0][1] > made[0][0] > 500 and all(out <= 5 * rows for rows, out in made), made
+
+
 def test_components_follow_edges_between_components_only(spark, tmp_path):
     from tessella.plans.scratch import Scratch
 
